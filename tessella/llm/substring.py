@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,28 +36,50 @@ FLUSH = 1_000_000
 #: Bytes of entries a bucket should have at most.
 BUCKET_BYTES = 24 << 20
 
-#: An entry of the first round: the anchor's hash, the row it is in, its place. KNOWN marks a hash known to repeat.
-ANCHOR_ENTRY = np.dtype([("h", "<u8"), ("row", "<i8"), ("at", "<u4")])
+#: An entry of the first round: the anchor's hash, the row it is in (its doc_id, and a salt of its text in case others
+#: have that too), its place. KNOWN marks a hash known to repeat. Only 56 bits of the hash travel: it is a filter.
+ANCHOR_ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("salt", "<u2"), ("at", "<u4")])
 KNOWN = 0xFFFFFFFF
-#: One of the second round: the window's hash in two halves, the document and row it is in, its place.
-WINDOW_ENTRY = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<u4")])
+#: One of the second round, with 96 bits of the window's hash.
+WINDOW_ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("salt", "<u2"), ("at", "<u4")])
 
-PACKED = pa.schema([("bucket", pa.int32()), ("entries", pa.binary()), ("row", pa.int64()), ("places", pa.binary())])
-PACKED_DDL = "bucket int, entries binary, row long, places binary"
-PLACES = pa.schema([("row", pa.int64()), ("places", pa.binary())])
+#: What either round settles: places of rows.
+PLACE = np.dtype([("doc", "<i8"), ("salt", "<u2"), ("at", "<u4")])
 
+PACKED = pa.schema([("bucket", pa.int32()), ("entries", pa.binary()), ("settled", pa.binary())])
+PACKED_DDL = "bucket int, entries binary, settled binary"
+PLACES = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("places", pa.binary())])
+PLACES_DDL = "key long not null, salt int not null, places binary"
 
-def _pack(entries: np.ndarray) -> bytes:
-    """Field after field, so that what repeats from entry to entry compresses."""
-    return b"".join(np.ascontiguousarray(entries[f]).tobytes() for f in entries.dtype.names)
+
+def _planes(column: np.ndarray) -> np.ndarray:
+    """The bytes of a column, first bytes first: the high ones of small numbers compress to nothing."""
+    return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T
+
+
+def _pack(e: np.ndarray) -> bytes:
+    """Entries in order of rows: the hashes as they are, the rest compressed."""
+    e = e[np.lexsort((e["at"], e["salt"], e["doc"]))]
+    skip = int(e.dtype == ANCHOR_ENTRY)
+    hashes = [_planes(e[f])[skip:] for f in e.dtype.names if f in "hg"]
+    rest = [_planes(e[f]) for f in e.dtype.names if f not in "hg"]
+    return len(e).to_bytes(4, "little") + b"".join(x.tobytes() for x in hashes) + zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in rest))
 
 
 def _unpack(packed: bytes, kind: np.dtype) -> np.ndarray:
-    n, at = len(packed) // kind.itemsize, 0
-    out = np.empty(n, kind)
-    for f in kind.names:
-        out[f] = np.frombuffer(packed, kind[f], n, at)
-        at += n * kind[f].itemsize
+    n, at, skip = int.from_bytes(packed[:4], "little"), 4, int(kind == ANCHOR_ENTRY)
+    out = np.zeros(n, kind)
+    names = [*(f for f in kind.names if f in "hg"), *(f for f in kind.names if f not in "hg")]
+    head = sum(kind[f].itemsize - skip for f in names if f in "hg") * n
+    data = packed[4 : 4 + head] + zstandard.decompress(packed[4 + head :])
+    at = 0
+    for f in names:
+        size = kind[f].itemsize
+        bytes_ = np.zeros((size, n), np.uint8)
+        low = skip if f in "hg" else 0
+        bytes_[low:] = np.frombuffer(data, np.uint8, (size - low) * n, at).reshape(size - low, n)
+        out[f] = np.ascontiguousarray(bytes_.T).view(kind[f]).ravel()
+        at += (size - low) * n
     return out
 
 
@@ -70,27 +91,26 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _places(row: np.ndarray, at: np.ndarray) -> list[tuple[int, bytes]]:
-    """(row, its places), packed."""
-    if not len(row):
-        return []
-    order = np.lexsort((at, row))
-    row, at = row[order], np.ascontiguousarray(at[order], np.uint32)
-    starts = [*_runs(row), len(row)]
-    return [(int(row[i]), at[i:j].tobytes()) for i, j in zip(starts, starts[1:])]
-
-
-def _send(entries: np.ndarray, done: list[tuple[int, bytes]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Entries by hash bucket, and places that need no other task's word, dealt by row."""
-    bucket = (entries["h"] >> np.uint64(20)) % np.uint64(buckets)
+def _dealt(entries: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(bucket, kind="stable")
     entries, bucket = entries[order], bucket[order]
     starts = [*_runs(bucket), len(bucket)]
     for i, j in zip(starts, starts[1:]):
-        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i])], pa.int32()), pa.array([_pack(entries[i:j])], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], schema=PACKED)
-    for i in range(0, len(done), 2000):
-        part = done[i : i + 2000]
-        yield pa.RecordBatch.from_arrays([pa.array([r % buckets for r, _ in part], pa.int32()), pa.nulls(len(part), pa.binary()), pa.array([r for r, _ in part], pa.int64()), pa.array([p for _, p in part], pa.binary())], schema=PACKED)
+        yield int(bucket[i]), _pack(entries[i:j])
+
+
+def _send(entries: np.ndarray, settled: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Entries by hash bucket, and places that need no other task's word, by row."""
+    rows = [(b, x, None) for b, x in _dealt(entries, (entries["h"] >> np.uint64(20)) % np.uint64(buckets))]
+    rows += [(b, None, x) for b, x in _dealt(settled, settled["doc"] % buckets)]
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 3, PACKED)], schema=PACKED)
+
+
+def _place(e: np.ndarray) -> np.ndarray:
+    out = np.empty(len(e), PLACE)
+    for f in PLACE.names:
+        out[f] = e[f]
+    return out
 
 
 def repeated_anchors(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +119,10 @@ def repeated_anchors(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = _runs(e["h"])
     if not len(starts):
         return e, np.empty(0, bool)
-    low, high = np.minimum.reduceat(e["row"], starts), np.maximum.reduceat(e["row"], starts)
-    known = np.maximum.reduceat(e["at"], starts) == KNOWN
-    return e, np.repeat((low != high) | known, np.diff([*starts, len(e)]))
+    again = np.maximum.reduceat(e["at"], starts) == KNOWN
+    for f in ("doc", "salt"):
+        again |= np.minimum.reduceat(e[f], starts) != np.maximum.reduceat(e[f], starts)
+    return e, np.repeat(again, np.diff([*starts, len(e)]))
 
 
 def later_windows(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,12 +139,12 @@ def _anchor_round(buckets: int):
         e, again = repeated_anchors(np.concatenate(parts))
         known = e[again][_runs(e["h"][again])].copy() if again.any() else e[:0].copy()
         known["at"] = KNOWN
-        yield from _send(np.concatenate([e[~again], known]), _places(e["row"][again], e["at"][again]), buckets)
+        yield from _send(np.concatenate([e[~again], known]), _place(e[again]), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, parts, held = WordHash(), [], 0
         for batch in batches:
-            for row, text in zip(batch.column("row").to_pylist(), as_bytes(batch.column("text"))):
+            for key, salt, text in zip(batch.column("key").to_pylist(), batch.column("salt").to_pylist(), as_bytes(batch.column("text"))):
                 words = text.split() if text else []
                 if len(words) < WINDOW:
                     continue
@@ -132,7 +153,7 @@ def _anchor_round(buckets: int):
                 at = np.arange(len(hashes), dtype=np.uint32)
                 at = at[np.isin(at % PERIOD, COVER)]
                 e = np.empty(len(at), ANCHOR_ENTRY)
-                e["h"], e["row"], e["at"] = hashes[at], row, at
+                e["h"], e["doc"], e["salt"], e["at"] = hashes[at], key, salt, at
                 parts.append(e)
                 held += len(e)
                 if held >= FLUSH:
@@ -144,8 +165,8 @@ def _anchor_round(buckets: int):
     return run
 
 
-def _settle(kind: np.dtype, rule):
-    """Of each bucket: the places that its rule marks, and those that came settled."""
+def _settle(kind: np.dtype, rule, buckets: int):
+    """Of each bucket the places that its rule marks, by row, and those that came settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(entries: list) -> list[tuple[int, bytes]]:
@@ -154,46 +175,67 @@ def _settle(kind: np.dtype, rule):
             e, marked = rule(np.concatenate(entries))
             if kind is ANCHOR_ENTRY:
                 marked &= e["at"] != KNOWN
-            return _places(e["row"][marked], e["at"][marked])
+            found = _place(e[marked])
+            return list(_dealt(found, found["doc"] % buckets))
+
+        def send(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "settled"])
 
         held, at = [], None
         for batch in batches:
             out = []
-            for bucket, entries, row, places in zip(*(batch.column(c).to_pylist() for c in PACKED.names)):
+            for bucket, entries, settled in zip(*(batch.column(c).to_pylist() for c in PACKED.names)):
                 if bucket != at:
                     out += close(held)
                     held, at = [], bucket
                 if entries is None:
-                    out.append((row, places))
+                    out.append((bucket, settled))
                 else:
                     held.append(_unpack(entries, kind))
-            yield _place_rows(out)
-        yield _place_rows(close(held))
+            yield send(out)
+        yield send(close(held))
 
     return run
 
 
-def _place_rows(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([p for _, p in out], pa.binary())], schema=PLACES)
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, salt, places): one row for each row with settled places. A bucket holds whole rows."""
+
+    def close(settled: list) -> Iterator[pa.RecordBatch]:
+        e = np.concatenate([_unpack(x, PLACE) for x in settled]) if settled else np.empty(0, PLACE)
+        e = e[np.lexsort((e["at"], e["salt"], e["doc"]))]
+        at, starts = np.ascontiguousarray(e["at"]), [*_runs(e["doc"], e["salt"]), len(e)]
+        rows = [(int(e["doc"][i]), int(e["salt"][i]), at[i:j].tobytes()) for i, j in zip(starts, starts[1:])]
+        for i in range(0, len(rows), 2000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 2000]), PLACES)], schema=PLACES)
+
+    held, at = [], None
+    for batch in batches:
+        for bucket, settled in zip(batch.column("bucket").to_pylist(), batch.column("settled").to_pylist()):
+            if bucket != at:
+                yield from close(held)
+                held, at = [], bucket
+            held.append(settled)
+    yield from close(held)
 
 
 def _window_round(buckets: int):
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
         e, later = later_windows(np.concatenate(parts))
-        yield from _send(e[~later], _places(e["row"][later], e["at"][later]), buckets)
+        yield from _send(e[~later], _place(e[later]), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, other, parts, held = WordHash(1), WordHash(2), [], 0
         for batch in batches:
-            for doc, row, z, marked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "z", "marked"))):
+            for doc, salt, z, marked in zip(*(batch.column(c).to_pylist() for c in ("key", "salt", "z", "marked"))):
                 words = zstandard.decompress(z).split()
                 last = len(words) - WINDOW
-                anchors = np.unique(np.frombuffer(b"".join(marked), np.uint32)).astype(np.int64)
+                anchors = np.unique(np.frombuffer(marked, np.uint32)).astype(np.int64)
                 at = np.unique((anchors[:, None] - np.arange(PERIOD)[None, :]).ravel())
                 at = at[(at >= 0) & (at <= last)]
                 e = np.empty(len(at), WINDOW_ENTRY)
-                e["h"], e["g"] = ngram_hashes(one.array(words), WINDOW)[at], ngram_hashes(other.array(words), WINDOW, 0xC2B2AE3D27D4EB4F)[at]
-                e["doc"], e["row"], e["at"] = doc, row, at
+                e["h"], e["g"] = ngram_hashes(one.array(words), WINDOW)[at], ngram_hashes(other.array(words), WINDOW, 0xC2B2AE3D27D4EB4F)[at] >> np.uint64(32)
+                e["doc"], e["salt"], e["at"] = doc, salt, at
                 one.trim(), other.trim()
                 parts.append(e)
                 held += len(e)
@@ -206,11 +248,11 @@ def _window_round(buckets: int):
     return run
 
 
-def _row_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        z = [pack.compress(x) if x else None for x in as_bytes(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(z, pa.binary())], names=["doc_id", "row", "z"])
+        z = [pack.compress(x or b"") for x in as_bytes(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("salt"), pa.array(z, pa.binary())], names=["key", "salt", "z"])
 
 
 def _cut(keep_text: bool):
@@ -219,18 +261,18 @@ def _cut(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, z, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "z", "gone"))):
-                text = zstandard.decompress(z) if z else b""
+            for doc, salt, z, gone in zip(*(batch.column(c).to_pylist() for c in ("key", "salt", "z", "gone"))):
+                text = zstandard.decompress(z)
                 words = text.split()
                 cover = np.zeros(len(words) + 1, np.int32)
                 if gone:
-                    at = np.unique(np.frombuffer(b"".join(gone), np.uint32)).astype(np.int64)
+                    at = np.unique(np.frombuffer(gone, np.uint32)).astype(np.int64)
                     cover[at] += 1
                     cover[:-1] -= np.bincount(at + WINDOW, minlength=len(words) + 1)[: len(words)].astype(np.int32)
                 keep = np.cumsum(cover)[: len(words)] == 0
                 kept = words if keep.all() else [w for w, k in zip(words, keep.tolist()) if k]
                 joined = b" ".join(kept)
-                row = (doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest())
+                row = (None if salt < 0 else doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest())
                 out.append((*row, (text if len(kept) == len(words) else joined).decode("utf-8", "replace")) if keep_text else row)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: len(names)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
@@ -246,18 +288,20 @@ def cut_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     other: nothing of it goes, and it takes nothing from others. Rows that repeat a doc_id are one document: they take
     nothing from each other. Texts below 13 words stay whole. Other columns are not read; an empty table gives an empty one.
     """
-    text = F.col("text").cast("string")
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("row"))
-    seen = given.where("doc_id is not null and text is not null")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    salt = F.when(doc_id.isNull(), -1).otherwise(F.shiftrightunsigned(F.xxhash64(text), 48)).cast("int")
+    given = docs.select(F.coalesce(doc_id, F.lit(0)).alias("key"), salt.alias("salt"), text.alias("text"))
     n = buckets_for(docs, BUCKET_BYTES, 3.0)
-    packed = given.mapInArrow(_row_key, "doc_id long, row long, z binary")
+    packed = given.mapInArrow(_compress, "key long not null, salt int not null, z binary not null")
+
+    def round_of(entries: DataFrame, kind: np.dtype, rule) -> DataFrame:
+        settled = by_bucket(entries, n).mapInArrow(_settle(kind, rule, n), "bucket int, settled binary")
+        return by_bucket(settled, n).mapInArrow(_gather, PLACES_DDL)
 
-    anchors = by_bucket(seen.select("row", "text").mapInArrow(_anchor_round(n), PACKED_DDL), n).mapInArrow(_settle(ANCHOR_ENTRY, repeated_anchors), "row long, places binary")
-    marked = anchors.groupBy("row").agg(F.collect_list("places").alias("marked"))
-    windows = by_bucket(packed.where("doc_id is not null").join(marked, "row").select("doc_id", "row", "z", "marked").mapInArrow(_window_round(n), PACKED_DDL), n).mapInArrow(_settle(WINDOW_ENTRY, later_windows), "row long, places binary")
-    gone = windows.groupBy("row").agg(F.collect_list("places").alias("gone"))
+    marked = round_of(given.where("salt >= 0 and text is not null").mapInArrow(_anchor_round(n), PACKED_DDL), ANCHOR_ENTRY, repeated_anchors).withColumnRenamed("places", "marked")
+    gone = round_of(packed.join(marked, ["key", "salt"]).mapInArrow(_window_round(n), PACKED_DDL), WINDOW_ENTRY, later_windows).withColumnRenamed("places", "gone")
     cut = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
-    return packed.join(gone, "row", "left").select("doc_id", "z", "gone").mapInArrow(_cut(keep_text), cut)
+    return packed.join(gone, ["key", "salt"], "left").mapInArrow(_cut(keep_text), cut)
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
