@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +23,25 @@ WORD_CACHE = 300_000
 _scratch: list[tuple[SparkSession, str]] = []
 
 
+_shipped: set[str] = set()
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Session settings the operators rely on: small Arrow batches bound the Python workers' memory."""
+    """Session settings the operators rely on: small Arrow batches bound the Python workers' memory.
+
+    Also sends this package to the executors, which need not have it installed.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="tessella-code-")  # the driver serves it as long as the session lasts
+        atexit.register(shutil.rmtree, folder, True)
+        with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w") as out:
+            for file in sorted(root.rglob("*.py")):
+                out.write(file, file.relative_to(root.parent))
+        context.addPyFile(out.filename)
+        _shipped.add(context.applicationId)
     return spark
 
 

@@ -136,7 +136,7 @@ def confirm(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
 
 def _late_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, block, bi, bj, rep, component, hub, sketch), groups together: pairs across components that look alike."""
+    """Rows (key, bi, bj, block, rep, component, hub, sketch), those of equal (key, bi, bj) together: pairs across components that look alike."""
 
     def pairs(rows: dict) -> pa.RecordBatch:
         rep, comp, hub, block = (np.array(rows[c], np.int64) for c in ("rep", "component", "hub", "block"))
@@ -150,11 +150,11 @@ def _late_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in alike]
         return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], names=["b", "a"]).select(["a", "b"])
 
-    names = ("rep", "component", "hub", "block", "bi", "bj", "sketch")
+    names = ("rep", "component", "hub", "block", "key", "bi", "bj", "sketch")
     held, at = {n: [] for n in names}, None
     for batch in batches:
         columns = {n: batch.column(n).to_pylist() for n in names}
-        group = batch.column("group").to_pylist()
+        group = list(zip(columns["key"], columns["bi"], columns["bj"]))
         start = 0
         for i, g in enumerate([*group, None]):
             if i == len(group) or g != at:
@@ -176,8 +176,7 @@ def _unsettled(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFr
     rows = named.join(mixed, "key").join(reps.select("rep", "sketch"), "rep")
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-    rows = rows.withColumn("group", F.xxhash64("key", "bi", "bj"))
-    dealt = rows.select("group", "block", "bi", "bj", "rep", "component", "hub", "sketch").repartition("group").sortWithinPartitions("group")
+    dealt = rows.select("key", "bi", "bj", "block", "rep", "component", "hub", "sketch").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     return dealt.mapInArrow(_late_pairs, "a long, b long").distinct()
 
 

@@ -252,7 +252,8 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         z = [pack.compress(x or b"") for x in as_bytes(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("salt"), pa.array(z, pa.binary())], names=["key", "salt", "z"])
+        carried = [batch.column(c) for c in batch.schema.names if c == "rest"]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("salt"), pa.array(z, pa.binary()), *carried], names=["key", "salt", "z"] + ["rest"] * len(carried))
 
 
 def _cut(keep_text: bool):
@@ -275,34 +276,49 @@ def _cut(keep_text: bool):
                 row = (None if salt < 0 else doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest())
                 out.append((*row, (text if len(kept) == len(words) else joined).decode("utf-8", "replace")) if keep_text else row)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: len(names)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+            carried = [batch.column(c) for c in batch.schema.names if c == "rest"]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)), *carried], names=names + ["rest"] * len(carried))
 
     return run
 
 
-def cut_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def cut_repeats(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text, ...): (doc_id, n_words, n_removed, kept_sha256 [, text]), a row for each row.
 
     With keep_text also what is left: the text as it was where nothing goes, else the kept words joined by one space.
+    carry names columns to be handed through, as the fields of a struct `rest`.
     Null texts count as empty: no words, nothing removed. A row with a null doc_id is neither earlier nor later than any
     other: nothing of it goes, and it takes nothing from others. Rows that repeat a doc_id are one document: they take
     nothing from each other. Texts below 13 words stay whole. Other columns are not read; an empty table gives an empty one.
     """
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     salt = F.when(doc_id.isNull(), -1).otherwise(F.shiftrightunsigned(F.xxhash64(text), 48)).cast("int")
-    given = docs.select(F.coalesce(doc_id, F.lit(0)).alias("key"), salt.alias("salt"), text.alias("text"))
+    rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest")] if carry else []
+    given = docs.select(F.coalesce(doc_id, F.lit(0)).alias("key"), salt.alias("salt"), text.alias("text"), *rest)
+    with_rest = f", rest {given.schema['rest'].dataType.simpleString()}" if carry else ""
     n = buckets_for(docs, BUCKET_BYTES, 3.0)
-    packed = given.mapInArrow(_compress, "key long not null, salt int not null, z binary not null")
+    packed = given.mapInArrow(_compress, "key long not null, salt int not null, z binary not null" + with_rest)
 
     def round_of(entries: DataFrame, kind: np.dtype, rule) -> DataFrame:
         settled = by_bucket(entries, n).mapInArrow(_settle(kind, rule, n), "bucket int, settled binary")
         return by_bucket(settled, n).mapInArrow(_gather, PLACES_DDL)
 
-    marked = round_of(given.where("salt >= 0 and text is not null").mapInArrow(_anchor_round(n), PACKED_DDL), ANCHOR_ENTRY, repeated_anchors).withColumnRenamed("places", "marked")
+    marked = round_of(given.where("salt >= 0 and text is not null").select("key", "salt", "text").mapInArrow(_anchor_round(n), PACKED_DDL), ANCHOR_ENTRY, repeated_anchors).withColumnRenamed("places", "marked")
     gone = round_of(packed.join(marked, ["key", "salt"]).mapInArrow(_window_round(n), PACKED_DDL), WINDOW_ENTRY, later_windows).withColumnRenamed("places", "gone")
-    cut = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
+    cut = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text + with_rest
     return packed.join(gone, ["key", "salt"], "left").mapInArrow(_cut(keep_text), cut)
 
 
+def documents_without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with repeats cut from text, and n_chars to match where there is such a column; other columns as they are."""
+    other = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut, kinds = cut_repeats(docs, True, other), docs.schema
+    new = {"doc_id": F.col("doc_id").cast(kinds["doc_id"].dataType), "text": F.col("text")}
+    new |= {c: F.col(f"rest.`{c}`") for c in other}
+    if "n_chars" in other:
+        new["n_chars"] = F.length("text").cast(kinds["n_chars"].dataType)
+    return cut.select(*(new[c].alias(c) for c in docs.columns))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents"))
