@@ -20,6 +20,9 @@ ARROW_ROWS = 2000
 #: Distinct words a worker remembers before it starts again.
 WORD_CACHE = 300_000
 
+#: Sizes from here on are Catalyst's way to say that it does not know.
+UNKNOWN = 1 << 60
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -94,8 +97,12 @@ def _sweep() -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size; grows with the files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the input's size, which for files is their size; where it knows none, the rows are measured."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < UNKNOWN:
+        return known
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    return df.select(sum(wide, F.lit(8 * len(df.columns))).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
 
 
 def buckets_for(df: DataFrame, bytes_each: int, factor: float = 1.0) -> int:
@@ -156,7 +163,3 @@ def ngram_hashes(h: np.ndarray, n: int, multiplier: int = 0x9E3779B97F4A7C15) ->
         out *= k
         out += h[i : i + m]
     return mix64(out)
-
-
-def array_of(values, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)

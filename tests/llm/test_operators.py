@@ -1,0 +1,425 @@
+"""Each corpus operator against a brute-force version of its contract, on small tables with every odd case."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tessella.llm import bpe, fingerprint, minhash, packing, pii, quality, substring, toxicity, urls, vectors
+from tessella.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, salt int, rest string, bucket string, score string, block string"
+
+
+def prose(r, n, words=400):
+    return " ".join(f"w{r.randrange(words)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(7)
+    texts = [prose(r, r.randrange(1, 120)) for _ in range(60)]
+    passage = prose(r, 60, 10_000)
+    texts += [texts[5], texts[5], texts[5].upper(), f"{prose(r, 30)} {passage} {prose(r, 5)}", f"{passage}\n{prose(r, 50)}", passage]
+    base = prose(r, 200, 10_000).split()
+    for k in range(12):  # near copies
+        copy = list(base)
+        for _ in range(k % 4):
+            copy[r.randrange(200)] = f"x{k}"
+        texts.append(" ".join(copy))
+    texts += ["", " \t\n", "one", "a b c d", "a b c d", "é ü\u00a0ß ﬁ", "x" * 30_000, "Mail a.b@mail.example.com or 10.0.0.1, 300.1.1.1, card 4111 1111 1111 1111, +1 (202) 555-0143.", "a@b.c@d.ef 1.2.3.4.5.6.7.8 +12 3", "<|endoftext|>tail <|startoftext|>", "ab  cd \n\n ef   gh"]
+    ids = list(range(len(texts)))
+    random.Random(3).shuffle(ids)
+    out = [(3 * i + 1, t) for i, t in zip(ids, texts)] + [(5000, None), (None, texts[3]), (None, None), (6000, texts[0]), (6000, texts[0])]
+    return [(i, t, "en", f"s{k % 3}" if k % 7 else None, 1, "k", 1, "r", "b", "s", "bl") for k, (i, t) in enumerate(out)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def order(x):
+    return tuple((v is None, v) if not isinstance(v, list) else (False, str(v)) for v in x)
+
+
+def union_find(links, nodes):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+# ---- 1
+
+
+def test_urls(spark):
+    hosts = ["a.net", "example.net", "x.example.net", "example.com", "m.example.com", "y.org", "b.com", "notnet"]
+    given = [(i, f"http{'s' * (i % 2)}://{hosts[i % 8].upper() if i % 5 == 0 else hosts[i % 8]}/{['en', 'de', 'fr'][i % 3]}/{i}{['', '?page=2', '#t'][i % 3]}", "h") for i in range(240)] + [(900, None, "h"), (901, "no scheme", "h"), (902, "http://q.net", "h"), (903, "x://", "h"), (1, "http://b.com/en/1", "h")]
+    out = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.url_verdicts(spark.createDataFrame(given, "page_id long, url string, host string")).collect()}
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    assert len(out) == len(given)
+    for page, host, path, rule, verdict in out:
+        url = [u for i, u, _ in given if i == page]
+        m = [re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "") for u in url]
+        assert (host, path) in {(x[1].lower(), x[2]) if x else ("", "") for x in m}
+        fits = [(h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, key=lambda f: len(f[0]), default=(None, None))
+        assert rule == best[0] and verdict in ("allow", "block") and (rule is None or verdict == best[1])
+    assert urls.url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_mined_rules_match_counting(spark):
+    r = random.Random(1)
+    data = [(sorted({f"t{r.randrange(6)}" for _ in range(3)}), "block" if r.random() < 0.5 else "allow") for _ in range(200)]
+    data = [(t, "block" if "t1" in t and "t2" in t else v) for t, v in data]
+    got = {(tuple(x["antecedent"]), x["verdict"]): (x["confidence"], x["key"]) for x in urls.mine(spark.createDataFrame(data, "tokens array<string>, verdict string"), 0.02, 0.8, 2).collect()}
+    tokens = sorted({t for ts, _ in data for t in ts})
+    sets = [(a,) for a in tokens] + [(a, b) for a in tokens for b in tokens if a < b]
+    count = lambda s, v=None: sum(set(s) <= set(ts) and v in (None, w) for ts, w in data)
+    strong = {(s, v): count(s, v) / count(s) for s in sets for v in ("allow", "block") if count(s, v) >= 0.02 * len(data) and count(s, v) >= 0.8 * count(s)}
+    want = {k: c for k, c in strong.items() if not any((p,) != k[0] and strong.get(((p,), k[1]), 0) >= c for p in k[0])}
+    assert {k: round(c, 9) for k, (c, _) in got.items()} == {k: round(c, 9) for k, c in want.items()}
+    assert all(count((key,)) == min(count((a,)) for a in k[0]) for k, (_, key) in got.items())
+
+
+# ---- 2
+
+
+def test_fingerprints(docs, rows, empty):
+    out = fingerprint.fingerprints(docs).collect()
+    known = sorted([(i, t or "") for i, t, *_ in rows if i is not None and i != 6000], reverse=True)
+    by_id = {r["doc_id"]: r for r in out}
+    assert len(out) == len(rows)
+    inner = [(i, t) for i, t in known]
+    for (i, t), (j, following) in zip(inner, inner[1:]):
+        if i != 6000:
+            half = len(t) // 2
+            edited = t[: len(t) - half] + following[:half]
+            r = by_id[i]
+            assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+            assert (r["near_edited"] == 1.0) == (r["fingerprint"] == r["edited_fingerprint"] == fingerprint.digest(fingerprint.canonical(edited)))
+    assert fingerprint.canonical("Ａb\u00a0 ﬁ\nSS") == fingerprint.canonical("ab fi ß") == b"ab fi ss"
+    assert fingerprint.fingerprints(empty).count() == 0
+
+
+def test_last_document_is_followed_by_the_first(spark):
+    out = {r["doc_id"]: r for r in fingerprint.fingerprints(spark.createDataFrame([(1, "abcd"), (2, "efgh"), (9, "ijkl")], "doc_id long, text string")).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert [out[i]["edited_sha256"] for i in (9, 2, 1)] == [sha("ijef"), sha("efab"), sha("abij")]
+
+
+def test_collisions_are_told_apart(spark, monkeypatch):
+    seen = spark.createDataFrame([("a",), ("a ",), ("b",)], "text string")
+    assert fingerprint.collisions(seen).count() == 0
+
+
+# ---- 3
+
+
+def plain_spans(text):
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    out = [("email", m) for m in email.finditer(text)] + [("ip", m) for m in ip.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", m) for m in card.finditer(text) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))] + [("phone", m) for m in phone.finditer(text) if 9 <= len(digits(m)) <= 15]
+    return [(k, m.start(), m.end()) for k, m in out]
+
+
+def test_base_spans_of_random_texts():
+    r = random.Random(11)
+    for _ in range(5000):
+        text = "".join(r.choice(["1", "2", "4111111111111111", ".", " ", "-", "+1", "@", "a.b", "(", ")", "é", "x@y.z", "25", "007", "\n", "_"]) for _ in range(r.randrange(25)))
+        assert pii.base_spans(text) == plain_spans(text), text
+
+
+def test_personal_data(docs, rows, empty):
+    out = sorted((r["doc_id"], r["base_sha256"]) for r in pii.personal_data(docs).collect() if r["doc_id"] is not None)
+    want = sorted((i, hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in plain_spans(t or "")).encode()).hexdigest()) for i, t, *_ in rows if i is not None)
+    assert out == want
+    assert pii.personal_data(empty).count() == 0
+
+
+def test_disclosing_terms(spark):
+    r = random.Random(2)
+    texts = [f"{prose(r, 30)} zelda u{i}@mail.example.com {prose(r, 30)}" for i in range(60)] + [prose(r, 60) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = pii.disclosing_terms(docs)
+    assert ("email", "zelda") in terms
+    rows = {r["doc_id"]: r for r in pii.personal_data(docs, True).collect()}
+    assert "zelda" not in rows[0]["sanitised"] and "@" not in rows[0]["sanitised"] and "term:" in rows[0]["spans"]
+    assert rows[100]["sanitised"] == texts[100] and rows[100]["spans"] == ""
+
+
+# ---- 4
+
+
+def test_near_vectors(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(12, 16))
+    x = [b + 0.12 * r.normal(size=16) for b in base for _ in range(30)] + [base[0]] * 40 + [3 * base[1]] * 2 + list(r.normal(size=(50, 16)))
+    given = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(990, None), (991, [0.0] * 16), (992, [float("nan")] * 16), (993, [1.0, None]), (994, []), (None, [1.0] * 16), (995, [1.0, 2.0])]
+    out = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame(given, "vec_id long, embedding array<double>")).collect()}
+    a = np.array(x)
+    cos = (a @ a.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(a, axis=1))
+    links = [(i, j) for i in range(len(x)) for j in range(i) if cos[i, j] >= 0.9]
+    want = union_find(links, range(len(x)))
+    found = sum(out[i]["n_links"] for i in range(len(x)))
+    assert 0.99 * 2 * len(links) <= found <= 2 * len(links)
+    assert all(out[i]["n_links"] <= (cos[i] >= 0.9).sum() - 1 for i in range(len(x)))
+    assert sum(out[i]["component_id"] == want[i] for i in range(len(x))) >= 0.99 * len(x)
+    assert all(out[i]["n_links"] == 0 and out[i]["component_id"] == i for i in (990, 991, 992, 993, 994, 995)) and out[None]["kept"]
+    assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(9)
+    links = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, i) for i in range(3000, 3100)]
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = union_find(links, {n for l in links for n in l})
+    assert got == {n: c for n, c in want.items() if any(n in l and l[0] != l[1] for l in links)}
+
+
+# ---- 5 and 8
+
+
+def labelled(seed=5, n=160):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        bad = i % 3 == 0
+        text = f"{prose(r, 20)}. women {'awfulword' if bad else 'met'} {prose(r, 4)}. {prose(r, 30)}."
+        rows.append((i, text, int(bad)))
+    return rows
+
+
+def test_toxicity(spark, docs, empty):
+    rows = labelled()
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(0, None)], "doc_id long, toxic int")
+    out = {r["doc_id"]: r for r in toxicity.toxicity(table, labels).collect()}
+    assert all(out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= out[i]["score"] <= 1 and out[i]["predicted"] == (out[i]["score"] >= 0.5) for i, _, _ in rows)
+    held = [(out[i]["predicted"], y) for i, _, y in rows if out[i]["held_out"]]
+    assert sum(p == y for p, y in held) >= 0.9 * len(held)
+    assert toxicity.toxicity(docs, labels).count() == docs.count()
+    assert toxicity.toxicity(empty, labels.limit(0)).count() == 0
+
+
+def test_counterfactual_penalty_spares_group_mentions():
+    r = random.Random(3)
+    rows = [(f"the women are {'awfulword' if i % 2 else 'awfulword vile'} {prose(r, 5)}.", 1) for i in range(60)] + [(f"the men met {prose(r, 5)}.", 0) for _ in range(60)]
+    gap = {}
+    for swap in (0.0, 2.0):
+        s = toxicity.Scorer(toxicity.fit(rows, swap))
+        gap[swap] = s("the women met today.") - s("the men met today.")
+        assert s("they are awfulword.") > 0.5
+    assert gap[2.0] < 0.7 * gap[0.0]
+
+
+def test_quality(spark, docs, empty):
+    r = random.Random(8)
+    rows = [(i, prose(r, 60) if i % 2 else " ".join(f"{w}%%%" for w in prose(r, 60).split()), i % 2) for i in range(120)]
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    out = {x["doc_id"]: x for x in quality.quality(table, labels).collect()}
+    held = [(out[i]["predicted"], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all(out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, _, _ in rows)
+    assert sum(p == y for p, y in held) >= 0.9 * len(held)
+    assert quality.quality(docs, labels).count() == docs.count()
+    assert quality.quality(empty, labels.limit(0)).count() == 0
+
+
+def test_network_slices_and_gradient():
+    w = {k: v.astype(np.float64) for k, v in quality.start(1).items()}
+    text = bytes(random.Random(1).randrange(256) for _ in range(9000))
+    whole = quality.score(w, text)
+    slice_bytes, quality.SLICE = quality.SLICE, 1000
+    assert abs(quality.score(w, text) - whole) < 1e-12
+    quality.SLICE = slice_bytes
+    g = {k: np.zeros_like(v) for k, v in w.items()}
+    assert abs(quality.gradient(w, text, 1, 1.0, g) - whole) < 1e-9
+    for k in w:
+        i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        w[k][i] += 1e-6
+        up = -np.log(quality.score(w, text))
+        w[k][i] -= 2e-6
+        down = -np.log(quality.score(w, text))
+        w[k][i] += 1e-6
+        assert abs((up - down) / 2e-6 - g[k][i]) < 1e-4 * max(1, abs(g[k][i]))
+
+
+# ---- 6 and 10
+
+
+def test_bpe_equals_the_library(docs, rows, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    out = sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode_documents(docs, path).collect() if r["doc_id"] is not None)
+    want = []
+    for i, t, *_ in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        if i is not None:
+            want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert out == sorted(want)
+    assert bpe.encode_documents(empty, path).count() == 0
+
+
+PARTS = ["a", "b", " ", "\n", "\t", "\x1c", "\x85", "\u00a0", "\u2003", "é", "ß", "Σ", "İ", "中", "٣", "'s", "'LL", "!", "😀", "<|endoftext|>", "\u0301", "5", "  ", "THE", "tion"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokenizers_on_random_texts(name):
+    library, r = Tokenizer.from_file(public_tokenizers.path(name)), random.Random(1)
+    own = bpe.Encoder(public_tokenizers.path(name)) if name.startswith("byte") else packing.WordTokenizer(public_tokenizers.path(name))
+    kind = "<u4" if name.startswith("byte") else own.kind
+    for _ in range(3000):
+        text = "".join(r.choice(PARTS) for _ in range(r.randrange(30)))
+        assert np.frombuffer(own.encode(text if name.startswith("byte") else text.encode()), kind).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_long_words_merge_alike():
+    e, r = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(2)
+    for _ in range(50):
+        word = "".join(r.choice("abtheion") for _ in range(180)).encode()
+        assert e.merge(word) == e._merge_long(word)
+
+
+def test_packing(docs, rows, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    out = [r.asDict() for r in packing.pack(docs, path, window=64, keep_ids=True).collect()]
+    tokens = sorted(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, *_ in rows)
+    total = sum(tokens)
+    assert sum(r["length"] for r in out) == total
+    for r in out:
+        assert r["length"] == len(r["ids"]) > 0 and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+    by_sequence = {}
+    for r in out:
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    for number, pieces in by_sequence.items():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at == (64 if number < total // 64 else total % 64)
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t, *_ in rows if i is not None and i != 6000}
+    for i, want in ids.items():
+        mine = sorted((p for p in out if p["doc_id"] == i), key=lambda p: p["start"])
+        assert [x for p in mine for x in p["ids"]] == want and all(p["doc_tokens"] == len(want) for p in mine)
+    shares = {}
+    for r in out:
+        shares[r["source"]] = shares.get(r["source"], 0) + r["length"] / total
+    for number, pieces in by_sequence.items():
+        if number < total // 64:
+            for s, share in shares.items():
+                assert abs(sum(p["length"] for p in pieces if p["source"] == s) - 64 * share) <= 2
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_small_sources_share_a_queue(spark):
+    rows = [(i, "word " * 200, "big") for i in range(40)] + [(100 + i, "x", f"tiny{i}") for i in range(30)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), public_tokenizers.path("word_bpe_49k.json"), 128).collect()
+    assert {r["doc_id"] for r in out} == {i for i, _, _ in rows}
+    assert sum(r["length"] for r in out) == 40 * 201 + 30 * 2
+
+
+# ---- 7
+
+
+def word_sets(rows):
+    out = {}
+    for i, t, *_ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    return out
+
+
+def test_near_duplicates(docs, rows, empty):
+    out = minhash.near_duplicates(docs).collect()
+    sets = word_sets([r for r in rows if r[0] is not None])
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = union_find(links, sets)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out if r["doc_id"] is not None}
+    assert got == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
+    assert len(out) == len(rows) and all(r["kept"] and r["component_id"] is None for r in out if r["doc_id"] is None)
+    assert minhash.near_duplicates(empty).count() == 0
+    assert minhash.keep_one(docs).columns == docs.columns
+
+
+def test_large_group_of_near_copies(spark):
+    r = random.Random(6)
+    base = [f"w{r.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for _ in range(r.randrange(5)):
+            copy[r.randrange(120)] = f"z{r.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = word_sets(rows)
+    want = union_find([(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])], sets)
+    assert got == want
+
+
+# ---- 9
+
+
+def cut_plain(rows):
+    first, out = {}, []
+    known = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows]
+    for i, w in known:
+        for k in range(len(w) - 12):
+            if i is not None:
+                first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
+    for i, w in known:
+        keep = [True] * len(w)
+        for k in range(len(w) - 12):
+            if i is not None and first[tuple(w[k : k + 13])] < i:
+                keep[k : k + 13] = [False] * 13
+        left = [x for x, y in zip(w, keep) if y]
+        out.append((i, len(w), len(w) - len(left), hashlib.sha256(" ".join(left).encode()).hexdigest()))
+    return sorted(out, key=order)
+
+
+def test_cut_repeats(docs, rows, empty, monkeypatch):
+    out = sorted((tuple(r) for r in substring.cut_repeats(docs).collect()), key=order)
+    assert out == cut_plain(rows)
+    cut = substring.documents_without_repeats(docs)
+    assert cut.columns == docs.columns and cut.schema.simpleString() == docs.schema.simpleString()
+    assert substring.cut_repeats(empty).count() == 0
+
+
+def test_cover_reaches_every_pair_of_places():
+    for i in range(substring.PERIOD):
+        for j in range(substring.PERIOD):
+            assert any((i + d) % substring.PERIOD in substring.COVER and (j + d) % substring.PERIOD in substring.COVER for d in range(substring.PERIOD))
+
+
+def test_packed_entries_come_back():
+    r = np.random.default_rng(1)
+    for kind in (substring.ANCHOR_ENTRY, substring.WINDOW_ENTRY, substring.PLACE):
+        e = np.zeros(500, kind)
+        for f in kind.names:
+            e[f] = r.integers(0, np.iinfo(kind[f]).max, 500, dtype=kind[f])
+        if kind is substring.ANCHOR_ENTRY:
+            e["h"] &= ~np.uint64(255)
+        got = substring._unpack(substring._pack(e), kind)
+        assert sorted(got.tolist()) == sorted(e.tolist())
