@@ -30,9 +30,9 @@ from .memo import Memo
 FEATURES = 1 << 16
 #: Labelled documents that the model is fitted on at most.
 SAMPLE = 4000
-EPOCHS, RATE, DECAY = 10, 0.3, 1e-4
+EPOCHS, RATE, DECAY = 10, 0.3, 1e-3
 #: Documents that must hold a feature for it to count, and lengths of beginnings of words that are features.
-RARE, STEMS = 4, (4, 5, 6, 7, 8)
+RARE, STEMS = 6, (4, 5, 6, 7, 8)
 #: Weight of the counterfactual penalty.
 SWAP = 2.0
 #: Sharpness of the soft maximum over sentences.
@@ -72,12 +72,12 @@ def _slots_of(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(p.encode()) % (FEATURES - 1) + 1 for p in parts)
 
 
-_slots = Memo(_slots_of, 50_000)
+_slots = Memo(_slots_of, 20_000)
 
 
 def slots(words: list[str]) -> np.ndarray:
     """The distinct features of a sentence."""
-    return np.array(sorted({0, *(s for w in words for s in _slots[w])}), np.int64)
+    return np.array(sorted({0, *(s for w in words for s in _slots[w])}), np.int32)
 
 
 def _sigmoid(x):
@@ -92,37 +92,46 @@ def _soft(raw: np.ndarray) -> np.ndarray:
 def fit(labelled: list[tuple[str, int]], swap: float = SWAP, seed: int = 5) -> np.ndarray:
     """Weights from (text, 0 or 1); features of fewer than RARE documents get none. No rows: all zero."""
     random = np.random.default_rng(seed)
-    weights, squares = np.zeros(FEATURES, np.float64), np.full(FEATURES, 1.0)
-    documents, seen = [], np.zeros(FEATURES, np.int64)
+    weights, squares, seen = np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES, np.int32)
+    documents = []  # (features of all sentences in a row, where each begins, counterfactual copies, label)
     for text, label in labelled:
         parts = sentences(text)
-        documents.append(([slots(p) for p in parts], [(i, slots(other)) for i, p in enumerate(parts) if (other := swapped(p))], label))
-        seen[np.unique(np.concatenate(documents[-1][0]))] += 1
+        each = [slots(p) for p in parts]
+        copies = [(i, slots(other)) for i, p in enumerate(parts) if (other := swapped(p))]
+        _slots.trim()
+        documents.append((np.concatenate(each), np.cumsum([0, *map(len, each)], dtype=np.int32), copies, label))
+        seen[np.unique(documents[-1][0])] += 1
     names = np.array([s for w in SWAPS for s in _slots[w]])
     common = seen >= RARE
     common[names] |= seen[names] > 0
-    documents = [([p[common[p]] for p in parts], [(i, o[common[o]]) for i, o in copies], label) for parts, copies, label in documents]
-    positives = sum(d[2] for d in documents)
+    common[0] = True  # the bias leads every sentence, so none is without features
+    for k, (features, bounds, copies, label) in enumerate(documents):
+        kept = common[features]
+        upto = np.concatenate([[0], np.cumsum(kept, dtype=np.int32)])
+        documents[k] = (features[kept], upto[bounds], [(i, o[common[o]]) for i, o in copies], label)
+    positives = sum(d[3] for d in documents)
     balance = {1: 0.5 * len(documents) / max(positives, 1), 0: 0.5 * len(documents) / max(len(documents) - positives, 1)}
 
-    def step(at: np.ndarray, gradient: float) -> None:
+    def step(at: np.ndarray, gradient) -> None:
         g = gradient + DECAY * weights[at]
         squares[at] += g * g
         weights[at] -= RATE * g / np.sqrt(squares[at])
 
     for _ in range(EPOCHS):
         for k in random.permutation(len(documents)):
-            parts, copies, label = documents[k]
-            raw = np.array([weights[p].sum() for p in parts])
+            features, bounds, copies, label = documents[k]
+            raw = np.add.reduceat(weights[features], bounds[:-1])
             pull = _soft(raw)
             error = balance[label] * (_sigmoid(float(raw @ pull)) - label)
-            for i in np.flatnonzero(pull > 0.02):
-                step(parts[i], error * pull[i])
+            share = np.repeat(np.where(pull > 0.02, pull, 0), np.diff(bounds))
+            at, where = np.unique(features[share > 0], return_inverse=True)
+            step(at, error * np.bincount(where, share[share > 0]))
             for i, other in copies:
-                s, t = _sigmoid(weights[parts[i]].sum()), _sigmoid(weights[other].sum())
+                own = features[bounds[i] : bounds[i + 1]]
+                s, t = _sigmoid(weights[own].sum()), _sigmoid(weights[other].sum())
                 pulled = 2 * swap * (s - t)
-                step(np.setdiff1d(parts[i], other), pulled * s * (1 - s))
-                step(np.setdiff1d(other, parts[i]), -pulled * t * (1 - t))
+                step(np.setdiff1d(own, other), pulled * s * (1 - s))
+                step(np.setdiff1d(other, own), -pulled * t * (1 - t))
     return weights
 
 
@@ -185,6 +194,7 @@ _scorers: dict[str, Scorer] = {}
 def toxicity_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """text -> score, learnt from labels (doc_id, toxic) of rows whose crc32(doc_id as text) mod 5 is not 0."""
     weights = fit(training_rows(docs, labels, "toxic", 5, 0, sample)).astype(np.float32)
+    _slots.clear(), _slots.elder.clear()
     held = _Held(docs.sparkSession.sparkContext.broadcast(weights))  # FEATURES numbers, whatever the input
     return lambda text: scorer_of(held)(text)
 
