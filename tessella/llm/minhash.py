@@ -7,10 +7,12 @@ signature: coordinate k is the least value of PI(SIGMA(x) + k) over the set, so
 2. Bands of the signature give bucket keys. In each bucket every member is paired with the smallest one (an aggregation
    and a join: buckets are never gathered, and pairs grow with the members, not with their square).
 3. Pairs are confirmed on the full sets; the links give components.
-4. Buckets whose members still lie in several components get their remaining pairs across components compared, in
-   blocks of bounded size: first by signature (a sketch of a byte a coordinate), then on the full sets.
+4. In buckets whose members still lie in several components, signatures (a sketch of a byte a coordinate) are compared
+   across components, in blocks of bounded size. First each member is paired only with the one that it agrees with most,
+   and the pairs confirmed, as long as that joins components: a large group soon is one. Then all pairs that are left
+   across components and agree enough are confirmed.
 
-So each pair that shares a bucket is either confirmed to lie in one component already or is compared itself.
+So each pair that shares a bucket is either known to lie in one component already or is compared itself.
 With 24 bands of 4 rows, a pair at a similarity of 0.75 shares a bucket with probability 0.9999.
 """
 
@@ -135,49 +137,56 @@ def confirm(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     return first.join(texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _late_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, bi, bj, block, rep, component, hub, sketch), those of equal (key, bi, bj) together: pairs across components that look alike."""
+def _late_pairs(best: bool):
+    """Rows (key, bi, bj, block, rep, component, hub, sketch), those of equal (key, bi, bj) together: pairs across components.
+
+    best: of each member only the one it agrees with most; else all that agree enough.
+    """
+    names = ("rep", "component", "hub", "block", "key", "bi", "bj", "sketch")
 
     def pairs(rows: dict) -> pa.RecordBatch:
         rep, comp, hub, block = (np.array(rows[c], np.int64) for c in ("rep", "component", "hub", "block"))
         sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rep), COORDINATES)
-        one, other = np.flatnonzero(block == rows["bi"][0]), np.flatnonzero(block == rows["bj"][0])
-        found = []
-        for i in one:
-            with_ = other[(comp[other] != comp[i]) & (rep[other] != hub[0]) & ((rep[other] > rep[i]) | (rows["bi"][0] != rows["bj"][0]))]
-            if rep[i] != hub[0] and len(with_):
-                alike = with_[(sketch[with_] == sketch[i]).sum(axis=1) >= LEAST_AGREE]
-                found += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in alike]
-        return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], names=["b", "a"]).select(["a", "b"])
+        one, other = (np.flatnonzero((block == rows[c][0]) & (rep != hub)) for c in ("bi", "bj"))  # pairs with the hub were compared
+        same, found = rows["bi"][0] == rows["bj"][0], set()
+        for these, those in [(one, other)] + [(other, one)] * (best and not same):
+            for i in these:
+                with_ = those[(comp[those] != comp[i]) & ((rep[those] > rep[i]) | best | (not same))]
+                if len(with_):
+                    agree = (sketch[with_] == sketch[i]).sum(axis=1)
+                    picked = [with_[agree.argmax()]] if best and agree.max() >= LEAST_AGREE else [] if best else with_[agree >= LEAST_AGREE]
+                    found.update((max(rep[i], rep[j]), min(rep[i], rep[j])) for j in picked)
+        return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    names = ("rep", "component", "hub", "block", "key", "bi", "bj", "sketch")
-    held, at = {n: [] for n in names}, None
-    for batch in batches:
-        columns = {n: batch.column(n).to_pylist() for n in names}
-        group = list(zip(columns["key"], columns["bi"], columns["bj"]))
-        start = 0
-        for i, g in enumerate([*group, None]):
-            if i == len(group) or g != at:
-                for n in names:
-                    held[n] += columns[n][start:i]
-                start = i
-                if i < len(group):
-                    if held["rep"]:
-                        yield pairs(held)
-                    held, at = {n: [] for n in names}, g
-    if held["rep"]:
-        yield pairs(held)
-
-
-def _unsettled(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different components, were not compared yet and agree by signature."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = {n: [] for n in names}, None
+        for batch in batches:
+            columns, start = {n: batch.column(n).to_pylist() for n in names}, 0
+            group = list(zip(columns["key"], columns["bi"], columns["bj"]))
+            for i, g in enumerate([*group, None]):
+                if i == len(group) or g != at:
+                    for n in names:
+                        held[n] += columns[n][start:i]
+                    start = i
+                    if i < len(group):
+                        if held["rep"]:
+                            yield pairs(held)
+                        held, at = {n: [] for n in names}, g
+        if held["rep"]:
+            yield pairs(held)
+
+    return run
+
+
+def _unsettled(members: DataFrame, labels: DataFrame, reps: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) that share a bucket, lie in different components and agree by signature; see _late_pairs()."""
     named = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min("rep").alias("hub")).where("lo < hi and n > 2").select("key", "n", "hub")
     rows = named.join(mixed, "key").join(reps.select("rep", "sketch"), "rep")
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
     dealt = rows.select("key", "bi", "bj", "block", "rep", "component", "hub", "sketch").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return dealt.mapInArrow(_late_pairs, "a long, b long").distinct()
+    return dealt.mapInArrow(_late_pairs(best), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -200,10 +209,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = stash(confirm(first, signed, percent))
     labels = components(links)
 
-    late = stash(confirm(_unsettled(members, labels, reps), signed, percent))
-    if not late.isEmpty():
-        labels = components(links.unionAll(late))
-    for spent in (reps, members, late):
+    for best in (True, False):
+        while True:
+            late = stash(confirm(_unsettled(members, labels, reps, best), signed, percent))
+            if late.isEmpty():
+                break
+            links = stash(links.unionAll(late))
+            labels = components(links)
+            if not best:  # all that was left has been compared
+                break
+    for spent in (reps, members):
         drop(spent)
     of_set = classes.join(labels, classes.rep == labels.node, "left").select("set_id", F.coalesce("component", "rep").alias("of_set"))
     out = signed.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
