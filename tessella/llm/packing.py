@@ -18,6 +18,8 @@ earns too little still, they join the smallest other one). So there are at most
 
 from __future__ import annotations
 
+import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -28,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, drop, stash, table
+from .common import as_bytes, buckets_for, stash, table
 from .bpe import _byte_of_char
 from .memo import Memo
 
@@ -36,7 +38,7 @@ WINDOW = 2048
 #: The id behind each document.
 END = 1
 #: Words a worker remembers, in each of two generations.
-WORDS = 200_000
+WORDS = 400_000
 #: Bytes of ids that a block should have at most.
 BLOCK_BYTES = 16 << 20
 #: The pattern that the word-level pre-tokeniser keeps (fixed value of the format).
@@ -55,14 +57,16 @@ class WordTokenizer:
 
         tokenizer = Tokenizer.from_file(path)
         self.model, self.kind = tokenizer.model, "<u2" if tokenizer.get_vocab_size() <= 65536 else "<u4"
-        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.letter = "H" if self.kind == "<u2" else "I"
+        self.special = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.split = re.compile(b"|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)))
         self.shown = {b: c for c, b in _byte_of_char().items()}
         self.pieces, self.piece, self.word = regex.compile(PATTERN), Memo(self._piece, WORDS // 2), Memo(self._word, WORDS)
 
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() and piece.isalpha() else "".join(self.shown[b] for b in piece.encode())
-        return np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
@@ -73,15 +77,15 @@ class WordTokenizer:
     def _plain(self, text: bytes) -> bytes:
         return b"".join(map(self.word.__getitem__, text.split()))
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: bytes) -> bytes:
         self.piece.trim(), self.word.trim()
-        if self.split is None or not self.split.search(text):
-            return self._plain(text.encode())
+        if not any(s in text for s in self.special):
+            return self._plain(text)
         out, at = [], 0
         for m in self.split.finditer(text):
-            out += [self._plain(text[at : m.start()].encode()), np.array([self.special[m[0]]], self.kind).tobytes()]
+            out += [self._plain(text[at : m.start()]), struct.pack(f"<{self.letter}", self.special[m[0]])]
             at = m.end()
-        return b"".join([*out, self._plain(text[at:].encode())])
+        return b"".join([*out, self._plain(text[at:])])
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -99,7 +103,7 @@ def _tokenise(path: str):
         t = tokenizer(path)
         end = np.array([END], t.kind).tobytes()
         for batch in batches:
-            ids = [t.encode(text or "") + end for text in batch.column("text").to_pylist()]
+            ids = [t.encode(text or b"") + end for text in as_bytes(batch.column("text"))]
             n = [len(x) // len(end) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64()), pa.array([len(end)] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "width", "ids"])
 
