@@ -182,7 +182,11 @@ def _unsettled(members: DataFrame, labels: DataFrame, reps: DataFrame, best: boo
     """Pairs (a, b) that share a bucket, lie in different components and agree by signature; see _late_pairs()."""
     named = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min("rep").alias("hub")).where("lo < hi and n > 2").select("key", "n", "hub")
-    rows = named.join(mixed, "key").join(reps.select("rep", "sketch"), "rep")
+    rows = named.join(mixed, "key")
+    if best:  # of each member only the largest such bucket
+        largest = rows.groupBy("rep").agg(F.max(F.struct("n", "key")).alias("m")).select("rep", F.col("m.key").alias("key"))
+        rows = rows.join(largest, ["rep", "key"])
+    rows = rows.join(reps.select("rep", "sketch"), "rep")
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
     dealt = rows.select("key", "bi", "bj", "block", "rep", "component", "hub", "sketch").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
