@@ -7,7 +7,8 @@ whole text is looked at.
 Training: each labelled sentence that names a group is copied with the group's name swapped for another of its list, and
 the loss gets SWAP * (score - score of the copy) ** 2. A weight on the name itself raises that penalty, so the model learns
 to score what is said and not whom it mentions. Sentences have no labels of their own: the model is fitted on documents, a
-document's score being the soft maximum over its sentences, so the gradient goes to the sentences that made it.
+document's score being the soft maximum over its sentences, so the gradient goes to the sentences that made it: to each by its
+share, however many there are.
 
 Fitted on at most SAMPLE labelled documents (a documented bound; those with the smallest hash of doc_id), scored on all.
 """
@@ -108,8 +109,9 @@ def fit(labelled: list[tuple[str, int]], swap: float = SWAP, seed: int = 5) -> n
     for k, (features, bounds, copies, label) in enumerate(documents):
         kept = common[features]
         upto = np.concatenate([[0], np.cumsum(kept, dtype=np.int32)])
-        documents[k] = (features[kept], upto[bounds], [(i, o[common[o]]) for i, o in copies], label)
-    positives = sum(d[3] for d in documents)
+        at, where = np.unique(features[kept], return_inverse=True)
+        documents[k] = (at, where.astype(np.int32), upto[bounds], [(i, o[common[o]]) for i, o in copies], label)
+    positives = sum(d[-1] for d in documents)
     balance = {1: 0.5 * len(documents) / max(positives, 1), 0: 0.5 * len(documents) / max(len(documents) - positives, 1)}
 
     def step(at: np.ndarray, gradient) -> None:
@@ -119,15 +121,13 @@ def fit(labelled: list[tuple[str, int]], swap: float = SWAP, seed: int = 5) -> n
 
     for _ in range(EPOCHS):
         for k in random.permutation(len(documents)):
-            features, bounds, copies, label = documents[k]
-            raw = np.add.reduceat(weights[features], bounds[:-1])
+            at, where, bounds, copies, label = documents[k]
+            raw = np.add.reduceat(weights[at][where], bounds[:-1])
             pull = _soft(raw)
             error = balance[label] * (_sigmoid(float(raw @ pull)) - label)
-            share = np.repeat(np.where(pull > 0.02, pull, 0), np.diff(bounds))
-            at, where = np.unique(features[share > 0], return_inverse=True)
-            step(at, error * np.bincount(where, share[share > 0]))
+            step(at, error * np.bincount(where, np.repeat(pull, np.diff(bounds))))
             for i, other in copies:
-                own = features[bounds[i] : bounds[i + 1]]
+                own = at[where[bounds[i] : bounds[i + 1]]]
                 s, t = _sigmoid(weights[own].sum()), _sigmoid(weights[other].sum())
                 pulled = 2 * swap * (s - t)
                 step(np.setdiff1d(own, other), pulled * s * (1 - s))

@@ -223,6 +223,15 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(empty, labels.limit(0)).count() == 0
 
 
+def test_long_documents_labels_enter_the_fit():
+    r = random.Random(6)
+    text = lambda bad: ". ".join(prose(r, 6) + (" awfulword" if bad and k == 40 else "") for k in range(80))
+    rows = [(text(i % 2), i % 2) for i in range(120)]
+    s = toxicity.Scorer(toxicity.fit(rows))
+    assert all((s(t) >= 0.5) == y for t, y in rows)
+    assert all((s(text(i % 2)) >= 0.5) == i % 2 for i in range(20))
+
+
 def test_counterfactual_penalty_spares_group_mentions():
     r = random.Random(3)
     rows = [(f"the women are {'awfulword' if i % 2 else 'awfulword vile'} {prose(r, 5)}.", 1) for i in range(60)] + [(f"the men met {prose(r, 5)}.", 0) for _ in range(60)]
