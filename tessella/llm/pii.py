@@ -11,15 +11,14 @@ how often in the context of each kind of entity. With p(k) the part of all words
 A term in an entity's context whose disclosure is at or above GENERALISE is replaced by its kind's name, at or above REMOVE
 it is removed; the entity itself is always replaced. Terms elsewhere, and documents without entities, stay untouched.
 
-A term counts only with at least LEAST occurrences in contexts of the kind and a part of SUPPORT of all of them: so a
-handful of chance neighbours discloses nothing, and there are at most 1 / SUPPORT terms a kind. This bound holds for a
-corpus of any size, so the terms are handed to the tasks as they are.
+A term counts only with at least LEAST occurrences in contexts of the kind: so a handful of chance neighbours discloses
+nothing. Nothing else bounds the number of terms, so they stay a table: documents with entities are joined with it by their
+terms, and get what they hold by the digest of their text.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -29,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that are its context.
 CONTEXT = 3
 GENERALISE, REMOVE = 0.8, 0.95
-LEAST, SUPPORT = 8, 0.0005
+LEAST = 8
 #: Distinct terms a task counts before it sends what it has.
 TERMS = 200_000
 
@@ -113,12 +112,13 @@ def context_terms(text: str, spans: list[Span]) -> list[tuple[str, str, int, int
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, term, n): occurrences of terms, at all (kind "") and in contexts; summed in the task first."""
+    """(kind, term, n): occurrences of terms, at all (kind "") and in contexts; of all terms together (term null); summed in the task first."""
     schema = pa.schema([("kind", pa.string()), ("term", pa.string()), ("n", pa.int64())])
     words, near = Counter(), Counter()
 
     def send() -> pa.RecordBatch:
         rows = [("", t, n) for t, n in words.items()] + [(k, t, n) for (k, t), n in near.items()]
+        rows += [("", None, words.total())] + [(k, None, sum(n for (kind, _), n in near.items() if kind == k)) for k in KINDS]
         words.clear(), near.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 3, schema)], schema=schema)
 
@@ -136,21 +136,48 @@ def disclosure(docs: DataFrame) -> DataFrame:
     """docs (text): (kind, term, n, disclosure) of terms with enough support, from the co-occurrence in the whole corpus."""
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "kind string, term string, n long").groupBy("kind", "term").agg(F.sum("n").alias("n"))
     per_term = counts.groupBy("term").agg(F.sum(F.when(F.col("kind") == "", F.col("n"))).alias("of_term"), *(F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in KINDS))
-    totals = per_term.agg(F.sum("of_term"), *(F.sum(k) for k in KINDS)).first()
-    words, of_kind = totals[0] or 0, dict(zip(KINDS, totals[1:]))
+    per_term = stash(per_term.where(" or ".join(["term is null", *(f"{k} >= {LEAST}" for k in KINDS)])))
+    _, words, *of_kinds = per_term.where("term is null").first() or [0] * (2 + len(KINDS))
+    of_kind, per_term = dict(zip(KINDS, of_kinds)), per_term.where("term is not null")
     known = [k for k in KINDS if of_kind[k] and 0 < of_kind[k] < words]
     if not known:
         return per_term.select(F.lit("").alias("kind"), "term", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("disclosure")).where(F.lit(False))
-    each = per_term.where(" or ".join(f"{k} >= {max(LEAST, math.ceil(SUPPORT * of_kind[k]))}" for k in known))
-    each = each.select("term", "of_term", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n"), F.lit(of_kind[k] / words).alias("p"), F.lit(max(LEAST, math.ceil(SUPPORT * of_kind[k]))).alias("least")) for k in known))).alias("x"))
+    each = per_term.select("term", "of_term", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n"), F.lit(of_kind[k] / words).alias("p")) for k in known))).alias("x"))
     p_given = F.least(F.col("x.n") / F.col("of_term"), F.lit(1.0))
-    return each.where("x.n >= x.least").select("x.kind", "term", "x.n", (F.log2(p_given / F.col("x.p")) / -F.log2("x.p")).alias("disclosure"))
+    return each.where(f"x.n >= {LEAST}").select("x.kind", "term", "x.n", (F.log2(p_given / F.col("x.p")) / -F.log2("x.p")).alias("disclosure"))
+
+
+def _disclosing(docs: DataFrame) -> DataFrame:
+    """(kind, term, remove): whether a disclosing term is removed (or else generalised)."""
+    return disclosure(docs).where(F.col("disclosure") >= GENERALISE).select("kind", "term", (F.col("disclosure") >= REMOVE).alias("remove"))
 
 
 def disclosing_terms(docs: DataFrame) -> dict[tuple[str, str], bool]:
-    """(kind, term) -> whether it is removed (or else generalised); at most 1 / SUPPORT terms a kind."""
-    rows = disclosure(docs).where(F.col("disclosure") >= GENERALISE).collect()
-    return {(r["kind"], r["term"]): r["disclosure"] >= REMOVE for r in rows}
+    """(kind, term) -> whether it is removed (or else generalised), to look at; the plans leave the terms in their table."""
+    return {(r["kind"], r["term"]): r["remove"] for r in _disclosing(docs).collect()}
+
+
+def _sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, kind, term): the distinct terms that a text could hold disclosing occurrences of."""
+    for batch in batches:
+        rows = []
+        for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()):
+            base = base_spans(text) if text else []
+            rows += [(digest, k, t) for k, t in {(k, t) for k, t, _, _ in context_terms(text, base)}]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*rows)) or [()] * 3], names=["digest", "kind", "term"])
+
+
+def with_terms(docs: DataFrame) -> DataFrame:
+    """docs (text, ...) and __terms, the disclosing (kind, term, remove) that a row's text holds; null for none."""
+    text = F.col("text").cast("string")
+    held = docs.select(F.md5(text.cast("binary")).alias("digest"), text.alias("text")).mapInArrow(_sought, "digest string, kind string, term string")
+    held = held.join(_disclosing(docs), ["kind", "term"]).groupBy(F.col("digest").alias("__digest")).agg(F.collect_set(F.struct("kind", "term", "remove")).alias("__terms"))
+    # written out, so that its size is known: while it is small, no text is shuffled
+    return docs.withColumn("__digest", F.md5(text.cast("binary"))).join(stash(held), "__digest", "left").drop("__digest")
+
+
+def _terms_of(batch: pa.RecordBatch) -> list[dict[tuple[str, str], bool]]:
+    return [{(t["kind"], t["term"]): t["remove"] for t in row or ()} for row in batch.column("__terms").to_pylist()]
 
 
 def find(text: str, terms: dict[tuple[str, str], bool]) -> tuple[list[Span], list[tuple[str, str, int, int]]]:
@@ -175,13 +202,13 @@ def _listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def _find(terms: dict, keep_text: bool):
+def _find(keep_text: bool):
     kinds = {"doc_id": pa.int64()} | {f"n_{k}": pa.int64() for k in KINDS} | {"base_sha256": pa.string(), "spans": pa.string()} | ({"sanitised": pa.string()} if keep_text else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, text, terms in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), _terms_of(batch)):
                 base, hits = find(text or "", terms)
                 listed = _listed(base)
                 n = Counter(k for k, _, _ in base)
@@ -202,24 +229,23 @@ def personal_data(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     empty texts have none. Rows that repeat a doc_id, or have none, are searched each for itself; repeated rows count as
     often as they occur in the corpus counts. Other columns are not read. A corpus without entities discloses nothing.
     """
-    terms = disclosing_terms(docs)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(_find(terms, keep_text), FOUND_DDL + ", sanitised string" * keep_text)
+    return with_terms(given).mapInArrow(_find(keep_text), FOUND_DDL + ", sanitised string" * keep_text)
 
 
 def sanitised_documents(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced in text, and n_chars to match where there is such a column; other columns as they are."""
-    terms = disclosing_terms(docs)
     names, types = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [sanitise(t, *find(t, terms)) if t else t for t in batch.column("text").to_pylist()]
+            new = [sanitise(t, *find(t, terms)) if t else t for t, terms in zip(batch.column("text").to_pylist(), _terms_of(batch))]
+            batch = batch.select(names)
             i = names.index("text")
             batch = batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type))
             yield batch
 
-    out = docs.mapInArrow(run, types)
+    out = with_terms(docs).mapInArrow(run, types)
     return out.withColumn("n_chars", F.length("text").cast(types["n_chars"].dataType)) if "n_chars" in names else out
 
 

@@ -169,6 +169,19 @@ def test_disclosing_terms(spark):
     assert rows[100]["sanitised"] == texts[100] and rows[100]["spans"] == ""
 
 
+def test_rare_terms_of_many_contexts_disclose(spark):
+    r = random.Random(4)
+    texts = [" ".join(f"{prose(r, 8)} u{i}.{j}@mail.example.com" for j in range(20)) for i in range(200)]
+    texts += [f"{prose(r, 20)} quillfeather v{i}@mail.example.com {prose(r, 20)}" for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        out = {r["doc_id"]: r["sanitised"] for r in pii.personal_data(docs, True).collect()}
+        assert len(out) == 210 and not any("quillfeather" in out[i] for i in range(200, 210))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 # ---- 4
 
 
