@@ -8,8 +8,9 @@ how often in the context of each kind of entity. With p(k) the part of all words
     PMI(t; k) = log2 p(k | t) / p(k)   what the term t tells of it
     disclosure(t, k) = PMI(t; k) / IC(k)   1 if t gives the entity away, 0 if it says nothing
 
-A term in an entity's context whose disclosure is at or above GENERALISE is replaced by its kind's name, at or above REMOVE
-it is removed; the entity itself is always replaced. Terms elsewhere, and documents without entities, stay untouched.
+A term whose disclosure is at or above GENERALISE is replaced by its kind's name, at or above REMOVE it is removed, wherever
+it stands in a document that has an entity of the kind: contexts serve to count, not to limit what is found. The entity
+itself is always replaced. Documents without an entity of the kind have none to give away and keep the term.
 
 A term counts only with at least LEAST occurrences in contexts of the kind: so a handful of chance neighbours discloses
 nothing. Nothing else bounds the number of terms, so they stay a table: documents with entities are joined with it by their
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -88,11 +89,8 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def context_terms(text: str, spans: list[Span]) -> list[tuple[str, str, int, int]]:
-    """(kind, term, start, end) of the words in the contexts of the spans; words inside any span are none.
-
-    A context looks at most 64 code points a word away, so that one endless word costs no more.
-    """
+def outside_words(text: str, spans: list[Span]) -> list[tuple[int, int]]:
+    """Where the words of the whole text stand that touch none of the spans, in order."""
     starts: list[int] = []
     ends: list[int] = []
     for _, start, end in sorted(spans, key=lambda s: s[1:]):  # joined where they overlap
@@ -100,13 +98,25 @@ def context_terms(text: str, spans: list[Span]) -> list[tuple[str, str, int, int
             ends[-1] = max(ends[-1], end)
         else:
             starts.append(start), ends.append(end)
+    out = []
+    for m in _term.finditer(text):
+        i = bisect_left(starts, m.end()) - 1
+        if i < 0 or ends[i] <= m.start():
+            out.append(m.span())
+    return out
+
+
+def context_terms(text: str, spans: list[Span]) -> list[tuple[str, str, int, int]]:
+    """(kind, term, start, end) of the words in the contexts of the spans, whole words only; words inside any span are none."""
+    if not spans:
+        return []
+    words = [m.span() for m in _term.finditer(text)]
+    begins, finishes, outside = [a for a, _ in words], [b for _, b in words], set(outside_words(text, spans))
     out = {}
     for kind, start, end in spans:
-        left = max(0, start - 64 * CONTEXT)
-        near = [m.span() for m in _term.finditer(text, left, start)][-CONTEXT:] + [m.span() for _, m in zip(range(CONTEXT), _term.finditer(text, end, end + 64 * CONTEXT))]
-        for a, b in near:
-            i = bisect_left(starts, b) - 1
-            if i < 0 or ends[i] <= a:
+        i, j = bisect_right(finishes, start), bisect_left(begins, end)
+        for a, b in words[max(0, i - CONTEXT) : i] + words[j : j + CONTEXT]:
+            if (a, b) in outside:
                 out[kind, a, b] = text[a:b].casefold()
     return [(kind, term, a, b) for (kind, a, b), term in out.items()]
 
@@ -125,7 +135,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column("text").to_pylist():
             if text:
-                words.update(_term.findall(text.casefold()))
+                words.update(map(str.casefold, _term.findall(text)))
                 near.update((k, t) for k, t, _, _ in context_terms(text, base_spans(text)))
                 if len(words) + len(near) > TERMS:
                     yield send()
@@ -163,7 +173,9 @@ def _sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()):
             base = base_spans(text) if text else []
-            rows += [(digest, k, t) for k, t in {(k, t) for k, t, _, _ in context_terms(text, base)}]
+            if base:
+                kinds, held = {k for k, _, _ in base}, {text[a:b].casefold() for a, b in outside_words(text, base)}
+                rows += [(digest, k, t) for k in kinds for t in held]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*rows)) or [()] * 3], names=["digest", "kind", "term"])
 
 
@@ -181,10 +193,15 @@ def _terms_of(batch: pa.RecordBatch) -> list[dict[tuple[str, str], bool]]:
 
 
 def find(text: str, terms: dict[tuple[str, str], bool]) -> tuple[list[Span], list[tuple[str, str, int, int]]]:
-    """(base spans, (kind, action, start, end) of disclosing terms), both in order."""
+    """(base spans, (kind, action, start, end) of disclosing terms of their kinds in the whole text), both in order."""
     base = base_spans(text)
-    hits = {(a, b): (k, "remove" if terms[k, t] else "generalise") for k, t, a, b in reversed(context_terms(text, base)) if (k, t) in terms} if terms and base else {}
-    return base, [(k, action, a, b) for (a, b), (k, action) in sorted(hits.items())]
+    if not terms or not base:
+        return base, []
+    kinds, actions = {k for k, _, _ in base}, {}
+    for (k, t), remove in sorted(terms.items(), key=lambda x: (not x[1], KINDS.index(x[0][0]))):  # of several kinds the strongest
+        if k in kinds:
+            actions.setdefault(t, (k, "remove" if remove else "generalise"))
+    return base, [(*actions[t], a, b) for a, b in outside_words(text, base) if (t := text[a:b].casefold()) in actions]
 
 
 def sanitise(text: str, base: list[Span], hits: list[tuple[str, str, int, int]]) -> str:

@@ -182,6 +182,20 @@ def test_rare_terms_of_many_contexts_disclose(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_disclosing_terms_go_from_the_whole_text(spark):
+    r = random.Random(2)
+    texts = [f"zelda {prose(r, 30)} zelda u{i}@mail.example.com {prose(r, 30)}" for i in range(60)] + [prose(r, 60) for _ in range(800)] + [f"zelda {prose(r, 20)}"]
+    out = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), True).collect()}
+    assert not any("zelda" in out[i]["sanitised"] for i in range(60)) and out[0]["spans"].count("term:") == 2
+    assert out[860]["sanitised"] == texts[860]
+
+
+def test_contexts_hold_whole_words():
+    long, text = "a" * 500, f"{'a' * 500} . u@x.example.com {'. ' * 200} next éb@x.example.com"
+    found = {(t, a, b) for _, t, a, b in pii.context_terms(text, pii.base_spans(text))}
+    assert found == {(long, 0, 500), ("next", text.index("next"), text.index("next") + 4)}
+
+
 # ---- 4
 
 
