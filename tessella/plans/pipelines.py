@@ -18,7 +18,8 @@ def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5
     """docs (doc_id, text), vectors (vec_id, embedding), queries (query_id, query, query_vector): (query_id, doc_id, content, score, rank).
 
     Semantic and keyword search side by side, 2k each, fused by weights; the fused results are reranked on the query and cut
-    to k. scorer(query, content) is the reranker; False leaves the fused order. Nothing found is an empty table.
+    to k. scorer(query, content) is the reranker; False leaves the fused order. Nothing found is an empty table. Diversity
+    (S.mmr) and the fusion of translated or decomposed sub-queries (S.reciprocal_rank) are not part of this plan.
     """
     semantic = S.nearest(vectors, queries.select("query_id", "query_vector"), 2 * k, threshold=0.2).withColumnRenamed("vec_id", "doc_id")
     keyword = S.bm25(docs, queries.select("query_id", "query"), 2 * k)
@@ -36,11 +37,11 @@ def extractive(query: Column, contexts: Column) -> Column:
 def answer(found: DataFrame, queries: DataFrame, generate: Callable[[Column, Column], Column] = extractive) -> DataFrame:
     """found (query_id, doc_id, content, score, rank), queries (query_id, query): (query_id, kind, language, confidence, contexts, answer).
 
-    Contexts are cleaned, deduplicated and ordered; blank answers become a warning. A query without results is answered
+    Contexts are whole contents, cleaned, deduplicated and ordered; blank answers become a warning. A query without results is answered
     from no context.
     """
     blank = {c: F.lit(None).cast("string") for c in ("source_file", "title", "date", "url")}
-    contexts = found.select("query_id", F.col("rank").cast("long").alias("seq"), F.substring("content", 1, 500).alias("content"), F.col("score").alias("final_score")).withColumns(blank | {"page": F.lit(None).cast("int")})
+    contexts = found.select("query_id", F.col("rank").cast("long").alias("seq"), "content", F.col("score").alias("final_score")).withColumns(blank | {"page": F.lit(None).cast("int")})
     ready = prepare.prepare_contexts(contexts).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("c"))
     joined = queries.join(ready, "query_id", "left").withColumn("contexts", F.coalesce(F.transform("c", lambda x: x["text"]), F.array().cast("array<string>")))
     (kind, of_kind), (language, of_language) = Q.question_type(F.col("query")), Q.language(F.col("query"))

@@ -9,6 +9,7 @@ import pytest
 
 from tessella.functions import questions, text
 from tessella.operators import prepare, search, trees
+from tessella.plans import pipelines
 from tessella.sources import readers
 from tessella.streaming import ingest
 
@@ -62,6 +63,16 @@ def test_prepared_contexts(spark):
     assert out == [("Rice is a staple food of the islands.", 0.9, None), ("Boats sail at dawn, mostly", 0.7, "Sea Trade, p. 3"), ("go on", 0.1, None)]
 
 
+def test_answers_read_whole_contents(spark):
+    r = random.Random(8)
+    words = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(n))
+    opening = words("abcdefgh", 100)
+    texts = [f"{opening} {words('ijklmnop', 400)} the answer is 42", f"{opening} {words('qrstuvwx', 400)} the end"]
+    found = spark.createDataFrame([(1, i, t, 0.9 - i / 10, i + 1) for i, t in enumerate(texts)], "query_id long, doc_id long, content string, score double, rank int")
+    row = pipelines.answer(found, spark.createDataFrame([(1, "What is it?")], "query_id long, query string")).first()
+    assert row["contexts"] == texts and row["answer"] == texts[0]
+
+
 def test_same_context():
     assert not prepare.same_context("short", "a much longer text than the first")
     assert prepare.same_context("this text has well over thirty characters", "this text has well over thirty characters, and some more")
