@@ -66,8 +66,8 @@ def evaluate(found: DataFrame, items: DataFrame, threshold: float = 0.675, simil
 
 
 def _batch(t: Tables) -> DataFrame:
-    """Questions from the benchmark's first words, each with the vector of the same number."""
-    q = t.benchmark.where("item_id < 20").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 8).alias("query"), F.col("text").alias("truth"))
+    """Questions from the first words of all benchmark rows, each with the vector of the same number."""
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 8).alias("query"), F.col("text").alias("truth"))
     return q.join(t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id")
 
 

@@ -9,7 +9,7 @@ import pytest
 
 from tessella.functions import questions, text
 from tessella.operators import prepare, search, trees
-from tessella.plans import pipelines
+from tessella.plans import pipelines, registry
 from tessella.sources import readers
 from tessella.streaming import ingest
 
@@ -73,6 +73,14 @@ def test_answers_read_whole_contents(spark):
     assert row["contexts"] == texts and row["answer"] == texts[0]
 
 
+def test_batches_ask_every_benchmark_row(spark):
+    folder = "/root/testdata/sf0.001"
+    items = {r[0] for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id").collect()}
+    asked = registry.queries()["answer_batch"](spark, folder)
+    assert {r["query_id"] for r in asked.select("query_id").collect()} == items and len(items) > 20
+    assert registry.queries()["evaluate_batch"](spark, folder).first()["items"] == len(items)
+
+
 def test_same_context():
     assert not prepare.same_context("short", "a much longer text than the first")
     assert prepare.same_context("this text has well over thirty characters", "this text has well over thirty characters, and some more")
