@@ -156,8 +156,9 @@ def rerank_fallback(t: Tables) -> DataFrame:
 
 @query()
 def mmr_select(t: Tables) -> DataFrame:
-    best = S.nearest(_vectors(t), _vector_queries(t), 20, "cosine", None).withColumnRenamed("vec_id", "doc_id")
-    rows = best.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").join(F.broadcast(_vector_queries(t)), "query_id")
+    asked = _vector_queries(t, "vec_id % 20 = 0")
+    best = S.nearest(_vectors(t), asked, 20, "cosine", None).withColumnRenamed("vec_id", "doc_id")
+    rows = best.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").join(asked, "query_id")
     return S.mmr(rows.select("query_id", F.col("rank").alias("seq"), "doc_id", "embedding", "query_vector"), 5, 0.5, 0.1)
 
 

@@ -81,6 +81,12 @@ def test_batches_ask_every_benchmark_row(spark):
     assert registry.queries()["evaluate_batch"](spark, folder).first()["items"] == len(items)
 
 
+def test_diversity_is_asked_of_every_twentieth_vector(spark):
+    folder = "/root/testdata/sf0.001"
+    ids = {r[0] for r in spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()}
+    assert {r["query_id"] for r in registry.queries()["mmr_select"](spark, folder).collect()} == ids
+
+
 def test_same_context():
     assert not prepare.same_context("short", "a much longer text than the first")
     assert prepare.same_context("this text has well over thirty characters", "this text has well over thirty characters, and some more")
