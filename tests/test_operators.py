@@ -87,6 +87,13 @@ def test_diversity_is_asked_of_every_twentieth_vector(spark):
     assert {r["query_id"] for r in registry.queries()["mmr_select"](spark, folder).collect()} == ids
 
 
+def test_contexts_are_whole_search_results(spark):
+    folder = "/root/testdata/sf0.001"
+    items = {r[0] for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id").collect()}
+    out = registry.queries()["context_prepare"](spark, folder).collect()
+    assert {r["query_id"] for r in out} == items and max(len(r["text"]) for r in out) > 400
+
+
 def test_same_context():
     assert not prepare.same_context("short", "a much longer text than the first")
     assert prepare.same_context("this text has well over thirty characters", "this text has well over thirty characters, and some more")
