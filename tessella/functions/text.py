@@ -16,7 +16,8 @@ PREPOSITIONS = ("of", "in", "on", "to", "by", "at", "for", "with", "from", "into
 CONJUNCTIONS = ("the", "and", "but", "or")
 ENDINGS = ("tion", "ness", "ment", "able", "ible")
 
-#: (pattern, replacement) in order; @ stands for a leading word boundary, $n for group n.
+#: (pattern, replacement) in order; $n stands for group n, and @ for a leading word boundary, which the two engines need in
+#: different forms: RE2's \b knows only ASCII, so there it becomes a group that is put back, and the groups' numbers move.
 GLUED = (
     ("([a-z])([A-Z])", "$1 $2"),
     ("([a-zA-Z])([0-9])", "$1 $2"),
