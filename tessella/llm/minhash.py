@@ -4,15 +4,17 @@ A document's set holds its distinct shingles of five words. Two permutations of
 signature: coordinate k is the least value of PI(SIGMA(x) + k) over the set, so PI is used K times, circularly shifted.
 
 1. Documents with one and the same set form a class, which its smallest doc_id stands for; only these go on.
-2. Bands of the signature give bucket keys. In each bucket every member is paired with the smallest one (an aggregation
-   and a join: buckets are never gathered, and pairs grow with the members, not with their square).
-3. Pairs are confirmed on the full sets; the links give components.
-4. In buckets whose members still lie in several components, signatures (a sketch of a byte a coordinate) are compared
-   across components, in blocks of bounded size. First each member is paired only with the one that it agrees with most,
-   and the pairs confirmed, as long as that joins components: a large group soon is one. Then all pairs that are left
-   across components and agree enough are confirmed.
-
-So each pair that shares a bucket is either known to lie in one component already or is compared itself.
+2. Bands of the signature give bucket keys. The smallest member of a bucket is its hub; a document's hubs are those of its
+   buckets, so documents that share a bucket share a hub. Buckets are never gathered.
+3. Each document is confirmed, on the full sets, against the hub that it shares most buckets with: a pair a document. The
+   links give components, and a large group of near copies is mostly one.
+4. Where members of one hub still lie in several components, their sets are compared across these, in blocks of bounded
+   size: sizes and sketches (a byte a coordinate) first, then the exact intersections of all pairs that are left. Members
+   in the hub's own component are not compared with each other. A block gives a row a component that it joins, never a row
+   a pair; with these links the components are final.
+
+So each pair that shares a bucket is either known to lie in one component already or is compared itself. A set's elements
+are 64-bit hashes of its shingles, all of them.
 With 24 bands of 4 rows, a pair at a similarity of 0.75 shares a bucket with probability 0.9999.
 """
 
@@ -35,8 +37,9 @@ ROWS, BANDS = 4, 24
 COORDINATES = ROWS * BANDS
 #: Sketch bytes that must agree before a late pair is compared in full; five standard deviations below 0.75 of 96.
 LEAST_AGREE = 50
-#: Members of a bucket that are compared with each other at once.
-BLOCK = 256
+#: Members of a group that are compared with as many others at once, the shingles they may have in all, and the shingles
+#: that are counted at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 500_000, 4096
 
 SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary, z binary"
 
@@ -108,89 +111,162 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sign, SIGNED)
 
 
-def _full_set(z: bytes) -> frozenset:
-    words = zstandard.decompress(z).split(b" ")
-    return frozenset(zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else frozenset([tuple(words)])
+def _full_set(z: bytes, cache: WordHash) -> np.ndarray:
+    """The set of a document from its packed words: all its distinct shingles, as sorted 64-bit hashes."""
+    out = shingle_hashes(zstandard.decompress(z).split(b" "), cache)
+    cache.trim()
+    return out
+
+
+def _alike(both, one, other, percent: int):
+    """Whether sets of sizes one and other, with so many elements in common, are to be linked."""
+    return 100 * both >= percent * (one + other - both)
 
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        cache, last = WordHash(), (None, None)
         for batch in batches:
             a, b, keep = batch.column("a"), batch.column("b"), []
             for za, zb in zip(batch.column("za").to_pylist(), batch.column("zb").to_pylist()):
                 if zb != last[0]:
-                    last = (zb, _full_set(zb))
-                one, other = _full_set(za), last[1]
-                both = len(one & other)
-                keep.append(100 * both >= percent * (len(one) + len(other) - both))
+                    last = (zb, _full_set(zb, cache))
+                one, other = _full_set(za, cache), last[1]
+                keep.append(_alike(len(np.intersect1d(one, other, assume_unique=True)), len(one), len(other), percent))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
     return run
 
 
-def confirm(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    texts = signed.where("z is not null")
-    first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a")
-    return first.join(texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb").mapInArrow(_confirm(percent), "a long, b long")
+    first = pairs.join(reps.select(F.col("rep").alias("a"), F.col("z").alias("za")), "a")
+    return first.join(reps.select(F.col("rep").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _late_pairs(best: bool):
-    """Rows (key, bi, bj, block, rep, component, hub, sketch), those of equal (key, bi, bj) together: pairs across components.
+def _common(one: list[np.ndarray], other: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """For the wanted pairs (i, j) the number of elements that one[i] and other[j] have in common; 0 for the rest.
 
-    best: of each member only the one it agrees with most; else all that agree enough.
+    Elements that only one of the sets has are left out; of the others a product of two 0/1 matrices gives all counts at
+    once, some columns at a time. Where few pairs are wanted, they are intersected one by one.
     """
-    names = ("rep", "component", "hub", "block", "key", "bi", "bj", "sketch")
-
-    def pairs(rows: dict) -> pa.RecordBatch:
-        rep, comp, hub, block = (np.array(rows[c], np.int64) for c in ("rep", "component", "hub", "block"))
-        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rep), COORDINATES)
-        one, other = (np.flatnonzero((block == rows[c][0]) & (rep != hub)) for c in ("bi", "bj"))  # pairs with the hub were compared
-        same, found = rows["bi"][0] == rows["bj"][0], set()
-        for these, those in [(one, other)] + [(other, one)] * (best and not same):
-            for i in these:
-                with_ = those[(comp[those] != comp[i]) & ((rep[those] > rep[i]) | best | (not same))]
-                if len(with_):
-                    agree = (sketch[with_] == sketch[i]).sum(axis=1)
-                    picked = [with_[agree.argmax()]] if best and agree.max() >= LEAST_AGREE else [] if best else with_[agree >= LEAST_AGREE]
-                    found.update((max(rep[i], rep[j]), min(rep[i], rep[j])) for j in picked)
-        return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    out = np.zeros(wanted.shape, np.int64)
+    at_i, at_j = np.nonzero(wanted)
+    if not len(at_i):
+        return out
+    rows, columns = np.unique(at_i), np.unique(at_j)
+    sizes = [len(one[i]) for i in rows], [len(other[j]) for j in columns]
+    if len(at_i) <= 4 * (len(rows) + len(columns)):
+        for i, j in zip(at_i, at_j):
+            out[i, j] = len(np.intersect1d(one[i], other[j], assume_unique=True))
+        return out
+    elements = np.concatenate([*(one[i] for i in rows), *(other[j] for j in columns)])
+    owner = np.repeat(np.arange(len(rows) + len(columns)), sizes[0] + sizes[1])
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    new = np.concatenate([[True], elements[1:] != elements[:-1]])
+    column = np.cumsum(new) - 1
+    shared = (np.bincount(column) > 1)[column]
+    column, owner = np.cumsum(new & shared)[shared] - 1, owner[shared]  # elements in order, so columns are too
+    got = np.zeros((len(rows), len(columns)), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (start, start + COLUMNS))
+        held = np.zeros((len(rows) + len(columns), COLUMNS), np.float32)  # counts stay below 2 ** 24: exact
+        held[owner[lo:hi], column[lo:hi] - start] = 1
+        got += (held[: len(rows)] @ held[len(rows) :].T).astype(np.int64)
+    out[np.ix_(rows, columns)] = got
+    return np.where(wanted, out, 0)
+
+
+def _spanning(components: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """(component, least component joined to it) from links between members i and j: a row a component, not a row a link."""
+    names, at = np.unique(components, return_inverse=True)
+    root = np.arange(len(names))
+    while True:
+        low, new = np.minimum(root[at[i]], root[at[j]]), root.copy()
+        np.minimum.at(new, at[i], low)
+        np.minimum.at(new, at[j], low)
+        new = new[new]
+        if (new == root).all():
+            return [(int(names[k]), int(names[r])) for k, r in enumerate(root) if k != r]
+        root = new
+
+
+def _block_links(percent: int):
+    """Rows (hub, bi, bj, block, component, n_shingles, sketch, z), those of equal (hub, bi, bj) together: links that join components."""
+    names = ("block", "component", "n_shingles", "sketch", "z", "hub", "bi", "bj")
+
+    def links(rows: dict, cache: WordHash) -> pa.RecordBatch:
+        comp, size, block = (np.array(rows[c], np.int64) for c in ("component", "n_shingles", "block"))
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(comp), COORDINATES)
+        one, other = np.flatnonzero(block == rows["bi"][0]), np.flatnonzero(block == rows["bj"][0])
+        wanted = comp[one][:, None] != comp[other][None, :]
+        wanted &= 100 * np.minimum(size[one][:, None], size[other][None, :]) >= percent * np.maximum(size[one][:, None], size[other][None, :])
+        if rows["bi"][0] == rows["bj"][0]:
+            wanted = np.triu(wanted, 1)
+        if wanted.any():
+            agree = np.zeros(wanted.shape, np.uint8)
+            for k in range(COORDINATES):
+                agree += sketch[one, k][:, None] == sketch[other, k][None, :]
+            wanted &= agree >= LEAST_AGREE
+        used = np.zeros(len(comp), bool)
+        used[one[wanted.any(axis=1)]] = used[other[wanted.any(axis=0)]] = True
+        sets = {k: _full_set(rows["z"][k], cache) for k in np.flatnonzero(used)}
+        none = np.empty(0, np.uint64)
+        both = _common([sets.get(k, none) for k in one], [sets.get(k, none) for k in other], wanted)
+        i, j = np.nonzero(wanted & _alike(both, size[one][:, None], size[other][None, :], percent))
+        found = _spanning(comp, one[i], other[j]) if len(i) else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = {n: [] for n in names}, None
+        held, at, cache = {n: [] for n in names}, None, WordHash()
         for batch in batches:
             columns, start = {n: batch.column(n).to_pylist() for n in names}, 0
-            group = list(zip(columns["key"], columns["bi"], columns["bj"]))
+            group = list(zip(columns["hub"], columns["bi"], columns["bj"]))
             for i, g in enumerate([*group, None]):
                 if i == len(group) or g != at:
                     for n in names:
                         held[n] += columns[n][start:i]
                     start = i
                     if i < len(group):
-                        if held["rep"]:
-                            yield pairs(held)
+                        if len(held["block"]) > 1:
+                            yield links(held, cache)
                         held, at = {n: [] for n in names}, g
-        if held["rep"]:
-            yield pairs(held)
+        if len(held["block"]) > 1:
+            yield links(held, cache)
 
     return run
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, reps: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different components and agree by signature; see _late_pairs()."""
-    named = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min("rep").alias("hub")).where("lo < hi and n > 2").select("key", "n", "hub")
-    rows = named.join(mixed, "key")
-    if best:  # of each member only the largest such bucket
-        largest = rows.groupBy("rep").agg(F.max(F.struct("n", "key")).alias("m")).select("rep", F.col("m.key").alias("key"))
-        rows = rows.join(largest, ["rep", "key"])
-    rows = rows.join(reps.select("rep", "sketch"), "rep")
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-    dealt = rows.select("key", "bi", "bj", "block", "rep", "component", "hub", "sketch").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return dealt.mapInArrow(_late_pairs(best), "a long, b long").distinct()
+def _late_links(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """members (rep, hub, compared): links (a, b) between components, of members of one hub that lie in different ones.
+
+    Members that lie in the hub's component are settled with each other; blocks of the rest are compared with each other and
+    with the blocks of the settled ones.
+    """
+    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    of_hub = named.where("rep = hub").select("hub", F.col("component").alias("settled"))
+    named = named.join(of_hub, "hub").withColumn("rest", F.col("component") != F.col("settled"))
+    named = named.join(reps.select("rep", "n_shingles", "sketch", "z"), "rep")
+    rest = lambda x: F.sum(F.when(F.col("rest"), x).otherwise(0))
+    sums = named.groupBy("hub").agg(F.count("*").alias("n"), rest(1).alias("n_rest"), rest(F.col("n_shingles")).alias("s_rest"), F.sum("n_shingles").alias("s"), F.max(F.col("rest") & ~F.col("compared")).alias("open"))
+    sums = sums.where("n_rest > 0 and (open or n > 2)")  # else the hub and one member, compared already
+    blocks = lambda n, s: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(s) / BLOCK_SHINGLES)).cast("int")
+    sums = sums.withColumns({"n_settled": F.col("n") - F.col("n_rest"), "s_settled": F.col("s") - F.col("s_rest")})
+    rows = named.join(sums.select("hub", blocks("n_rest", "s_rest").alias("r"), blocks("n_settled", "s_settled").alias("t")), "hub")
+    dealt = F.xxhash64("rep")
+    rows = rows.withColumn("block", F.when(F.col("rest"), F.pmod(dealt, F.col("r"))).otherwise(F.col("r") + F.pmod(dealt, F.col("t"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("rest"), F.col("r") + F.col("t")).otherwise(F.col("r")) - 1)))
+    rows = rows.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
+    dealt = rows.select("hub", "bi", "bj", "block", "component", "n_shingles", "sketch", "z").repartition("hub", "bi", "bj").sortWithinPartitions("hub", "bi", "bj")
+    return dealt.mapInArrow(_block_links(percent), "a long, b long").distinct()
+
+
+def _same_ids(with_set: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between a doc_id that several rows of different sets have, and the classes of these."""
+    several = with_set.groupBy("doc_id").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least <> most").select("doc_id")
+    return with_set.join(several, "doc_id").select("doc_id", "set_id").join(classes, "set_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -204,25 +280,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     signed = stash(sign(docs))
     with_set = signed.where("set_id is not null")
     classes = stash(with_set.groupBy("set_id").agg(F.min("doc_id").alias("rep")))
-    reps = stash(with_set.select("set_id", "doc_id", "bands", "sketch").join(classes, "set_id").where("doc_id = rep").select("rep", "bands", "sketch"))
 
-    rows = reps.select("rep", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("key", "hub")
-    members = stash(rows.join(shared, "key"))
-    first = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    links = stash(confirm(first, signed, percent))
-    labels = components(links)
+    keys = with_set.select("set_id", "doc_id", "bands").join(classes, "set_id").where("doc_id = rep").select("rep", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("key", "hub")
+    met = stash(keys.join(shared, "key").groupBy("rep", "hub").agg(F.count("*").alias("bands")))
+    most = met.where("rep <> hub").groupBy("rep").agg(F.max(F.struct("bands", (-F.col("hub")).alias("hub"))).alias("most")).select("rep", (-F.col("most.hub")).alias("nearest"))
+    members = met.join(most, "rep", "left").select("rep", "hub", F.coalesce(F.col("hub") == F.col("nearest"), F.lit(False)).alias("compared"))
+    texts = with_set.select("set_id", F.col("doc_id").alias("rep"), "n_shingles", "sketch", "z").join(classes, ["set_id", "rep"], "left_semi").join(met, "rep", "left_semi")
+    texts = stash(texts.select("rep", "n_shingles", "sketch", "z"))
 
-    for best in (True, False):
-        while True:
-            late = stash(confirm(_unsettled(members, labels, reps, best), signed, percent))
-            if late.isEmpty():
-                break
-            links = stash(links.unionAll(late))
-            labels = components(links)
-            if not best:  # all that was left has been compared
-                break
-    for spent in (reps, members):
+    links = _same_ids(with_set, classes).unionAll(confirm(members.where("compared").select(F.col("rep").alias("a"), F.col("hub").alias("b")), texts, percent))
+    links = stash(links)
+    labels = components(links)
+    late = stash(_late_links(members, labels, texts, percent))
+    if not late.isEmpty():
+        labels = components(links.unionAll(late))
+    for spent in (met, texts, links, late):
         drop(spent)
     of_set = classes.join(labels, classes.rep == labels.node, "left").select("set_id", F.coalesce("component", "rep").alias("of_set"))
     out = signed.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")

@@ -459,3 +459,49 @@ def test_packed_entries_come_back():
             e["h"] &= ~np.uint64(255)
         got = substring._unpack(substring._pack(e), kind)
         assert sorted(got.tolist()) == sorted(e.tolist())
+
+
+def brute_components(texts):
+    """doc_id -> least doc_id reachable, by comparing all sets of shingles with each other."""
+    sets = {}
+    for i, t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({k: k + 32 for k in range(65, 91)}))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
+    ids = sorted(sets)
+    links = [(a, b) for x, a in enumerate(ids) for b in ids[:x] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    return union_find(links, ids)
+
+
+def test_group_of_near_copies_below_and_above_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 64)  # several blocks, of settled members and of others
+    r = random.Random(11)
+    base = prose(r, 120, 10_000).split()
+    texts = []
+    for k in range(500):
+        copy = list(base)
+        for _ in range(r.randrange(0, 14)):
+            copy[r.randrange(len(copy))] = f"y{r.randrange(10**6)}"
+        texts.append((1000 - k, " ".join(copy)))
+    want = brute_components(texts)
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert 10 < len(set(want.values())) < 400  # linked ones and others
+    assert got == want
+
+
+def test_common_counts_by_matrix_and_one_by_one():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 3000, n).astype(np.uint64)) for n in r.integers(0, 2500, 40)]
+    want = np.array([[len(set(a.tolist()) & set(b.tolist())) for b in sets[15:]] for a in sets[:15]])
+    every = np.ones(want.shape, bool)
+    assert (minhash._common(sets[:15], sets[15:], every) == want).all()
+    few = np.zeros(want.shape, bool)
+    few[3, 4] = few[0, 0] = True
+    assert (minhash._common(sets[:15], sets[15:], few) == np.where(few, want, 0)).all()
+
+
+def test_one_doc_id_with_several_sets_is_one_document(spark):
+    r = random.Random(12)
+    a, b = prose(r, 50, 10_000), prose(r, 50, 10_000)
+    rows = [(1, a), (9, a), (9, b), (4, b), (7, prose(r, 50, 10_000))]
+    got = sorted((x["doc_id"], x["component_id"]) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (4, 1), (7, 7), (9, 1), (9, 1)]
