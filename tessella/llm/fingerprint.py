@@ -1,9 +1,10 @@
 """Operator 2, document fingerprints: a canonical exact digest.
 
 The canonical form of a text is its Unicode normal form NFKC, case-folded, with each run of white space folded to one
-blank and none at its ends. Its 128-bit xxhash is the digest. Texts of one digest are grouped and their canonical bytes
-compared, so that a collision of the hash cannot give two different texts one fingerprint: where a digest has several
-canonical texts, their fingerprints get the text's number (in byte order) behind the digest.
+blank and none at its ends. Its 128-bit xxhash is the digest. All texts, documents' and edited ones, are grouped by digest; for
+digests that occur more than once the canonical bytes are brought together and compared, so that a collision of the hash
+cannot give two different texts one fingerprint: where a digest has several canonical texts, their fingerprints get the text's
+number (in byte order) behind the digest. Texts of a digest of their own need not travel for that.
 
 Likeness of two fingerprints is 1.0 if they are equal, else 0.0: the digest is exact, and says nothing of near texts.
 """
@@ -18,13 +19,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import buckets_for, stash, table
 
-#: Bytes of (packed) text that a block of neighbouring documents should have at most.
-BLOCK_BYTES = 16 << 20
+#: Bytes of (packed) text that a block of neighbouring documents should have at most; a task reads it row by row.
+BLOCK_BYTES = 256 << 20
 
 
 def canonical(text: str | None) -> bytes:
@@ -35,36 +36,67 @@ def canonical(text: str | None) -> bytes:
     return " ".join(folded.split()).encode("utf-8", "surrogatepass")
 
 
-def digest(canon: bytes) -> str:
-    return xxhash.xxh3_128_hexdigest(canon)
+def digest(canon: bytes, digits: int = 32) -> str:
+    """digits: hexadecimal digits of the hash that are kept, all 32 of them but in tests of collisions."""
+    return xxhash.xxh3_128_hexdigest(canon)[:digits]
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, z): the packed canonical bytes of each digest, once a batch unless its texts differ."""
-    pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        seen: dict[tuple[str, bytes], None] = {}
-        for text in batch.column("text").to_pylist():
-            canon = canonical(text)
-            seen[digest(canon), canon] = None
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in seen], pa.string()), pa.array([pack.compress(c) for _, c in seen], pa.binary())], names=["digest", "z"])
+def raw_hash(text: str) -> int:
+    """Tells rows of one doc_id apart."""
+    return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
 
 
-def collisions(texts: DataFrame) -> DataFrame:
-    """texts (text): (digest, z, number) of digests that several canonical texts share, compared byte by byte.
+def _bytes_of(edited: bool, digits: int):
+    """Rows of whole texts, edited with the next one's if asked for: (digest, id, raw, next_id, next_raw, z), z the packed canonical bytes."""
+    ids = ("id", "raw", "next_id", "next_raw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            if edited:
+                texts = [edit(t, f or "") for t, f in zip(texts, batch.column("following").to_pylist())]
+            canon = [canonical(t) for t in texts]
+            own = [batch.column(c) if c in batch.schema.names else pa.nulls(len(batch), pa.int64()) for c in ids]
+            yield pa.RecordBatch.from_arrays([pa.array([digest(c, digits) for c in canon], pa.string()), *own, pa.array([pack.compress(c) for c in canon], pa.binary())], names=["digest", *ids, "z"])
+
+    return run
+
+
+BYTES_DDL = "digest string, id long, raw long, next_id long, next_raw long, z binary"
 
-    Each canonical text of such a digest has a row with its packed bytes; as a rule the table is empty.
-    """
-    packed = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(_digests, "digest string, z binary")
-    several = packed.groupBy("digest").agg(F.collect_set("z").alias("all")).where(F.size("all") > 1)
-    return several.select("digest", F.posexplode(F.array_sort("all")).alias("number", "z"))
 
+def collisions(found: DataFrame, given: DataFrame, digits: int = 32) -> DataFrame:
+    """found (fingerprint, edited_fingerprint: digests; id, raw, next_id, next_raw) of the rows of given (id, raw, text).
 
-def _resolve(rows: DataFrame, clashes: DataFrame, column: str, packed: str) -> DataFrame:
+    (digest, id, raw, next_id, next_raw, number): for digests that several canonical texts share, byte by byte, the number of
+    each row's text (next_id and next_raw null) and edited text; as a rule the table is empty.
+    """
+    every = found.select(F.col("fingerprint").alias("digest")).unionAll(found.select("edited_fingerprint"))
+    repeated = stash(every.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
+    keys = ["id", "raw", "next_id", "next_raw"]
+    own = found.select("id", "raw", F.col("fingerprint").alias("digest")).join(repeated, "digest", "left_semi").select("id", "raw").distinct()
+    edited = stash(found.select(*keys, F.col("edited_fingerprint").alias("digest")).join(repeated, "digest", "left_semi").select(*keys).distinct())
+    needed = stash(own.unionAll(edited.select("id", "raw")).unionAll(edited.select("next_id", "next_raw")).distinct())  # only these travel
+    texts = stash(given.select("id", "raw", "text").join(needed, ["id", "raw"], "left_semi").dropDuplicates(["id", "raw"]))
+    own = texts.join(own, ["id", "raw"], "left_semi").mapInArrow(_bytes_of(False, digits), BYTES_DDL)
+    following = texts.select(F.col("id").alias("next_id"), F.col("raw").alias("next_raw"), F.col("text").alias("following"))
+    edited = edited.join(texts, ["id", "raw"]).join(following, ["next_id", "next_raw"]).mapInArrow(_bytes_of(True, digits), BYTES_DDL)
+    packed = own.unionAll(edited)
+    several = packed.groupBy("digest").agg(F.min("z").alias("least"), F.max("z").alias("most")).where("least <> most").select("digest")
+    several = stash(several)  # of 128 bits: none, or a handful
+    if several.isEmpty():
+        return several.select("digest", *(F.lit(None).cast("long").alias(k) for k in keys), F.lit(0).alias("number"))
+    clashing = stash(packed.join(several, "digest", "left_semi"))
+    numbers = clashing.select("digest", "z").distinct().withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy("z")) - 1)
+    return stash(clashing.join(numbers, ["digest", "z"]).drop("z"))
+
+
+def _resolve(rows: DataFrame, clashes: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """column: the digest, with the number of the row's canonical text behind it where the digest has several."""
-    c = clashes.select(F.col("digest").alias("__d"), F.col("z").alias("__z"), F.col("number").alias("__n"))
-    hit = rows.join(c, (rows[column] == c["__d"]) & (rows[packed] == c["__z"]), "left")
-    return hit.withColumn(column, F.when(F.col("__n").isNull(), F.col(column)).otherwise(F.concat_ws("-", column, F.col("__n").cast("string")))).drop("__d", "__z", "__n")
+    own = clashes.where("next_raw is not null" if "next_raw" in keys else "next_raw is null")
+    hit = rows.join(own.select(*keys, "number"), keys, "left")
+    return hit.withColumn(column, F.concat_ws("-", column, F.col("number").cast("string"))).drop("number")
 
 
 def _cuts(docs: DataFrame, blocks: int) -> list[int]:
@@ -95,6 +127,7 @@ def _deal(cuts: list[int], blocks: int):
 
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+PAIRS = pa.schema([*FOUND, *(pa.field(c, pa.int64()) for c in ("id", "raw", "next_id", "next_raw"))])
 FOUND_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -104,52 +137,59 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _pairs(clashing: frozenset[str]):
-    """Of rows in order, each with the one behind it. clashing: digests that need their packed bytes, as a rule none."""
+def _pairs(digits: int):
+    """Of rows in order, each with the one behind it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
         before = None
         for batch in batches:
-            out, more = [], []
+            out = []
             for block, tail, doc_id, z in zip(*(batch.column(c).to_pylist() for c in ("block", "tail", "doc_id", "z"))):
                 text = zstandard.decompress(z).decode("utf-8", "surrogatepass")
-                canon = canonical(text)
+                canon, raw = canonical(text), raw_hash(text)
                 if before and before[0] == block and not before[1]:
-                    _, _, own_id, own, own_canon = before
+                    _, _, own_id, own, own_canon, own_raw = before
                     edited = edit(own, text)
                     edited_canon = canonical(edited)
-                    names = digest(own_canon), digest(edited_canon)
-                    out.append((own_id, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), *names, float(own_canon == edited_canon), float(own_canon == canon)))
-                    more.append([pack.compress(c) if d in clashing else None for d, c in zip(names, (own_canon, edited_canon))])
-                before = (block, tail, doc_id, text, canon)
-            columns = list(zip(*out)) or [()] * len(FOUND)
-            arrays = [pa.array(c, f.type) for c, f in zip(columns, FOUND)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([m[0] for m in more], pa.binary()), pa.array([m[1] for m in more], pa.binary())], names=[*FOUND.names, "z", "edited_z"])
+                    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+                    out.append((own_id, len(own), sha, digest(own_canon, digits), digest(edited_canon, digits), float(own_canon == edited_canon), float(own_canon == canon), own_id or 0, own_raw, doc_id or 0, raw))
+                before = (block, tail, doc_id, text, canon, raw)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * len(PAIRS), PAIRS)], schema=PAIRS)
 
     return run
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, digits: int = 32) -> DataFrame:
     """docs (doc_id, text, ...): (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The next document is that of the next smaller doc_id, after the last the first. Rows that repeat a doc_id follow each
     other in the order of their packed text; rows without doc_id come last. Null texts count as empty. A table of one row
-    is its own next document. Other columns are not read. The edited texts' digests are held against the collisions found
-    among the documents.
+    is its own next document, an empty one gives an empty one. Other columns, whatever their names, are not read. All texts
+    and edited texts of one digest are compared byte by byte.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    clashes = stash(collisions(given))
-    clashing = frozenset(r[0] for r in clashes.select("digest").distinct().collect())  # of 128 bits: none, or a handful
     blocks = buckets_for(docs, BLOCK_BYTES, 1.0)
     cuts = _cuts(given, blocks)
     dealt = given.mapInArrow(_deal(cuts, blocks), "block int, tail boolean, doc_id long, z binary")
     ordered = dealt.repartitionById(max(1, len(cuts)), F.col("block")).sortWithinPartitions(F.col("block"), F.col("tail"), F.col("doc_id").desc_nulls_last(), F.col("z"))
-    found = ordered.mapInArrow(_pairs(clashing), FOUND_DDL + ", z binary, edited_z binary")
-    if clashing:
-        found = _resolve(_resolve(found, clashes, "fingerprint", "z"), clashes, "edited_fingerprint", "edited_z")
+    found = stash(ordered.mapInArrow(_pairs(digits), FOUND_DDL + ", id long, raw long, next_id long, next_raw long"))
+    clashes = collisions(found, with_raw(given), digits)
+    if not clashes.isEmpty():
+        found = _resolve(_resolve(found, clashes, "fingerprint", ["id", "raw"]), clashes, "edited_fingerprint", ["id", "raw", "next_id", "next_raw"])
     return found.select(*FOUND.names)
 
 
+def with_raw(given: DataFrame) -> DataFrame:
+    """(id, raw, text) of each row, as _pairs() names them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ids = [i or 0 for i in batch.column("doc_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([raw_hash(t) for t in texts], pa.int64()), pa.array(texts, pa.string())], names=["id", "raw", "text"])
+
+    return given.mapInArrow(run, "id long, raw long, text string")
+
+
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
