@@ -4,11 +4,15 @@ A logistic model over the words of a text and their stems, hashed into FEATURES
 by sentence: the most toxic sentences decide, so that one insult in a long text is not washed out, and every sentence of the
 whole text is looked at.
 
-Training: each labelled sentence that names a group is copied with the group's name swapped for another of its list, and
-the loss gets SWAP * (score - score of the copy) ** 2. A weight on the name itself raises that penalty, so the model learns
-to score what is said and not whom it mentions. Sentences have no labels of their own: the model is fitted on documents, a
-document's score being the soft maximum over its sentences, so the gradient goes to the sentences that made it: to each by its
-share, however many there are.
+Training: a labelled sentence is copied with a group's name swapped for another's, and the loss gets SWAP * (score - score of
+the copy) ** 2. A weight on the name itself raises that penalty, so the model learns to score what is said and not whom it
+mentions. Names come from two places: IDENTITY lists them in the languages of the tables, and the labelled text itself shows
+which terms stand for each other: two sentences that are equal but for one term, in documents of one label, are a
+counterfactual that was observed, and each is swapped for the other. Terms between which the label changed are no such pair.
+
+Sentences have no labels of their own: the model is fitted on documents, a document's score being the soft maximum over its
+sentences, so the gradient goes to the sentences that made it: to each by its share, however many there are. A sentence has
+each of its features once, in training and in scoring.
 
 Fitted on at most SAMPLE labelled documents (a documented bound; those with the smallest hash of doc_id), scored on all.
 """
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,14 +36,18 @@ from .memo import Memo
 FEATURES = 1 << 16
 #: Labelled documents that the model is fitted on at most.
 SAMPLE = 4000
-EPOCHS, RATE, DECAY = 10, 0.3, 1e-3
+EPOCHS, RATE, DECAY = 10, 0.6, 1e-3
 #: Documents that must hold a feature for it to count, and lengths of beginnings of words that are features.
 RARE, STEMS = 6, (4, 5, 6, 7, 8)
 #: Weight of the counterfactual penalty.
 SWAP = 2.0
+#: The score of every text where the labels say nothing.
+NO_EVIDENCE = 0.25
 #: Sharpness of the soft maximum over sentences.
 SHARP = 3.0
-#: Groups whose names stand for each other in counterfactual copies.
+#: Words of sentences that are looked through for observed counterfactuals.
+FRAME = (4, 40)
+# Groups whose names stand for each other in counterfactual copies (English, German, French, Spanish).
 IDENTITY = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -49,9 +58,21 @@ IDENTITY = (
     ("immigrants", "natives", "refugees", "foreigners"),
     ("old", "young"),
     ("disabled", "deaf", "blind"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("ausländer", "flüchtlinge", "einheimische", "zuwanderer"),
+    ("schwule", "lesben", "heterosexuelle"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("chrétiens", "musulmans", "juifs", "bouddhistes", "athées"),
+    ("étrangers", "réfugiés", "immigrés", "français"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("cristianos", "musulmanes", "judíos", "budistas", "ateos"),
+    ("extranjeros", "refugiados", "inmigrantes", "nativos"),
 )
 SWAPS = {name: group[(i + 1) % len(group)] for group in IDENTITY for i, name in enumerate(group)}
 
+FACTOR = 0x9E3779B97F4A7C15
+
 _sentence = re.compile(r"[.!?\n]+")
 _word = re.compile(r"[^\W\d_]+")
 
@@ -67,6 +88,60 @@ def swapped(words: list[str]) -> list[str] | None:
     return new if new != words else None
 
 
+def hash64(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def _frames(words: list[str]) -> list[int]:
+    """A hash of the sentence without its k-th word, for each k; the place of the gap is part of it."""
+    n, h = len(words), [hash64(w) for w in words]
+    each = [x * pow(FACTOR, k + 1, 1 << 64) for k, x in enumerate(h)]
+    total = sum(each)
+    return [(total - e + k * FACTOR * FACTOR + n) * FACTOR % (1 << 64) for k, e in enumerate(each)]
+
+
+def observed(documents: list[list[list[str]]], labels: list[int]) -> dict[tuple[int, int], list[tuple[int, str]]]:
+    """(document, sentence) -> [(place, other term)]: what sentences of one label show to stand for each other.
+
+    Sentences that are equal but for one term share a frame. Where all documents of a frame have one label, each of its terms
+    is swapped for the next one; a frame with both labels says that its terms matter.
+    """
+    frame, owner, seen = [], [], set()
+    for d, parts in enumerate(documents):
+        for k, words in enumerate(parts):
+            if FRAME[0] <= len(words) <= FRAME[1] and (key := (" ".join(words), labels[d])) not in seen:
+                seen.add(key)
+                frame += _frames(words)
+                owner += [(d << 40) + (k << 8) + place for place in range(len(words))]
+    frames, owners = np.array(frame, np.uint64), np.array(owner, np.int64)
+    order = np.argsort(frames, kind="stable")
+    frames, owners = frames[order], owners[order]
+    starts = np.flatnonzero(np.concatenate([[True], frames[1:] != frames[:-1]])) if len(frames) else np.empty(0, int)
+    ends = np.append(starts[1:], len(frames))
+    out: dict[tuple[int, int], list[tuple[int, str]]] = {}
+    for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+        rows = [(int(o) >> 40, int(o) >> 8 & 0xFFFFFFFF, int(o) & 0xFF) for o in owners[lo:hi]]
+        if len({labels[d] for d, _, _ in rows}) == 1:
+            terms = [documents[d][k][place] for d, k, place in rows]
+            for i, (d, k, place) in enumerate(rows):
+                other = terms[(i + 1) % len(terms)]
+                if other != terms[i]:
+                    out.setdefault((d, k), []).append((place, other))
+    return out
+
+
+def counterfactuals(documents: list[list[list[str]]], labels: list[int]) -> list[list[tuple[int, list[str]]]]:
+    """For each document the (sentence, its words with names swapped) of its sentences that have such."""
+    out, seen = [[] for _ in documents], observed(documents, labels)
+    for d, parts in enumerate(documents):
+        for k, words in enumerate(parts):
+            if (other := swapped(words)) is not None:
+                out[d].append((k, other))
+            for place, term in seen.get((d, k), ()):
+                out[d].append((k, [*words[:place], term, *words[place + 1 :]]))
+    return out
+
+
 def _slots_of(word: str) -> tuple[int, ...]:
     """A word's features: itself and its beginnings, which stand for its stem; 0 is the bias."""
     parts = [f"{word} ", *(word[:k] for k in STEMS if len(word) > k)]
@@ -85,23 +160,35 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def no_evidence(labels: list[int]) -> bool:
+    """Whether the labels lack one of the two classes: then nothing tells them apart."""
+    return not 0 < sum(labels) < len(labels)
+
+
 def _soft(raw: np.ndarray) -> np.ndarray:
     pull = np.exp(SHARP * (raw - raw.max()))
     return pull / pull.sum()
 
 
 def fit(labelled: list[tuple[str, int]], swap: float = SWAP, seed: int = 5) -> np.ndarray:
-    """Weights from (text, 0 or 1); features of fewer than RARE documents get none. No rows: all zero."""
+    """Weights from (text, 0 or 1); features of fewer than RARE documents get none.
+
+    Without rows of both labels there is no evidence against any text: no weight but a bias that scores all NO_EVIDENCE.
+    """
     random = np.random.default_rng(seed)
     weights, squares, seen = np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES, np.int32)
+    if no_evidence([y for _, y in labelled]):
+        weights[0] = np.log(NO_EVIDENCE / (1 - NO_EVIDENCE))
+        return weights
     documents = []  # (features of all sentences in a row, where each begins, counterfactual copies, label)
-    for text, label in labelled:
-        parts = sentences(text)
+    words = [sentences(text) for text, _ in labelled]
+    for parts, others, (_, label) in zip(words, counterfactuals(words, [y for _, y in labelled]), labelled):
         each = [slots(p) for p in parts]
-        copies = [(i, slots(other)) for i, p in enumerate(parts) if (other := swapped(p))]
+        copies = [(i, slots(other)) for i, other in others]
         _slots.trim()
         documents.append((np.concatenate(each), np.cumsum([0, *map(len, each)], dtype=np.int32), copies, label))
         seen[np.unique(documents[-1][0])] += 1
+    del words
     names = np.array([s for w in SWAPS for s in _slots[w]])
     common = seen >= RARE
     common[names] |= seen[names] > 0
@@ -136,15 +223,26 @@ def fit(labelled: list[tuple[str, int]], swap: float = SWAP, seed: int = 5) -> n
 
 
 class Scorer:
-    """text -> score from 0 to 1, over all sentences of the whole text."""
+    """text -> score from 0 to 1, over all sentences of the whole text, each with its distinct features as in fit()."""
 
     def __init__(self, weights: np.ndarray):
-        self.bias = float(weights[0])
-        self.word = Memo(lambda w: float(sum(weights[s] for s in _slots_of(w))), 200_000)
+        self.bias, self.weights = float(weights[0]), weights.tolist()
+        self.word = Memo(self._of_word, 200_000)
+
+    def _of_word(self, word: str) -> tuple[int, ...]:
+        """The word's features that have a weight; none for most words."""
+        return tuple(s for s in set(_slots_of(word)) if self.weights[s])
+
+    def raw(self, words: list[str]) -> float:
+        held = [x for x in map(self.word.__getitem__, set(words)) if x]
+        if not held:
+            return self.bias
+        weights = self.weights
+        return self.bias + sum(weights[s] for s in (held[0] if len(held) == 1 else set().union(*held)))
 
     def __call__(self, text: str | None) -> float:
         self.word.trim()
-        raw = np.array([self.bias + sum(map(self.word.__getitem__, set(p))) for p in sentences(text)])
+        raw = np.array([self.raw(p) for p in sentences(text)])
         return float(_sigmoid(float(raw @ _soft(raw))))
 
 
@@ -203,14 +301,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) and labels (doc_id, toxic, ...): (doc_id, held_out, score, predicted), a row for each row.
 
     Null and empty texts get the score of a sentence without words. Rows that repeat a doc_id, or have none (never held
-    out), are scored each for itself; of labels that repeat a doc_id one counts, those without 0 or 1 do not. Without any
-    labels every score is 0.5. Nothing but the text enters a score. An empty table gives an empty one.
+    out), are scored each for itself; of labels that repeat a doc_id one counts, those without 0 or 1 do not. Without labels of
+    both kinds every score is NO_EVIDENCE and none is predicted toxic. Nothing but the text enters a score, other columns are
+    not read. An empty table gives an empty one.
     """
     return score_documents(docs, toxicity_model(docs, labels), 5, 0)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that score 0.5 or more; all columns stay as they are."""
+    """docs without the rows that score 0.5 or more; all columns stay as they are.
+
+    Null and empty texts are scored as texts without words, repeated rows each for itself. Without labels of both kinds there
+    is no evidence against any row, and all stay. An empty table gives an empty one.
+    """
     model, names = toxicity_model(docs, labels), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
