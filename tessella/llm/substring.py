@@ -34,7 +34,7 @@ ANCHOR = WINDOW - PERIOD + 1
 #: Entries a task holds before it groups and sends them.
 FLUSH = 1_000_000
 #: Bytes of entries a bucket should have at most.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 96 << 20
 
 #: An entry of the first round: the anchor's hash, the row it is in (its doc_id, and a salt of its text in case others
 #: have that too), its place. KNOWN marks a hash known to repeat. Only 56 bits of the hash travel: it is a filter.
@@ -310,13 +310,19 @@ def cut_repeats(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...]
 
 
 def documents_without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeats cut from text, and n_chars to match where there is such a column; other columns as they are."""
-    other = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut, kinds = cut_repeats(docs, True, other), docs.schema
-    new = {"doc_id": F.col("doc_id").cast(kinds["doc_id"].dataType), "text": F.col("text")}
+    """docs with repeats cut from text, and n_chars to match where there is such a column; other columns as they are.
+
+    A row a row, in any order. Null texts stay null, texts without repeats stay as they are, a text of nothing but repeats
+    becomes empty; rows without doc_id stay whole, rows that repeat a doc_id take nothing from each other (cut_repeats()). An
+    empty table gives an empty one. Columns of docs may have any names but __null.
+    """
+    other, kinds = tuple(c for c in docs.columns if c not in ("doc_id", "text")), docs.schema
+    cut = cut_repeats(docs.withColumn("__null", F.col("text").isNull()), True, (*other, "__null"))
+    text = F.when(~F.col("rest.__null"), F.col("text"))
+    new = {"doc_id": F.col("doc_id").cast(kinds["doc_id"].dataType), "text": text}
     new |= {c: F.col(f"rest.`{c}`") for c in other}
     if "n_chars" in other:
-        new["n_chars"] = F.length("text").cast(kinds["n_chars"].dataType)
+        new["n_chars"] = F.when(~F.col("rest.__null"), F.length("text")).otherwise(F.col("rest.n_chars")).cast(kinds["n_chars"].dataType)
     return cut.select(*(new[c].alias(c) for c in docs.columns))
 
 
