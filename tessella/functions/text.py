@@ -46,11 +46,20 @@ EDGES = (
 
 
 def replace_all(c: Column, steps) -> Column:
+    """A leading word boundary is asked behind the word that follows it: so words are sought first, boundaries only there."""
     for pattern, to in steps:
-        c = F.regexp_replace(c, pattern.replace("@", r"(?U)\b"), to)
+        if pattern.startswith("@"):
+            word, rest = pattern[1 : pattern.index("([a-z]")], pattern[pattern.index("([a-z]") :]
+            pattern = rf"{word}(?<=(?U:\b){word.strip('()')}){rest}"
+        c = F.regexp_replace(c, pattern, to)
     return c
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is named there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def replace_all_sql(expression: str, steps) -> str:
     """The same steps for DuckDB."""
     for pattern, to in steps:
@@ -72,9 +81,12 @@ def strip_sql(e: str) -> str:
 
 
 def normalize(c: Column) -> Column:
-    """Split glued words, fold white space, drop control characters and a leading number, tidy punctuation. Not idempotent."""
-    c = F.coalesce(c, F.lit(""))
-    return F.when(strip(c) == "", "").otherwise(strip(replace_all(strip(replace_all(c, GLUED)), TIDY)))
+    """Split glued words, fold white space, drop control characters and a leading number, tidy punctuation. Not idempotent.
+
+    The text is named once, so that a second pass over the first one does not compute that again; white space alone folds to
+    one blank and is stripped, so it needs no case of its own.
+    """
+    return strip(replace_all(strip(replace_all(F.coalesce(c, F.lit("")), GLUED)), TIDY))
 
 
 def normalize_sql(e: str) -> str:
@@ -130,11 +142,13 @@ def terms(c: Column, least: int = 2) -> Column:
 
 def boundary_clean(c: Column) -> Column:
     """Strip a chunk's torn ends: punctuation, ellipses, a short torn word, a torn first word."""
-    c = strip(replace_all(strip(F.coalesce(c, F.lit(""))), EDGES))
-    first = F.substring(c, 1, 1)
-    torn = (first != F.upper(first)) & (first == F.lower(first))
-    rest = F.regexp_extract(c, f"(?s)^.*?\\s+([{WORD}].*)$", 1)
-    return F.when(torn & (rest != ""), strip(rest)).otherwise(c)
+
+    def torn(c: Column) -> Column:
+        first = F.substring(c, 1, 1)
+        rest = F.regexp_extract(c, f"(?s)^.*?\\s+([{WORD}].*)$", 1)
+        return F.when((first != F.upper(first)) & (first == F.lower(first)), let(strip(rest), lambda r: F.when(r != "", r).otherwise(c))).otherwise(c)
+
+    return let(strip(replace_all(strip(F.coalesce(c, F.lit(""))), EDGES)), torn)
 
 
 def slug_title(c: Column) -> Column:

@@ -10,7 +10,9 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import boundary_clean, citation, is_valid, normalize, strip
@@ -18,15 +20,20 @@ from ..functions.text import boundary_clean, citation, is_valid, normalize, stri
 SEPARATORS = ("\n\n", "\n", "! ", "? ", ". ", " ", "")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once for several uses: in spark.checkpoint.dir where it is set, else kept in the session."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist(StorageLevel.DISK_ONLY)
+
+
 def exact_duplicates(docs: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
-    """docs with (content_hash, duplicate): all but the first of each content are duplicates.
+    """(order, content_hash, duplicate) of each row of docs: all but the first of each content are duplicates.
 
-    The first is found by an aggregation (combined before the shuffle) and joined back, so a content that very many rows
-    share meets in no task.
+    Texts are hashed once and stay where they are. The first of each hash is found by an aggregation (combined before the
+    shuffle) and joined back, so a content that very many rows share meets in no task.
     """
-    hashed = docs.withColumn("content_hash", F.md5(key.cast("binary")))
+    hashed = settled(docs.select(order, F.md5(key.cast("binary")).alias("content_hash")))
     first = hashed.groupBy("content_hash").agg(F.min(order).alias("__first"))
-    return hashed.join(first, "content_hash").withColumn("duplicate", F.col(order) > F.col("__first")).drop("__first")
+    return hashed.join(first, "content_hash").select(order, "content_hash", (F.col(order) > F.col("__first")).alias("duplicate"))
 
 
 def ratio(a: str, b: str) -> float:
@@ -45,24 +52,25 @@ def at_least(a: str, b: str, threshold: float) -> bool:
 def preprocess(docs: DataFrame, group: str = "source", threshold: float = 0.85, window: int = 10) -> DataFrame:
     """docs (doc_id, group, text): what ingestion keeps of each file, as (group, doc_id, text, status).
 
-    Texts are normalised twice. status: invalid, exact (a kept text has the same hash), near (similar to one of the last
-    `window` kept ones) or kept; in order of doc_id within a file.
+    Texts are normalised twice; for the comparison with others they are once more, as normalising is not idempotent. status:
+    invalid, exact (a kept text has the same hash), near (similar to one of the last `window` kept ones) or kept; in order of
+    doc_id within a file.
     """
-    ready = docs.select(group, "doc_id", normalize(normalize(F.col("text"))).alias("text")).withColumn("valid", is_valid(F.col("text")))
+    ready = docs.select(group, "doc_id", normalize(normalize(F.col("text"))).alias("text")).withColumns({"valid": is_valid(F.col("text")), "compared": normalize(F.col("text"))})
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, seen, last, status = pdf.sort_values("doc_id"), set(), [], []
-        for text, valid in zip(pdf["text"], pdf["valid"]):
+        for text, compared, valid in zip(pdf["text"], pdf["compared"], pdf["valid"]):
             if not valid:
                 status.append("invalid")
             elif text in seen:
                 status.append("exact")
-            elif any(at_least(text, other, threshold) for other in last):
+            elif any(at_least(compared, other, threshold) for other in last):
                 status.append("near")
             else:
                 status.append("kept")
                 seen.add(text)
-                last = [*last[-(window - 1) :], text]
+                last = [*last[-(window - 1) :], compared]
         return pdf.assign(status=status)[[group, "doc_id", "text", "status"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in ready.schema}
@@ -119,18 +127,20 @@ def merge_small(pieces: list[str], least: int = 256) -> list[str]:
 
 
 def chunks(docs: DataFrame, size: int = 512, overlap: int = 256, least: int = 256, separators=SEPARATORS) -> DataFrame:
-    """docs (doc_id, text): (doc_id, chunk_index, chunk_total, chunk), boundaries cleaned, empty chunks dropped."""
+    """docs (doc_id, text): (doc_id, chunk_index, chunk_total, chunk), boundaries cleaned, empty chunks dropped.
+
+    A document's chunks are one array until they are numbered, so nothing is shuffled.
+    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(d, i, c) for d, t in zip(pdf["doc_id"], pdf["text"]) for i, c in enumerate(merge_small(split_text(t or "", size, overlap, separators), least))]
-            yield pd.DataFrame(rows, columns=["doc_id", "seq", "chunk"])
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            cut = [merge_small(split_text(t or "", size, overlap, separators), least) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cut, pa.list_(pa.string()))], names=["doc_id", "chunks"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, seq int, chunk string")
-    clean = cut.withColumn("chunk", boundary_clean(F.col("chunk"))).where("chunk <> ''")
-    of_doc = Window.partitionBy("doc_id")
-    return clean.select("doc_id", (F.row_number().over(of_doc.orderBy("seq")) - 1).alias("chunk_index"), F.count("*").over(of_doc).cast("int").alias("chunk_total"), "chunk")
+    cut = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, chunks array<string>")
+    clean = cut.select("doc_id", F.filter(F.transform("chunks", boundary_clean), lambda c: c != "").alias("chunks"))
+    return clean.select("doc_id", F.size("chunks").alias("chunk_total"), F.posexplode("chunks").alias("chunk_index", "chunk")).select("doc_id", "chunk_index", "chunk_total", "chunk")
 
 
 def collapse(text: str, longest: int = 4) -> str:

@@ -80,7 +80,7 @@ def content_hash(t: Tables) -> DataFrame:
 
 @query(f"SELECT doc_id, h AS content_hash, doc_id > min(doc_id) OVER (PARTITION BY h) AS duplicate FROM (SELECT doc_id, md5({NORM2}) AS h FROM (SELECT doc_id, {NORM1} AS t1 FROM documents))")
 def exact_dedup(t: Tables) -> DataFrame:
-    return prepare.exact_duplicates(t.documents.select("doc_id", "text"), T.normalize(T.normalize(F.col("text")))).select("doc_id", "content_hash", "duplicate")
+    return prepare.exact_duplicates(t.documents.select("doc_id", "text"), T.normalize(T.normalize(F.col("text"))))
 
 
 _EDGES = T.replace_all_sql(T.strip_sql("substr(text, 40, 300)"), T.EDGES)
