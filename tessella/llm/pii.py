@@ -1,20 +1,21 @@
 """Operator 3, sanitisation of personal data by information theory.
 
-Protected entities are e-mail addresses, IP addresses, card and phone numbers, found by their formats. Around each stands a
-context of CONTEXT words on either side. Over the whole corpus two counts are taken: how often a term occurs at all, and
-how often in the context of each kind of entity. With p(k) the part of all words that are context of kind k,
+Protected entities are e-mail addresses, IP addresses, card and phone numbers and secrets (long keys of letters and digits),
+found by their formats. Around each stands a context of CONTEXT words on either side. Over the whole corpus it is counted how
+often a term occurs at all, and how often in the contexts of each kind of entity, and of each single entity. With p(e) the
+part of all words that are context of e (a kind, or one entity),
 
-    IC(k) = -log2 p(k)           what it takes to know that an entity of kind k is near
-    PMI(t; k) = log2 p(k | t) / p(k)   what the term t tells of it
-    disclosure(t, k) = PMI(t; k) / IC(k)   1 if t gives the entity away, 0 if it says nothing
+    IC(e) = -log2 p(e)                 what it takes to know that e is near
+    PMI(t; e) = log2 p(e | t) / p(e)   what the term t tells of it
+    disclosure(t, e) = PMI(t; e) / IC(e)   1 if t gives e away, 0 if it says nothing
 
 A term whose disclosure is at or above GENERALISE is replaced by its kind's name, at or above REMOVE it is removed, wherever
-it stands in a document that has an entity of the kind: contexts serve to count, not to limit what is found. The entity
-itself is always replaced. Documents without an entity of the kind have none to give away and keep the term.
+it stands in the corpus, near an entity or not: who reads it would know of the entity. The entity itself is always replaced.
 
-A term counts only with at least LEAST occurrences in contexts of the kind: so a handful of chance neighbours discloses
-nothing. Nothing else bounds the number of terms, so they stay a table: documents with entities are joined with it by their
-terms, and get what they hold by the digest of their text.
+A term counts for e only with LEAST different contexts of e that it occurs in (copies of a passage are one context): so a
+handful of chance neighbours discloses nothing, and a passage that is copied much does not disclose by its copies. Nothing
+else bounds the number of terms, so they stay a table, which texts are joined with by their terms; while the table has at
+most KNOWN terms, their hashes go to the tasks, so that terms which are none need not be sent to the join.
 """
 
 from __future__ import annotations
@@ -26,16 +27,22 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stash, table
+from .memo import Memo
 
 KINDS = ("email", "ip", "card", "phone")
+PROTECTED = (*KINDS, "secret")
 #: Words on either side of an entity that are its context.
-CONTEXT = 3
+CONTEXT = 5
 GENERALISE, REMOVE = 0.8, 0.95
-LEAST = 8
+#: Different contexts of an entity that a term must occur in.
+LEAST = 5
+#: Terms whose hashes are sent to all tasks at most: 8 bytes each.
+KNOWN = 100_000
 #: Distinct terms a task counts before it sends what it has.
 TERMS = 200_000
 
@@ -46,6 +53,7 @@ _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
 _term = re.compile(r"[^\W\d_]+")
+_key = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,}")
 _not_digit = re.compile(r"[^0-9]+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -106,109 +114,144 @@ def outside_words(text: str, spans: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
-def context_terms(text: str, spans: list[Span]) -> list[tuple[str, str, int, int]]:
-    """(kind, term, start, end) of the words in the contexts of the spans, whole words only; words inside any span are none."""
-    if not spans:
-        return []
-    words = [m.span() for m in _term.finditer(text)]
-    begins, finishes, outside = [a for a, _ in words], [b for _, b in words], set(outside_words(text, spans))
-    out = {}
+def secrets(text: str) -> list[Span]:
+    """Keys: at least 32 letters and digits in a row, of both at least four."""
+    return [("secret", m.start(), m.end()) for m in _key.finditer(text) if 4 <= len(_not_digit.sub("", m[0])) <= m.end() - m.start() - 4]
+
+
+def protected_spans(text: str) -> list[Span]:
+    """base_spans(), then secrets: what is protected, by kind and place."""
+    return base_spans(text) + secrets(text) if _digit.search(text) else base_spans(text)
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def contexts(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
+    """(kind, hash of the entity, hash of its context, the context's words) for each span.
+
+    Whole words, and none that touch any span; the context's hash is that of the text on either side, without the entity.
+    """
+    words = [m.span() for m in _term.finditer(text)] if spans else []
+    begins, finishes, outside = [a for a, _ in words], [b for _, b in words], set(outside_words(text, spans)) if spans else set()
     for kind, start, end in spans:
+        value = text[start:end].lower() if kind in ("email", "ip", "secret") else _not_digit.sub("", text[start:end])
         i, j = bisect_right(finishes, start), bisect_left(begins, end)
-        for a, b in words[max(0, i - CONTEXT) : i] + words[j : j + CONTEXT]:
-            if (a, b) in outside:
-                out[kind, a, b] = text[a:b].casefold()
-    return [(kind, term, a, b) for (kind, a, b), term in out.items()]
+        left, right = words[max(0, i - CONTEXT) : i], words[j : j + CONTEXT]
+        around = f"{text[left[0][0] : start] if left else ''}\0{text[end : right[-1][1]] if right else ''}"
+        yield kind, _hash(f"{kind}:{value}") or 1, _hash(around), [w for w in left + right if w in outside]
+
+
+COUNTS = pa.schema([("kind", pa.string()), ("entity", pa.int64()), ("term", pa.string()), ("context", pa.int64()), ("n", pa.int64())])
+COUNTS_DDL = "kind string, entity long, term string, context long, n long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, term, n): occurrences of terms, at all (kind "") and in contexts; of all terms together (term null); summed in the task first."""
-    schema = pa.schema([("kind", pa.string()), ("term", pa.string()), ("n", pa.int64())])
-    words, near = Counter(), Counter()
+    """(kind, entity, term, context, n): occurrences of terms at all (kind ""), in contexts of a kind (entity 0) and of an entity.
+
+    The same for all terms together (term null); summed in the task first.
+    """
+    words: Counter = Counter()
+    near: Counter = Counter()
 
     def send() -> pa.RecordBatch:
-        rows = [("", t, n) for t, n in words.items()] + [(k, t, n) for (k, t), n in near.items()]
-        rows += [("", None, words.total())] + [(k, None, sum(n for (kind, _), n in near.items() if kind == k)) for k in KINDS]
+        rows = [("", 0, t, 0, n) for t, n in words.items()] + [("", 0, None, 0, words.total())]
+        rows += [(*key, n) for key, n in near.items()]
         words.clear(), near.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 3, schema)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)), COUNTS)], schema=COUNTS)
 
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            if text:
-                words.update(map(str.casefold, _term.findall(text)))
-                near.update((k, t) for k, t, _, _ in context_terms(text, base_spans(text)))
-                if len(words) + len(near) > TERMS:
-                    yield send()
+            if not text:
+                continue
+            words.update(map(str.casefold, _term.findall(text)))
+            counted = set()
+            for kind, entity, context, around in contexts(text, protected_spans(text)):
+                terms = [text[a:b].casefold() for a, b in around]
+                for e in (0, entity):
+                    for (a, _), term in zip(around, terms):
+                        if (kind, e, a) not in counted:  # a word is context of a kind or an entity once
+                            counted.add((kind, e, a))
+                            near[kind, e, term, context] += 1
+                            near[kind, e, None, 0] += 1
+            if len(words) + len(near) > TERMS:
+                yield send()
     yield send()
 
 
 def disclosure(docs: DataFrame) -> DataFrame:
-    """docs (text): (kind, term, n, disclosure) of terms with enough support, from the co-occurrence in the whole corpus."""
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "kind string, term string, n long").groupBy("kind", "term").agg(F.sum("n").alias("n"))
-    per_term = counts.groupBy("term").agg(F.sum(F.when(F.col("kind") == "", F.col("n"))).alias("of_term"), *(F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in KINDS))
-    per_term = stash(per_term.where(" or ".join(["term is null", *(f"{k} >= {LEAST}" for k in KINDS)])))
-    _, words, *of_kinds = per_term.where("term is null").first() or [0] * (2 + len(KINDS))
-    of_kind, per_term = dict(zip(KINDS, of_kinds)), per_term.where("term is not null")
-    known = [k for k in KINDS if of_kind[k] and 0 < of_kind[k] < words]
-    if not known:
-        return per_term.select(F.lit("").alias("kind"), "term", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("disclosure")).where(F.lit(False))
-    each = per_term.select("term", "of_term", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n"), F.lit(of_kind[k] / words).alias("p")) for k in known))).alias("x"))
-    p_given = F.least(F.col("x.n") / F.col("of_term"), F.lit(1.0))
-    return each.where(f"x.n >= {LEAST}").select("x.kind", "term", "x.n", (F.log2(p_given / F.col("x.p")) / -F.log2("x.p")).alias("disclosure"))
-
-
-def _disclosing(docs: DataFrame) -> DataFrame:
-    """(kind, term, remove): whether a disclosing term is removed (or else generalised)."""
-    return disclosure(docs).where(F.col("disclosure") >= GENERALISE).select("kind", "term", (F.col("disclosure") >= REMOVE).alias("remove"))
-
-
-def disclosing_terms(docs: DataFrame) -> dict[tuple[str, str], bool]:
-    """(kind, term) -> whether it is removed (or else generalised), to look at; the plans leave the terms in their table."""
-    return {(r["kind"], r["term"]): r["remove"] for r in _disclosing(docs).collect()}
+    """docs (text): (kind, entity, term, n, support, disclosure) from the co-occurrence in the whole corpus; entity 0: the kind."""
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, COUNTS_DDL)
+    counts = stash(rows.groupBy("kind", "entity", "term").agg(F.sum("n").alias("n"), F.count_distinct("context").alias("support")))
+    totals = counts.where("term is null").select("kind", "entity", F.col("n").alias("of_entity"))
+    words = totals.where("kind = ''").agg(F.sum("of_entity")).first()[0] or 0
+    of_kind = {r["kind"]: r["of_entity"] for r in totals.where("entity = 0 and kind <> ''").collect()}  # one row a kind
+    near = counts.where(f"term is not null and kind <> '' and support >= {LEAST}")
+    whole = near.where("entity = 0").withColumn("of_entity", sum((F.when(F.col("kind") == k, n).otherwise(0) for k, n in of_kind.items()), F.lit(0)).cast("long"))
+    single = near.where("entity <> 0").join(totals.where("entity <> 0"), ["kind", "entity"]).select(*whole.columns)
+    each = whole.unionAll(single).join(counts.where("kind = '' and term is not null").select("term", F.col("n").alias("of_term")), "term")
+    p, given = F.col("of_entity") / F.lit(float(max(words, 1))), F.least(F.col("n") / F.col("of_term"), F.lit(1.0))
+    return each.where(p < 1).select("kind", "entity", "term", "n", "support", (F.log2(given / p) / -F.log2(p)).alias("disclosure"))
+
+
+def disclosing_terms(docs: DataFrame) -> DataFrame:
+    """(term, kind, remove): the terms at or above GENERALISE, with the kind that each discloses most, and whether it is removed."""
+    found = disclosure(docs).where(F.col("disclosure") >= GENERALISE)
+    most = F.max(F.struct("disclosure", F.array_position(F.array(*map(F.lit, PROTECTED[::-1])), F.col("kind")).alias("first"), "kind"))
+    return found.groupBy("term").agg(most.alias("m")).select("term", F.col("m.kind").alias("kind"), (F.col("m.disclosure") >= REMOVE).alias("remove"))
+
+
+def _sought(known):
+    """(digest, term): the distinct terms of a text that could be disclosing. known: the hashes of all that are, or None."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_one = Memo((lambda t: _hash(t) in held) if (held := known and frozenset(known.value)) else (lambda t: True), 100_000)
+        for batch in batches:
+            rows = []
+            for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()):
+                if text:
+                    rows += [(digest, t) for t in set(map(str.casefold, _term.findall(text))) if is_one[t]]
+                    is_one.trim()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*rows)) or [()] * 2], names=["digest", "term"])
 
-def _sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, kind, term): the distinct terms that a text could hold disclosing occurrences of."""
-    for batch in batches:
-        rows = []
-        for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()):
-            base = base_spans(text) if text else []
-            if base:
-                kinds, held = {k for k, _, _ in base}, {text[a:b].casefold() for a, b in outside_words(text, base)}
-                rows += [(digest, k, t) for k in kinds for t in held]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*rows)) or [()] * 3], names=["digest", "kind", "term"])
+    return run
 
 
 def with_terms(docs: DataFrame) -> DataFrame:
-    """docs (text, ...) and __terms, the disclosing (kind, term, remove) that a row's text holds; null for none."""
-    text = F.col("text").cast("string")
-    held = docs.select(F.md5(text.cast("binary")).alias("digest"), text.alias("text")).mapInArrow(_sought, "digest string, kind string, term string")
-    held = held.join(_disclosing(docs), ["kind", "term"]).groupBy(F.col("digest").alias("__digest")).agg(F.collect_set(F.struct("kind", "term", "remove")).alias("__terms"))
+    """docs (text, ...) and __terms, the disclosing (term, kind, remove) that a row's text holds; null for none."""
+    spark, text = docs.sparkSession, F.col("text").cast("string")
+    terms = stash(disclosing_terms(docs))
+    few = [_hash(r["term"]) for r in terms.select("term").limit(KNOWN + 1).collect()]
+    if not few:
+        return docs.withColumn("__terms", F.lit(None).cast("array<struct<term:string,kind:string,remove:boolean>>"))
+    known = spark.sparkContext.broadcast(few) if len(few) <= KNOWN else None
+    held = docs.select(F.md5(text.cast("binary")).alias("digest"), text.alias("text")).mapInArrow(_sought(known), "digest string, term string")
+    held = held.join(terms, "term").groupBy(F.col("digest").alias("__digest")).agg(F.collect_set(F.struct("term", "kind", "remove")).alias("__terms"))
     # written out, so that its size is known: while it is small, no text is shuffled
     return docs.withColumn("__digest", F.md5(text.cast("binary"))).join(stash(held), "__digest", "left").drop("__digest")
 
 
-def _terms_of(batch: pa.RecordBatch) -> list[dict[tuple[str, str], bool]]:
-    return [{(t["kind"], t["term"]): t["remove"] for t in row or ()} for row in batch.column("__terms").to_pylist()]
+Terms = dict[str, tuple[str, bool]]
+
 
+def _terms_of(batch: pa.RecordBatch) -> list[Terms]:
+    return [{t["term"]: (t["kind"], t["remove"]) for t in row or ()} for row in batch.column("__terms").to_pylist()]
 
-def find(text: str, terms: dict[tuple[str, str], bool]) -> tuple[list[Span], list[tuple[str, str, int, int]]]:
-    """(base spans, (kind, action, start, end) of disclosing terms of their kinds in the whole text), both in order."""
-    base = base_spans(text)
-    if not terms or not base:
-        return base, []
-    kinds, actions = {k for k, _, _ in base}, {}
-    for (k, t), remove in sorted(terms.items(), key=lambda x: (not x[1], KINDS.index(x[0][0]))):  # of several kinds the strongest
-        if k in kinds:
-            actions.setdefault(t, (k, "remove" if remove else "generalise"))
-    return base, [(*actions[t], a, b) for a, b in outside_words(text, base) if (t := text[a:b].casefold()) in actions]
 
+def find(text: str, terms: Terms) -> tuple[list[Span], list[tuple[str, bool, int, int]]]:
+    """(protected spans, (kind, remove, start, end) of disclosing terms in the whole text), both in order."""
+    spans = protected_spans(text)
+    if not terms:
+        return spans, []
+    return spans, [(*terms[t], a, b) for a, b in outside_words(text, spans) if (t := text[a:b].casefold()) in terms]
 
-def sanitise(text: str, base: list[Span], hits: list[tuple[str, str, int, int]]) -> str:
+
+def sanitise(text: str, spans: list[Span], hits: list[tuple[str, bool, int, int]]) -> str:
     """Entities and generalised terms become their kind's name in brackets; removed terms go. Of overlapping spans the first counts."""
-    spans = sorted([(s, -e, f"[{k.upper()}]") for k, s, e in base] + [(s, -e, "" if action == "remove" else f"[{k.upper()}-TERM]") for k, action, s, e in hits])
+    every = sorted([(s, -e, f"[{k.upper()}]") for k, s, e in spans] + [(s, -e, "" if remove else f"[{k.upper()}-TERM]") for k, remove, s, e in hits])
     out, at = [], 0
-    for start, end, name in spans:
+    for start, end, name in every:
         if start >= at:
             out += [text[at:start], name]
             at = -end
@@ -219,39 +262,45 @@ def _listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
+N_KINDS = tuple(f"n_{k}" for k in KINDS)
+FOUND_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_term long"
+
+
 def _find(keep_text: bool):
-    kinds = {"doc_id": pa.int64()} | {f"n_{k}": pa.int64() for k in KINDS} | {"base_sha256": pa.string(), "spans": pa.string()} | ({"sanitised": pa.string()} if keep_text else {})
+    kinds = {"doc_id": pa.int64()} | dict.fromkeys(N_KINDS, pa.int64()) | {"base_sha256": pa.string(), "spans": pa.string(), "n_secret": pa.int64(), "n_term": pa.int64()} | ({"sanitised": pa.string()} if keep_text else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, text, terms in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), _terms_of(batch)):
-                base, hits = find(text or "", terms)
-                listed = _listed(base)
-                n = Counter(k for k, _, _ in base)
-                row = (doc_id, *(n[k] for k in KINDS), hashlib.sha256(listed.encode()).hexdigest(), _listed(base + [("term", s, e) for _, _, s, e in hits]))
-                out.append((*row, sanitise(text, base, hits) if text else text) if keep_text else row)
+                spans, hits = find(text or "", terms)
+                base = _listed([s for s in spans if s[0] in KINDS])
+                n = Counter(k for k, _, _ in spans)
+                row = (doc_id, *(n[k] for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), _listed(spans + [("term", s, e) for _, _, s, e in hits]), n["secret"], len(hits))
+                out.append((*row, sanitise(text, spans, hits) if text else text) if keep_text else row)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(kinds), kinds.values())], names=list(kinds))
 
     return run
 
 
-FOUND_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-
-
 def personal_data(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """docs (doc_id, text, ...): (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans [, sanitised]), a row a row.
+    """docs (doc_id, text, ...): (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term [, sanitised]), a row a row.
 
-    spans: base spans as kind:start:end in order of kind and place, then the disclosing terms as term:start:end. Null and
-    empty texts have none. Rows that repeat a doc_id, or have none, are searched each for itself; repeated rows count as
-    often as they occur in the corpus counts. Other columns are not read. A corpus without entities discloses nothing.
+    spans: kind:start:end of the base spans in order of kind and place, then of the secrets, then of the disclosing terms
+    (term:start:end). Null and empty texts have none. Rows that repeat a doc_id, or have none, are searched each for itself;
+    repeated rows count as often as they occur in the corpus counts, but as one context. Other columns, whatever their names,
+    are not read. A corpus without entities, and an empty table, disclose nothing.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return with_terms(given).mapInArrow(_find(keep_text), FOUND_DDL + ", sanitised string" * keep_text)
 
 
 def sanitised_documents(docs: DataFrame) -> DataFrame:
-    """docs with personal data replaced in text, and n_chars to match where there is such a column; other columns as they are."""
+    """docs with personal data replaced in text, and n_chars to match where there is such a column; other columns as they are.
+
+    A row a row, in any order; null and empty texts stay, repeated rows are sanitised each for itself, an empty table gives an
+    empty one. Columns of docs may have any names but __digest and __terms.
+    """
     names, types = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
