@@ -90,7 +90,7 @@ def test_mined_rules_match_counting(spark):
     r = random.Random(1)
     data = [(sorted({f"t{r.randrange(6)}" for _ in range(3)}), "block" if r.random() < 0.5 else "allow") for _ in range(200)]
     data = [(t, "block" if "t1" in t and "t2" in t else v) for t, v in data]
-    got = {(tuple(x["antecedent"]), x["verdict"]): (x["confidence"], x["key"]) for x in urls.mine(spark.createDataFrame(data, "tokens array<string>, verdict string"), 0.02, 0.8, 2).collect()}
+    got = {(tuple(x["antecedent"]), x["verdict"]): (x["confidence"], x["key"]) for x in urls.mine(spark.createDataFrame(data, "tokens array<string>, verdict string"), 0.02, 0.8, 2, least=1).collect()}
     tokens = sorted({t for ts, _ in data for t in ts})
     sets = [(a,) for a in tokens] + [(a, b) for a in tokens for b in tokens if a < b]
     count = lambda s, v=None: sum(set(s) <= set(ts) and v in (None, w) for ts, w in data)
@@ -100,6 +100,53 @@ def test_mined_rules_match_counting(spark):
     assert all(count((key,)) == min(count((a,)) for a in k[0]) for k, (_, key) in got.items())
 
 
+def plain_tokens(url):
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", url or "")
+    if not m:
+        return frozenset()
+    labels = [x for x in m[1].lower().split(".") if x]
+    out = {"host=" + ".".join(labels[-i:]) for i in range(1, min(len(labels), 4) + 1)} | ({f"label={labels[0]}"} if len(labels) > 3 else set())
+    out |= {"path=" + re.sub("[0-9]+", "#", x) for x in m[2].split("/") if x} | {"key=" + x.split("=")[0] for x in (m[3] or "?")[1:].split("&") if x}
+    return frozenset(out | ({"fragment"} if (m[4] or "") != "" else set()))
+
+
+def test_whole_verdicts_by_brute_force(spark, monkeypatch):
+    from itertools import combinations
+
+    monkeypatch.setattr(urls, "LEAST", 6)
+    monkeypatch.setattr(urls.mine, "__defaults__", (*urls.mine.__defaults__[:-1], 6))
+    r = random.Random(21)
+    hosts, words = ["a.net", "example.net", "example.com", "y.org", "b.com", "c.edu"], ["shop", "news", "x", "page9", "page77"]
+    given = [(i, f"http://{r.choice(hosts)}/{r.choice(['en', 'de', 'fr'])}/{'/'.join(r.choice(words) for _ in range(r.randrange(3)))}{r.choice(['', '?q=1', '?q=2&s=a', '#t'])}") for i in range(400)]
+    out = {x["page_id"]: x for x in urls.url_verdicts(spark.createDataFrame(given, "page_id long, url string")).collect()}
+    data = [(plain_tokens(u), out[i]["verdict"]) for i, u in given if out[i]["rule"] is not None]
+    need = max(6, int(np.ceil(urls.MIN_SUPPORT * len(data))))
+    rules = {}
+    tokens = sorted(set().union(*(t for t, _ in data)))
+    for size in (1, 2, 3):
+        for s in combinations(tokens, size):
+            fits = [v for t, v in data if set(s) <= t]
+            for v in ("allow", "block"):
+                if fits.count(v) >= need and fits.count(v) >= 0.9 * len(fits):
+                    rules[frozenset(s), v] = (fits.count(v) / len(fits), fits.count(v) / len(data))
+    kept = {k: c for k, c in rules.items() if not any(p < k[0] and v == k[1] and d[0] >= c[0] for (p, v), d in rules.items())}
+    mined = 0
+    for i, u in given:
+        if out[i]["rule"] is None:
+            fits = [(*c, k[1] == "block", k[1]) for k, c in kept.items() if k[0] <= plain_tokens(u)]
+            mined += bool(fits)
+            assert out[i]["verdict"] == (max(fits)[-1] if fits else "allow"), u
+    assert mined > 20
+
+
+def test_very_long_urls(spark):
+    r = random.Random(22)
+    long = "/".join(f"seg{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100]}" for k in range(300))
+    given = [(i, f"http://a{i % 3}.{'net' if i % 2 else 'org'}/fr/{long}/{r.randrange(9)}") for i in range(80)] + [(100, "http://b.com/" + "x" * 200_000), (101, "http://b.com/" + "y/" * 50_000), (102, f"http://b.com/{long}")]
+    out = {x["page_id"]: x["verdict"] for x in urls.url_verdicts(spark.createDataFrame(given, "page_id long, url string")).collect()}
+    assert len(out) == len(given) and all(out[i] == ("block" if i % 2 else "allow") for i in range(80))
+
+
 # ---- 2
 
 
@@ -126,9 +173,28 @@ def test_last_document_is_followed_by_the_first(spark):
     assert [out[i]["edited_sha256"] for i in (9, 2, 1)] == [sha("ijef"), sha("efab"), sha("abij")]
 
 
-def test_collisions_are_told_apart(spark, monkeypatch):
-    seen = spark.createDataFrame([("a",), ("a ",), ("b",)], "text string")
-    assert fingerprint.collisions(seen).count() == 0
+def test_fingerprints_tell_texts_apart_whatever_collides(spark, docs, rows):
+    r = random.Random(17)
+    given = [(i, t, 1, "p") for i, t in enumerate([prose(r, 3) for _ in range(40)] + ["Abc  d", "abc d", "", " ", None, "abcd", "ABCD", "xyxy"])] + [(3, "other", 1, "p"), (None, "other", 1, "p")]
+    table = spark.createDataFrame(given, "doc_id long, text string, number int, digest string")
+    plain = {x["doc_id"]: x for x in fingerprint.fingerprints(table).collect() if x["doc_id"] not in (3, None)}
+    known = {i: (t or "") for i, t, *_ in given}
+    for digits in (32, 1, 0):  # of one hexadecimal digit and of none, nearly all and all texts collide
+        out = fingerprint.fingerprints(table, digits).collect()
+        assert len(out) == len(given)
+        canon = {}
+        for x in out:
+            if x["doc_id"] in (0, 3, 4, None):  # next to the odd rows
+                continue
+            own, following = known[x["doc_id"]], known[(x["doc_id"] - 1) % 48]
+            edited = own[: len(own) - len(own) // 2] + following[: len(own) // 2]
+            assert x["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+            for print_, text in ((x["fingerprint"], own), (x["edited_fingerprint"], edited)):
+                canon.setdefault(print_, set()).add(fingerprint.canonical(text))
+            assert (x["near_edited"], x["near_next"]) == (plain[x["doc_id"]]["near_edited"], plain[x["doc_id"]]["near_next"])
+            assert x["near_next"] == (fingerprint.canonical(own) == fingerprint.canonical(following))
+        assert all(len(c) == 1 for c in canon.values())  # one text a fingerprint
+        assert len(canon) == len(set().union(*canon.values()))  # and one fingerprint a text
 
 
 # ---- 3
@@ -162,21 +228,22 @@ def test_disclosing_terms(spark):
     r = random.Random(2)
     texts = [f"{prose(r, 30)} zelda u{i}@mail.example.com {prose(r, 30)}" for i in range(60)] + [prose(r, 60) for _ in range(200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    terms = pii.disclosing_terms(docs)
-    assert ("email", "zelda") in terms
+    terms = {r["term"]: r["kind"] for r in pii.disclosing_terms(docs).collect()}
+    assert terms == {"zelda": "email"}
     rows = {r["doc_id"]: r for r in pii.personal_data(docs, True).collect()}
     assert "zelda" not in rows[0]["sanitised"] and "@" not in rows[0]["sanitised"] and "term:" in rows[0]["spans"]
     assert rows[100]["sanitised"] == texts[100] and rows[100]["spans"] == ""
 
 
-def test_rare_terms_of_many_contexts_disclose(spark):
+def test_rare_terms_of_many_contexts_disclose(spark, monkeypatch):
     r = random.Random(4)
     texts = [" ".join(f"{prose(r, 8)} u{i}.{j}@mail.example.com" for j in range(20)) for i in range(200)]
     texts += [f"{prose(r, 20)} quillfeather v{i}@mail.example.com {prose(r, 20)}" for i in range(10)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    for limit in (before, "-1"):
+    for limit, known in ((before, pii.KNOWN), ("-1", 0)):  # terms sent to the tasks, and terms joined
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        monkeypatch.setattr(pii, "KNOWN", known)
         out = {r["doc_id"]: r["sanitised"] for r in pii.personal_data(docs, True).collect()}
         assert len(out) == 210 and not any("quillfeather" in out[i] for i in range(200, 210))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
@@ -187,12 +254,63 @@ def test_disclosing_terms_go_from_the_whole_text(spark):
     texts = [f"zelda {prose(r, 30)} zelda u{i}@mail.example.com {prose(r, 30)}" for i in range(60)] + [prose(r, 60) for _ in range(800)] + [f"zelda {prose(r, 20)}"]
     out = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), True).collect()}
     assert not any("zelda" in out[i]["sanitised"] for i in range(60)) and out[0]["spans"].count("term:") == 2
-    assert out[860]["sanitised"] == texts[860]
+    assert "zelda" not in out[860]["sanitised"] and out[860]["spans"] == "term:0:5"  # without an entity near it, too
+
+
+def test_disclosure_is_plain_counting(spark):
+    r = random.Random(9)
+    names = [f"name{'abcdefghij'[k]}" for k in range(10)]
+    texts = [f"{' '.join(r.choice(names) for _ in range(r.randrange(1, 20)))} u{i % 7}@mail.example.com {' '.join(r.choice(names) for _ in range(r.randrange(12)))} {'+1 (202) 555-0143' if i % 3 else ''}" for i in range(80)]
+    words, all_words, near, total, kinds = {}, 0, {}, {}, {}
+    for text in texts * 2:
+        spans = plain_spans(text)
+        found = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+", text)]
+        outside = [w for w in found if not any(s < w[1] and w[0] < e for _, s, e in spans)]
+        for w in found:
+            words[w[2]] = words.get(w[2], 0) + 1
+            all_words += 1
+        counted = set()
+        for k, s, e in spans:
+            left, right = [w for w in found if w[1] <= s][-5:], [w for w in found if w[0] >= e][:5]
+            place = (text[left[0][0] : s] if left else "", text[e : right[-1][1]] if right else "")
+            around = [w for w in left + right if w in outside]
+            for entity in (k, text[s:e]):
+                for w in around:
+                    if (entity, w[0]) not in counted:
+                        counted.add((entity, w[0]))
+                        near.setdefault((entity, w[2]), []).append(place)
+                        total[entity] = total.get(entity, 0) + 1
+    want = {}
+    for (entity, term), places in near.items():
+        if len(set(places)) >= pii.LEAST:
+            p = total[entity] / all_words
+            want.setdefault(term, []).append((len(places), len(set(places)), round(float(np.log2(min(1.0, len(places) / words[term]) / p) / -np.log2(p)), 9)))
+    got = {}
+    for x in pii.disclosure(spark.createDataFrame([(t,) for t in texts * 2], "text string")).collect():
+        got.setdefault(x["term"], []).append((x["n"], x["support"], round(x["disclosure"], 9)))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and len(got) >= 5
+
+
+def test_secrets_and_a_term_that_discloses_them(spark):
+    r = random.Random(10)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    texts = [f"{prose(r, 20)} passcode = {key()} {prose(r, 20)}" for _ in range(20)] + [f"{prose(r, 10)} passcode {prose(r, 10)}", "x" * 40 + " " + "1" * 40]
+    out = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), True).collect()}
+    assert all(out[i]["n_secret"] == 1 and out[i]["n_term"] == 1 and "[SECRET]" in out[i]["sanitised"] and "passcode" not in out[i]["sanitised"] for i in range(20))
+    assert out[20]["n_secret"] == 0 and out[20]["n_term"] == 1 and out[21]["spans"] == ""
+
+
+def test_copies_of_a_passage_are_one_context(spark):
+    r = random.Random(13)
+    passage = f"{prose(r, 10)} nightingale u@mail.example.com {prose(r, 10)}"
+    texts = [f"{passage} {prose(r, 10)}" for _ in range(50)] + [prose(r, 60) for _ in range(50)]
+    out = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert not any(x["n_term"] for x in out)
 
 
 def test_contexts_hold_whole_words():
     long, text = "a" * 500, f"{'a' * 500} . u@x.example.com {'. ' * 200} next éb@x.example.com"
-    found = {(t, a, b) for _, t, a, b in pii.context_terms(text, pii.base_spans(text))}
+    found = {(text[a:b], a, b) for _, _, _, words in pii.contexts(text, pii.base_spans(text)) for a, b in words}
     assert found == {(long, 0, 500), ("next", text.index("next"), text.index("next") + 4)}
 
 
@@ -225,6 +343,44 @@ def test_components(spark):
     assert got == {n: c for n, c in want.items() if any(n in l and l[0] != l[1] for l in links)}
 
 
+def brute_links(vecs, least=0.9):
+    """Cosines of all pairs of (id, vector), the rows standing for themselves: (links, component) by row."""
+    a = np.array([v for _, v in vecs], np.float64)
+    cos = (a @ a.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(a, axis=1))
+    linked = cos >= least
+    links = [(i, j) for i, j in zip(*np.nonzero(np.triu(linked, 1)))]
+    find = union_find(links, range(len(vecs)))
+    smallest = {}
+    for k, (i, _) in enumerate(vecs):
+        smallest[find[k]] = min(smallest.get(find[k], i), i)
+    return linked.sum(axis=1) - 1, [smallest[find[k]] for k in range(len(vecs))]
+
+
+def test_repeated_vec_ids_and_clashing_columns(spark):
+    r = np.random.default_rng(14)
+    base = r.normal(size=(20, 24))
+    vecs = [(int(i % 37), (base[i % 20] + (0.05 + 0.1 * (i % 3)) * r.normal(size=24)).tolist()) for i in range(300)]
+    vecs += [(7, [1.0] + [0.0] * 23), (7, [1.0, 0.1] + [0.0] * 22), (8, [1.0, 0.05] + [0.0] * 22)] + [vecs[0]] * 3
+    table = spark.createDataFrame([(i, v, 1, 2, 3, 4, 5, "s") for i, v in vecs], "vec_id long, embedding array<double>, class int, n int, key int, root int, component int, signs string")
+    n, component = brute_links(vecs)
+    out = vectors.near_vectors(table).collect()
+    assert len(out) == len(vecs)
+    want = sorted((i, int(k), c) for (i, _), k, c in zip(vecs, n, component))
+    assert sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in out) == want
+
+
+def test_recall_in_single_and_double_precision(spark):
+    r = np.random.default_rng(15)
+    base = r.normal(size=(1500, 64))
+    near = [b + s * r.normal(size=64) for b in base[:500] for s in (0.40, 0.48)]  # cosines about 0.9
+    x = np.concatenate([base, near])
+    for kind in (np.float32, np.float64):
+        vecs = [(i, v.astype(kind).astype(np.float64).tolist()) for i, v in enumerate(x)]
+        n, _ = brute_links(vecs)
+        out = {row["vec_id"]: row["n_links"] for row in vectors.near_vectors(spark.createDataFrame(vecs, "vec_id long, embedding array<double>")).collect()}
+        assert all(out[i] <= n[i] for i, _ in vecs) and sum(out.values()) >= 0.99 * n.sum() > 500
+
+
 # ---- 5 and 8
 
 
@@ -270,6 +426,38 @@ def test_counterfactual_penalty_spares_group_mentions():
     assert gap[2.0] < 0.7 * gap[0.0]
 
 
+def test_score_is_the_fitted_model_by_plain_sums():
+    weights = np.random.default_rng(1).normal(size=toxicity.FEATURES) * (np.random.default_rng(2).random(toxicity.FEATURES) < 0.5)
+    s = toxicity.Scorer(weights)
+    for text in ("", "One two. Three threefold threesome three!", "stem stemming stemmed stems\nother words", "a" * 300, None):
+        raw = []
+        for part in re.split(r"[.!?\n]+", (text or "").lower()):
+            words = re.findall(r"[^\W\d_]+", part)
+            if words:
+                features = {zlib.crc32(p.encode()) % (toxicity.FEATURES - 1) + 1 for w in words for p in [f"{w} ", *(w[:k] for k in (4, 5, 6, 7, 8) if len(w) > k)]}
+                raw.append(weights[0] + sum(weights[f] for f in features))
+        raw = raw or [weights[0]]
+        pull = [np.exp(3 * (x - max(raw))) for x in raw]
+        want = 1 / (1 + np.exp(-min(30, max(-30, sum(p * x for p, x in zip(pull, raw)) / sum(pull)))))
+        assert abs(s(text) - want) < 1e-9
+
+
+def test_observed_counterfactuals():
+    texts = ["the tall zorgs met us. other one here now", "the tall blips met us.", "you are a fool now.", "you are a friend now.", "the women met us.", "the tall zorgs met us."]
+    labels = [0, 0, 1, 0, 0, 0]
+    found = toxicity.counterfactuals([toxicity.sentences(t) for t in texts], labels)
+    assert found[0] == [(0, ["the", "tall", "blips", "met", "us"])] and found[1] == [(0, ["the", "tall", "zorgs", "met", "us"])]
+    assert found[2] == found[3] == [] and found[4] == [(0, ["the", "men", "met", "us"])]
+
+
+def test_without_evidence_every_document_stays(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    for labels in (none, spark.createDataFrame([(1, 0), (4, 0)], "doc_id long, toxic int"), spark.createDataFrame([(1, 1), (4, 1)], "doc_id long, toxic int")):
+        assert toxicity.without_toxic(docs, labels).count() == docs.count()
+        assert {x["predicted"] for x in toxicity.toxicity(docs, labels).collect()} == {0}
+    assert toxicity.without_toxic(empty, none).count() == 0
+
+
 def test_quality(spark, docs, empty):
     r = random.Random(8)
     rows = [(i, prose(r, 60) if i % 2 else " ".join(f"{w}%%%" for w in prose(r, 60).split()), i % 2) for i in range(120)]
