@@ -10,43 +10,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import terms
+from .prepare import settled
 
 PLACES = 6
-#: Queries of a batch that are handed to every task whole; larger batches are joined in blocks of as many.
-QUERY_BLOCK = 1000
+#: Queries and vectors that are compared as one product of matrices.
+QUERY_BLOCK, VECTOR_BLOCK = 500, 1000
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text): (doc_id, term, tf, dl), dl the document's length in terms."""
-    split = docs.select("doc_id", terms(F.col("text")).alias("terms"))
-    return split.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+def term_statistics(docs: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """docs (doc_id, text): (term, n), in how many documents each term occurs, and in a row without term (documents, their terms).
+
+    by names columns that say which collection a document is in. One scan; a document's distinct terms are found in place and
+    counts are combined before the shuffle, which moves a row a term and task. Kept, as every search reads it several times.
+    """
+    split = docs.select(*by, terms(F.col("text")).alias("terms"))
+    none = F.array(F.lit(None).cast("string"))
+    each = split.select(*by, F.size("terms").alias("dl"), F.explode(F.concat(F.array_distinct("terms"), none)).alias("term"))
+    return settled(each.groupBy(*by, "term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length")))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, within: bool = False) -> DataFrame:
     """docs (doc_id, text), queries (query_id, query): (query_id, doc_id, score, rank) of the k best with a score >= 0.
 
     A term's weight is ln(N - n + 0.5) - ln(n + 0.5); negative ones become epsilon times the mean over all terms. A term
     that a query repeats counts as often. Documents that hold no term of the query score 0 and come last, by id, as needed
-    to fill k. Term statistics need one shuffle of (document, term) counts; the queries' terms filter what is scored.
+    to fill k. within: docs has a query_id, too, and each query searches its own documents as a collection of its own.
+
+    Only occurrences of terms that are asked for leave the scan of the texts.
     """
-    split = docs.select("doc_id", terms(F.col("text")).alias("terms"))
-    held = postings(docs)
-    of_term = held.groupBy("term").agg(F.count("*").alias("n"))
-    total = split.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("avgdl"))
-    weights = of_term.crossJoin(F.broadcast(total.select("docs"))).select("term", (F.log(F.col("docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("raw"))
-    mean = weights.agg(F.avg("raw").alias("mean"))
+    by = ["query_id"] if within else []
+    stats = term_statistics(docs, by)
+    of_all = stats.where("term is null").select(*by, F.col("n").alias("docs"), (F.col("length") / F.col("n")).alias("avgdl"))
+    counted = stats.where("term is not null").select(*by, "term", "n")
+    if within:
+        weights, totals = counted.join(of_all, by), of_all
+    else:
+        total = of_all.first()  # one row, so two numbers of the plan
+        n, avgdl = (total["docs"], total["avgdl"]) if total else (0, 0.0)
+        weights = counted.withColumns({"docs": F.lit(n), "avgdl": F.lit(avgdl)})
+    weights = weights.withColumn("raw", F.log(F.col("docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))
     asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = asked.join(weights, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", "times", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    hits = held.join(wanted, "term").crossJoin(F.broadcast(total.select("avgdl")))
+    if within:
+        mean = weights.groupBy(*by).agg(F.avg("raw").alias("mean"))
+        wanted = asked.join(weights, [*by, "term"]).join(mean, by)
+    else:
+        wanted = asked.join(weights, "term").withColumn("mean", F.lit(weights.agg(F.avg("raw")).first()[0]))
+    wanted = wanted.select("query_id", "term", "times", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    split = docs.select(*by, "doc_id", terms(F.col("text")).alias("terms"))
+    held = split.select(*by, "doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(wanted.select(*by, "term").distinct(), [*by, "term"], "left_semi")
+    hits = held.groupBy(*by, "doc_id", "dl", "term").agg(F.count("*").alias("tf")).join(wanted, [*by, "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), PLACES).alias("score")).where("score >= 0")
-    filler = docs.select("doc_id").orderBy("doc_id").limit(k)  # enough to fill up any query
-    rest = queries.select("query_id").crossJoin(F.broadcast(filler)).join(hits.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return top(scored.unionByName(rest), k)
+    if within:
+        first = docs.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where(F.col("at") <= k).select("query_id", "doc_id")
+        filler = queries.select("query_id").join(first, "query_id")
+    else:
+        filler = queries.select("query_id").crossJoin(F.broadcast(docs.select("doc_id").orderBy("doc_id").limit(k)))  # k rows: enough to fill up any query
+    every = hits.select("query_id", "doc_id", part.alias("part")).unionByName(filler.select("query_id", "doc_id", F.lit(0.0).alias("part")))
+    return top(every.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), PLACES).alias("score")).where("score >= 0"), k)
 
 
 def top(scored: DataFrame, k: int, by: str = "query_id", of: str = "doc_id") -> DataFrame:
@@ -75,22 +101,66 @@ def score_of(metric: str, a: Column, b: Column) -> Column:
     return {"l2sq": lambda: F.exp(-squared_distance(a, b)), "cosine": lambda: cosine(a, b), "ip": lambda: dot(a, b)}[metric]()
 
 
+def _scores(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """score_of() of all pairs of rows, in double precision."""
+    if metric == "l2sq":
+        return np.exp(-((x * x).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * (x @ q.T)).clip(0))
+    both = x @ q.T
+    if metric == "ip":
+        return both
+    norm = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((q * q).sum(axis=1))[None, :]
+    return np.divide(both, norm, out=np.zeros_like(both), where=norm > 0)
+
+
+def _blocks(id_name: str, vector_name: str, rows: int):
+    """Rows gathered into blocks: (ids, vectors), the vectors' components behind each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(vector_name).is_valid())
+            for at in range(0, len(batch), rows):
+                part = batch.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(id_name).to_pylist()]), pa.array([part.column(vector_name).to_pylist()], pa.list_(pa.list_(pa.float64())))], names=["ids", "vectors"])
+
+    return run
+
+
+def _best_of_blocks(metric: str, k: int, kinds: list[pa.DataType]):
+    """Pairs of blocks: the k best of each query that the task has seen, told when the task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in batches:
+            for ids, vectors, asked, query_vectors in zip(*(batch.column(c).to_pylist() for c in ("ids", "vectors", "asked", "query_vectors"))):
+                order = sorted(range(len(ids)), key=ids.__getitem__)  # ties go to the smaller id
+                scores = _scores(metric, np.array([vectors[i] for i in order], np.float64), np.array(query_vectors, np.float64))
+                for j, query in enumerate(asked):
+                    rounded = np.round(scores[:, j], PLACES)
+                    most = np.argsort(-rounded, kind="stable")[:k]
+                    held = best.get(query, []) + [(-rounded[m], ids[order[m]], scores[m, j]) for m in most]
+                    best[query] = sorted(held, key=lambda x: x[:2])[:k]
+        rows = [(q, i, float(score)) for q, held in best.items() for _, i, score in held]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2sq", threshold: float | None = 0.2, most: int = 20) -> DataFrame:
     """vectors (vec_id, embedding), queries (query_id, query_vector): (query_id, vec_id, score, rank).
 
-    Brute force in blocks of queries: a block is handed to all tasks, each keeps its k best of every query, and only
-    those are shuffled. The threshold applies after the cut to min(k, most).
+    Brute force in blocks: blocks of queries meet blocks of vectors as a product of matrices, each task keeps its k best of
+    every query, and only those are shuffled. Whether the queries' blocks are sent to all tasks is left to Catalyst, which
+    knows their size. The threshold applies after the cut to min(k, most). Null vectors are left out.
     """
-    n = queries.count()
-    if n > QUERY_BLOCK:
-        numbered = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK))))
-        parts = [nearest(vectors, numbered.where(F.col("__block") == i).drop("__block"), k, metric, threshold, most) for i in range(-(-n // QUERY_BLOCK))]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", F.round(score_of(metric, F.col("embedding"), F.col("query_vector")), PLACES).alias("score"))
-    best = top(pairs, min(k, most), of="vec_id")
+    k = min(k, most)
+    v, q = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    kinds = {f.name: f.dataType for f in [*v.schema, *q.schema]}
+    blocks = v.mapInArrow(_blocks("vec_id", "embedding", VECTOR_BLOCK), f"ids array<{kinds['vec_id'].simpleString()}>, vectors array<array<double>>")
+    asked = q.mapInArrow(_blocks("query_id", "query_vector", QUERY_BLOCK), f"ids array<{kinds['query_id'].simpleString()}>, vectors array<array<double>>")
+    pairs = blocks.crossJoin(asked.select(F.col("ids").alias("asked"), F.col("vectors").alias("query_vectors")))
+    schema = [to_arrow_type(kinds["query_id"]), to_arrow_type(kinds["vec_id"]), pa.float64()]
+    found = pairs.mapInArrow(_best_of_blocks(metric, k, schema), f"query_id {kinds['query_id'].simpleString()}, vec_id {kinds['vec_id'].simpleString()}, score double")
+    best = top(found.withColumn("score", F.round("score", PLACES)), k, of="vec_id")
     return best if threshold is None else best.where(F.col("score") >= threshold)
 
 
@@ -193,8 +263,3 @@ def best_match(pairs: DataFrame) -> DataFrame:
     """pairs (query_id, idx, content, similarity): the largest similarity above 0, the first of equals; (0, "", -1) if none."""
     best = pairs.groupBy("query_id").agg(F.max(F.when(F.col("similarity") > 0, F.struct("similarity", (-F.col("idx")).alias("before"), "content"))).alias("b"))
     return best.select("query_id", F.coalesce("b.similarity", F.lit(0.0)).alias("similarity"), F.coalesce("b.content", F.lit("")).alias("content"), F.coalesce(-F.col("b.before"), F.lit(-1)).alias("idx"))
-
-
-def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For pluggable models: the frames as they come, for a scorer to keep its model over them."""
-    yield from frames

@@ -20,11 +20,11 @@ BM25 = f"""held AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unn
   hits AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN idf USING (term) JOIN held USING (term) JOIN lens USING (doc_id), tot GROUP BY ALL),
   everything AS (SELECT a.query_id, d.doc_id, coalesce(h.score, 0.0) AS score FROM asked a CROSS JOIN docs d LEFT JOIN hits h ON h.query_id = a.query_id AND h.doc_id = d.doc_id),
   bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM everything WHERE score >= 0)"""
-ASKED = "asked AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS query FROM benchmark WHERE item_id < 20)"
+ASKED = "asked AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS query FROM benchmark WHERE item_id % 20 = 0)"
 
 
 def _asked(t: Tables) -> DataFrame:
-    return t.benchmark.where("item_id < 20").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 5).alias("query"))
+    return t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 5).alias("query"))
 
 
 @query(f"WITH {ASKED}, docs AS (SELECT doc_id, text FROM documents), {BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 5")
@@ -36,12 +36,12 @@ def _vectors(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", "embedding", "label")
 
 
-def _vector_queries(t: Tables, where: str = "vec_id % 50 = 0") -> DataFrame:
+def _vector_queries(t: Tables, where: str = "vec_id % 20 = 0") -> DataFrame:
     return t.embeddings.where(where).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 def knn_sql(score: str, tail: str = "WHERE rank <= 5", where: str = "TRUE") -> str:
-    return f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round({score}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 AND {where}),
+    return f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round({score}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND {where}),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r {tail}"""
 
 
@@ -73,19 +73,31 @@ def metadata_filtered_knn(t: Tables) -> DataFrame:
     return _ranked(S.nearest(_vectors(t).where("label = 3"), _vector_queries(t), metric="cosine", threshold=None))
 
 
-SEMANTIC = f"""sem0 AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round({L2}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 20),
+SEMANTIC = f"""sem0 AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round({L2}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0),
   sem AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sem0)"""
 
 
 def _semantic(t: Tables, k: int) -> DataFrame:
-    return S.nearest(_vectors(t), _vector_queries(t, "vec_id < 20"), k, threshold=None).withColumnRenamed("vec_id", "doc_id")
+    return S.nearest(_vectors(t), _vector_queries(t), k, threshold=None).withColumnRenamed("vec_id", "doc_id")
 
 
-@query(f"WITH {ASKED}, {SEMANTIC}, docs AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM sem WHERE query_id = 0 AND rank <= 20)), {BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 5 AND query_id = 0")
+#: The same with a collection of its own for each query: docs(query_id, doc_id, text).
+BM25_WITHIN = f"""held AS (SELECT query_id, doc_id, term, count(*) AS tf FROM (SELECT query_id, doc_id, unnest({TERMS}) AS term FROM docs) GROUP BY ALL),
+  lens AS (SELECT query_id, doc_id, len({TERMS}) AS dl FROM docs), tot AS (SELECT query_id, count(*) AS n_docs, avg(dl) AS avgdl FROM lens GROUP BY query_id),
+  idf0 AS (SELECT query_id, term, ln(n_docs - n + 0.5) - ln(n + 0.5) AS raw FROM (SELECT query_id, term, count(*) AS n FROM held GROUP BY ALL) JOIN tot USING (query_id)),
+  idf AS (SELECT query_id, term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY query_id) ELSE raw END AS idf FROM idf0),
+  q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TERMS.replace('text', 'query')}) AS term FROM asked) GROUP BY ALL),
+  hits AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN idf USING (query_id, term) JOIN held USING (query_id, term) JOIN lens USING (query_id, doc_id) JOIN tot USING (query_id) GROUP BY ALL),
+  bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT d.query_id, d.doc_id, coalesce(h.score, 0.0) AS score FROM docs d JOIN asked USING (query_id) LEFT JOIN hits h ON h.query_id = d.query_id AND h.doc_id = d.doc_id) WHERE score >= 0)"""
+
+
+@query(f"WITH {ASKED}, {SEMANTIC}, docs AS (SELECT query_id, doc_id, text FROM sem JOIN documents USING (doc_id) WHERE rank <= 20), {BM25_WITHIN} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 5")
 def bm25_candidates(t: Tables) -> DataFrame:
-    twenty = _semantic(t, 20).where("query_id = 0").select("doc_id")
-    docs = t.documents.select("doc_id", "text").join(F.broadcast(twenty), "doc_id")
-    return S.bm25(docs, _asked(t).where("query_id = 0")).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    """Each query over the twenty documents that the semantic search finds for it."""
+    docs = _semantic(t, 20).select("query_id", "doc_id").join(t.documents.select("doc_id", "text"), "doc_id")
+    asked = _asked(t)
+    docs = docs.join(asked.select("query_id"), "query_id", "left_semi")
+    return S.bm25(docs, asked, within=True).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {SEMANTIC}, ten AS (SELECT * FROM sem WHERE rank <= 10) SELECT query_id, doc_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS score FROM ten WINDOW w AS (PARTITION BY query_id)")
@@ -134,39 +146,64 @@ def f1_sql(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN {both} = 0 THEN 0.0 ELSE 2.0 * {both} / (len({a}) + len({b})) END"
 
 
-_PAIRS = "SELECT b.item_id AS query_id, substr(b.text, 1, 200) AS query, d.doc_id, substr(d.text, 1, 200) AS content, d.doc_id / 1000.0 AS score FROM benchmark b, documents d WHERE b.item_id < 5 AND d.doc_id < 100"
+PASSAGES = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 20 = 0)"
+_RESULTS = f"{PASSAGES}, docs AS (SELECT doc_id, text FROM documents), {BM25}, p AS (SELECT query_id, query, doc_id, text AS content, score FROM bm JOIN asked USING (query_id) JOIN docs USING (doc_id) WHERE rank <= 20)"
 
 
 def _result_rows(t: Tables) -> DataFrame:
-    q = t.benchmark.where("item_id < 5").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 200).alias("query"))
-    d = t.documents.where("doc_id < 100").select("doc_id", F.substring("text", 1, 200).alias("content"), (F.col("doc_id") / 1000.0).alias("score"))
-    return d.crossJoin(F.broadcast(q))
+    """The twenty whole documents that a keyword search finds for each passage."""
+    asked = t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = S.bm25(t.documents.select("doc_id", "text"), asked, 20).select("query_id", "doc_id", "score")
+    return found.join(t.documents.select("doc_id", F.col("text").alias("content")), "doc_id").join(asked, "query_id")
+
+
+def _rerank_sql(threshold: float) -> str:
+    return f"""WITH {_RESULTS}, s AS (SELECT query_id, doc_id, score::DOUBLE AS original_score, round({f1_sql(TERMS.replace('text', 'query'), TERMS.replace('text', 'content'))}, 6)::DOUBLE AS score FROM p),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score >= {threshold}) SELECT * FROM r WHERE rank <= 10"""
 
 
-@query(f"""WITH p AS ({_PAIRS}), s AS (SELECT query_id, doc_id, score::DOUBLE AS original_score, round({f1_sql(TERMS.replace('text', 'query'), TERMS.replace('text', 'content'))}, 6)::DOUBLE AS score FROM p),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score >= 0.05) SELECT * FROM r WHERE rank <= 10""")
+def _reranked(t: Tables, threshold: float) -> DataFrame:
+    return S.rerank(_result_rows(t), threshold=threshold).select("query_id", "doc_id", F.col("original_score").cast("double").alias("original_score"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(_rerank_sql(0.05))
 def rerank_lexical(t: Tables) -> DataFrame:
-    return S.rerank(_result_rows(t), threshold=0.05).select("query_id", "doc_id", F.col("original_score").cast("double").alias("original_score"), "score", F.col("rank").cast("long").alias("rank"))
+    return _reranked(t, 0.05)
+
+
+@query(_rerank_sql(0.5))
+def rerank_default_threshold(t: Tables) -> DataFrame:
+    return _reranked(t, 0.5)
 
 
-@query(f"WITH p AS ({_PAIRS}), r AS (SELECT query_id, doc_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p) SELECT * FROM r WHERE rank <= 10")
+@query(f"WITH {_RESULTS}, r AS (SELECT query_id, doc_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p) SELECT * FROM r WHERE rank <= 10")
 def rerank_fallback(t: Tables) -> DataFrame:
     return S.rerank(_result_rows(t), scorer=False).select("query_id", "doc_id", F.col("score").cast("double").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
-def mmr_select(t: Tables) -> DataFrame:
-    asked = _vector_queries(t, "vec_id % 20 = 0")
+def _diverse(t: Tables, threshold: float) -> DataFrame:
+    asked = _vector_queries(t)
     best = S.nearest(_vectors(t), asked, 20, "cosine", None).withColumnRenamed("vec_id", "doc_id")
     rows = best.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").join(asked, "query_id")
-    return S.mmr(rows.select("query_id", F.col("rank").alias("seq"), "doc_id", "embedding", "query_vector"), 5, 0.5, 0.1)
+    return S.mmr(rows.select("query_id", F.col("rank").alias("seq"), "doc_id", "embedding", "query_vector"), 5, 0.5, threshold)
+
+
+@query()
+def mmr_select(t: Tables) -> DataFrame:
+    return _diverse(t, 0.1)
+
+
+@query()
+def mmr_default_threshold(t: Tables) -> DataFrame:
+    return _diverse(t, 0.475)
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS idx, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 1 AND v.vec_id <> q.vec_id)
+@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS idx, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id)
   SELECT query_id, coalesce(max(similarity) FILTER (similarity > 0), 0.0) AS similarity, coalesce(arg_max(idx, (similarity, -idx)) FILTER (similarity > 0), -1) AS idx FROM s GROUP BY query_id""")
 def best_match(t: Tables) -> DataFrame:
-    pairs = _vectors(t).crossJoin(F.broadcast(_vector_queries(t, "vec_id % 50 = 1"))).where("vec_id <> query_id")
-    pairs = pairs.select("query_id", F.col("vec_id").alias("idx"), F.lit("").alias("content"), F.round(S.cosine(F.col("embedding"), F.col("query_vector")), 6).alias("similarity"))
+    """The two nearest vectors hold the nearest other one."""
+    found = S.nearest(_vectors(t), _vector_queries(t), 2, "cosine", None).where("vec_id <> query_id")
+    pairs = found.select("query_id", F.col("vec_id").alias("idx"), F.lit("").alias("content"), F.col("score").alias("similarity"))
     return S.best_match(pairs).select("query_id", "similarity", "idx")
 
 
@@ -275,11 +312,11 @@ def context_whitespace(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.regexp_replace(T.strip(F.regexp_replace("text", r"\s+", " ")), r"\s+([.,:;!?])", "$1").alias("text"))
 
 
-@query("""WITH r AS (SELECT source, doc_id, substr(text, 1, 80) AS text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS i FROM documents)
+@query("""WITH r AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS i FROM documents)
   SELECT source, string_agg('[' || i || '] ' || text, chr(10) || chr(10) ORDER BY i) AS section FROM r WHERE i <= 5 GROUP BY source""")
 def context_section(t: Tables) -> DataFrame:
     order = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    top = t.documents.select("source", "doc_id", "n_chars", F.substring("text", 1, 80).alias("text")).withColumn("i", F.row_number().over(order)).where("i <= 5")
+    top = t.documents.select("source", "doc_id", "n_chars", "text").withColumn("i", F.row_number().over(order)).where("i <= 5")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda r: F.concat(F.lit("["), r["i"].cast("string"), F.lit("] "), r["text"]))
     return top.groupBy("source").agg(F.array_join(lines, "\n\n").alias("section"))
 
@@ -305,10 +342,10 @@ def exemplar_pick(t: Tables) -> DataFrame:
     return kept.withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("n"))).where("i <= 3").select("id", "n", "txt")
 
 
-@query("SELECT item_id, concat_ws(chr(10) || repeat('-', 80) || chr(10), 'Answer from the context.', substr(text, 1, 60), 'Question: ' || substr(text, 61, 40)) AS prompt FROM benchmark")
+@query("SELECT item_id, concat_ws(chr(10) || repeat('-', 80) || chr(10), 'Answer from the context.', text, 'Question: ' || split_part(text, '.', 1)) AS prompt FROM benchmark")
 def prompt_render(t: Tables) -> DataFrame:
     rule = "\n" + "-" * 80 + "\n"
-    return t.benchmark.select("item_id", F.concat_ws(rule, F.lit("Answer from the context."), F.substring("text", 1, 60), F.concat(F.lit("Question: "), F.substring("text", 61, 40))).alias("prompt"))
+    return t.benchmark.select("item_id", F.concat_ws(rule, F.lit("Answer from the context."), "text", F.concat(F.lit("Question: "), F.split_part("text", F.lit("."), F.lit(1)))).alias("prompt"))
 
 
 RESPONSES = "(1, 'Prompt: x', 'Prompt: x and the answer '), (2, 'p', '   '), (3, 'p', ' fine '), (4, 'p', NULL)"

@@ -83,14 +83,14 @@ def exact_dedup(t: Tables) -> DataFrame:
     return prepare.exact_duplicates(t.documents.select("doc_id", "text"), T.normalize(T.normalize(F.col("text"))))
 
 
-_EDGES = T.replace_all_sql(T.strip_sql("substr(text, 40, 300)"), T.EDGES)
+_EDGES = T.replace_all_sql(T.strip_sql("text"), T.EDGES)
 
 
 @query(rf"""WITH c AS (SELECT doc_id, {T.strip_sql(_EDGES)} AS c FROM documents),
   d AS (SELECT doc_id, c, c[1] <> upper(c[1]) AND c[1] = lower(c[1]) AS torn, regexp_extract(c, '(?s)^.*?\s+([{W}].*)$', 1) AS rest FROM c)
   SELECT doc_id, CASE WHEN torn AND rest <> '' THEN {T.strip_sql('rest')} ELSE c END AS chunk FROM d""")
 def chunk_boundary_clean(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.boundary_clean(F.substring("text", 40, 300)).alias("chunk"))
+    return t.documents.select("doc_id", T.boundary_clean(F.col("text")).alias("chunk"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM documents), s AS (SELECT doc_id, words, unnest(range(0, len(words), 100)) AS pos FROM w)
@@ -115,11 +115,11 @@ def search_tokens(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", readers.search_tokens(F.col("text")).alias("tokens"))
 
 
-@query(rf"""WITH d AS (SELECT doc_id, unnest({TERMS.replace('text', 'substr(text, 1, 400)')}) AS term FROM documents), p(prefix) AS (VALUES ('ent'), ('lic'), ('the'))
+@query(rf"""WITH d AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents), p(prefix) AS (VALUES ('ent'), ('lic'), ('the'))
   SELECT prefix, doc_id FROM p JOIN d ON starts_with(term, prefix) GROUP BY ALL""")
 def prefix_tokens(t: Tables) -> DataFrame:
     prefixes = t.rows("('ent'), ('lic'), ('the')", "prefix")
-    found = t.documents.select("doc_id", F.explode(T.terms(F.substring("text", 1, 400))).alias("term"))
+    found = t.documents.select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
     return found.join(F.broadcast(prefixes), F.col("term").startswith(F.col("prefix"))).select("prefix", "doc_id").distinct()
 
 
@@ -187,12 +187,14 @@ def existing_ids(t: Tables) -> DataFrame:
     return t.documents.where("text <> ''").select(F.md5(F.col("text").cast("binary")).alias("hash"), "source").distinct()
 
 
-@query("SELECT d.doc_id FROM documents d WHERE d.doc_id >= 200 AND md5(d.text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id < 200) AND d.source NOT IN (SELECT source FROM documents WHERE doc_id < 10)")
+@query("SELECT d.doc_id FROM documents d WHERE md5(d.text) NOT IN (SELECT md5(text) FROM benchmark UNION SELECT md5(text) FROM conversations) AND d.source NOT IN (SELECT source FROM documents GROUP BY source HAVING min(doc_id) % 5 = 0)")
 def skip_existing(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("hash"))
-    known = docs.where("doc_id < 200").select("hash").distinct()
-    paths = docs.where("doc_id < 10").select("source").distinct()
-    return docs.where("doc_id >= 200").join(known, "hash", "left_anti").join(paths, "source", "left_anti").select("doc_id")
+    """Documents whose text no other table has stored, of sources that are not stored either (here: every fifth by its first id)."""
+    hashed = F.md5(F.col("text").cast("binary")).alias("hash")
+    docs = t.documents.select("doc_id", "source", hashed)
+    known = t.benchmark.select(hashed).unionByName(t.conversations.select(hashed)).distinct()
+    paths = t.documents.groupBy("source").agg(F.min("doc_id").alias("first")).where("first % 5 = 0").select("source")
+    return docs.join(known, "hash", "left_anti").join(paths, "source", "left_anti").select("doc_id")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)")

@@ -123,7 +123,11 @@ def test_blocks_of_queries_give_the_same(spark, monkeypatch):
     q = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(9)], "query_id long, query_vector array<double>")
     whole = sorted(map(tuple, search.nearest(v, q).collect()))
     monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 7)
     assert sorted(map(tuple, search.nearest(v, q).collect())) == whole
+    for limit in ("-1", "10485760"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        assert sorted(map(tuple, search.nearest(v, q).collect())) == whole
 
 
 def test_fusion_does_not_depend_on_the_lists_order(spark):
