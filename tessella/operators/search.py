@@ -193,7 +193,7 @@ def reciprocal_rank(lists: DataFrame, constant: int = 60, weighted: bool = False
     """
     gain = (F.col("weight") if weighted else F.lit(1.0)) / (constant + F.col("rank") + 1)
     seen = F.min(F.struct("list_idx", F.col("rank").alias("at"))).alias("seen")
-    fused = lists.where(F.coalesce("doc_id", F.lit("").cast("string")) != "").groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), PLACES).alias("score"), F.count("*").alias("appearances"), seen)
+    fused = lists.where(F.coalesce(F.col("doc_id").cast("string"), F.lit("")) != "").groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), PLACES).alias("score"), F.count("*").alias("appearances"), seen)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("appearances"), "seen.list_idx", "seen.at")
     return fused.withColumn("rank", F.row_number().over(order)).select("query_id", "doc_id", "score", "appearances", "rank")
 
@@ -235,25 +235,32 @@ def rerank(results: DataFrame, scorer=None, k: int = 10, threshold: float = 0.5)
     return top(scored.where(F.col("score") >= threshold), k)
 
 
-def mmr(candidates: DataFrame, k: int = 5, bias: float = 0.5, threshold: float = 0.475) -> DataFrame:
+def mmr(candidates: DataFrame, k: int = 5, bias: float = 0.5, threshold: float = 0.475, leave_single: bool = False) -> DataFrame:
     """candidates (query_id, seq, doc_id, embedding, query_vector): (query_id, doc_id, score, rank), diverse and relevant.
 
     Candidates below the threshold go; the most relevant comes first, then each time the largest bias * relevance -
-    (1 - bias) * (largest cosine with a chosen one); ties go to the earlier candidate. A query's candidates are a search
-    result (bounded by its k), so a query is one task's group.
+    (1 - bias) * (largest cosine with a chosen one); ties go to the earlier candidate. A query without a vector keeps its
+    first k (score null); leave_single keeps a result that is the only one as it is. Candidates without a vector are
+    relevant to nothing. A query's candidates are a search result (bounded by its k), so a query is one task's group.
     """
 
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        x, q = np.array(pdf["embedding"].tolist(), np.float64), np.array(pdf["query_vector"].iloc[0], np.float64)
-        norm = np.linalg.norm(x, axis=1)
-        unit = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
-        relevance = unit @ (q / (np.linalg.norm(q) or 1.0))
-        left, chosen = [i for i in range(len(x)) if relevance[i] >= threshold], []
-        while left and len(chosen) < k:
-            gain = [relevance[i] if not chosen else bias * relevance[i] - (1 - bias) * (unit[chosen] @ unit[i]).max() for i in left]
-            chosen.append(left.pop(int(np.argmax(np.round(gain, 9)))))
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "doc_id": pdf["doc_id"].iloc[chosen].to_numpy(), "score": np.round(relevance[chosen], PLACES), "rank": range(1, len(chosen) + 1)})
+        vector = pdf["query_vector"].iloc[0]
+        if vector is None or not len(vector) or (leave_single and len(pdf) < 2):
+            chosen, scores = list(range(min(k, len(pdf)))), [None] * min(k, len(pdf))
+        else:
+            q = np.array(vector, np.float64)
+            x = np.array([np.zeros(len(q)) if e is None or not len(e) else e for e in pdf["embedding"]], np.float64)
+            norm = np.linalg.norm(x, axis=1)
+            unit = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
+            relevance = unit @ (q / (np.linalg.norm(q) or 1.0))
+            left, chosen = [i for i in range(len(x)) if relevance[i] >= threshold], []
+            while left and len(chosen) < k:
+                gain = [relevance[i] if not chosen else bias * relevance[i] - (1 - bias) * (unit[chosen] @ unit[i]).max() for i in left]
+                chosen.append(left.pop(int(np.argmax(np.round(gain, 9)))))
+            scores = np.round(relevance[chosen], PLACES).tolist()
+        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "doc_id": pdf["doc_id"].iloc[chosen].to_numpy(), "score": pd.Series(scores, dtype="float64").to_numpy(), "rank": range(1, len(chosen) + 1)})
 
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
     return candidates.groupBy("query_id").applyInPandas(select, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double, rank int")

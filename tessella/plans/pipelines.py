@@ -8,25 +8,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import questions as Q
+from ..functions.embedding import Embedder, hash_embedder
 from ..functions.text import strip, terms
 from ..operators import prepare
 from ..operators import search as S
 from .catalog import Tables, query
 
 
-def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, scorer=None, threshold: float = 0.0) -> DataFrame:
-    """docs (doc_id, text), vectors (vec_id, embedding), queries (query_id, query, query_vector): (query_id, doc_id, content, score, rank).
+def variants_of(queries: DataFrame, embed: Embedder, translations: DataFrame | None = None, decompose: Callable[[Column], Column] | None = None, most: int = 500) -> DataFrame:
+    """queries (query_id, query): (query_id, list_idx, query, query_vector, weight), what is searched for each of them.
 
-    Semantic and keyword search side by side, 2k each, fused by weights; the fused results are reranked on the query and cut
-    to k. scorer(query, content) is the reranker; False leaves the fused order. Nothing found is an empty table. Diversity
-    (S.mmr) and the fusion of translated or decomposed sub-queries (S.reciprocal_rank) are not part of this plan.
+    The query itself at weight 1; its translation, if it differs, at 0.8, from a table (query, translated) that stands for a
+    translator and its memory (text is cut to `most` characters, as translators do); and of long or manifold queries the
+    parts that decompose(query), a model's answer, names, sharing a weight of 1.
     """
-    semantic = S.nearest(vectors, queries.select("query_id", "query_vector"), 2 * k, threshold=0.2).withColumnRenamed("vec_id", "doc_id")
-    keyword = S.bm25(docs, queries.select("query_id", "query"), 2 * k)
-    fused = S.hybrid(semantic, keyword, 2 * k).drop("rank")
-    rows = fused.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
-    ranked = S.rerank(rows, scorer, k, threshold)
-    return ranked.select("query_id", "doc_id", "content", "original_score", "score", "rank")
+    own = queries.select("query_id", F.lit(0).alias("list_idx"), "query", F.lit(1.0).alias("weight"))
+    out = own
+    if translations is not None:
+        memo = translations.select(F.substring("query", 1, most).alias("asked"), "translated").dropDuplicates(["asked"])
+        other = queries.join(memo, F.substring("query", 1, most) == F.col("asked")).where(F.col("translated") != F.col("query"))
+        out = out.unionByName(other.select("query_id", F.lit(1).alias("list_idx"), F.col("translated").alias("query"), F.lit(0.8).alias("weight")))
+    if decompose is not None:
+        parts = queries.where(Q.should_decompose(F.col("query"))).select("query_id", Q.sub_questions(decompose(F.col("query")), F.col("query")).alias("parts"))
+        each = parts.select("query_id", F.size("parts").alias("n"), F.posexplode("parts").alias("at", "query"))
+        out = out.unionByName(each.select("query_id", (F.col("at") + 2).alias("list_idx"), "query", (1.0 / F.col("n")).alias("weight")))
+    return out.withColumn("query_vector", embed(F.col("query")))
+
+
+def _fused(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): semantic and keyword search, fused by weights."""
+    semantic = S.nearest(vectors, queries.select("query_id", "query_vector"), k, threshold=0.2).withColumnRenamed("vec_id", "doc_id")
+    return S.hybrid(semantic, S.bm25(docs, queries.select("query_id", "query"), k), k)
+
+
+def merged(lists: DataFrame, k: int, gate: bool = True) -> DataFrame:
+    """lists (query_id, list_idx, doc_id, score, rank, weight): (query_id, doc_id, score), at most k a query.
+
+    A query with one list keeps it. Several are fused by reciprocal rank where the gate is open, else folded by weights.
+    """
+    counted = lists.groupBy("query_id").agg(F.count_distinct("list_idx").alias("lists"))
+    one = lists.join(counted.where("lists = 1"), "query_id").where(F.col("rank") <= k).select("query_id", "doc_id", "score")
+    several = lists.join(counted.where("lists > 1"), "query_id", "left_semi")
+    if gate:
+        fused = S.reciprocal_rank(several.withColumn("rank", F.col("rank") - 1)).where(F.col("rank") <= k)
+    else:
+        fused = S.top(S.fold_merge(several), k)
+    return one.unionByName(fused.select("query_id", "doc_id", "score"))
+
+
+def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, scorer=None, threshold: float = 0.0, variants: DataFrame | None = None, gate: bool = True, diversity: float | None = 0.5, relevance: float = 0.475) -> DataFrame:
+    """docs (doc_id, text), vectors (vec_id, embedding), queries (query_id, query, query_vector): (query_id, doc_id, content, original_score, score, rank).
+
+    Semantic and keyword search side by side, 2k each, fused by weights; with variants (see variants_of()) each of them is
+    searched and their results are merged. The 2k best are reranked on the query itself and cut to k, from the threshold on;
+    scorer(query, content) is the reranker, False leaves the fused order. Last, diversity picks among them (S.mmr with this
+    bias; None: not at all) what is relevant enough. Nothing found is an empty table.
+    """
+    if variants is None:
+        found = _fused(docs, vectors, queries, 2 * k).drop("rank")
+    else:
+        named = variants.withColumn("variant", F.concat_ws(":", F.col("query_id").cast("string"), F.col("list_idx").cast("string")))
+        lists = _fused(docs, vectors, named.select(F.col("variant").alias("query_id"), "query", "query_vector"), 2 * k).withColumnRenamed("query_id", "variant")
+        found = merged(lists.join(named.select("variant", "query_id", "list_idx", "weight"), "variant"), 2 * k, gate)
+    rows = found.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").join(queries.select("query_id", "query"), "query_id")
+    ranked = S.rerank(rows, scorer, k, threshold).select("query_id", "doc_id", "content", "original_score", "score", "rank")
+    if diversity is None:
+        return ranked
+    candidates = ranked.select("query_id", F.col("rank").alias("seq"), "doc_id").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").join(queries.select("query_id", "query_vector"), "query_id")
+    chosen = S.mmr(candidates, k, diversity, relevance, leave_single=True).select("query_id", "doc_id", F.col("rank").alias("place"))
+    return ranked.join(chosen, ["query_id", "doc_id"]).select("query_id", "doc_id", "content", "original_score", "score", F.col("place").alias("rank"))
 
 
 def extractive(query: Column, contexts: Column) -> Column:
@@ -80,6 +130,34 @@ def retrieve_batch(t: Tables) -> DataFrame:
     return _found(t)
 
 
+@query()
+def retrieve_variants(t: Tables) -> DataFrame:
+    """Retrieval with a translation and the parts of each long question; texts and questions have one embedder."""
+    embed = hash_embedder()
+    docs = t.documents.select("doc_id", "text")
+    queries = t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 8).alias("query"))
+    memo = queries.select("query", F.upper("query").alias("translated"))
+    variants = variants_of(queries, embed, memo, lambda q: F.array_join(F.transform(F.split(q, " "), lambda w: F.concat(F.lit("What is "), w, F.lit(" there?"))), "\n"))
+    return retrieve(docs, docs.select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding")), queries.withColumn("query_vector", embed(F.col("query"))), variants=variants, relevance=0.1).drop("content")
+
+
+@query()
+def retrieve_plain(t: Tables) -> DataFrame:
+    """Without the choice for diversity."""
+    q = _batch(t).select("query_id", "query", "query_vector")
+    return retrieve(t.documents.select("doc_id", "text"), t.embeddings.select("vec_id", "embedding"), q, diversity=None).drop("content")
+
+
+FOUND_LISTS = "(0, 0, 'a', 0.9, 1, 1.0), (0, 0, 'b', 0.8, 2, 1.0), (0, 1, 'b', 0.7, 1, 0.8), (0, 1, 'c', 0.6, 2, 0.8), (1, 0, 'x', 0.5, 1, 1.0), (1, 0, 'y', 0.4, 2, 1.0)"
+
+
+@query(f"""WITH l AS (SELECT * FROM (VALUES {FOUND_LISTS}) t(query_id, list_idx, doc_id, score, rank, weight)), n AS (SELECT query_id, count(DISTINCT list_idx) AS lists FROM l GROUP BY query_id)
+  SELECT query_id, doc_id, round(CASE WHEN max(lists) = 1 THEN max(score) ELSE sum(1.0 / (60 + rank)) END, 6)::DOUBLE AS score FROM l JOIN n USING (query_id) GROUP BY ALL""")
+def fusion_gate(t: Tables) -> DataFrame:
+    lists = t.rows(FOUND_LISTS, "query_id, list_idx, doc_id, score, rank, weight").withColumn("score", F.col("score").cast("double"))
+    return merged(lists, 10)
+
+
 @query()
 def answer_batch(t: Tables) -> DataFrame:
     return answer(_found(t), _batch(t).select("query_id", "query"))
@@ -90,6 +168,11 @@ def evaluate_batch(t: Tables) -> DataFrame:
     return evaluate(_found(t), _batch(t).select("query_id", "truth"), 0.1)
 
 
+@query()
+def evaluate_default_threshold(t: Tables) -> DataFrame:
+    return evaluate(_found(t), _batch(t).select("query_id", "truth"))
+
+
 @query("SELECT doc_id, text AS question, coalesce(l.quality, 0) AS label FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY doc_id LIMIT 50")
 def evaluation_items(t: Tables) -> DataFrame:
     """The first items of a dataset; the limit is the reader's own parameter."""
