@@ -6,6 +6,7 @@ records of one file, the pieces of one text, the results of one query.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -143,6 +144,21 @@ def chunks(docs: DataFrame, size: int = 512, overlap: int = 256, least: int = 25
     return clean.select("doc_id", F.size("chunks").alias("chunk_total"), F.posexplode("chunks").alias("chunk_index", "chunk")).select("doc_id", "chunk_index", "chunk_total", "chunk")
 
 
+#: Strategies of cutting; those that need a model fall back to the recursive one, with a warning.
+STRATEGIES = {"recursive": chunks}
+FALLS_BACK = ("semantic", "smart")
+
+
+def chunked(docs: DataFrame, strategy: str = "recursive", **settings) -> DataFrame:
+    """chunks() by the strategy's name; further strategies register themselves in STRATEGIES."""
+    if strategy not in STRATEGIES:
+        if strategy not in FALLS_BACK:
+            raise ValueError(f"unknown strategy: {strategy}")
+        warnings.warn(f"{strategy} chunking needs a model; the recursive one is used", stacklevel=2)
+        strategy = "recursive"
+    return STRATEGIES[strategy](docs, **settings)
+
+
 def collapse(text: str, longest: int = 4) -> str:
     """Adjacent repeats of a phrase of at most `longest` words collapse to one, longer phrases first."""
     words, out, i = text.split(), [], 0

@@ -6,6 +6,9 @@ passes in, with a fallback that needs nothing.
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,17 +86,61 @@ def strip_accents(c: Column) -> Column:
 
 
 def scan(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """Files of a folder that some loader knows: (path, name, size, modified, content, hash, loader, kind)."""
+    """Files of a folder that some loader knows: (path, parent, name, extension, size, modified, content, hash, loader, kind)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    name = F.regexp_extract("path", "([^/]*)$", 1)
-    return files.select("path", name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content", F.sha2("content", 256).alias("hash"), loader(F.col("path")).alias("loader"), source_kind(F.col("path")).alias("kind")).where("loader <> 'error'")
+    return described(files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")).where("loader <> 'error'")
 
 
-def read_documents(files: DataFrame, pdf_pages: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """scan()'s files as (path, hash, kind, page, title, text, status): a row for each text file, JSON record or PDF page.
+def described(files: DataFrame) -> DataFrame:
+    """files (path, content, ...) with what their paths and bytes say of them: parent, name, extension, hash, loader, kind."""
+    path = F.col("path")
+    return files.withColumns({"parent": F.regexp_extract(path, "([^/]*)/[^/]*$", 1), "name": F.regexp_extract(path, "([^/]*)$", 1), "extension": extension(path), "hash": F.sha2("content", 256), "loader": loader(path), "kind": source_kind(path)})
+
+
+def subfolder_path(path: Column) -> Column:
+    """The last six folders of a path, joined by dots."""
+    folders = F.filter(F.split(path, "/"), lambda x: x != "")
+    above = F.slice(folders, F.lit(1), F.greatest(F.size(folders) - 1, F.lit(0)))
+    return F.array_join(F.slice(above, F.greatest(F.size(above) - 5, F.lit(1)), F.lit(6)), ".")
+
+
+def page_texts(pages: DataFrame, least: int = 50) -> DataFrame:
+    """pages (path, page, text, blocks): (path, page, text); a page with less text than `least` is read by blocks, blank ones go."""
+    short = F.length(strip(F.coalesce("text", F.lit("")))) < least
+    return pages.select("path", "page", F.when(short, F.coalesce("blocks", "text")).otherwise(F.col("text")).alias("text")).where(strip(F.coalesce("text", F.lit(""))) != "")
+
+
+def choose_pages(files: DataFrame, primary: DataFrame, fallback: DataFrame | None = None, least: int = 50) -> DataFrame:
+    """files (path), two readers' pages (path, page, text[, blocks]): (path, page, text, status).
+
+    The first reader's pages count where one of them has more than `least` characters, else the second one's; a file that
+    neither can read has one row with status error.
+    """
+    good = lambda pages: pages.groupBy("path").agg(F.max(F.length(strip("text"))).alias("most")).where(F.col("most") > least).select("path")
+    first = page_texts(primary, least)
+    taken = first.join(good(first), "path", "left_semi")
+    if fallback is not None:
+        other = fallback.select("path", "page", "text").where(strip(F.coalesce("text", F.lit(""))) != "")
+        taken = taken.unionByName(other.join(good(first), "path", "left_anti"))
+    taken = taken.withColumn("status", F.lit("ok"))
+    failed = files.select("path").join(taken.select("path"), "path", "left_anti").select("path", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text"), F.lit("error").alias("status"))
+    return taken.withColumn("page", F.col("page").cast("int")).unionByName(failed)
+
+
+def remote_title(fetched: Column, otherwise: str = "News Article") -> Column:
+    """The title that a fetcher found, or the constant where it found none or there is no fetcher (a null column)."""
+    return F.coalesce(F.nullif(strip(fetched), F.lit("")), F.lit(otherwise))
+
+
+PagesReader = Callable[[DataFrame], DataFrame]
+
+
+def read_documents(files: DataFrame, pdf_pages: PagesReader | None = None, pdf_fallback: PagesReader | None = None) -> DataFrame:
+    """described() files as (path, subfolder_path, hash, kind, page, title, text, status): a row for each text file, JSON record or PDF page.
 
     JSON files hold a list of records; one that does not parse gives a row with status error and no text. pdf_pages turns
-    (path, content) into (path, page, text); without it PDF files give an error row.
+    (path, content) into (path, page, text, blocks), pdf_fallback what it cannot read into (path, page, text); without them PDF
+    files give an error row.
     """
     base = ["path", "hash", "kind"]
     blank = {"page": F.lit(None).cast("int"), "title": F.lit(None).cast("string"), "status": F.lit("ok")}
@@ -104,9 +151,72 @@ def read_documents(files: DataFrame, pdf_pages: Callable[[DataFrame], DataFrame]
     if pdf_pages is None:
         pages = pdf.select(*base, F.lit(None).cast("string").alias("text")).withColumns(blank | {"status": F.lit("error")})
     else:
-        pages = pdf_pages(pdf.select("path", "content")).join(pdf.select(*base), "path").withColumns({"title": F.lit(None).cast("string"), "status": F.lit("ok")})
+        given = pdf.select("path", "content")
+        pages = choose_pages(given, pdf_pages(given), pdf_fallback and pdf_fallback(given)).join(pdf.select(*base), "path").withColumn("title", F.lit(None).cast("string"))
     columns = [*base, "page", "title", "text", "status"]
-    return texts.select(*columns).unionByName(records.select(*columns)).unionByName(pages.select(*columns))
+    every = texts.select(*columns).unionByName(records.select(*columns)).unionByName(pages.select(*columns))
+    return every.withColumn("subfolder_path", subfolder_path(F.col("path")))
+
+
+def whole_texts(files: DataFrame, pages: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
+    """described() files as (path, text, status): a whole text a file, for generators of questions.
+
+    Text files are read; PDF files are their pages (path, page, text) with a blank line between them; .docx and .doc files
+    what a reader (path, text) found. Other formats, and files without a reader, have status error.
+    """
+    suffix = F.col("extension")
+    plain = files.where(suffix == ".txt").select("path", F.decode("content", "UTF-8").alias("text"))
+    if pages is not None:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n\n")
+        plain = plain.unionByName(pages.join(files.where(suffix == ".pdf").select("path"), "path").groupBy("path").agg(joined.alias("text")))
+    if words is not None:
+        plain = plain.unionByName(words.join(files.where(suffix.isin(".docx", ".doc")).select("path"), "path").select("path", "text"))
+    return files.select("path").join(plain, "path", "left").select("path", "text", F.when(F.col("text").isNull(), "error").otherwise("ok").alias("status"))
+
+
+def store_rows(batches: DataFrame) -> DataFrame:
+    """batches (batch_id, ids, documents, metadatas, embeddings: arrays): (batch_id, id, document, metadata, embedding, status), a row a document.
+
+    A batch whose arrays differ in length is one row with status error; a missing id becomes doc_<place>_<hash of the text>.
+    """
+    n = F.size("documents")
+    sound = (F.size("metadatas") == n) & (F.size("embeddings") == n) & (F.col("ids").isNull() | (F.size("ids") == n))
+    rows = batches.where(sound).select("batch_id", "ids", F.posexplode(F.arrays_zip("documents", "metadatas", "embeddings")).alias("place", "r"))
+    named = F.coalesce(F.get("ids", F.col("place")), F.concat(F.lit("doc_"), F.col("place").cast("string"), F.lit("_"), F.md5(F.col("r.documents").cast("binary"))))
+    good = rows.select("batch_id", named.alias("id"), F.col("r.documents").alias("document"), F.col("r.metadatas").alias("metadata"), F.col("r.embeddings").alias("embedding"), F.lit("ok").alias("status"))
+    bad = batches.where(~F.coalesce(sound, F.lit(False))).select("batch_id").withColumns({f.name: F.lit(None).cast(f.dataType) for f in good.schema if f.name in ("id", "document", "metadata", "embedding")}).withColumn("status", F.lit("error"))
+    return good.unionByName(bad)
+
+
+def clear_store(spark: SparkSession, folder: str) -> None:
+    """Drops all rows and keeps the columns; a store needs no step to be persisted, it is when it is written."""
+    kept = spark.read.parquet(folder).schema
+    spark.createDataFrame([], kept).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
+
+
+_folders: list[tuple[SparkSession, str]] = []
+
+
+def working_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, in spark.checkpoint.dir; of this machine where all of Spark runs in it. Goes at exit."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: files need a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessella-files-")
+    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _folders.append((spark, folder))
+    return folder
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, folder in _folders:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session has ended
+            return
 
 
 def write_store(df: DataFrame, folder: str, mode: str = "append") -> None:
@@ -124,3 +234,41 @@ def write_csv(df: DataFrame, folder: str) -> None:
         flat = [(F.array_join(f"metadata.{f.name}", ", ") if f.dataType.typeName() == "array" else F.col(f"metadata.{f.name}")).alias(f"metadata_{f.name}") for f in df.schema["metadata"].dataType.fields]
         df = df.select(*(c for c in df.columns if c != "metadata"), *flat)
     df.write.mode("overwrite").option("header", True).csv(folder)
+
+
+def write_text(df: DataFrame, column: str, folder: str) -> None:
+    """A report a row, each in the order of df's partitions."""
+    df.select(column).write.mode("overwrite").text(folder)
+
+
+def judge_report(results: DataFrame, title: str) -> DataFrame:
+    """results (number, total, question, gold, answer, judges, mean, median, deviation, final): (number, report), the fixed layout of one evaluation.
+
+    judges: array of (judge, overall, accuracy, sensitivity, completeness, reasoning, outlier).
+    """
+    bar, rule = "=" * 80, "\u2500" * 80
+    score = lambda name, c: F.format_string(f"{name:<25}%.2f/5\n", c)
+    one = lambda j: F.concat(
+        F.lit("Judge: "), j["judge"], F.when(j["outlier"], " [OUTLIER]").otherwise(""), F.lit("\n"),
+        score("  Overall Score:", j["overall"]), F.format_string("  - Factual Accuracy:      %.2f/5\n", j["accuracy"]),
+        F.format_string("  - Cultural Sensitivity:  %.2f/5\n", j["sensitivity"]), F.format_string("  - Completeness:          %.2f/5\n", j["completeness"]),
+        F.lit("  \n  Reasoning:\n"), F.array_join(F.transform(F.split(j["reasoning"], "\n"), lambda x: F.concat(F.lit("  "), x)), "\n"), F.lit("\n\n"),
+    )
+    out = F.transform(F.filter("judges", lambda j: j["outlier"]), lambda j: j["judge"])
+    final = F.when(F.size(out) > 0, F.concat(F.lit("Outliers Detected:           "), F.array_join(out, ", "), F.format_string("\nFinal Score (outliers removed): %.2f/5\n", "final"))).otherwise(F.format_string("Outliers Detected:           None\nFinal Score:                 %.2f/5\n", "final"))
+    report = F.concat(
+        F.lit(f"\n{bar}\n"), F.format_string("EVALUATION %d/%d\n", "number", "total"), F.lit(f"{bar}\n\n"),
+        F.concat(F.lit("QUESTION:\n"), "question", F.lit("\n\nGOLDEN ANSWER:\n"), "gold", F.lit("\n\nMODEL ANSWER:\n"), "answer", F.lit("\n\n")),
+        F.lit(f"{rule}\nJUDGE EVALUATIONS:\n{rule}\n\n"), F.array_join(F.transform("judges", one), ""), F.lit(f"{rule}\nSTATISTICAL SUMMARY:\n{rule}\n"),
+        F.format_string("Mean Score (all judges):     %.2f/5\nMedian Score:                %.2f/5\nStandard Deviation:          %.2f\n", "mean", "median", "deviation"), final, F.lit("\n"),
+    )
+    return results.select("number", F.when(F.col("number") == 1, F.concat(F.lit(f"{bar}\n{title}\n{bar}\n\n"), report)).otherwise(report).alias("report"))
+
+
+def summary_report(summary: DataFrame, title: str) -> DataFrame:
+    """summary (total, mean, median, deviation, least, most, agreement): (report), the fixed layout over all evaluations."""
+    rule = "-" * 80
+    lines = [F.lit(f"{'=' * 80}\n{title}\n{'=' * 80}\n\n"), F.format_string("Total Evaluations: %d\n\n", "total"), F.lit(f"SCORE STATISTICS\n{rule}\n")]
+    lines += [F.format_string(f"{name:<20}%.2f{unit}\n", c) for name, c, unit in (("Mean Final Score:", "mean", "/5"), ("Median Final Score:", "median", "/5"), ("Std Deviation:", "deviation", ""), ("Min Score:", "least", "/5"), ("Max Score:", "most", "/5"))]
+    lines += [F.lit(f"\nJUDGE AGREEMENT RATE\n{rule}\n"), F.format_string("Judges agree (within 1 point): %.1f%%\n", F.col("agreement") * 100)]
+    return summary.select(F.concat(*lines).alias("report"))
