@@ -117,26 +117,35 @@ def hybrid_fusion(t: Tables) -> DataFrame:
 
 LISTS = "(0, 0, 0, 'A', 0.9), (0, 0, 1, 'B', 0.8), (0, 0, 2, 'C', 0.7), (0, 1, 0, 'B', 0.6), (0, 1, 1, 'D', 0.5), (0, 1, 2, 'A', 0.4), (1, 0, 0, 'A', 0.3), (1, 1, 0, 'C', 0.2), (1, 1, 1, '', 0.1), (1, 2, 0, 'A', 0.25)"
 LIST_COLUMNS = "query_id, list_idx, rank, doc_id, score"
+_LISTS = f"""(SELECT * FROM (VALUES {LISTS}) v({LIST_COLUMNS}) UNION ALL SELECT 100 + query_id, list_idx, row_number() OVER (PARTITION BY query_id, list_idx ORDER BY score DESC, doc_id) - 1, doc_id, score
+  FROM (SELECT doc_id % 40 AS query_id, n_chars % 3 AS list_idx, source AS doc_id, max(n_chars) / 16384.0 AS score FROM documents GROUP BY ALL)) t({LIST_COLUMNS})"""
 
 
-@query(f"""WITH f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank + 1)), 6) AS score, count(*) AS appearances, min((list_idx, rank)) AS seen FROM (VALUES {LISTS}) t({LIST_COLUMNS}) WHERE doc_id <> '' GROUP BY ALL)
+def _lists(t: Tables) -> DataFrame:
+    """Worked cases, and lists of sources for forty queries, made of the documents."""
+    made = t.documents.groupBy((F.col("doc_id") % 40 + 100).alias("query_id"), (F.col("n_chars") % 3).alias("list_idx"), F.col("source").alias("doc_id")).agg((F.max("n_chars") / 16384.0).alias("score"))
+    made = made.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "list_idx").orderBy(F.desc("score"), "doc_id")) - 1)
+    return t.rows(LISTS, LIST_COLUMNS).withColumn("score", F.col("score").cast("double")).unionByName(made)
+
+
+@query(f"""WITH f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank + 1)), 6) AS score, count(*) AS appearances, min((list_idx, rank)) AS seen FROM {_LISTS} WHERE doc_id <> '' GROUP BY ALL)
   SELECT query_id, doc_id, score, appearances, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, appearances DESC, seen) AS rank FROM f""")
 def rrf_fusion(t: Tables) -> DataFrame:
-    out = S.reciprocal_rank(t.rows(LISTS, LIST_COLUMNS))
+    out = S.reciprocal_rank(_lists(t))
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"""WITH l AS (SELECT * FROM (VALUES {LISTS}) t({LIST_COLUMNS})), w(list_idx, w) AS (VALUES (0, 0.5), (1, 0.25), (2, 0.25)), ids AS (SELECT DISTINCT query_id, doc_id FROM l)
+@query(f"""WITH l AS (SELECT * FROM {_LISTS}), w(list_idx, w) AS (VALUES (0, 0.5), (1, 0.25), (2, 0.25)), ids AS (SELECT DISTINCT query_id, doc_id FROM l)
   SELECT i.query_id, i.doc_id, round(sum(w.w * coalesce(l.score, 0.5)), 6)::DOUBLE AS score FROM ids i CROSS JOIN w LEFT JOIN l ON l.query_id = i.query_id AND l.doc_id = i.doc_id AND l.list_idx = w.list_idx GROUP BY ALL""")
 def weighted_fusion(t: Tables) -> DataFrame:
-    lists = t.rows(LISTS, LIST_COLUMNS).withColumn("score", F.col("score").cast("double"))
+    lists = _lists(t)
     return S.weighted_fusion(lists, t.rows("(0, 2.0D), (1, 1.0D), (2, 1.0D)", "list_idx, weight"))
 
 
-@query(f"""WITH l AS (SELECT query_id, doc_id, list_idx, score::DOUBLE * (CASE list_idx WHEN 0 THEN 1.0 ELSE 0.8 END)::DOUBLE AS x FROM (VALUES {LISTS}) t({LIST_COLUMNS}))
+@query(f"""WITH l AS (SELECT query_id, doc_id, list_idx, score::DOUBLE * (CASE list_idx WHEN 0 THEN 1.0 ELSE 0.8 END)::DOUBLE AS x FROM {_LISTS})
   SELECT query_id, doc_id, round(list_reduce(list(x ORDER BY list_idx), lambda a, b: (a + b) / 2), 6) AS score FROM l GROUP BY ALL""")
 def multilingual_merge(t: Tables) -> DataFrame:
-    lists = t.rows(LISTS, LIST_COLUMNS).withColumns({"score": F.col("score").cast("double"), "weight": F.when(F.col("list_idx") == 0, 1.0).otherwise(0.8)})
+    lists = _lists(t).withColumns({"weight": F.when(F.col("list_idx") == 0, 1.0).otherwise(0.8)})
     return S.fold_merge(lists)
 
 
@@ -228,7 +237,14 @@ def hash_embedding(t: Tables) -> DataFrame:
 # ---- questions
 
 QUESTIONS = "(1, 'Ano ang kahalagahan ng bayanihan?'), (2, 'What is the meaning of pasko and how is it different from christmas?'), (3, 'How to cook adobo step by step'), (4, 'Paano magluto ng sinigang at ano ang mga hakbang'), (5, 'Compare jeepney versus tricycle'), (6, 'Tell me about the history and the broad background of the region'), (7, ''), (8, 'xyz qwerty'), (9, 'Bakit mahalaga ang mga tradisyon sa kultura'), (10, 'List both the steps and the impact, and also explain why it is better than before or worse'), (11, 'anong tawag sa kanila')"
-_Q = f"(VALUES {QUESTIONS}) t(id, q)"
+_ASCII = "regexp_replace(text, '[^\\x20-\\x7E]', ' ', 'g')"
+_Q = f"(SELECT id, q FROM (VALUES {QUESTIONS}) v(id, q) UNION ALL SELECT 1000 + item_id, {_ASCII} FROM benchmark UNION ALL SELECT 1000000 + conv_id * 1000 + turn, {_ASCII} FROM conversations) t(id, q)"
+
+
+def _questions(t: Tables) -> DataFrame:
+    """Worked cases, and the texts of two tables as questions (in ASCII, where both engines' word boundaries are the same)."""
+    plain = F.regexp_replace("text", r"[^\x20-\x7E]", " ").alias("q")
+    return t.rows(QUESTIONS, "id, q").unionByName(t.benchmark.select((F.col("item_id") + 1000).alias("id"), plain)).unionByName(t.conversations.select((1000000 + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), plain))
 
 
 def _count_sql(items, c: str) -> str:
@@ -237,7 +253,7 @@ def _count_sql(items, c: str) -> str:
 
 @query(f"SELECT id, CASE WHEN {_count_sql(Q.TAGALOG_WORDS, 'lower(q)')} >= 2 OR {_count_sql(Q.TAGALOG_PHRASES, 'lower(q)')} > 0 THEN 'tl' ELSE 'en' END AS lang FROM {_Q}")
 def detect_language_words(t: Tables) -> DataFrame:
-    return t.rows(QUESTIONS, "id, q").select("id", Q.simple_language(F.col("q")).alias("lang"))
+    return _questions(t).select("id", Q.simple_language(F.col("q")).alias("lang"))
 
 
 def _any_sql(patterns) -> str:
@@ -247,7 +263,7 @@ def _any_sql(patterns) -> str:
 @query(f"WITH s AS (SELECT id, {_any_sql(Q.FILIPINO_PATTERNS)} AS fil, {_any_sql(Q.ENGLISH_PATTERNS)} AS en FROM {_Q}) SELECT id, CASE WHEN fil + en = 0 OR fil > en THEN 'fil' ELSE 'en' END AS lang, round(CASE WHEN fil + en = 0 THEN 0.5 ELSE greatest(fil, en) / (fil + en) END, 6) AS confidence FROM s")
 def detect_language_patterns(t: Tables) -> DataFrame:
     lang, confidence = Q.language(F.col("q"))
-    return t.rows(QUESTIONS, "id, q").select("id", lang.alias("lang"), F.round(confidence, 6).alias("confidence"))
+    return _questions(t).select("id", lang.alias("lang"), F.round(confidence, 6).alias("confidence"))
 
 
 def _type_sql(kind: str) -> str:
@@ -261,12 +277,12 @@ _PICK = " ".join(f"WHEN {k} = greatest({', '.join(Q.PRIORITY)}) THEN '{k}'" for
 @query(f"WITH s AS (SELECT id, {', '.join(f'{_type_sql(k)} AS {k}' for k in Q.PRIORITY)} FROM {_Q}) SELECT id, CASE WHEN greatest({', '.join(Q.PRIORITY)}) = 0 THEN 'Factual' {_PICK} END AS kind, round(CASE WHEN greatest({', '.join(Q.PRIORITY)}) = 0 THEN 0.5 ELSE greatest({', '.join(Q.PRIORITY)}) / ({' + '.join(Q.PRIORITY)}) END, 6) AS confidence FROM s")
 def classify_query(t: Tables) -> DataFrame:
     kind, confidence = Q.question_type(F.col("q"))
-    return t.rows(QUESTIONS, "id, q").select("id", kind.alias("kind"), F.round(confidence, 6).alias("confidence"))
+    return _questions(t).select("id", kind.alias("kind"), F.round(confidence, 6).alias("confidence"))
 
 
 @query(f"SELECT id, len(list_filter(regexp_split_to_array(q, '\\s+'), lambda x: x <> '')) >= 5 AND ({_count_sql(Q.PARTS, 'lower(q)')} >= 2 OR len(list_filter(regexp_split_to_array(q, '\\s+'), lambda x: x <> '')) > 20) AS split FROM {_Q}")
 def should_decompose(t: Tables) -> DataFrame:
-    return t.rows(QUESTIONS, "id, q").select("id", Q.should_decompose(F.col("q")).alias("split"))
+    return _questions(t).select("id", Q.should_decompose(F.col("q")).alias("split"))
 
 
 ANSWERS = "(1, 'Sub-questions:~1. What is a jeepney made of?~2) How old is it?~- ok', 'orig one'), (2, 'Note: nothing~#', 'orig two'), (3, '* First long question here~~** Second long question~3. Third long question~4. Fourth long question', 'orig')"
@@ -282,7 +298,7 @@ def parse_subqueries(t: Tables) -> DataFrame:
 
 @query(f"WITH tr(q, translated) AS (VALUES ('xyz qwerty', 'abc'), ('anong tawag sa kanila', 'anong tawag sa kanila')) SELECT id, q AS variant, 1.0::DOUBLE AS weight FROM {_Q} UNION ALL SELECT id, tr.translated, 0.8::DOUBLE FROM {_Q} JOIN tr ON t.q = tr.q WHERE tr.translated <> t.q")
 def translation_variants(t: Tables) -> DataFrame:
-    q = t.rows(QUESTIONS, "id, q")
+    q = _questions(t)
     memo = t.rows("('xyz qwerty', 'abc'), ('anong tawag sa kanila', 'anong tawag sa kanila')", "q, translated")
     other = q.join(F.broadcast(memo), "q").where("translated <> q").select("id", F.col("translated").alias("variant"), F.lit(0.8).alias("weight"))
     return q.select("id", F.col("q").alias("variant"), F.lit(1.0).alias("weight")).unionByName(other)

@@ -131,41 +131,54 @@ def size_and_time(t: Tables) -> DataFrame:
 
 PATHS = "('data/knowledge_base/books/intro-to_x.pdf'), ('data/wikipedia/page.json'), ('Data/news_sites/a/b.json'), ('gutenberg/x.TXT'), ('Bible/y.txt.bak'), ('notes.md'), ('knowledgebase/google_books/z.json'), ('news-site/report.pdf'), ('100year/a.txt'), ('plain.docx'), ('')"
 
+_PATHS = f"(SELECT path FROM (VALUES {PATHS}) v(path) UNION ALL SELECT url FROM pages UNION ALL SELECT source || '/' || lang || '/' || doc_id || '.txt' FROM documents) t(path)"
+
+
+def _paths(t: Tables) -> DataFrame:
+    """Worked cases, and the paths that two tables have."""
+    made = t.documents.select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return t.rows(PATHS, "path").unionByName(t.pages.select(F.col("url").alias("path"))).unionByName(made)
+
 
 @query(rf"""SELECT path, CASE WHEN lower(path) LIKE '%100year%' THEN '100year' WHEN lower(path) LIKE '%bible%' THEN 'bible' WHEN lower(path) LIKE '%google\_books%' ESCAPE '\' THEN 'google_books' WHEN lower(path) LIKE '%gutenberg%' THEN 'gutenberg' WHEN lower(path) LIKE '%news\_sites%' ESCAPE '\' THEN 'news_sites' WHEN lower(path) LIKE '%wikipedia%' THEN 'wikipedia' ELSE 'unknown' END AS kind,
   CASE lower(regexp_extract(path, '(\.[A-Za-z0-9]+)$', 1)) WHEN '.pdf' THEN 'pdf' WHEN '.txt' THEN 'text' WHEN '.json' THEN 'json' ELSE CASE WHEN regexp_extract(path, '([^/]*)$', 1) LIKE '%.txt%' THEN 'text' ELSE 'error' END END AS loader,
-  lower(regexp_extract(path, '(\.[A-Za-z0-9]+)$', 1)) IN ('.txt', '.md', '.pdf', '.docx', '.doc') AS supported FROM (VALUES {PATHS}) t(path)""")
+  lower(regexp_extract(path, '(\.[A-Za-z0-9]+)$', 1)) IN ('.txt', '.md', '.pdf', '.docx', '.doc') AS supported FROM {_PATHS}""")
 def path_dispatch(t: Tables) -> DataFrame:
     p = F.col("path")
-    return t.rows(PATHS, "path").select("path", readers.source_kind(p).alias("kind"), readers.loader(p).alias("loader"), readers.is_supported(p).alias("supported"))
+    return _paths(t).select("path", readers.source_kind(p).alias("kind"), readers.loader(p).alias("loader"), readers.is_supported(p).alias("supported"))
 
 
-@query(rf"""WITH n AS (SELECT path, regexp_replace(regexp_replace(regexp_replace(path, '^[Dd]ata/[Kk]nowledge_?[Bb]ase/', ''), '^[Dd]ata/', ''), '^[Kk]nowledge_?[Bb]ase/', '') AS norm FROM (VALUES {PATHS}) t(path))
+@query(rf"""WITH n AS (SELECT path, regexp_replace(regexp_replace(regexp_replace(path, '^[Dd]ata/[Kk]nowledge_?[Bb]ase/', ''), '^[Dd]ata/', ''), '^[Kk]nowledge_?[Bb]ase/', '') AS norm FROM {_PATHS})
   SELECT path, norm, CASE WHEN norm = '' THEN 'unknown' WHEN contains(lower(norm), 'wikipedia') THEN 'wikipedia' WHEN contains(lower(norm), 'news_site') OR contains(lower(norm), 'news-site') THEN 'news_site' WHEN norm LIKE '%.pdf' THEN 'pdf' WHEN contains(lower(norm), 'book') THEN 'books' ELSE 'unknown' END AS category,
   CASE WHEN path LIKE '%.pdf' THEN array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(regexp_extract(norm, '([^/]*)$', 1), '\.pdf$', ''), '[-_]', ' ', 'g'), ' '), lambda x: x <> ''), lambda x: upper(x[1]) || lower(x[2:])), ' ') END AS title FROM n""")
 def source_category(t: Tables) -> DataFrame:
     p = F.col("path")
-    return t.rows(PATHS, "path").select("path", T.source_path(p).alias("norm"), T.source_category(T.source_path(p)).alias("category"), T.pdf_title(p).alias("title"))
+    return _paths(t).select("path", T.source_path(p).alias("norm"), T.source_category(T.source_path(p)).alias("category"), T.pdf_title(p).alias("title"))
 
 
 RECORDS = """('{"title":"A","author":null,"translatedBy":null,"yearPublished":"1900","text":"x"}', 'gutenberg'), ('{"text":"n","category":"c","date":"d","tags":["a","b"],"url":"http://s/x-y-12"}', 'news_sites'), ('{"date":1.5,"title":"W","text":"t"}', 'wikipedia'), ('{"text":"only"}', 'bible'), ('{"text":"only"}', 'wikipedia'), ('{"other":1}', 'unknown')"""
 
 
-@query(f"""WITH r AS (SELECT record, kind, json_keys(record::JSON) AS k FROM (VALUES {RECORDS}) t(record, kind))
+def _records(t: Tables) -> DataFrame:
+    made = t.conversations.select(F.to_json(F.struct(F.col("turn").alias("date"), F.col("role").alias("title"), "text")).alias("record"), F.when(F.col("turn") % 2 == 0, "bible").otherwise("wikipedia").alias("kind"))
+    return t.rows(RECORDS, "record, kind").unionByName(made)
+
+
+@query(f"""WITH r AS (SELECT record, kind, json_keys(record::JSON) AS k FROM (SELECT * FROM (VALUES {RECORDS}) v(record, kind) UNION ALL SELECT to_json({{'date': turn, 'title': role, 'text': text}}), CASE WHEN turn % 2 = 0 THEN 'bible' ELSE 'wikipedia' END FROM conversations) t(record, kind))
   SELECT record, CASE WHEN list_has_all(k, ['title','author','translatedBy','yearPublished','text']) THEN 'books' WHEN list_has_all(k, ['text','category','date','tags','url']) THEN 'news' WHEN list_has_all(k, ['date','title','text']) THEN 'encyclopedia' WHEN list_contains(k, 'text') AND kind IN ('100year', 'bible') THEN 'text' ELSE 'error' END AS shape,
   CASE kind WHEN 'bible' THEN 'Bible' WHEN 'news_sites' THEN 'News' ELSE coalesce(record::JSON->>'title', 'Untitled ' || kind) END AS title, kind FROM r""")
 def record_dispatch(t: Tables) -> DataFrame:
     r = F.col("record")
     title = F.when(F.col("kind") == "bible", "Bible").when(F.col("kind") == "news_sites", "News").otherwise(F.coalesce(F.get_json_object(r, "$.title"), F.concat(F.lit("Untitled "), "kind")))
-    return t.rows(RECORDS, "record, kind").select("record", readers.record_shape(r, F.col("kind")).alias("shape"), title.alias("title"), "kind")
+    return _records(t).select("record", readers.record_shape(r, F.col("kind")).alias("shape"), title.alias("title"), "kind")
 
 
 TITLES = "('Storm hits coast | Site Online'), ('Vote counted - Site News'), ('Plain title | '), ('  spaced   out  '), ('')"
 
 
-@query(rf"""SELECT raw, coalesce(nullif({T.strip_sql(r'''regexp_replace(regexp_replace(replace(replace(raw, ' | Site Online', ''), ' - Site News', ''), '[ |]+$', ''), '\s+', ' ', 'g')''')}, ''), 'Article') AS title FROM (VALUES {TITLES}) t(raw)""")
+@query(rf"""SELECT raw, coalesce(nullif({T.strip_sql(r'''regexp_replace(regexp_replace(replace(replace(raw, ' | Site Online', ''), ' - Site News', ''), '[ |]+$', ''), '\s+', ' ', 'g')''')}, ''), 'Article') AS title FROM (SELECT raw FROM (VALUES {TITLES}) v(raw) UNION ALL SELECT text || ' - Site News' FROM benchmark) t(raw)""")
 def publisher_suffix(t: Tables) -> DataFrame:
-    return t.rows(TITLES, "raw").select("raw", readers.clean_title(F.col("raw"), (" | Site Online", " - Site News"), "Article").alias("title"))
+    return t.rows(TITLES, "raw").unionByName(t.benchmark.select(F.concat("text", F.lit(" - Site News")).alias("raw"))).select("raw", readers.clean_title(F.col("raw"), (" | Site Online", " - Site News"), "Article").alias("title"))
 
 
 # ---- the store
