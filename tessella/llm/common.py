@@ -15,10 +15,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; documents run to 120 KB, so a batch stays near 10 MB.
-ARROW_ROWS = 2000
+#: Rows and bytes of an Arrow batch: whichever is reached first ends it, so long documents make short batches.
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 #: Distinct words a worker remembers before it starts again.
-WORD_CACHE = 300_000
+WORD_CACHE = 200_000
+#: Bytes of the longest words that are remembered.
+LONG = 128
 
 #: Sizes from here on are Catalyst's way to say that it does not know.
 UNKNOWN = 1 << 60
@@ -35,6 +37,7 @@ def tune(spark: SparkSession) -> SparkSession:
     Also sends this package to the executors, which need not have it installed.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[1]
@@ -54,9 +57,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share, spark.checkpoint.dir; a folder of this machine only where all of Spark runs in it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessella"
@@ -133,7 +138,9 @@ class WordHash(dict):
         self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
+        value = xxhash.xxh3_64_intdigest(word, self.seed)
+        if len(word) <= LONG:
+            self[word] = value
         return value
 
     def trim(self) -> None:

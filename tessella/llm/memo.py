@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+#: Letters or bytes of the longest words that are remembered: what is held is bounded in bytes, too.
+LONG = 128
+
 
 class Memo(dict):
     """key -> make(key), remembered in two generations: what was used since the last change of generations stays.
 
-    Call trim() between documents; at most twice `size` values (and one document's) are held.
+    Call trim() between documents; at most twice `size` values (and one document's) are held, none of a key above LONG.
     """
 
     def __init__(self, make: Callable, size: int):
@@ -16,6 +19,8 @@ class Memo(dict):
         self.make, self.size, self.elder = make, size, {}
 
     def __missing__(self, key):
+        if len(key) > LONG:
+            return self.make(key)
         value = self.elder.get(key)
         if value is None:
             value = self.make(key)

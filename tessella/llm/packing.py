@@ -38,12 +38,14 @@ WINDOW = 2048
 #: The id behind each document.
 END = 1
 #: Words a worker remembers, in each of two generations.
-WORDS = 400_000
+WORDS = 300_000
 #: Bytes of ids that a block should have at most.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 128 << 20
 #: The pattern that the word-level pre-tokeniser keeps (fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+_MARKS = frozenset(bytes([b]) for b in b".,!?;:")
+
 
 class WordTokenizer:
     """ids of a text as the tokenizers library gives them for a lower-casing word BPE, each word asked for once.
@@ -69,10 +71,18 @@ class WordTokenizer:
         return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters are one piece
+            return self.piece[word.lower().decode()]
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return self.piece[word[:-1].lower().decode()] + self.piece[word[-1:].decode()]
         text = word.decode()
         if not text.isascii():
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        return b"".join(map(self.piece.__getitem__, self.pieces.findall(text.lower() if text.isascii() else text)))
+            text = unicodedata.normalize("NFC", text)
+            text = text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text)  # a final sigma is no other letter here
+            if text.isalpha() and max(text) < "\u0250":  # Latin letters, whatever the table of Unicode
+                return self.piece[text]
+            return b"".join(map(self.piece.__getitem__, self.pieces.findall(text)))
+        return b"".join(map(self.piece.__getitem__, self.pieces.findall(text.lower())))
 
     def _plain(self, text: bytes) -> bytes:
         return b"".join(map(self.word.__getitem__, text.split()))
