@@ -471,6 +471,32 @@ def test_quality(spark, docs, empty):
     assert quality.quality(empty, labels.limit(0)).count() == 0
 
 
+def test_network_by_plain_loops():
+    w = {k: v.astype(np.float64) for k, v in quality.start(2).items()}
+    w["bias"] += 0.1
+    for n in (0, 1, 3, 4, 9, 255, 256, 260, 700):
+        text = bytes(random.Random(n).randrange(256) for _ in range(n))
+        rows = max(2, -(-n // quality.STEP))
+        padded = text + bytes(rows * quality.STEP - n)
+        found = []
+        for i in range(rows - 1):
+            window = padded[quality.STEP * i : quality.STEP * (i + 2)]
+            found.append([])
+            for f in range(quality.FILTERS):
+                x = w["bias"][f]
+                for place, byte in enumerate(window):
+                    half, at = divmod(place, quality.STEP)
+                    for d in range(quality.DIM):
+                        x += w["bytes"][byte][d] * w["halves"][at * quality.DIM + d][half * quality.FILTERS + f]
+                found[-1].append(max(x, 0.0))
+        chunks = [found[s : s + quality.CHUNK] for s in range(0, max(1, len(found) - (quality.CHUNK - quality.STRIDE)), quality.STRIDE)]
+        assert sum(len(c) for c in chunks) >= len(found) and chunks[-1][-1] is found[-1]  # from end to end
+        top = [[max(a[f] for a in c) for f in range(quality.FILTERS)] for c in chunks]
+        features = [sum(t[f] for t in top) / len(top) for f in range(quality.FILTERS)] + [max(t[f] for t in top) for f in range(quality.FILTERS)]
+        want = 1 / (1 + np.exp(-(sum(a * b for a, b in zip(features, w["out"])) + w["base"][0])))
+        assert abs(quality.score(w, text) - want) < 1e-9
+
+
 def test_network_slices_and_gradient():
     w = {k: v.astype(np.float64) for k, v in quality.start(1).items()}
     text = bytes(random.Random(1).randrange(256) for _ in range(9000))
