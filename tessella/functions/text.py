@@ -45,6 +45,11 @@ EDGES = (
 )
 
 
+#: GLUED's steps between two classes of characters, as one: each pair of neighbours is of one kind at most, so their order
+#: does not matter, and a character is looked at once for all of them.
+BETWEEN = (r"[a-z](?=[A-Z0-9\.,:;!?])|[A-Z](?=[0-9\.,:;!?])|[0-9](?=[a-zA-Z])|[\.,:;!?](?=[a-zA-Z])", "$0 ")
+
+
 def replace_all(c: Column, steps) -> Column:
     """A leading word boundary is asked behind the word that follows it: so words are sought first, boundaries only there."""
     for pattern, to in steps:
@@ -86,7 +91,7 @@ def normalize(c: Column) -> Column:
     The text is named once, so that a second pass over the first one does not compute that again; white space alone folds to
     one blank and is stripped, so it needs no case of its own.
     """
-    return strip(replace_all(strip(replace_all(F.coalesce(c, F.lit("")), GLUED)), TIDY))
+    return strip(replace_all(strip(replace_all(F.coalesce(c, F.lit("")), (BETWEEN, *GLUED[5:]))), TIDY))
 
 
 def normalize_sql(e: str) -> str:

@@ -13,7 +13,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import boundary_clean, citation, is_valid, normalize, strip
@@ -37,6 +37,17 @@ def exact_duplicates(docs: DataFrame, key: Column, order: str = "doc_id") -> Dat
     return hashed.join(first, "content_hash").select(order, "content_hash", (F.col(order) > F.col("__first")).alias("duplicate"))
 
 
+def numbered(df: DataFrame, order: str, name: str = "i") -> DataFrame:
+    """df with its rows numbered from 1 in the order of a column without ties: ranges are sorted apart, and each begins where
+    the ones before it end, so no task holds all rows."""
+    sorted_ = df.repartitionByRange(order).sortWithinPartitions(order)
+    task = F.spark_partition_id()
+    placed = settled(sorted_.withColumns({"__range": task, name: F.monotonically_increasing_id() - F.shiftleft(task.cast("long"), 33) + 1}))
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("n"))  # a row a range
+    before = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return placed.join(before, "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
+
+
 def ratio(a: str, b: str) -> float:
     """Ratcliff-Obershelp similarity of two lower-cased texts; 0 if either is empty."""
     return SequenceMatcher(None, a.lower(), b.lower()).ratio() if a and b else 0.0

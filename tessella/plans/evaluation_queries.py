@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import search as S
 from ..operators import trees
+from ..operators.prepare import numbered
 from .catalog import Tables, query
 from .search_queries import f1_sql
 
@@ -199,12 +200,11 @@ def gold_update(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", "c_mktsegment").join(_last(t), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce(F.nullif("priority", F.lit("1-URGENT")), "c_mktsegment").alias("gold"))
 
 
-@query("WITH a AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS i, n_name FROM nation), b AS (SELECT row_number() OVER (ORDER BY r_regionkey) AS i, r_name FROM region) SELECT a.i, n_name, r_name FROM a JOIN b USING (i)")
+@query("WITH a AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_orderpriority FROM orders), b AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_name FROM customer) SELECT a.i, o_orderpriority, c_name FROM a JOIN b USING (i)")
 def positional_zip(t: Tables) -> DataFrame:
-    """Rows of two ordered lists side by side, up to the shorter one; lists of judgements are small."""
-    a = t.nation.select(F.row_number().over(Window.orderBy("n_nationkey")).cast("long").alias("i"), "n_name")
-    b = t.region.select(F.row_number().over(Window.orderBy("r_regionkey")).cast("long").alias("i"), "r_name")
-    return a.join(b, "i")
+    """Rows of two ordered lists side by side, up to the shorter one."""
+    a = numbered(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey").select("i", "o_orderpriority")
+    return a.join(numbered(t.customer.select("c_custkey", "c_name"), "c_custkey").select("i", "c_name"), "i")
 
 
 STATES = "(1, 'valid', 'valid', 'valid', 'valid'), (2, 'invalid', 'valid', 'valid', 'valid'), (3, 'valid', 'invalid', 'error', 'valid'), (4, 'invalid', 'invalid', 'valid', 'valid'), (5, 'partial', 'error', 'valid', 'invalid'), (6, 'valid', 'valid', 'invalid', 'invalid')"
