@@ -1,10 +1,10 @@
 """Operator 2, document fingerprints: a canonical exact digest.
 
 The canonical form of a text is its Unicode normal form NFKC, case-folded, with each run of white space folded to one
-blank and none at its ends. Its 128-bit xxhash is the digest. All texts, documents' and edited ones, are grouped by digest; for
-digests that occur more than once the canonical bytes are brought together and compared, so that a collision of the hash
-cannot give two different texts one fingerprint: where a digest has several canonical texts, their fingerprints get the text's
-number (in byte order) behind the digest. Texts of a digest of their own need not travel for that.
+blank and none at its ends. Its 128-bit xxhash is the digest. Texts of one digest are grouped and their canonical bytes
+compared, so that a collision of the hash cannot give two different texts one fingerprint: where a digest has several
+canonical texts, their fingerprints get the text's number (in byte order) behind the digest. Edited texts are compared with the
+documents and with each other in the same way; only those travel for that whose digest another text has, too.
 
 Likeness of two fingerprints is 1.0 if they are equal, else 0.0: the digest is exact, and says nothing of near texts.
 """
@@ -66,28 +66,38 @@ def _bytes_of(edited: bool, digits: int):
 BYTES_DDL = "digest string, id long, raw long, next_id long, next_raw long, z binary"
 
 
+def _packed(digits: int):
+    """(digest, z) of whole texts: their packed canonical bytes, once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            seen = dict.fromkeys(map(canonical, batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([digest(c, digits) for c in seen], pa.string()), pa.array([pack.compress(c) for c in seen], pa.binary())], names=["digest", "z"])
+
+    return run
+
+
 def collisions(found: DataFrame, given: DataFrame, digits: int = 32) -> DataFrame:
-    """found (fingerprint, edited_fingerprint: digests; id, raw, next_id, next_raw) of the rows of given (id, raw, text).
+    """found (fingerprint, edited_fingerprint: digests; id, raw, next_id, next_raw) of the rows of given (doc_id, text).
 
     (digest, id, raw, next_id, next_raw, number): for digests that several canonical texts share, byte by byte, the number of
     each row's text (next_id and next_raw null) and edited text; as a rule the table is empty.
     """
-    every = found.select(F.col("fingerprint").alias("digest")).unionAll(found.select("edited_fingerprint"))
-    repeated = stash(every.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
-    keys = ["id", "raw", "next_id", "next_raw"]
-    own = found.select("id", "raw", F.col("fingerprint").alias("digest")).join(repeated, "digest", "left_semi").select("id", "raw").distinct()
+    keys, texts = ["id", "raw", "next_id", "next_raw"], with_raw(given)
+    every = found.select(F.col("fingerprint").alias("digest"), F.lit(0).alias("edited")).unionAll(found.select("edited_fingerprint", F.lit(1)))
+    repeated = stash(every.groupBy("digest").agg(F.count("*").alias("n"), F.max("edited").alias("edited")).where("n > 1 and edited = 1").select("digest"))
     edited = stash(found.select(*keys, F.col("edited_fingerprint").alias("digest")).join(repeated, "digest", "left_semi").select(*keys).distinct())
-    needed = stash(own.unionAll(edited.select("id", "raw")).unionAll(edited.select("next_id", "next_raw")).distinct())  # only these travel
-    texts = stash(given.select("id", "raw", "text").join(needed, ["id", "raw"], "left_semi").dropDuplicates(["id", "raw"]))
-    own = texts.join(own, ["id", "raw"], "left_semi").mapInArrow(_bytes_of(False, digits), BYTES_DDL)
-    following = texts.select(F.col("id").alias("next_id"), F.col("raw").alias("next_raw"), F.col("text").alias("following"))
-    edited = edited.join(texts, ["id", "raw"]).join(following, ["next_id", "next_raw"]).mapInArrow(_bytes_of(True, digits), BYTES_DDL)
-    packed = own.unionAll(edited)
-    several = packed.groupBy("digest").agg(F.min("z").alias("least"), F.max("z").alias("most")).where("least <> most").select("digest")
-    several = stash(several)  # of 128 bits: none, or a handful
-    if several.isEmpty():
+    needed = stash(edited.select("id", "raw").unionAll(edited.select("next_id", "next_raw")).distinct())  # of edited texts only these travel
+    whole = stash(texts.join(needed, ["id", "raw"], "left_semi").dropDuplicates(["id", "raw"]))
+    following = whole.select(F.col("id").alias("next_id"), F.col("raw").alias("next_raw"), F.col("text").alias("following"))
+    edited = stash(edited.join(whole, ["id", "raw"]).join(following, ["next_id", "next_raw"]).mapInArrow(_bytes_of(True, digits), BYTES_DDL))
+    packed = given.select("text").mapInArrow(_packed(digits), "digest string, z binary").unionAll(edited.select("digest", "z"))
+    several = stash(packed.groupBy("digest").agg(F.min("z").alias("least"), F.max("z").alias("most")).where("least <> most").select("digest"))
+    if several.isEmpty():  # of 128 bits there are none, or a handful
         return several.select("digest", *(F.lit(None).cast("long").alias(k) for k in keys), F.lit(0).alias("number"))
-    clashing = stash(packed.join(several, "digest", "left_semi"))
+    own = texts.mapInArrow(_bytes_of(False, digits), BYTES_DDL)
+    clashing = stash(own.unionAll(edited).join(several, "digest", "left_semi").distinct())
     numbers = clashing.select("digest", "z").distinct().withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy("z")) - 1)
     return stash(clashing.join(numbers, ["digest", "z"]).drop("z"))
 
@@ -173,7 +183,7 @@ def fingerprints(docs: DataFrame, digits: int = 32) -> DataFrame:
     dealt = given.mapInArrow(_deal(cuts, blocks), "block int, tail boolean, doc_id long, z binary")
     ordered = dealt.repartitionById(max(1, len(cuts)), F.col("block")).sortWithinPartitions(F.col("block"), F.col("tail"), F.col("doc_id").desc_nulls_last(), F.col("z"))
     found = stash(ordered.mapInArrow(_pairs(digits), FOUND_DDL + ", id long, raw long, next_id long, next_raw long"))
-    clashes = collisions(found, with_raw(given), digits)
+    clashes = collisions(found, given, digits)
     if not clashes.isEmpty():
         found = _resolve(_resolve(found, clashes, "fingerprint", ["id", "raw"]), clashes, "edited_fingerprint", ["id", "raw", "next_id", "next_raw"])
     return found.select(*FOUND.names)
