@@ -12,20 +12,15 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import boundary_clean, citation, is_valid, normalize, strip
+from ..sources.scratch import settled
 
 SEPARATORS = ("\n\n", "\n", "! ", "? ", ". ", " ", "")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once for several uses: in spark.checkpoint.dir where it is set, else kept in the session."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist(StorageLevel.DISK_ONLY)
-
-
 def exact_duplicates(docs: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
     """(order, content_hash, duplicate) of each row of docs: all but the first of each content are duplicates.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import terms
-from .prepare import settled
+from ..sources.scratch import settled
 
 PLACES = 6
 #: Queries and vectors that are compared as one product of matrices.

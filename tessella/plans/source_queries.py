@@ -10,6 +10,7 @@ from ..functions.text import strip, strip_sql, terms
 from ..operators import prepare, scores, trees
 from ..operators import search as S
 from ..sources import readers as R
+from ..sources.scratch import working_folder
 from .catalog import Tables, query
 from .search_queries import EMBED, f1_sql
 from .text_queries import TERMS
@@ -18,7 +19,7 @@ from .text_queries import TERMS
 @query("""SELECT 'item_id=' || item_id AS parent, '.txt' AS extension, 'text' AS loader, 'unknown' AS kind, octet_length(encode(text)) + 1 AS size, sha256(text || chr(10)) AS hash, text || chr(10) AS text FROM benchmark""")
 def directory_scan(t: Tables) -> DataFrame:
     """A folder with a text file for each benchmark row, listed and read."""
-    folder = R.working_folder(t.spark)
+    folder = working_folder(t.spark)
     t.benchmark.repartition("item_id").write.partitionBy("item_id").text(folder)
     files = R.scan(t.spark, folder)
     read = R.read_documents(files).select("path", "text")
@@ -96,7 +97,7 @@ def store_batches(t: Tables) -> DataFrame:
 @query("SELECT doc_id, md5(text) AS hash, lang AS kind FROM documents UNION ALL SELECT doc_id, source AS hash, 'again' FROM documents")
 def store_sink(t: Tables) -> DataFrame:
     """Two appends to a store, read again."""
-    folder = R.working_folder(t.spark)
+    folder = working_folder(t.spark)
     R.write_store(t.documents.select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"), F.col("lang").alias("kind")), folder)
     R.write_store(t.documents.select("doc_id", F.col("source").alias("hash"), F.lit("again").alias("kind")), folder)
     return t.spark.read.parquet(folder).select("doc_id", "hash", "kind")
@@ -104,7 +105,7 @@ def store_sink(t: Tables) -> DataFrame:
 
 @query("SELECT 0::BIGINT AS rows, 'doc_id,source' AS columns")
 def store_clear(t: Tables) -> DataFrame:
-    folder = R.working_folder(t.spark)
+    folder = working_folder(t.spark)
     R.write_store(t.documents.select("doc_id", "source"), folder)
     R.clear_store(t.spark, folder)
     left = t.spark.read.parquet(folder)
@@ -113,7 +114,7 @@ def store_clear(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, quality, toxic FROM labels")
 def json_sink(t: Tables) -> DataFrame:
-    folder = R.working_folder(t.spark)
+    folder = working_folder(t.spark)
     R.write_json(t.labels, folder)
     return t.spark.read.schema(t.labels.schema).json(folder).select("doc_id", "quality", "toxic")
 
@@ -121,7 +122,7 @@ def json_sink(t: Tables) -> DataFrame:
 @query("SELECT doc_id, lang || ', ' || source AS metadata_tags, n_chars AS metadata_size FROM documents")
 def csv_sink(t: Tables) -> DataFrame:
     """Metadata flattened to columns, its lists joined by commas."""
-    folder = R.working_folder(t.spark)
+    folder = working_folder(t.spark)
     R.write_csv(t.documents.select("doc_id", F.struct(F.array("lang", "source").alias("tags"), F.col("n_chars").alias("size")).alias("metadata")), folder)
     return t.spark.read.option("header", True).schema("doc_id long, metadata_tags string, metadata_size long").csv(folder)
 

@@ -6,9 +6,6 @@ passes in, with a fallback that needs nothing.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -194,31 +191,6 @@ def clear_store(spark: SparkSession, folder: str) -> None:
     spark.createDataFrame([], kept).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
 
 
-_folders: list[tuple[SparkSession, str]] = []
-
-
-def working_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share, in spark.checkpoint.dir; of this machine where all of Spark runs in it. Goes at exit."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir is not set: files need a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tessella-files-")
-    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    _folders.append((spark, folder))
-    return folder
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, folder in _folders:
-        try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001  the session has ended
-            return
-
-
 def write_store(df: DataFrame, folder: str, mode: str = "append") -> None:
     """A vector store is a Parquet folder, partitioned by source kind so that filters skip files."""
     df.write.mode(mode).partitionBy("kind").parquet(folder) if "kind" in df.columns else df.write.mode(mode).parquet(folder)
