@@ -239,22 +239,22 @@ def _block_links(percent: int):
     return run
 
 
-def _late_links(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _late_links(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """members (rep, hub, compared): links (a, b) between components, of members of one hub that lie in different ones.
 
     Members that lie in the hub's component are settled with each other; blocks of the rest are compared with each other and
     with the blocks of the settled ones.
     """
     named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    of_hub = named.where("rep = hub").select("hub", F.col("component").alias("settled"))
-    named = named.join(of_hub, "hub").withColumn("rest", F.col("component") != F.col("settled"))
-    named = named.join(reps.select("rep", "n_shingles", "sketch", "z"), "rep")
-    rest = lambda x: F.sum(F.when(F.col("rest"), x).otherwise(0))
-    sums = named.groupBy("hub").agg(F.count("*").alias("n"), rest(1).alias("n_rest"), rest(F.col("n_shingles")).alias("s_rest"), F.sum("n_shingles").alias("s"), F.max(F.col("rest") & ~F.col("compared")).alias("open"))
-    sums = sums.where("n_rest > 0 and (open or n > 2)")  # else the hub and one member, compared already
+    sizes = named.join(texts.select("rep", "n_shingles"), "rep")
+    each = sizes.groupBy("hub", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.max(F.col("rep") == F.col("hub")).alias("settled"), F.min("compared").alias("compared"))
+    of = lambda settled, column: F.sum(F.when(F.col("settled") == settled, F.col(column)).otherwise(0))
+    open_ = F.max(~F.col("settled") & ~F.col("compared"))
+    sums = each.groupBy("hub").agg(of(False, "n").alias("n_rest"), of(False, "s").alias("s_rest"), of(True, "n").alias("n_settled"), of(True, "s").alias("s_settled"), open_.alias("open"), F.max(F.when(F.col("settled"), F.col("component"))).alias("settled"))
+    sums = sums.where("n_rest > 0 and (open or n_rest + n_settled > 2)")  # else the hub and one member, compared already
     blocks = lambda n, s: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(s) / BLOCK_SHINGLES)).cast("int")
-    sums = sums.withColumns({"n_settled": F.col("n") - F.col("n_rest"), "s_settled": F.col("s") - F.col("s_rest")})
-    rows = named.join(sums.select("hub", blocks("n_rest", "s_rest").alias("r"), blocks("n_settled", "s_settled").alias("t")), "hub")
+    rows = named.join(sums.select("hub", "settled", blocks("n_rest", "s_rest").alias("r"), blocks("n_settled", "s_settled").alias("t")), "hub")
+    rows = rows.withColumn("rest", F.col("component") != F.col("settled")).join(texts, "rep")
     dealt = F.xxhash64("rep")
     rows = rows.withColumn("block", F.when(F.col("rest"), F.pmod(dealt, F.col("r"))).otherwise(F.col("r") + F.pmod(dealt, F.col("t"))).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("rest"), F.col("r") + F.col("t")).otherwise(F.col("r")) - 1)))
@@ -303,7 +303,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs without the rows that near_duplicates() does not keep; all columns stay as they are."""
+    """docs without the rows that near_duplicates() does not keep; all columns stay as they are.
+
+    Null and empty texts stay, and rows without doc_id. Rows that repeat a doc_id are one document: all stay or all go. An
+    empty table gives an empty one. Columns of docs may have any names but __gone.
+    """
     gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
