@@ -1,7 +1,7 @@
 """Incremental ingestion: new files of a folder are normalised, checked, deduplicated and appended to a store.
 
 A file source with a checkpoint reads each file once, also after a restart. Each micro-batch drops what the store already
-has (an anti join on content hashes) and what it repeats itself, and appends the rest under its batch number, so that a
+has (of the store only the column of content hashes is read, and only those that the batch has are joined) and what it repeats itself, and appends the rest under its batch number, so that a
 batch that is run again overwrites its own rows and adds nothing.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.text import is_valid, normalize
+from ..sources.scratch import settled
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -24,12 +25,13 @@ def prepared(docs: DataFrame) -> DataFrame:
 def append_new(batch: DataFrame, number: int, store: str) -> None:
     """One micro-batch into the store."""
     spark = batch.sparkSession
-    ready = prepared(batch)
+    ready = settled(prepared(batch))
     first = ready.groupBy("content_hash").agg(F.min("doc_id").alias("first"))
-    new = ready.join(first, "content_hash").where(F.col("doc_id") == F.col("first")).drop("first")
+    new = settled(ready.join(first, "content_hash").where(F.col("doc_id") == F.col("first")).drop("first"))
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        known = spark.read.parquet(store).where(F.col("batch") != number).select("content_hash").distinct()
+        stored = spark.read.parquet(store).where(F.col("batch") != number).select("content_hash")
+        known = stored.join(new.select("content_hash"), "content_hash", "left_semi").distinct()  # a small batch's hashes go to the store's, not these to it
         new = new.join(known, "content_hash", "left_anti")
     new.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(store)
 
