@@ -149,7 +149,7 @@ def _score_sql(judge: int, part: int) -> str:
 _NL = "chr(10)"
 _BAR, _RULE = "repeat('=', 80)", "repeat('─', 80)"
 _JUDGE_SQL = " || ".join(
-    f"'Judge: judge {k}' || CASE WHEN {_score_sql(k, 0)} < 0.5 THEN ' [OUTLIER]' ELSE '' END || printf(chr(10) || '  Overall Score:         %.2f/5' || chr(10) || '  - Factual Accuracy:      %.2f/5' || chr(10) || '  - Cultural Sensitivity:  %.2f/5' || chr(10) || '  - Completeness:          %.2f/5' || chr(10), {_score_sql(k, 0)}, {_score_sql(k, 1)}, {_score_sql(k, 2)}, {_score_sql(k, 3)}) || '  ' || chr(10) || '  Reasoning:' || chr(10) || '  first' || chr(10) || '  ' || replace(text, chr(10), chr(10) || '  ') || chr(10) || chr(10)"
+    f"'Judge: judge {k}' || CASE WHEN {_score_sql(k, 0)} < 0.5 THEN ' [OUTLIER]' ELSE '' END || printf(chr(10) || '  Overall Score:           %.2f/5' || chr(10) || '  - Factual Accuracy:      %.2f/5' || chr(10) || '  - Cultural Sensitivity:  %.2f/5' || chr(10) || '  - Completeness:          %.2f/5' || chr(10), {_score_sql(k, 0)}, {_score_sql(k, 1)}, {_score_sql(k, 2)}, {_score_sql(k, 3)}) || '  ' || chr(10) || '  Reasoning:' || chr(10) || '  first' || chr(10) || '  ' || replace(text, chr(10), chr(10) || '  ') || chr(10) || chr(10)"
     for k in (1, 2, 3)
 )
 

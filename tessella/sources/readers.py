@@ -213,34 +213,42 @@ def write_text(df: DataFrame, column: str, folder: str) -> None:
     df.select(column).write.mode("overwrite").text(folder)
 
 
+# The layout of the reports on judged answers.
+BAR, RULE, DASHES = "=" * 80, "\u2500" * 80, "-" * 80
+EVALUATION = "\n{bar}\nEVALUATION %d/%d\n{bar}\n\nQUESTION:\n%s\n\nGOLDEN ANSWER:\n%s\n\nMODEL ANSWER:\n%s\n\n{rule}\nJUDGE EVALUATIONS:\n{rule}\n\n"
+JUDGE = "Judge: %s%s\n  Overall Score:           %.2f/5\n  - Factual Accuracy:      %.2f/5\n  - Cultural Sensitivity:  %.2f/5\n  - Completeness:          %.2f/5\n  \n  Reasoning:\n%s\n\n"
+OUTLIER = " [OUTLIER]"
+STATISTICS = "{rule}\nSTATISTICAL SUMMARY:\n{rule}\nMean Score (all judges):     %.2f/5\nMedian Score:                %.2f/5\nStandard Deviation:          %.2f\n"
+WITH_OUTLIERS = "Outliers Detected:           %s\nFinal Score (outliers removed): %.2f/5\n\n"
+WITHOUT_OUTLIERS = "Outliers Detected:           None\nFinal Score:                 %.2f/5\n\n"
+SUMMARY = "Total Evaluations: %d\n\nSCORE STATISTICS\n{dashes}\nMean Final Score:   %.2f/5\nMedian Final Score: %.2f/5\nStd Deviation:      %.2f\nMin Score:          %.2f/5\nMax Score:          %.2f/5\n\nJUDGE AGREEMENT RATE\n{dashes}\nJudges agree (within 1 point): %.1f%%\n"
+
+
+def _filled(layout: str, *values) -> Column:
+    return F.format_string(layout.format(bar=BAR, rule=RULE, dashes=DASHES), *values)
+
+
+def _headed(title: str) -> str:
+    return f"{BAR}\n{title}\n{BAR}\n\n"
+
+
 def judge_report(results: DataFrame, title: str) -> DataFrame:
-    """results (number, total, question, gold, answer, judges, mean, median, deviation, final): (number, report), the fixed layout of one evaluation.
+    """results (number, total, question, gold, answer, judges, mean, median, deviation, final): (number, report); the first has the title.
 
     judges: array of (judge, overall, accuracy, sensitivity, completeness, reasoning, outlier).
     """
-    bar, rule = "=" * 80, "\u2500" * 80
-    score = lambda name, c: F.format_string(f"{name:<25}%.2f/5\n", c)
-    one = lambda j: F.concat(
-        F.lit("Judge: "), j["judge"], F.when(j["outlier"], " [OUTLIER]").otherwise(""), F.lit("\n"),
-        score("  Overall Score:", j["overall"]), F.format_string("  - Factual Accuracy:      %.2f/5\n", j["accuracy"]),
-        F.format_string("  - Cultural Sensitivity:  %.2f/5\n", j["sensitivity"]), F.format_string("  - Completeness:          %.2f/5\n", j["completeness"]),
-        F.lit("  \n  Reasoning:\n"), F.array_join(F.transform(F.split(j["reasoning"], "\n"), lambda x: F.concat(F.lit("  "), x)), "\n"), F.lit("\n\n"),
-    )
-    out = F.transform(F.filter("judges", lambda j: j["outlier"]), lambda j: j["judge"])
-    final = F.when(F.size(out) > 0, F.concat(F.lit("Outliers Detected:           "), F.array_join(out, ", "), F.format_string("\nFinal Score (outliers removed): %.2f/5\n", "final"))).otherwise(F.format_string("Outliers Detected:           None\nFinal Score:                 %.2f/5\n", "final"))
-    report = F.concat(
-        F.lit(f"\n{bar}\n"), F.format_string("EVALUATION %d/%d\n", "number", "total"), F.lit(f"{bar}\n\n"),
-        F.concat(F.lit("QUESTION:\n"), "question", F.lit("\n\nGOLDEN ANSWER:\n"), "gold", F.lit("\n\nMODEL ANSWER:\n"), "answer", F.lit("\n\n")),
-        F.lit(f"{rule}\nJUDGE EVALUATIONS:\n{rule}\n\n"), F.array_join(F.transform("judges", one), ""), F.lit(f"{rule}\nSTATISTICAL SUMMARY:\n{rule}\n"),
-        F.format_string("Mean Score (all judges):     %.2f/5\nMedian Score:                %.2f/5\nStandard Deviation:          %.2f\n", "mean", "median", "deviation"), final, F.lit("\n"),
-    )
-    return results.select("number", F.when(F.col("number") == 1, F.concat(F.lit(f"{bar}\n{title}\n{bar}\n\n"), report)).otherwise(report).alias("report"))
+
+    def judged(j: Column) -> Column:
+        reasons = F.array_join(F.transform(F.split(j["reasoning"], "\n"), lambda line: F.concat(F.lit("  "), line)), "\n")
+        return _filled(JUDGE, j["judge"], F.when(j["outlier"], OUTLIER).otherwise(""), j["overall"], j["accuracy"], j["sensitivity"], j["completeness"], reasons)
+
+    outliers = F.transform(F.filter("judges", lambda j: j["outlier"]), lambda j: j["judge"])
+    last = F.when(F.size(outliers) > 0, _filled(WITH_OUTLIERS, F.array_join(outliers, ", "), "final")).otherwise(_filled(WITHOUT_OUTLIERS, "final"))
+    report = F.concat(_filled(EVALUATION, "number", "total", "question", "gold", "answer"), F.array_join(F.transform("judges", judged), ""), _filled(STATISTICS, "mean", "median", "deviation"), last)
+    return results.select("number", F.concat(F.when(F.col("number") == 1, _headed(title)).otherwise(""), report).alias("report"))
 
 
 def summary_report(summary: DataFrame, title: str) -> DataFrame:
-    """summary (total, mean, median, deviation, least, most, agreement): (report), the fixed layout over all evaluations."""
-    rule = "-" * 80
-    lines = [F.lit(f"{'=' * 80}\n{title}\n{'=' * 80}\n\n"), F.format_string("Total Evaluations: %d\n\n", "total"), F.lit(f"SCORE STATISTICS\n{rule}\n")]
-    lines += [F.format_string(f"{name:<20}%.2f{unit}\n", c) for name, c, unit in (("Mean Final Score:", "mean", "/5"), ("Median Final Score:", "median", "/5"), ("Std Deviation:", "deviation", ""), ("Min Score:", "least", "/5"), ("Max Score:", "most", "/5"))]
-    lines += [F.lit(f"\nJUDGE AGREEMENT RATE\n{rule}\n"), F.format_string("Judges agree (within 1 point): %.1f%%\n", F.col("agreement") * 100)]
-    return summary.select(F.concat(*lines).alias("report"))
+    """summary (total, mean, median, deviation, least, most, agreement): (report), over all evaluations."""
+    body = _filled(SUMMARY, "total", "mean", "median", "deviation", "least", "most", F.col("agreement") * 100)
+    return summary.select(F.concat(F.lit(_headed(title)), body).alias("report"))
