@@ -31,3 +31,24 @@ class Memo(dict):
         if len(self) > self.size:
             self.elder = dict(self)
             self.clear()
+
+
+class Known(dict):
+    """key -> make(key), remembered until there are more than `size` at a trim(); then all is forgotten.
+
+    For values that are cheap to make again: a miss asks one table, not two.
+    """
+
+    def __init__(self, make: Callable, size: int):
+        super().__init__()
+        self.make, self.size = make, size
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= LONG:
+            self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.size:
+            self.clear()
