@@ -450,6 +450,15 @@ def test_observed_counterfactuals():
     assert found[2] == found[3] == [] and found[4] == [(0, ["the", "men", "met", "us"])]
 
 
+def test_training_rows_are_bounded_in_number_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    every = toxicity.training_rows(docs, labels, "toxic", 5, 0, 1000)
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(100))
+    assert len(toxicity.training_rows(docs, labels, "toxic", 5, 0, 30)) == 30
+    assert len(toxicity.training_rows(docs, labels, "toxic", 5, 0, 30, 4500)) == 5
+
+
 def test_without_evidence_every_document_stays(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     for labels in (none, spark.createDataFrame([(1, 0), (4, 0)], "doc_id long, toxic int"), spark.createDataFrame([(1, 1), (4, 1)], "doc_id long, toxic int")):
@@ -584,11 +593,62 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, path).count() == 0
 
 
-def test_small_sources_share_a_queue(spark):
-    rows = [(i, "word " * 200, "big") for i in range(40)] + [(100 + i, "x", f"tiny{i}") for i in range(30)]
-    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), public_tokenizers.path("word_bpe_49k.json"), 128).collect()
-    assert {r["doc_id"] for r in out} == {i for i, _, _ in rows}
-    assert sum(r["length"] for r in out) == 40 * 201 + 30 * 2
+def test_every_small_source_is_a_queue(spark):
+    rows = [(i, "word " * 200, "big") for i in range(60)] + [(100 + 3 * i + k, "word " * 30, f"mid{i}") for i in range(40) for k in range(3)] + [(900 + i, "x", f"tiny{i}") for i in range(30)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), public_tokenizers.path("word_bpe_49k.json"), 128, keep_ids=True).collect()
+    total = 60 * 201 + 120 * 31 + 30 * 2
+    assert {r["doc_id"] for r in out} == {i for i, _, _ in rows} and sum(r["length"] for r in out) == total
+    filled = {}
+    for r in out:
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for number, pieces in filled.items():
+        assert sum(n for _, n in pieces) == (128 if number < total // 128 else total % 128)
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(pieces), sorted(pieces)[1:]))
+    # the middle sources earn 93 * 128 / total < 1 token a window: a group, in rounds of 64 tokens for each of them
+    end = packing.round_of(40 * 93 + 60, 2, 93) / (40 * 93 + 60) * (total / 128)
+    every = 0
+    for i in range(40):
+        mine = [r for r in out if r["source"] == f"mid{i}"]
+        early = sum(r["length"] for r in mine if r["sequence_id"] <= end - 2)
+        late = sum(r["length"] for r in mine if r["sequence_id"] >= end + 2)
+        assert early <= 65 and late <= 93 - 64
+        every += early
+    assert 64 * 40 - 150 < every < 65 * 40
+
+
+def test_nested_shares_place_each_token_once():
+    r = random.Random(31)
+    for _ in range(40):
+        small = [r.randrange(1, 9) for _ in range(r.randrange(1, 30))]
+        large = [r.randrange(60, 400) for _ in range(r.randrange(1, 5))]
+        size, total, window = sum(small), sum(small) + sum(large), 16
+        while size * window < total:
+            large.pop()
+            total = size + sum(large)
+        seen = set()
+        for k, n in enumerate(large):
+            own = packing.Share(sum(large[:k]), n, total, window)
+            seen |= {(w, o + x) for _, length, w, o in own.pieces(0, n) for x in range(length)}
+        outer, turn = packing.Share(sum(large), size, total, window), 4 * -(-size // min(small))
+        for k, n in enumerate(small):
+            inner = packing.Share(sum(small[:k]), n, size, turn)
+            at = 0
+            while at < n:  # in documents
+                length = min(r.randrange(1, 5), n - at)
+                found = list(packing.nested(inner, outer, at, length))
+                assert [p[0] for p in found] == [sum(p[1] for p in found[:i]) for i in range(len(found))] and sum(p[1] for p in found) == length
+                seen |= {(w, o + x) for _, part, w, o in found for x in range(part)}
+                at += length
+        assert seen == {(i // window, i % window) for i in range(total)}
+
+
+def test_groups_of_levels_earn_a_token_a_window():
+    a, b, c, d = (0, 500, 60, 90), (1, 60, 5, 9), (3, 40, 1, 2), (3, 140, 1, 2)
+    assert packing.groups_of([b, c], 10_000, 100) == [[b, c]]
+    assert packing.groups_of([c, a], 10_000, 100) == [[a, c]]
+    assert packing.groups_of([d, a], 10_000, 100) == [[a], [d]]
+    assert packing.groups_of([], 10_000, 100) == []
+    assert packing.round_of(1000, 10, 20) == 64 * 50 and packing.round_of(1000, 1, 1000) == 1000
 
 
 # ---- 7
