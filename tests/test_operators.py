@@ -202,3 +202,102 @@ def test_incremental_ingestion(spark, tmp_path):
 def test_usage_windows(spark):
     events = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS event_type, 1 AS user_id UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a', 2")
     assert [(r["n"], r["users"]) for r in ingest.usage_windows(events).collect()] == [(2, 2)]
+
+
+def plain_normalize(t):
+    """The steps of normalising one after the other, with Python's own regular expressions."""
+    blanks = " \t\n\x0b\f\r"
+
+    def steps(t, rules):
+        for pattern, to in rules:
+            to = to.replace("$1", r"\1").replace("$2", r"\2")
+            t = re.sub(pattern.replace("@", r"\b"), to, t, flags=0 if "@" in pattern else re.ASCII)
+        return t
+
+    t = t or ""
+    return steps(steps(t, text.GLUED).strip(blanks), text.TIDY).strip(blanks) if t.strip(blanks) else ""
+
+
+def test_normalize_by_plain_steps(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(12)
+    pieces = ["of", "ofthings", "into", "intothewild", "tionary", "helloWorld", "a1b2", ".", "..", ",x", "?!", "??", " ", "\n", "\t ", "12 ", "é", "Éof", "theend", "nessie", "x:y;z", "\x07", "ABcD", "3rd", "onofftheroad"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(14))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    once, twice = text.normalize(F.col("t")), text.normalize(text.normalize(F.col("t")))
+    for row in df.select("i", once.alias("once"), twice.alias("twice")).collect():
+        want = plain_normalize(texts[row["i"]])
+        assert (row["once"], row["twice"]) == (want, plain_normalize(want)), texts[row["i"]]
+
+
+def test_preprocess_by_a_plain_walk(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", F.substring("text", 1, 400).alias("text"))
+    rows = sorted(tuple(x) for x in docs.collect())
+    r = random.Random(13)
+    rows += [(100_000 + k, s, " ".join(w for w in t.split() if r.random() > 0.05)) for k, (_, s, t) in enumerate(rows) if k % 2]
+    want, kept = {}, {}
+    word = re.compile(r"[^\w\s]")
+    for i, source, t in sorted(rows):
+        clean = plain_normalize(plain_normalize(t))
+        seen = kept.setdefault(source, [])
+        if len(clean.strip()) < 50 or len(word.sub("", clean).strip()) < 35:
+            want[i] = "invalid"
+        elif clean in (c for c, _ in seen):
+            want[i] = "exact"
+        else:
+            form = plain_normalize(clean).lower()
+            near = any(difflib.SequenceMatcher(None, form, other).ratio() >= 0.85 for _, other in seen[-10:])
+            want[i] = "near" if near else "kept"
+            if not near:
+                seen.append((clean, form))
+    got = {x["doc_id"]: x["status"] for x in prepare.preprocess(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got == want and {"near", "kept"} <= set(want.values())
+
+
+def test_numbers_follow_the_order_over_ranges(spark):
+    r = random.Random(14)
+    values = r.sample(range(10**6), 500)
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(7)
+    assert [(x["v"], x["i"]) for x in prepare.numbered(df, "v").orderBy("i").collect()] == [(v, k + 1) for k, v in enumerate(sorted(values))]
+    assert prepare.numbered(df.limit(0), "v").count() == 0
+
+
+def test_variants_of_a_query(spark):
+    from pyspark.sql import functions as F
+
+    queries = spark.createDataFrame([(1, "short one"), (2, "compare the red boats and the blue boats, what are they for?")], "query_id long, query string")
+    memo = spark.createDataFrame([("short one", "translated"), ("compare the red boats and the blue boats, what are they for?", "compare the red boats and the blue boats, what are they for?")], "query string, translated string")
+    rows = pipelines.variants_of(queries, lambda c: F.array(F.length(c).cast("double")), memo, lambda q: F.lit("1. What are red boats for?\n2. What are blue boats for?")).collect()
+    got = sorted((x["query_id"], x["list_idx"], x["query"], x["weight"]) for x in rows)
+    assert got == [(1, 0, "short one", 1.0), (1, 1, "translated", 0.8), (2, 0, memo.collect()[1][0], 1.0), (2, 2, "What are red boats for?", 0.5), (2, 3, "What are blue boats for?", 0.5)]
+    assert all(x["query_vector"] == [float(len(x["query"]))] for x in rows)
+
+
+def test_diversity_without_vectors_and_of_single_results(spark):
+    schema = "query_id long, seq long, doc_id long, embedding array<double>, query_vector array<double>"
+    rows = [(1, k, 10 + k, [1.0, float(k)], None) for k in range(4)] + [(2, 0, 20, [0.0, 1.0], [1.0, 0.0])] + [(3, k, 30 + k, None if k == 0 else [1.0, 0.1 * k], [1.0, 0.0]) for k in range(3)]
+    df = spark.createDataFrame(rows, schema)
+    pick = lambda **s: sorted((x["query_id"], x["rank"], x["doc_id"]) for x in search.mmr(df, 2, **s).collect())
+    assert pick(leave_single=True) == [(1, 1, 10), (1, 2, 11), (2, 1, 20), (3, 1, 31), (3, 2, 32)]
+    assert pick() == [(1, 1, 10), (1, 2, 11), (3, 1, 31), (3, 2, 32)]
+
+
+def test_stores_chunk_strategies_and_fields(spark, tmp_path):
+    from tessella.operators import scores
+
+    folder = str(tmp_path / "store")
+    readers.write_store(spark.sql("SELECT 1 AS id, 'k' AS kind"), folder)
+    readers.clear_store(spark, folder)
+    assert spark.read.parquet(folder).count() == 0 and set(spark.read.parquet(folder).columns) == {"id", "kind"}
+    docs = spark.createDataFrame([(1, "word " * 300), (2, None)], "doc_id long, text string")
+    want = sorted(map(tuple, prepare.chunks(docs).collect()))
+    with pytest.warns(UserWarning):
+        assert sorted(map(tuple, prepare.chunked(docs, "smart").collect())) == want and len(want) > 2
+    with pytest.raises(ValueError):
+        prepare.chunked(docs, "unheard of")
+    lists = spark.sql("SELECT array(named_struct('a', 1, 'b', 2)) AS s, 1 AS c")
+    assert scores.without_field(lists, "s", "b").first()["s"][0].asDict() == {"a": 1}
+    assert scores.without_field(lists, "s", "x").schema == lists.schema
