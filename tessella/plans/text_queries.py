@@ -238,7 +238,9 @@ def embedding_cache(t: Tables) -> DataFrame:
 
 @query()
 def near_dedup(t: Tables) -> DataFrame:
-    return prepare.preprocess(t.documents.select("doc_id", "source", "text"))
+    """The records of a file are walked in order; a file holds a thousand records of a source here, so no task holds more."""
+    file = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string")).alias("file")
+    return prepare.preprocess(t.documents.select("doc_id", file, "text"), "file")
 
 
 @query()
