@@ -183,6 +183,18 @@ def collapse(text: str, longest: int = 4) -> str:
     return " ".join(out)
 
 
+def collapsed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text): (doc_id, text) with adjacent repeats collapsed; null texts stay null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else collapse(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, text string")
+
+
 def same_context(a: str, b: str, threshold: float = 0.7) -> bool:
     """Of comparable length, and similar or (over 30 characters) one within the other."""
     if min(len(a), len(b)) < 0.5 * max(len(a), len(b), 1):

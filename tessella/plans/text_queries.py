@@ -255,8 +255,7 @@ def question_chunks(t: Tables) -> DataFrame:
 
 @query()
 def phrase_collapse(t: Tables) -> DataFrame:
-    collapse = F.pandas_udf(lambda s: s.map(prepare.collapse), "string")
-    return t.documents.select("doc_id", collapse("text").alias("text"))
+    return prepare.collapsed(t.documents.select("doc_id", "text"))
 
 
 @query()
