@@ -263,11 +263,11 @@ def _listed(spans: list[Span]) -> str:
 
 
 N_KINDS = tuple(f"n_{k}" for k in KINDS)
-FOUND_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_term long"
+FOUND_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_term long, n_spans long"
 
 
 def _find(keep_text: bool):
-    kinds = {"doc_id": pa.int64()} | dict.fromkeys(N_KINDS, pa.int64()) | {"base_sha256": pa.string(), "spans": pa.string(), "n_secret": pa.int64(), "n_term": pa.int64()} | ({"sanitised": pa.string()} if keep_text else {})
+    kinds = {"doc_id": pa.int64()} | dict.fromkeys(N_KINDS, pa.int64()) | {"base_sha256": pa.string(), "spans": pa.string(), "n_secret": pa.int64(), "n_term": pa.int64(), "n_spans": pa.int64()} | ({"sanitised": pa.string()} if keep_text else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +276,7 @@ def _find(keep_text: bool):
                 spans, hits = find(text or "", terms)
                 base = _listed([s for s in spans if s[0] in KINDS])
                 n = Counter(k for k, _, _ in spans)
-                row = (doc_id, *(n[k] for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), _listed(spans + [("term", s, e) for _, _, s, e in hits]), n["secret"], len(hits))
+                row = (doc_id, *(n[k] for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), _listed(spans + [("term", s, e) for _, _, s, e in hits]), n["secret"], len(hits), len(spans) + len(hits))
                 out.append((*row, sanitise(text, spans, hits) if text else text) if keep_text else row)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(kinds), kinds.values())], names=list(kinds))
 
@@ -284,7 +284,8 @@ def _find(keep_text: bool):
 
 
 def personal_data(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """docs (doc_id, text, ...): (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term [, sanitised]), a row a row.
+    """docs (doc_id, text, ...): (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term, n_spans [, sanitised]),
+    a row a row.
 
     spans: kind:start:end of the base spans in order of kind and place, then of the secrets, then of the disclosing terms
     (term:start:end). Null and empty texts have none. Rows that repeat a doc_id, or have none, are searched each for itself;

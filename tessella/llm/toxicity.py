@@ -14,12 +14,14 @@ Sentences have no labels of their own: the model is fitted on documents, a docum
 sentences, so the gradient goes to the sentences that made it: to each by its share, however many there are. A sentence has
 each of its features once, in training and in scoring.
 
-Fitted on at most SAMPLE labelled documents (a documented bound; those with the smallest hash of doc_id), scored on all.
+Fitted on at most SAMPLE labelled documents of SAMPLE_BYTES (documented bounds; those with the smallest hash of doc_id), scored
+on all.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,18 +29,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mix64, table
 from .memo import Memo
 
 FEATURES = 1 << 16
 #: Labelled documents that the model is fitted on at most.
 SAMPLE = 4000
+#: Bytes of their texts at most.
+SAMPLE_BYTES = 96 << 20
 EPOCHS, RATE, DECAY = 10, 0.6, 1e-3
 #: Documents that must hold a feature for it to count, and lengths of beginnings of words that are features.
 RARE, STEMS = 6, (4, 5, 6, 7, 8)
+#: Weights below this are none.
+FAINT = 0.02
 #: Weight of the counterfactual penalty.
 SWAP = 2.0
 #: The score of every text where the labels say nothing.
@@ -71,7 +77,7 @@ IDENTITY = (
 )
 SWAPS = {name: group[(i + 1) % len(group)] for group in IDENTITY for i, name in enumerate(group)}
 
-FACTOR = 0x9E3779B97F4A7C15
+POWERS = np.cumprod(np.full(FRAME[1], 0x9E3779B97F4A7C15, np.uint64))
 
 _sentence = re.compile(r"[.!?\n]+")
 _word = re.compile(r"[^\W\d_]+")
@@ -92,12 +98,11 @@ def hash64(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def _frames(words: list[str]) -> list[int]:
+def _frames(words: list[str]) -> np.ndarray:
     """A hash of the sentence without its k-th word, for each k; the place of the gap is part of it."""
-    n, h = len(words), [hash64(w) for w in words]
-    each = [x * pow(FACTOR, k + 1, 1 << 64) for k, x in enumerate(h)]
-    total = sum(each)
-    return [(total - e + k * FACTOR * FACTOR + n) * FACTOR % (1 << 64) for k, e in enumerate(each)]
+    n = len(words)
+    each = np.fromiter(map(hash64, words), np.uint64, n) * POWERS[:n]
+    return mix64(each.sum() - each + POWERS[FRAME[1] - n : FRAME[1]] + np.uint64(n))
 
 
 def observed(documents: list[list[list[str]]], labels: list[int]) -> dict[tuple[int, int], list[tuple[int, str]]]:
@@ -109,14 +114,17 @@ def observed(documents: list[list[list[str]]], labels: list[int]) -> dict[tuple[
     frame, owner, seen = [], [], set()
     for d, parts in enumerate(documents):
         for k, words in enumerate(parts):
-            if FRAME[0] <= len(words) <= FRAME[1] and (key := (" ".join(words), labels[d])) not in seen:
+            if FRAME[0] <= len(words) <= FRAME[1] and (key := (hash64(" ".join(words)), labels[d])) not in seen:
                 seen.add(key)
-                frame += _frames(words)
-                owner += [(d << 40) + (k << 8) + place for place in range(len(words))]
-    frames, owners = np.array(frame, np.uint64), np.array(owner, np.int64)
+                frame.append(_frames(words))
+                owner.append(np.arange(len(words), dtype=np.int64) + ((d << 40) + (k << 8)))
+    if not frame:
+        return {}
+    frames, owners = np.concatenate(frame), np.concatenate(owner)
+    del frame, owner, seen
     order = np.argsort(frames, kind="stable")
     frames, owners = frames[order], owners[order]
-    starts = np.flatnonzero(np.concatenate([[True], frames[1:] != frames[:-1]])) if len(frames) else np.empty(0, int)
+    starts = np.flatnonzero(np.concatenate([[True], frames[1:] != frames[:-1]]))
     ends = np.append(starts[1:], len(frames))
     out: dict[tuple[int, int], list[tuple[int, str]]] = {}
     for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
@@ -144,8 +152,8 @@ def counterfactuals(documents: list[list[list[str]]], labels: list[int]) -> list
 
 def _slots_of(word: str) -> tuple[int, ...]:
     """A word's features: itself and its beginnings, which stand for its stem; 0 is the bias."""
-    parts = [f"{word} ", *(word[:k] for k in STEMS if len(word) > k)]
-    return tuple(zlib.crc32(p.encode()) % (FEATURES - 1) + 1 for p in parts)
+    crc, n = zlib.crc32, len(word)
+    return tuple(crc(p.encode()) % (FEATURES - 1) + 1 for p in (f"{word} ", *[word[:k] for k in STEMS if n > k]))
 
 
 _slots = Memo(_slots_of, 20_000)
@@ -181,7 +189,7 @@ def fit(labelled: list[tuple[str, int]], swap: float = SWAP, seed: int = 5) -> n
         weights[0] = np.log(NO_EVIDENCE / (1 - NO_EVIDENCE))
         return weights
     documents = []  # (features of all sentences in a row, where each begins, counterfactual copies, label)
-    words = [sentences(text) for text, _ in labelled]
+    words = [[list(map(sys.intern, p)) for p in sentences(text)] for text, _ in labelled]  # one object a word
     for parts, others, (_, label) in zip(words, counterfactuals(words, [y for _, y in labelled]), labelled):
         each = [slots(p) for p in parts]
         copies = [(i, slots(other)) for i, other in others]
@@ -219,6 +227,7 @@ def fit(labelled: list[tuple[str, int]], swap: float = SWAP, seed: int = 5) -> n
                 pulled = 2 * swap * (s - t)
                 step(np.setdiff1d(own, other), pulled * s * (1 - s))
                 step(np.setdiff1d(other, own), -pulled * t * (1 - t))
+    weights[1:][np.abs(weights[1:]) < FAINT] = 0
     return weights
 
 
@@ -227,18 +236,16 @@ class Scorer:
 
     def __init__(self, weights: np.ndarray):
         self.bias, self.weights = float(weights[0]), weights.tolist()
-        self.word = Memo(self._of_word, 200_000)
+        self.number = list(range(len(weights)))  # one object a feature, whatever the number of words that have it
+        self.word = Memo(self._of_word, 100_000)
 
     def _of_word(self, word: str) -> tuple[int, ...]:
         """The word's features that have a weight; none for most words."""
-        return tuple(s for s in set(_slots_of(word)) if self.weights[s])
+        weights, number = self.weights, self.number
+        return tuple([number[s] for s in _slots_of(word) if weights[s]])
 
     def raw(self, words: list[str]) -> float:
-        held = [x for x in map(self.word.__getitem__, set(words)) if x]
-        if not held:
-            return self.bias
-        weights = self.weights
-        return self.bias + sum(weights[s] for s in (held[0] if len(held) == 1 else set().union(*held)))
+        return self.bias + sum(map(self.weights.__getitem__, set().union(*map(self.word.__getitem__, words))))
 
     def __call__(self, text: str | None) -> float:
         self.word.trim()
@@ -246,12 +253,17 @@ class Scorer:
         return float(_sigmoid(float(raw @ _soft(raw))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, sample: int) -> list[tuple[str, int]]:
-    """At most `sample` (text, label) of rows outside the held-out fold, those with the smallest hash of doc_id."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, sample: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """At most `sample` (text, label) of rows outside the held-out fold, those with the smallest hash of doc_id.
+
+    Of these the first ones up to most_bytes of text, whatever the length of the texts (and the one that goes beyond).
+    """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold != held_out)).dropDuplicates(["doc_id"])
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("__id") == chosen["doc_id"]).select("doc_id", "text", "y").dropDuplicates(["doc_id"])
+    before = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))  # over `sample` rows at most
+    rows = rows.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < most_bytes)
     return [(r["text"] or "", r["y"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
 
 
