@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe
+from .codes import op12_codes
 from .fingerprint import op2_fingerprint
+from .guesses import op13_secrets
 from .minhash import op7_minhash
 from .packing import op10_packing
 from .pii import op3_pii
@@ -20,10 +22,11 @@ from .substring import op9_substring
 from .toxicity import op5_toxicity
 from .urls import op1_urls
 from .vectors import op4_vectors
+from .whitening import op11_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_urls, op2_fingerprint, op3_pii, op4_vectors, op5_toxicity, op6_bpe, op7_minhash, op8_quality, op9_substring, op10_packing)}
+    return {f.__name__: f for f in (op1_urls, op2_fingerprint, op3_pii, op4_vectors, op5_toxicity, op6_bpe, op7_minhash, op8_quality, op9_substring, op10_packing, op11_whitening, op12_codes, op13_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
