@@ -4,7 +4,7 @@ Formats (assign, access, hex) are found as they are. Beyond them, a value that s
 word and a sign, behind a scheme of authorization, or as the password of a URL) is a secret if no cheap way leads to it. Its
 cost is the smallest over all ways to cut it into segments, in bits (the logarithm of the number of guesses):
 
-    word          the word's rank among all words of the corpus, its capitals and its digits for letters
+    word          how rare the word is among all words of the corpus, its capitals and its digits for letters
     date          days of two centuries, or years
     repeat        the repeated unit and how often it stands
     walk          neighbouring keys of a keyboard, or of the alphabet; turns cost
@@ -17,7 +17,8 @@ them, dates and walks are none.
    words at all the cost is too high, with every run of letters as the most frequent word it is too low. Most values are
    settled by that, as keys and short placeholders are.
 2. For the others the runs of letters that could matter are joined with the corpus's word counts. These come from all texts,
-   without the values themselves, and are turned into ranks by a histogram of counts, a row for each quarter of a power of two.
+   without the values themselves. A word that is one of m takes m guesses at most, if words are tried by their frequency. A
+   filter of SIEVE bits, of whatever words are asked for, spares the shuffle most words that none asks for.
 3. The secrets found are joined with the texts by digests.
 
 A value of any length is decided: once all ways cost SECRET bits, nothing that follows makes them cheaper.
@@ -28,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import accumulate
@@ -49,8 +51,8 @@ SHORTEST, LONGEST = 3, 24
 UNIT = 16
 #: Occurrences outside of values that make a run of letters a word.
 LEAST = 3
-#: Distinct words a task counts before it sends what it has.
-WORDS = 200_000
+#: Distinct words a task holds before it sends what it has, and bits of the filter that tells most words nobody asks for.
+WORDS, SIEVE = 50_000, 1 << 18
 
 # Fixed values of the formats.
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -233,26 +235,35 @@ def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("value"), pa.array([s for s, _ in found], pa.bool_()), pa.array([sorted(w) for _, w in found], pa.list_(pa.string()))], names=["digest", "value", "secret", "words"])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): words outside of values, summed in the task first."""
-    words: Counter = Counter()
+def _count(sieve):
+    """(word, n): words outside of values that pass the sieve, summed in the task first; and all words together (word null)."""
 
-    def send() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-        words.clear()
-        return out
+    def send(words: Counter, total: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([None, *words], pa.string()), pa.array([total, *words.values()], pa.int64())], names=["word", "n"])
 
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            if not text:
-                continue
-            at = 0
-            for a, b in [*values(text), (len(text), len(text))]:
-                words.update(map(str.lower, _letters.findall(text[at:a])))
-                at = b
-            if len(words) > WORDS:
-                yield send()
-    yield send()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, passes = Counter(), 0, sieve.value
+        for batch in batches:
+            words: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                at = 0
+                for a, b in [*values(text), (len(text), len(text))] if text else ():
+                    words.update(_letters.findall(text[at:a]))
+                    at = b
+            total += words.total()
+            for word, n in words.items():
+                if passes[_sieve(low := word.lower())]:
+                    held[low] += n
+            if len(held) > WORDS:
+                yield send(held, total)
+                held, total = Counter(), 0
+        yield send(held, total)
+
+    return run
+
+
+def _sieve(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % SIEVE
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,16 +274,16 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(secret, pa.bool_())], names=["digest", "secret"])
 
 
-def word_bits(docs: DataFrame) -> DataFrame:
-    """docs (text): (word, bits), the logarithm of the words' ranks; words of like counts, within a quarter of a power of two, share one."""
-    counts = stash(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(f"n >= {LEAST}"))
-    step = F.floor(4 * F.log2("n")).cast("int")
-    histogram = {r["step"]: r["n"] for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}  # at most 252 rows
-    rank, bits = 0, [F.lit(0), F.lit(0.0)]
-    for k in sorted(histogram, reverse=True):
-        rank += histogram[k]
-        bits += [F.lit(k), F.lit(math.log2(rank))]
-    return counts.select("word", F.create_map(*bits)[step].alias("bits"))
+def word_bits(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """docs (text), asked (word): (word, bits) of the asked words that occur LEAST times at least."""
+    passes = bytearray(SIEVE)
+    for r in asked.select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(SIEVE)).alias("at")).distinct().collect():  # at most SIEVE rows
+        passes[r["at"]] = 1
+    sieve = docs.sparkSession.sparkContext.broadcast(bytes(passes))
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(sieve), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = stash(counts)
+    total = counts.where("word is null").first()["n"]
+    return counts.where(f"word is not null and n >= {LEAST}").select("word", F.log2(F.lit(float(total)) / F.col("n")).alias("bits"))
 
 
 def secret_values(docs: DataFrame) -> DataFrame:
@@ -282,8 +293,8 @@ def secret_values(docs: DataFrame) -> DataFrame:
     each = stash(sought.select("digest", "value").dropDuplicates(["digest"]).mapInArrow(_bound, "digest string, value string, secret boolean, words array<string>"))
     found, open_ = each.where("secret").select("digest"), each.where("secret is null")
     if not open_.isEmpty():
-        bits = word_bits(docs)
-        hits = open_.select("digest", F.explode("words").alias("word")).join(bits, "word").groupBy("digest").agg(F.collect_list(F.struct("word", "bits")).alias("known"))
+        words = open_.select("digest", F.explode("words").alias("word"))
+        hits = words.join(word_bits(docs, words), "word").groupBy("digest").agg(F.collect_list(F.struct("word", "bits")).alias("known"))
         decided = open_.select("digest", "value").join(hits, "digest", "left").mapInArrow(_decide, "digest string, secret boolean")
         found = found.unionAll(decided.where("secret").select("digest"))
     out = stash(sought.select("of_text", "digest").join(found, "digest"))

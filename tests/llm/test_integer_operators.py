@@ -273,5 +273,7 @@ def test_word_counts_decide_and_leave_values_out(spark):
     texts = ["lorimantu feshgolda " * 6, *["login pass: zorbimexuvaht here"] * 9, "pass: lorimantufeshgolda"]
     out = guesses.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in out if r["n_guess"]} == set(range(1, 10))
-    bits = {r["word"]: r["bits"] for r in guesses.word_bits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert "zorbimexuvaht" not in bits and bits["login"] <= bits["lorimantu"]
+    asked = spark.createDataFrame([("zorbimexuvaht",), ("login",), ("lorimantu",), ("none",)], "word string")
+    bits = {r["word"]: r["bits"] for r in guesses.word_bits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), asked).collect() if r["word"] in ("zorbimexuvaht", "login", "lorimantu", "none")}
+    total = 12 + 9 * 3 + 1  # "pass" is no part of its value
+    assert bits == {"login": math.log2(total / 9), "lorimantu": math.log2(total / 6)}
