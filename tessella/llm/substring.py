@@ -36,20 +36,20 @@ FLUSH = 1_000_000
 #: Bytes of entries a bucket should have at most.
 BUCKET_BYTES = 96 << 20
 
-#: An entry of the first round: the anchor's hash, the row it is in (its doc_id, and a salt of its text in case others
-#: have that too), its place. KNOWN marks a hash known to repeat. Only 56 bits of the hash travel: it is a filter.
-ANCHOR_ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("salt", "<u2"), ("at", "<u4")])
+#: An entry of the first round: the anchor's hash, the row it is in (its doc_id, and 63 bits of its text's hash in case others
+#: have that too), its place. KNOWN marks a hash known to repeat. Only 56 bits of the anchor's hash travel: it is a filter.
+ANCHOR_ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("salt", "<i8"), ("at", "<u4")])
 KNOWN = 0xFFFFFFFF
 #: One of the second round, with 96 bits of the window's hash.
-WINDOW_ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("salt", "<u2"), ("at", "<u4")])
+WINDOW_ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("salt", "<i8"), ("at", "<u4")])
 
 #: What either round settles: places of rows.
-PLACE = np.dtype([("doc", "<i8"), ("salt", "<u2"), ("at", "<u4")])
+PLACE = np.dtype([("doc", "<i8"), ("salt", "<i8"), ("at", "<u4")])
 
 PACKED = pa.schema([("bucket", pa.int32()), ("entries", pa.binary()), ("settled", pa.binary())])
 PACKED_DDL = "bucket int, entries binary, settled binary"
-PLACES = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("places", pa.binary())])
-PLACES_DDL = "key long not null, salt int not null, places binary"
+PLACES = pa.schema([("key", pa.int64()), ("salt", pa.int64()), ("places", pa.binary())])
+PLACES_DDL = "key long not null, salt long not null, places binary"
 
 
 def _planes(column: np.ndarray) -> np.ndarray:
@@ -292,12 +292,12 @@ def cut_repeats(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...]
     nothing from each other. Texts below 13 words stay whole. Other columns are not read; an empty table gives an empty one.
     """
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    salt = F.when(doc_id.isNull(), -1).otherwise(F.shiftrightunsigned(F.xxhash64(text), 48)).cast("int")
+    salt = F.when(doc_id.isNull(), -1).otherwise(F.shiftrightunsigned(F.xxhash64(text), 1)).cast("long")
     rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest")] if carry else []
     given = docs.select(F.coalesce(doc_id, F.lit(0)).alias("key"), salt.alias("salt"), text.alias("text"), *rest)
     with_rest = f", rest {given.schema['rest'].dataType.simpleString()}" if carry else ""
     n = buckets_for(docs, BUCKET_BYTES, 3.0)
-    packed = given.mapInArrow(_compress, "key long not null, salt int not null, z binary not null" + with_rest)
+    packed = given.mapInArrow(_compress, "key long not null, salt long not null, z binary not null" + with_rest)
 
     def round_of(entries: DataFrame, kind: np.dtype, rule) -> DataFrame:
         settled = by_bucket(entries, n).mapInArrow(_settle(kind, rule, n), "bucket int, settled binary")
