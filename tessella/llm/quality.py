@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .toxicity import score_documents, training_rows
+from .toxicity import no_evidence, score_documents, training_rows
 
 DIM, STEP, FILTERS = 8, 4, 24
 WIDTH = 2 * STEP
@@ -28,6 +28,8 @@ CHUNK, STRIDE = 64, 48
 #: Bytes that are looked at at once.
 SLICE = 1 << 18
 SAMPLE, EPOCHS, RATE, MINIBATCH = 1500, 8, 0.004, 16
+#: The score where the labels tell nothing: undecided, which keeps a document.
+NO_EVIDENCE = 0.5
 
 Weights = dict[str, np.ndarray]
 
@@ -135,8 +137,14 @@ def fit(labelled: list[tuple[str, int]], seed: int = 8) -> Weights:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """text -> score, learnt from labels (doc_id, quality) of rows whose crc32(doc_id as text) mod 3 is not 1."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, "quality", 3, 1, sample)))  # a few thousand numbers
+    """text -> score, learnt from labels (doc_id, quality) of rows whose crc32(doc_id as text) mod 3 is not 1.
+
+    Without rows of both labels there is no evidence against any text: all score NO_EVIDENCE.
+    """
+    labelled = training_rows(docs, labels, "quality", 3, 1, sample)
+    if no_evidence([y for _, y in labelled]):
+        return lambda text: NO_EVIDENCE
+    held = docs.sparkSession.sparkContext.broadcast(fit(labelled))  # a few thousand numbers
     return lambda text: score(held.value, (text or "").encode())
 
 
@@ -144,8 +152,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) and labels (doc_id, quality, ...): (doc_id, held_out, score, predicted), a row for each row.
 
     Null and empty texts are scored as bytes of padding. Rows that repeat a doc_id, or have none (never held out), are
-    scored each for itself; of labels that repeat a doc_id one counts, those without 0 or 1 do not. Nothing but the text
-    enters a score. An empty table gives an empty one.
+    scored each for itself; of labels that repeat a doc_id one counts, those without 0 or 1 do not. Labels of one kind, or
+    none, are no evidence: every score is NO_EVIDENCE, and every document passes. Nothing but the text enters a score. An empty table gives an empty one.
     """
     return score_documents(docs, quality_model(docs, labels), 3, 1)
 
