@@ -3,10 +3,12 @@
 A curated rule (host, path) fits its host and all subdomains where the URL's path starts with the rule's; the longest wins.
 Its verdicts are the labels: every URL that a rule fits becomes a transaction of its tokens and its verdict, and Spark's
 FP-growth mines which token combinations go with a verdict. A combination must occur with it in MIN_SUPPORT of the labelled
-URLs, and in LEAST of them whatever their number. FP-growth lists all parts of what is frequent, 2 ** n of n tokens, so a
-transaction holds the LONGEST frequent tokens of its URL that tell most of the verdict, however long the URL is. The rules'
-figures do not depend on that: support and confidence of every combination found, up to MOST_TOKENS tokens, are counted again
-on all tokens of all labelled URLs. Rules at MIN_CONFIDENCE are kept of which no part says the same with as much confidence.
+URLs, and in LEAST of them whatever their number. FP-growth lists all parts of what is frequent, 2 ** n of n tokens, so the
+frequent tokens of a URL that has more than MOST_TOKENS * GROUP are cut into groups of GROUP, and every MOST_TOKENS of these are
+a transaction: any combination of up to MOST_TOKENS tokens lies in one at least. So none that is frequent is missed; some are
+counted too often, which does not matter: support and confidence of every combination found are counted again on all tokens of
+all labelled URLs. Tokens that always stand together, as the parts of one long path, are mined as one of them; each rule that
+is left is told for all of them. Rules at MIN_CONFIDENCE are kept of which no part says the same with as much confidence.
 
 URLs that no curated rule fits are judged by these. The rules lie in an inverted index under their rarest token; a URL's
 tokens look up the rules that could apply, and those of which all tokens are there apply. The most confident one decides
@@ -29,8 +31,8 @@ from .common import drop, stash, table
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 MIN_SUPPORT, MIN_CONFIDENCE, MOST_TOKENS = 0.005, 0.9, 3
-#: Labelled URLs that a rule must rest on, and tokens of a transaction.
-LEAST, LONGEST = 20, 10
+#: Labelled URLs that a rule must rest on, and tokens of a group.
+LEAST, GROUP = 20, 3
 #: Labels of a host that its longest suffix token has.
 SUFFIX = 4
 ALLOW, BLOCK = "allow", "block"
@@ -87,10 +89,12 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     need = max(least, math.ceil(min_support * total))
     if total < need:
         return spark.createDataFrame([], RULE_DDL)
-    of_token = rows.select(F.explode("tokens").alias("key"), "verdict").groupBy("key").agg(F.count("*").alias("freq"), F.sum((F.col("verdict") == BLOCK).cast("long")).alias("blocked"))
-    frequent = stash(of_token.where(F.col("freq") >= need).withColumn("tells", F.abs(F.col("blocked") / F.col("freq") - blocked / total) * F.sqrt("freq")))
-    chosen = rows.select("row", "verdict", F.explode("tokens").alias("key")).join(frequent, "key").groupBy("row", "verdict").agg(F.array_sort(F.collect_list(F.struct(-F.col("tells"), "key"))).alias("found"))
-    items = stash(chosen.select(F.concat(F.slice("found", 1, LONGEST)["key"], F.array(F.concat(F.lit("="), "verdict"))).alias("items")))
+    where = (F.count("*").alias("freq"), F.bit_xor(F.xxhash64("row")).alias("in_rows"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("in_rows_too"))
+    of_token = stash(rows.select("row", F.explode("tokens").alias("key")).groupBy("key").agg(*where).where(F.col("freq") >= need))
+    together = of_token.groupBy("freq", "in_rows", "in_rows_too").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    frequent = stash(together.select(F.explode("keys").alias("key"), "freq", F.element_at("keys", 1).alias("first")))
+    chosen = rows.select("row", "verdict", F.explode("tokens").alias("key")).join(frequent.where("key = first"), "key").groupBy("row", "verdict").agg(F.array_sort(F.collect_list("key")).alias("found"))
+    items = stash(chosen.select("verdict", F.explode(_transactions(F.col("found"), most_tokens)).alias("part")).select(F.concat("part", F.array(F.concat(F.lit("="), "verdict"))).alias("items")))
     transactions = items.count()
     if transactions < need:
         return spark.createDataFrame([], RULE_DDL)
@@ -111,12 +115,33 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     parts = rules.select("antecedent", "verdict", F.explode(_parts("antecedent", most_tokens)).alias("part"), F.col("confidence").alias("own"))
     shorter = rules.select(F.col("antecedent").alias("part"), "verdict", "confidence")
     spare = parts.join(shorter, ["part", "verdict"]).where("confidence >= own").select("antecedent", "verdict").distinct()
-    out = stash(rules.join(spare, ["antecedent", "verdict"], "left_anti"))
-    for spent in (rows, frequent, items, keyed, rules):
+    told = rules.join(spare, ["antecedent", "verdict"], "left_anti").select("antecedent", "verdict", "confidence", "support", F.array().cast("array<struct<freq:long,key:string>>").alias("told"))
+    for i in range(most_tokens):  # each token of a rule stands for those that it always stands with
+        like = frequent.select(F.col("first").alias("place"), F.struct("freq", "key").alias("each"))
+        told = told.withColumn("place", F.get("antecedent", F.lit(i))).join(like, "place", "left")
+        told = told.withColumn("told", F.when(F.col("each").isNull(), F.col("told")).otherwise(F.concat("told", F.array("each")))).drop("place", "each")
+    out = stash(told.select(F.array_sort(F.transform("told", lambda x: x["key"])).alias("antecedent"), "verdict", "confidence", "support", F.array_min("told")["key"].alias("key")))
+    for spent in (rows, of_token, frequent, items, keyed, rules):
         drop(spent)
     return out
 
 
+def _transactions(tokens: Column, most: int) -> Column:
+    """Arrays of at most most * GROUP tokens that hold every combination of up to `most` of them."""
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(tokens) / GROUP).cast("int") - 1, F.lit(0))), lambda i: F.slice(tokens, i * GROUP + 1, GROUP))
+    last = F.size(groups) - 1
+
+    def chosen(part: Column, after: Column, left: int) -> Column:
+        """part joined with each `left` groups behind the place `after`."""
+        if not left:
+            return F.array(part)
+        rest = F.sequence(after + 1, last - (left - 1))
+        return F.flatten(F.transform(rest, lambda i: chosen(F.concat(part, F.element_at(groups, i + 1)), i, left - 1)))
+
+    none = F.slice(tokens, 1, 0)
+    return F.when(F.size(groups) <= most, F.array(tokens)).otherwise(chosen(none, F.lit(-1), most))
+
+
 def _parts(column: str, most: int) -> Column:
     """All smaller non-empty parts of a sorted array of at most `most` entries."""
     at = F.sequence(F.lit(1), F.lit(2**most - 2))

@@ -100,6 +100,34 @@ def test_mined_rules_match_counting(spark):
     assert all(count((key,)) == min(count((a,)) for a in k[0]) for k, (_, key) in got.items())
 
 
+def test_rules_among_many_tokens_are_found(spark):
+    """URLs of 16 frequent tokens each: a pair and a triple among the last ones in order decide."""
+    from itertools import combinations
+
+    r = random.Random(9)
+    data = []
+    for _ in range(400):
+        tokens = sorted({f"t{k:02}" for k in range(20) if r.random() < 0.8})
+        block = {"t10", "t12"} <= set(tokens) and "t13" not in tokens or {"t17", "t18", "t19"} <= set(tokens)
+        data.append((tokens, "block" if block else "allow"))
+    assert all(len(t) > urls.MOST_TOKENS * urls.GROUP for t, _ in data[:50])
+    got = {(tuple(x["antecedent"]), x["verdict"]): x["confidence"] for x in urls.mine(spark.createDataFrame(data, "tokens array<string>, verdict string"), 0.05, 0.9, 3, least=5).collect()}
+    rules = {}
+    for size in (1, 2, 3):
+        for s in combinations([f"t{k:02}" for k in range(20)], size):
+            fits = [v for t, v in data if set(s) <= set(t)]
+            for v in ("allow", "block"):
+                if fits.count(v) >= 20 and fits.count(v) >= 0.9 * len(fits) and not any(rules.get((p, v), 0) >= fits.count(v) / len(fits) for k in range(1, size) for p in combinations(s, k)):
+                    rules[s, v] = fits.count(v) / len(fits)
+    assert (("t17", "t18", "t19"), "block") in rules and {k: round(c, 9) for k, c in got.items()} == {k: round(c, 9) for k, c in rules.items()}
+
+
+def test_tokens_that_stand_together_are_told_each(spark):
+    data = [(["a", "a2", "b"], "block")] * 30 + [(["a", "a2"], "allow")] * 30 + [(["b", "c"], "allow")] * 30
+    got = {(tuple(x["antecedent"]), x["verdict"], x["key"]) for x in urls.mine(spark.createDataFrame(data, "tokens array<string>, verdict string"), 0.05, 0.9, 3, least=5).collect()}
+    assert got == {(("a", "b"), "block", "a"), (("a2", "b"), "block", "a2"), (("c",), "allow", "c")}
+
+
 def plain_tokens(url):
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", url or "")
     if not m:
@@ -480,6 +508,13 @@ def test_quality(spark, docs, empty):
     assert quality.quality(empty, labels.limit(0)).count() == 0
 
 
+def test_quality_without_evidence_keeps_every_document(spark, docs, empty):
+    for rows in ([], [(1, 0), (4, 0), (7, None)], [(1, 1), (4, 1)]):
+        out = quality.quality(docs, spark.createDataFrame(rows, "doc_id long, quality int")).collect()
+        assert len(out) == docs.count() and {(x["score"], x["predicted"]) for x in out} == {(0.5, 1)}
+    assert quality.quality(empty, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
 def test_network_by_plain_loops():
     w = {k: v.astype(np.float64) for k, v in quality.start(2).items()}
     w["bias"] += 0.1
@@ -717,6 +752,21 @@ def test_cut_repeats(docs, rows, empty, monkeypatch):
     assert substring.cut_repeats(empty).count() == 0
 
 
+def test_rows_of_one_doc_id_are_told_apart(spark):
+    """Two texts of one doc_id whose hashes agree in the upper 16 bits: nothing of the one goes for what the other repeats."""
+    r = random.Random(11)
+    passage = prose(r, 20, 10_000)
+    made = [(k, f"{passage} {prose(r, 41, 10_000)}" if k % 2 else prose(r, 61, 10_000)) for k in range(1200)]
+    upper = {x["k"]: x["h"] for x in spark.createDataFrame(made, "k long, text string").selectExpr("k", "shiftrightunsigned(xxhash64(text), 48) h").collect()}
+    by = {}
+    for k, h in upper.items():
+        by.setdefault((h, k % 2), k)
+    one, other = next((k, by[h, 0]) for (h, odd), k in by.items() if odd and (h, 0) in by)
+    rows = [(1, passage), (9, made[one][1]), (9, made[other][1])]
+    out = sorted((tuple(x) for x in substring.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=order)
+    assert out == cut_plain(rows) and sorted(x[2] for x in out) == [0, 0, 20]
+
+
 def test_cover_reaches_every_pair_of_places():
     for i in range(substring.PERIOD):
         for j in range(substring.PERIOD):
