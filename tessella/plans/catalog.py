@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.keyword_index import KeywordIndex
+from ..sources.scratch import working_folder
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: The keyword index of each session and version of the documents table: built by the first search, used by all that follow.
+_indexes: dict[tuple, KeywordIndex] = {}
+
+
 class Tables:
     """The tables of a folder by name, read with nothing but the columns that a plan uses."""
 
@@ -21,6 +28,16 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def keyword_index(self) -> KeywordIndex:
+        """The index of the documents; another version of their files is indexed anew."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/documents.parquet")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        version = tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files.listStatus(path)))
+        key = (self.spark.sparkContext.applicationId, version)
+        if key not in _indexes:
+            _indexes[key] = KeywordIndex.build(self.documents.select("doc_id", "text"), working_folder(self.spark))
+        return _indexes[key]
+
     def rows(self, values: str, columns: str) -> DataFrame:
         """A table written out as SQL values."""
         return self.spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")

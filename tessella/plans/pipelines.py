@@ -12,6 +12,7 @@ from ..functions.embedding import Embedder, hash_embedder
 from ..functions.text import strip, terms
 from ..operators import prepare
 from ..operators import search as S
+from ..operators.keyword_index import KeywordIndex
 from .catalog import Tables, query
 
 
@@ -35,10 +36,11 @@ def variants_of(queries: DataFrame, embed: Embedder, translations: DataFrame | N
     return out.withColumn("query_vector", embed(F.col("query")))
 
 
-def _fused(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score, rank): semantic and keyword search, fused by weights."""
+def _fused(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, index: KeywordIndex | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): semantic and keyword search, fused by weights. Without an index the texts are searched."""
     semantic = S.nearest(vectors, queries.select("query_id", "query_vector"), k, threshold=0.2).withColumnRenamed("vec_id", "doc_id")
-    return S.hybrid(semantic, S.bm25(docs, queries.select("query_id", "query"), k), k)
+    asked = queries.select("query_id", "query")
+    return S.hybrid(semantic, index.search(asked, k) if index else S.bm25(docs, asked, k), k)
 
 
 def merged(lists: DataFrame, k: int, gate: bool = True) -> DataFrame:
@@ -56,19 +58,19 @@ def merged(lists: DataFrame, k: int, gate: bool = True) -> DataFrame:
     return one.unionByName(fused.select("query_id", "doc_id", "score"))
 
 
-def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, scorer=None, threshold: float = 0.0, variants: DataFrame | None = None, gate: bool = True, diversity: float | None = 0.5, relevance: float = 0.475) -> DataFrame:
+def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, scorer=None, threshold: float = 0.0, variants: DataFrame | None = None, gate: bool = True, diversity: float | None = 0.5, relevance: float = 0.475, index: KeywordIndex | None = None) -> DataFrame:
     """docs (doc_id, text), vectors (vec_id, embedding), queries (query_id, query, query_vector): (query_id, doc_id, content, original_score, score, rank).
 
     Semantic and keyword search side by side, 2k each, fused by weights; with variants (see variants_of()) each of them is
     searched and their results are merged. The 2k best are reranked on the query itself and cut to k, from the threshold on;
     scorer(query, content) is the reranker, False leaves the fused order. Last, diversity picks among them (S.mmr with this
-    bias; None: not at all) what is relevant enough. Nothing found is an empty table.
+    bias; None: not at all) what is relevant enough. index is a keyword index of docs. Nothing found is an empty table.
     """
     if variants is None:
-        found = _fused(docs, vectors, queries, 2 * k).drop("rank")
+        found = _fused(docs, vectors, queries, 2 * k, index).drop("rank")
     else:
         named = variants.withColumn("variant", F.concat_ws(":", F.col("query_id").cast("string"), F.col("list_idx").cast("string")))
-        lists = _fused(docs, vectors, named.select(F.col("variant").alias("query_id"), "query", "query_vector"), 2 * k).withColumnRenamed("query_id", "variant")
+        lists = _fused(docs, vectors, named.select(F.col("variant").alias("query_id"), "query", "query_vector"), 2 * k, index).withColumnRenamed("query_id", "variant")
         found = merged(lists.join(named.select("variant", "query_id", "list_idx", "weight"), "variant"), 2 * k, gate)
     rows = found.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").join(queries.select("query_id", "query"), "query_id")
     ranked = S.rerank(rows, scorer, k, threshold).select("query_id", "doc_id", "content", "original_score", "score", "rank")
@@ -122,7 +124,7 @@ def _batch(t: Tables) -> DataFrame:
 
 
 def _found(t: Tables) -> DataFrame:
-    return retrieve(t.documents.select("doc_id", "text"), t.embeddings.select("vec_id", "embedding"), _batch(t).select("query_id", "query", "query_vector"))
+    return retrieve(t.documents.select("doc_id", "text"), t.embeddings.select("vec_id", "embedding"), _batch(t).select("query_id", "query", "query_vector"), index=t.keyword_index())
 
 
 @query()
@@ -138,14 +140,14 @@ def retrieve_variants(t: Tables) -> DataFrame:
     queries = t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 8).alias("query"))
     memo = queries.select("query", F.upper("query").alias("translated"))
     variants = variants_of(queries, embed, memo, lambda q: F.array_join(F.transform(F.split(q, " "), lambda w: F.concat(F.lit("What is "), w, F.lit(" there?"))), "\n"))
-    return retrieve(docs, docs.select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding")), queries.withColumn("query_vector", embed(F.col("query"))), variants=variants, relevance=0.1).drop("content")
+    return retrieve(docs, docs.select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding")), queries.withColumn("query_vector", embed(F.col("query"))), variants=variants, relevance=0.1, index=t.keyword_index()).drop("content")
 
 
 @query()
 def retrieve_plain(t: Tables) -> DataFrame:
     """Without the choice for diversity."""
     q = _batch(t).select("query_id", "query", "query_vector")
-    return retrieve(t.documents.select("doc_id", "text"), t.embeddings.select("vec_id", "embedding"), q, diversity=None).drop("content")
+    return retrieve(t.documents.select("doc_id", "text"), t.embeddings.select("vec_id", "embedding"), q, diversity=None, index=t.keyword_index()).drop("content")
 
 
 FOUND_LISTS = "(0, 0, 'a', 0.9, 1, 1.0), (0, 0, 'b', 0.8, 2, 1.0), (0, 1, 'b', 0.7, 1, 0.8), (0, 1, 'c', 0.6, 2, 0.8), (1, 0, 'x', 0.5, 1, 1.0), (1, 0, 'y', 0.4, 2, 1.0)"

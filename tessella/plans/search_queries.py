@@ -29,7 +29,7 @@ def _asked(t: Tables) -> DataFrame:
 
 @query(f"WITH {ASKED}, docs AS (SELECT doc_id, text FROM documents), {BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 5")
 def bm25_topk(t: Tables) -> DataFrame:
-    return S.bm25(t.documents.select("doc_id", "text"), _asked(t)).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return t.keyword_index().search(_asked(t)).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _vectors(t: Tables) -> DataFrame:
@@ -111,7 +111,7 @@ def minmax_scores(t: Tables) -> DataFrame:
   f AS (SELECT query_id, doc_id, round(0.7 * coalesce(s, 0) + 0.3 * coalesce(k, 0), 6) AS score, sr, kr FROM a FULL JOIN b USING (query_id, doc_id)),
   r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sr NULLS LAST, kr NULLS LAST, doc_id) AS rank FROM f) SELECT * FROM r WHERE rank <= 5""")
 def hybrid_fusion(t: Tables) -> DataFrame:
-    keyword = S.bm25(t.documents.select("doc_id", "text"), _asked(t), 10)
+    keyword = t.keyword_index().search(_asked(t), 10)
     return S.hybrid(_semantic(t, 10), keyword).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -162,7 +162,7 @@ _RESULTS = f"{PASSAGES}, docs AS (SELECT doc_id, text FROM documents), {BM25}, p
 def _result_rows(t: Tables) -> DataFrame:
     """The twenty whole documents that a keyword search finds for each passage."""
     asked = t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    found = S.bm25(t.documents.select("doc_id", "text"), asked, 20).select("query_id", "doc_id", "score")
+    found = t.keyword_index().search(asked, 20).select("query_id", "doc_id", "score")
     return found.join(t.documents.select("doc_id", F.col("text").alias("content")), "doc_id").join(asked, "query_id")
 
 
