@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, terms
+from ..functions.text import evaluation_form, strip, terms, words_of
 from .search import PLACES, lexical_f1
 
 # The six metrics of an answer, and the columns that each compares.
@@ -74,3 +78,123 @@ def prompt(instruction: str, contexts: Column, guideline: Column, exemplars: Col
     numbered = F.transform(contexts, lambda c, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), c))
     section = lambda name, parts, between: F.when(F.size(parts) > 0, F.concat(F.lit(f"{name}:\n"), F.array_join(parts, between)))
     return F.concat_ws("\n" + "-" * 80 + "\n", F.lit(instruction), section("CONTEXT", numbered, "\n\n"), F.nullif(strip(guideline), F.lit("")), section("EXAMPLE", exemplars, "\n"), F.concat(F.lit("QUESTION: "), question))
+
+
+def tokens(c: Column) -> Column:
+    """The words of a text in the form in which answers are compared."""
+    return words_of(evaluation_form(c))
+
+
+# ---- semantic scores: tokens that are aligned by their vectors
+
+#: From tokens to their vectors, a row each; called in the tasks.
+TokenEmbedder = Callable[[list[str]], np.ndarray]
+#: Components of the embedder that needs no model.
+WIDTH = 32
+#: Vectors of the other side that a token's block is compared with at once.
+ALIGNED = 2048
+
+
+@lru_cache(200_000)
+def _token_vector(token: str) -> bytes:
+    framed, out = f"#{token}#", np.zeros(WIDTH)
+    for i in range(len(framed) - 2):
+        out[int(hashlib.md5(framed[i : i + 3].encode()).hexdigest()[:8], 16) % WIDTH] += 1.0
+    return out.tobytes()
+
+
+def spelling_embedder(found: list[str]) -> np.ndarray:
+    """Hashed counts of a token's three-letter parts, its edges marked: words that are spelt alike are near."""
+    return np.frombuffer(b"".join(map(_token_vector, found)), np.float64).reshape(len(found), WIDTH)
+
+
+def closest_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row of a its largest cosine with a row of b; 0 for zero vectors and where b has none."""
+    unit = lambda x: np.divide(x, n, out=np.zeros_like(x), where=(n := np.sqrt((x * x).sum(axis=1))[:, None]) > 0)
+    best = np.full(len(a), -np.inf if len(b) else 0.0)
+    x = unit(a)
+    for i in range(0, len(b), ALIGNED):
+        y = unit(b[i : i + ALIGNED])
+        for j in range(0, len(a), ALIGNED):
+            part = slice(j, j + ALIGNED)
+            best[part] = np.maximum(best[part], (x[part] @ y.T).max(axis=1))
+    return best
+
+
+def _aligned(embed: TokenEmbedder, keys: int):
+    """(keys, sides): precision, recall and F1 of each row, from (side, token, n, idf) of its distinct tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.column("sides").to_pylist():
+                sides = [sorted(((x["token"], x["n"] * x["idf"]) for x in row or () if x["side"] == s)) for s in (0, 1)]
+                vectors = [embed([t for t, _ in side]) if side else np.zeros((0, 1)) for side in sides]
+                weights = [np.array([w for _, w in side]) for side in sides]
+                if not len(weights[0]) or not len(weights[1]):
+                    same = float(not len(weights[0]) and not len(weights[1]))
+                    out.append((same, same, same))
+                    continue
+                p, r = (float(w @ closest_cosines(a, b) / w.sum()) for w, a, b in ((weights[0], *vectors), (weights[1], *vectors[::-1])))
+                out.append((p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keys], *(pa.array(c, pa.float64()) for c in list(zip(*out)) or [()] * 3)], names=[*batch.schema.names[:keys], "precision", "recall", "f1"])
+
+    return run
+
+
+def alignment(pairs: DataFrame, keys: list[str], embed: TokenEmbedder = spelling_embedder) -> DataFrame:
+    """pairs (keys, answer, truth): (keys, precision, recall, f1) by the tokens' alignment, a row a row; keys tell rows apart.
+
+    Each token takes its largest cosine with a token of the other side. Precision is their mean over the answer's tokens,
+    recall over the truth's, weighted by idf = ln((N + 1) / (n + 1)) + 1 over the N truths, n of which hold the token. Both sides
+    empty: all are 1; one: 0. Distinct tokens are compared, with their counts as weights. Null counts as empty.
+    """
+    sides = pairs.select(*keys, tokens(F.coalesce("answer", F.lit(""))).alias("a"), tokens(F.coalesce("truth", F.lit(""))).alias("b"))
+    each = sides.select(*keys, F.explode(F.concat(*(F.transform(c, lambda t, s=s: F.struct(F.lit(s).alias("side"), t.alias("token"))) for s, c in enumerate("ab")))).alias("x"))
+    counted = each.groupBy(*keys, "x.side", "x.token").agg(F.count("*").alias("n"))
+    held = sides.select(F.explode(F.array_distinct("b")).alias("token")).groupBy("token").agg(F.count("*").alias("held"))
+    n = pairs.count()
+    idf = F.log((n + 1) / (F.coalesce("held", F.lit(0)) + 1)) + 1
+    weighted = counted.join(held, "token", "left").groupBy(*keys).agg(F.collect_list(F.struct("side", "token", "n", idf.alias("idf"))).alias("sides"))
+    every = sides.select(*keys).join(weighted, keys, "left")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in every.schema if f.name in keys)
+    return every.select(*keys, "sides").mapInArrow(_aligned(embed, len(keys)), f"{kinds}, precision double, recall double, f1 double")
+
+
+# Phrases by which an answer says that it has no answer.
+NO_INFORMATION = ("no information", "not provided", "unknown", "hindi malinaw")
+
+
+def grounded(answer: Column, contexts: Column, threshold: float = 0.5) -> Column:
+    """Whether a part of at least `threshold` of the answer's distinct tokens stands in one of the contexts.
+
+    Blank answers, answers without contexts, and answers that say that they have none are not grounded.
+    """
+    own = F.array_distinct(tokens(answer))
+    evasive = F.lit(False)
+    for phrase in NO_INFORMATION:
+        evasive = evasive | F.lower(answer).contains(phrase)
+    in_one = F.exists(contexts, lambda c: F.size(F.array_intersect(own, tokens(c))) / F.size(own) >= threshold)
+    return F.coalesce((answer != "") & (F.size(contexts) > 0) & ~evasive & (F.size(own) > 0) & in_one, F.lit(False))
+
+
+def tier(score: Column) -> Column:
+    return F.when(score > 0.93, "excellent").when(score > 0.90, "good").when(score > 0.70, "acceptable").otherwise("poor")
+
+
+def system_metrics(items: DataFrame) -> DataFrame:
+    """items (semantic, lexical, grounded, has_context, relevance): one row of counts, rates and means over all items.
+
+    relevance is a score that items may have, null for none; instead of their list there are their number, mean and range.
+    Without items the rates are 0 and the means null.
+    """
+    n = F.count("*")
+    of = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+    rate = lambda c: F.round(F.when(n > 0, of(c) / n).otherwise(0.0), PLACES)
+    mean = lambda c: F.round(F.avg(c), PLACES)
+    level = tier(F.col("semantic"))
+    named = {f"{x}_answers": of(level == x) for x in ("excellent", "good", "acceptable", "poor")}
+    rates = {f"{x}_rate": rate(level == x) for x in ("excellent", "good", "acceptable")} | {"overall_quality_rate": rate(level != "poor")}
+    context = {"grounded_answers": of(F.col("grounded")), "questions_with_context": of(F.col("has_context")), "grounding_rate": rate(F.col("grounded")), "context_availability_rate": rate(F.col("has_context"))}
+    means = {"avg_semantic_score": mean("semantic"), "avg_f1_score": mean("lexical"), "relevance_scores": F.count("relevance"), "avg_relevance": mean("relevance"), "min_relevance": F.min("relevance"), "max_relevance": F.max("relevance")}
+    return items.agg(n.alias("total_questions"), *(c.alias(k) for k, c in (named | rates | context | means).items()))

@@ -21,6 +21,8 @@ from ..sources.scratch import settled
 PLACES = 6
 #: Queries and vectors that are compared as one product of matrices.
 QUERY_BLOCK, VECTOR_BLOCK = 500, 1000
+#: Queries that a task holds the best of before it tells them.
+HELD = 20_000
 
 
 def term_statistics(docs: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -126,7 +128,12 @@ def _blocks(id_name: str, vector_name: str, rows: int):
 
 
 def _best_of_blocks(metric: str, k: int, kinds: list[pa.DataType]):
-    """Pairs of blocks: the k best of each query that the task has seen, told when the task ends."""
+    """Pairs of blocks: the k best of each query that the task has seen, told when it holds HELD queries and when it ends."""
+
+    def tell(best: dict) -> pa.RecordBatch:
+        rows = [(q, i, float(score)) for q, held in best.items() for _, i, score in held]
+        best.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict = {}
@@ -139,8 +146,9 @@ def _best_of_blocks(metric: str, k: int, kinds: list[pa.DataType]):
                     most = np.argsort(-rounded, kind="stable")[:k]
                     held = best.get(query, []) + [(-rounded[m], ids[order[m]], scores[m, j]) for m in most]
                     best[query] = sorted(held, key=lambda x: x[:2])[:k]
-        rows = [(q, i, float(score)) for q, held in best.items() for _, i, score in held]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["query_id", "vec_id", "score"])
+                if len(best) > HELD:
+                    yield tell(best)
+        yield tell(best)
 
     return run
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.keyword_index import KeywordIndex
+from ..operators.vector_index import VectorIndex
 from ..sources.scratch import working_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,8 +16,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-#: The keyword index of each session and version of the documents table: built by the first search, used by all that follow.
-_indexes: dict[tuple, KeywordIndex] = {}
+#: The indexes of each session and version of a table's files: built by the first search, used by all that follow.
+_indexes: dict[tuple, KeywordIndex | VectorIndex] = {}
 
 
 class Tables:
@@ -28,16 +29,26 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _version(self, name: str) -> tuple:
+        """The session and the files of a table: another version of the files is another key."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        return (self.spark.sparkContext.applicationId, *sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files))
+
     def keyword_index(self) -> KeywordIndex:
-        """The index of the documents; another version of their files is indexed anew."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/documents.parquet")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        version = tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files.listStatus(path)))
-        key = (self.spark.sparkContext.applicationId, version)
+        """The index of the documents."""
+        key = ("keyword", *self._version("documents"))
         if key not in _indexes:
             _indexes[key] = KeywordIndex.build(self.documents.select("doc_id", "text"), working_folder(self.spark))
         return _indexes[key]
 
+    def vector_index(self, metric: str = "l2sq") -> VectorIndex:
+        """The index of the embeddings."""
+        key = ("vector", metric, *self._version("embeddings"))
+        if key not in _indexes:
+            _indexes[key] = VectorIndex.build(self.embeddings.select("vec_id", "embedding"), working_folder(self.spark), metric)
+        return _indexes[key]
+
     def rows(self, values: str, columns: str) -> DataFrame:
         """A table written out as SQL values."""
         return self.spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")

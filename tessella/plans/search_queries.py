@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import questions as Q
 from ..functions import text as T
 from ..operators import search as S
+from ..operators import vector_index as V
 from .catalog import Tables, query
 from .text_queries import TERMS
 
@@ -58,6 +59,19 @@ def knn_l2_exp(t: Tables) -> DataFrame:
     return _ranked(S.nearest(_vectors(t), _vector_queries(t)))
 
 
+@query()
+def knn_index(t: Tables) -> DataFrame:
+    """The same by the index, which reads the cells nearest to each query only."""
+    return _ranked(t.vector_index().search(_vector_queries(t)))
+
+
+@query()
+def knn_index_recall(t: Tables) -> DataFrame:
+    """How much of the exact result the index finds."""
+    asked = _vector_queries(t)
+    return V.recall(t.vector_index("cosine").search(asked, threshold=None), S.nearest(_vectors(t), asked, metric="cosine", threshold=None))
+
+
 @query(knn_sql(f"list_cosine_similarity({_A}, {_B})"))
 def knn_cosine(t: Tables) -> DataFrame:
     return _ranked(S.nearest(_vectors(t), _vector_queries(t), metric="cosine", threshold=None))
