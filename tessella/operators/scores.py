@@ -110,7 +110,11 @@ def spelling_embedder(found: list[str]) -> np.ndarray:
 
 def closest_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each row of a its largest cosine with a row of b; 0 for zero vectors and where b has none."""
-    unit = lambda x: np.divide(x, n, out=np.zeros_like(x), where=(n := np.sqrt((x * x).sum(axis=1))[:, None]) > 0)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((x * x).sum(axis=1))[:, None]
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
     best = np.full(len(a), -np.inf if len(b) else 0.0)
     x = unit(a)
     for i in range(0, len(b), ALIGNED):
@@ -150,7 +154,8 @@ def alignment(pairs: DataFrame, keys: list[str], embed: TokenEmbedder = spelling
     empty: all are 1; one: 0. Distinct tokens are compared, with their counts as weights. Null counts as empty.
     """
     sides = pairs.select(*keys, tokens(F.coalesce("answer", F.lit(""))).alias("a"), tokens(F.coalesce("truth", F.lit(""))).alias("b"))
-    each = sides.select(*keys, F.explode(F.concat(*(F.transform(c, lambda t, s=s: F.struct(F.lit(s).alias("side"), t.alias("token"))) for s, c in enumerate("ab")))).alias("x"))
+    of_side = lambda c, side: F.transform(c, lambda t: F.struct(F.lit(side).alias("side"), t.alias("token")))
+    each = sides.select(*keys, F.explode(F.concat(of_side("a", 0), of_side("b", 1))).alias("x"))
     counted = each.groupBy(*keys, "x.side", "x.token").agg(F.count("*").alias("n"))
     held = sides.select(F.explode(F.array_distinct("b")).alias("token")).groupBy("token").agg(F.count("*").alias("held"))
     n = pairs.count()

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import scores, trees
 from ..operators import search as S
-from ..operators import trees
 from ..operators.prepare import numbered
 from .catalog import Tables, query
 from .search_queries import f1_sql
@@ -63,8 +63,7 @@ def _tokens_sql(e: str) -> str:
     return f"list_filter({_FORM.format(e)}, lambda x: x <> '')"
 
 
-def _tokens(c: Column) -> Column:
-    return T.words_of(T.evaluation_form(c))
+_tokens = scores.tokens
 
 
 _TRUTH = "SELECT a.conv_id, a.turn, a.text AS answer, b.text AS truth FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
@@ -81,18 +80,79 @@ def token_f1(t: Tables) -> DataFrame:
     return _turns(t).select("conv_id", "turn", F.round(S.lexical_f1(_tokens(F.col("answer")), _tokens(F.col("truth"))), 6).alias("f1"))
 
 
-# Phrases by which an answer says that it has no answer.
-NO_INFORMATION = ("no information", "not provided", "unknown", "hindi malinaw")
-_NONE = " OR ".join(f"contains(lower(answer), '{p}')" for p in NO_INFORMATION)
+_NONE = " OR ".join(f"contains(lower(answer), '{p}')" for p in scores.NO_INFORMATION)
+#: Turns with the next one as their truth, and the two before them as their contexts.
+_WITH_CONTEXTS = f"""p AS ({_TRUTH}), c AS (SELECT p.conv_id, p.turn, p.answer, p.truth, list(x.text ORDER BY x.turn) FILTER (x.text IS NOT NULL) AS contexts FROM p LEFT JOIN conversations x ON x.conv_id = p.conv_id AND x.turn BETWEEN p.turn - 2 AND p.turn - 1 GROUP BY ALL)"""
 
 
-@query(f"""WITH p AS (SELECT conv_id, turn, answer, list_distinct({_tokens_sql('answer')}) AS a, list_distinct({_tokens_sql('truth')}) AS c FROM ({_TRUTH}))
-  SELECT conv_id, turn, CASE WHEN answer = '' OR {_NONE} THEN FALSE ELSE len(a) > 0 AND len(list_intersect(a, c)) / len(a) >= 0.1 END AS grounded FROM p""")
+def _grounded_sql(threshold: float) -> str:
+    own, other = f"list_distinct({_tokens_sql('answer')})", f"list_distinct({_tokens_sql('x')})"
+    return f"(answer <> '' AND NOT ({_NONE}) AND len({own}) > 0 AND len(list_filter(coalesce(contexts, []), lambda x: len(list_intersect({own}, {other})) / len({own}) >= {threshold})) > 0)"
+
+
+def _with_contexts(t: Tables) -> DataFrame:
+    """Joined by conversation and turn, so that a long conversation is no group."""
+    out = _turns(t)
+    for k in (1, 2):
+        before = t.conversations.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("text").alias(f"before_{k}"))
+        out = out.join(before, ["conv_id", "turn"], "left")
+    contexts = F.filter(F.array("before_2", "before_1"), lambda c: c.isNotNull())
+    return out.select("conv_id", "turn", "answer", "truth", contexts.alias("contexts"))
+
+
+@query(f"WITH {_WITH_CONTEXTS} SELECT conv_id, turn, {_grounded_sql(0.5)} AS grounded, {_grounded_sql(0.1)} AS loosely_grounded FROM c")
 def grounding(t: Tables) -> DataFrame:
-    a, c = F.array_distinct(_tokens(F.col("answer"))), F.array_distinct(_tokens(F.col("truth")))
-    evasive = (F.col("answer") == "") | sum((F.lower("answer").contains(p).cast("int") for p in NO_INFORMATION), F.lit(0)).cast("boolean")
-    overlap = F.when(F.size(a) > 0, F.size(F.array_intersect(a, c)) / F.size(a)).otherwise(0.0)
-    return _turns(t).select("conv_id", "turn", (~evasive & (overlap >= 0.1)).alias("grounded"))
+    """Against the two turns before, at the default threshold; beside it at one that these texts reach."""
+    answer, contexts = F.col("answer"), F.col("contexts")
+    return _with_contexts(t).select("conv_id", "turn", scores.grounded(answer, contexts).alias("grounded"), scores.grounded(answer, contexts, 0.1).alias("loosely_grounded"))
+
+
+#: Aligned tokens: idf over the truths, a vector for each distinct token, and each token's largest cosine with the other side.
+_ALIGNED = f"""p AS ({_TRUTH}), side AS (SELECT conv_id, turn, 0 AS side, unnest({_tokens_sql('answer')}) AS token FROM p UNION ALL SELECT conv_id, turn, 1, unnest({_tokens_sql('truth')}) FROM p),
+  held AS (SELECT token, count(DISTINCT (conv_id, turn)) AS held FROM side WHERE side = 1 GROUP BY token), idf AS (SELECT token, ln(((SELECT count(*) FROM p) + 1) / (coalesce(held, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT token FROM side) LEFT JOIN held USING (token)),
+  slots AS (SELECT token, list_transform(range(1, len('#' || token || '#') - 1), lambda i: ('0x' || substr(md5(substr('#' || token || '#', i, 3)), 1, 8))::BIGINT % {scores.WIDTH}) AS s FROM idf),
+  vec AS (SELECT token, list_transform(range(0, {scores.WIDTH}), lambda k: len(list_filter(s, lambda x: x = k))::DOUBLE) AS v FROM slots),
+  w AS (SELECT conv_id, turn, side, token, count(*) * any_value(idf) AS w, any_value(v) AS v FROM side JOIN idf USING (token) JOIN vec USING (token) GROUP BY ALL),
+  m AS (SELECT a.conv_id, a.turn, a.side, a.token, any_value(a.w) AS w, max(list_cosine_similarity(a.v, b.v)) AS m FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.side <> b.side GROUP BY ALL),
+  pr AS (SELECT conv_id, turn, sum(w * m) FILTER (side = 0) / sum(w) FILTER (side = 0) AS p, sum(w * m) FILTER (side = 1) / sum(w) FILTER (side = 1) AS r FROM m GROUP BY ALL),
+  al AS (SELECT p.conv_id, p.turn, p.answer, p.truth, CASE WHEN pr.p IS NOT NULL THEN pr.p WHEN len({_tokens_sql('p.answer')}) = 0 AND len({_tokens_sql('p.truth')}) = 0 THEN 1.0 ELSE 0.0 END AS precision,
+    CASE WHEN pr.r IS NOT NULL THEN pr.r WHEN len({_tokens_sql('p.answer')}) = 0 AND len({_tokens_sql('p.truth')}) = 0 THEN 1.0 ELSE 0.0 END AS recall FROM p LEFT JOIN pr USING (conv_id, turn)),
+  f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM al)"""
+
+
+def _six(*names: str) -> list[Column]:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+@query(f"WITH {_ALIGNED} SELECT conv_id, turn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f")
+def semantic_alignment(t: Tables) -> DataFrame:
+    """BERTScore's alignment of tokens, over the embedder that needs no model."""
+    return scores.alignment(_turns(t), ["conv_id", "turn"]).select("conv_id", "turn", *_six("precision", "recall", "f1"))
+
+
+@query(f"WITH {_ALIGNED} SELECT CASE WHEN f1 > 0.93 THEN 'excellent' WHEN f1 > 0.90 THEN 'good' WHEN f1 > 0.70 THEN 'acceptable' ELSE 'poor' END AS tier, count(*) AS n FROM f GROUP BY 1")
+def answer_tiers(t: Tables) -> DataFrame:
+    return scores.alignment(_turns(t), ["conv_id", "turn"]).groupBy(scores.tier(F.col("f1")).alias("tier")).agg(F.count("*").alias("n"))
+
+
+_LEVELS = {"excellent": "semantic > 0.93", "good": "semantic > 0.90 AND semantic <= 0.93", "acceptable": "semantic > 0.70 AND semantic <= 0.90", "poor": "semantic <= 0.70"}
+
+
+@query(f"""WITH {_WITH_CONTEXTS}, {_ALIGNED.replace('p AS (' + _TRUTH + '), ', '', 1)},
+  i AS (SELECT f.f1 AS semantic, {f1_sql(_tokens_sql('c.answer'), _tokens_sql('c.truth'))} AS lexical, {_grounded_sql(0.5).replace('answer', 'c.answer')} AS grounded, len(coalesce(contexts, [])) > 0 AS has_context,
+    CASE WHEN c.turn % 3 = 0 THEN (length(c.truth) % 11) / 10.0 END AS relevance FROM c JOIN f USING (conv_id, turn))
+  SELECT count(*) AS total_questions, {', '.join(f'count(*) FILTER ({c}) AS {k}_answers' for k, c in _LEVELS.items())}, {', '.join(f'round(count(*) FILTER ({c}) / count(*), 6) AS {k}_rate' for k, c in _LEVELS.items() if k != 'poor')},
+    round(count(*) FILTER (semantic > 0.70) / count(*), 6) AS overall_quality_rate, count(*) FILTER (grounded) AS grounded_answers, count(*) FILTER (has_context) AS questions_with_context,
+    round(count(*) FILTER (grounded) / count(*), 6) AS grounding_rate, round(count(*) FILTER (has_context) / count(*), 6) AS context_availability_rate, round(avg(semantic), 6) AS avg_semantic_score, round(avg(lexical), 6)::DOUBLE AS avg_f1_score,
+    count(relevance) AS relevance_scores, round(avg(relevance), 6)::DOUBLE AS avg_relevance, min(relevance)::DOUBLE AS min_relevance, max(relevance)::DOUBLE AS max_relevance FROM i""")
+def system_metrics(t: Tables) -> DataFrame:
+    """Tiers by aligned tokens, lexical F1, grounding in the turns before; a relevance that every third turn has."""
+    turns = _with_contexts(t)
+    semantic = scores.alignment(turns, ["conv_id", "turn"]).select("conv_id", "turn", F.col("f1").alias("semantic"))
+    lexical = S.lexical_f1(_tokens(F.col("answer")), _tokens(F.col("truth")))
+    relevance = F.when(F.col("turn") % 3 == 0, F.length("truth") % 11 / 10.0)
+    items = turns.join(semantic, ["conv_id", "turn"]).select("semantic", lexical.alias("lexical"), scores.grounded(F.col("answer"), F.col("contexts")).alias("grounded"), (F.size("contexts") > 0).alias("has_context"), relevance.alias("relevance"))
+    return scores.system_metrics(items)
 
 
 @query("SELECT CASE WHEN s > 0.93 THEN 'excellent' WHEN s > 0.90 THEN 'good' WHEN s > 0.70 THEN 'fair' ELSE 'poor' END AS tier, count(*) AS n FROM (SELECT (n_chars % 1000) / 1000.0 AS s FROM documents) GROUP BY 1")

@@ -199,13 +199,6 @@ def judge_inputs(t: Tables) -> DataFrame:
     return t.rows(INPUTS, INPUT_COLUMNS).where("question <> '' and gold <> ''").select("id", "question", "gold")
 
 
-@query("""WITH a AS (SELECT conv_id, turn, length(text) > 100 AS long, role = 'user' AS asked, (length(text) % 100) / 100.0 AS score FROM conversations)
-  SELECT count(*) AS total, round(100.0 * count(*) FILTER (long) / count(*), 6)::DOUBLE AS long_rate, round(avg(score), 6)::DOUBLE AS mean_score, round(avg(score) FILTER (asked), 6)::DOUBLE AS asked_score, count(*) FILTER (score > 0.9) AS top_tier FROM a""")
-def system_metrics(t: Tables) -> DataFrame:
-    a = t.conversations.select((F.length("text") > 100).alias("long"), (F.col("role") == "user").alias("asked"), (F.length("text") % 100 / 100.0).alias("score"))
-    return a.agg(F.count("*").alias("total"), F.round(100.0 * F.sum(F.col("long").cast("long")) / F.count("*"), 6).alias("long_rate"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg(F.when(F.col("asked"), F.col("score"))), 6).alias("asked_score"), F.sum((F.col("score") > 0.9).cast("long")).alias("top_tier"))
-
-
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn, count(*) OVER (PARTITION BY source) AS turns FROM documents WHERE n_chars / 10000.0 >= 0.2")
 def post_filter(t: Tables) -> DataFrame:
     """The threshold that applies to finished results, with what is left numbered anew."""
