@@ -1,7 +1,7 @@
 """Operator 13, scans for secrets: formats, and values of credential contexts that take too many guesses.
 
 Formats (assign, access, hex) are found as they are. Beyond them, a value that stands where credentials stand (behind a key
-word and a sign, behind a scheme of authorization, or as the password of a URL) is a secret if no cheap way leads to it. Its
+word and a sign, a scheme of authorization between them or not, or as the password of a URL) is a secret if no cheap way leads to it. Its
 cost is the smallest over all ways to cut it into segments, in bits (the logarithm of the number of guesses):
 
     word          how rare the word is among all words of the corpus, its capitals and its digits for letters
@@ -35,7 +35,7 @@ from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop, stash, table
@@ -60,31 +60,49 @@ _access = re.compile(r"AKIA[A-Z0-9]{12,}")
 _hex = re.compile(r"[0-9a-f]{32,}")
 
 #: Words before a sign that a credential follows; also part of a longer name, as in db_password.
-KEYS = ("password", "passwd", "passphrase", "passcode", "passwort", "kennwort", "pwd", "pass", "secret", "token", "api_key", "apikey", "api-key", "access_key", "access-key", "private_key", "private-key", "credential", "credentials", "auth", "clave", "senha", "contraseña", "mot de passe")
-_value = r"""[^\s"'`<>]+"""
-_context = re.compile(rf"""(?:{"|".join(sorted(map(re.escape, KEYS), key=len, reverse=True))})["'`]?\x20*(?::=|=>|[:=])\x20*(?:bearer\x20+|basic\x20+)?["'`]?({_value})""", re.ASCII | re.IGNORECASE)
-_scheme = re.compile(rf"(?:bearer|basic)\x20+({_value})", re.ASCII | re.IGNORECASE)
+KEYS = ("password", "passwd", "passphrase", "passcode", "passwort", "kennwort", "pwd", "pass", "secret", "token", "api_key", "apikey", "api-key", "access_key", "access-key", "private_key", "private-key", "credential", "credentials", "auth", "authorization", "clave", "senha", "contraseña", "mot de passe")
+_longest_key = max(map(len, KEYS))
+_behind = re.compile(r"""(?::=|=>|[:=])\x20*(?:bearer\x20+|basic\x20+)?["'`]?([^\s"'`<>]+)""", re.ASCII | re.IGNORECASE)
 _login = re.compile(r"""://[^\s/?#:@"'`<>]+:([^\s/?#@"'`<>]+)@""")
-#: What Spark looks for before a text is searched: one of the keys, a scheme or a login.
-LOOSE = "(?i)pass|kennwort|pwd|secret|token|api[_-]?key|(access|private)[_-]key|credential|auth|clave|senha|contrase|bearer|basic|://"
-_trailing = ".,;:!?)]}"
+_quotes, _trailing = "\"'`", ".,;:!?)]}"
 
 Span = tuple[str, int, int]
 
 
 def base_spans(text: str) -> list[Span]:
     """Formats in order of start, then of kind; leftmost, not overlapping within a kind; failing matches are dropped."""
-    out = [("assign", *m.span()) for m in _assign.finditer(text) if m.end(2) - m.start(2) >= 8]
+    out: list[Span] = []
+    if ":" in text or "=" in text:
+        low = text.lower()
+        if any(k in low for k in ("passw", "secret", "token", "api")):
+            out += [("assign", *m.span()) for m in _assign.finditer(text) if m.end(2) - m.start(2) >= 8]
     out += [("access", *m.span()) for m in _access.finditer(text)] if "AKIA" in text else []
     out += [("hex", *m.span()) for m in _hex.finditer(text)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _places(text: str, sign: str) -> Iterator[int]:
+    at = text.find(sign)
+    while at >= 0:
+        yield at
+        at = text.find(sign, at + 1)
+
+
+def _has_key(text: str, at: int) -> bool:
+    """Whether a key word stands before the sign at this place, with a quote and blanks between them or not."""
+    while at and text[at - 1] == " ":
+        at -= 1
+    if at and text[at - 1] in _quotes:
+        at -= 1
+    return text[max(0, at - _longest_key) : at].lower().endswith(KEYS)
+
+
 def values(text: str) -> list[tuple[int, int]]:
     """Where the values of credential contexts stand, without the punctuation behind them; none overlaps another."""
-    spans = sorted({m.span(1) for pattern in (_context, _scheme, _login) for m in pattern.finditer(text)})
+    spans = {m.span(1) for sign in ":=" for at in _places(text, sign) if _has_key(text, at) and (m := _behind.match(text, at))}
+    spans |= {m.span(1) for m in _login.finditer(text)} if "://" in text else set()
     out, end = [], 0
-    for a, b in spans:
+    for a, b in sorted(spans):
         if a < end:
             continue
         end = b
@@ -274,6 +292,11 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(secret, pa.bool_())], names=["digest", "secret"])
 
 
+def _may_hold(text: Column) -> Column:
+    """Whether a text has a sign that values stand behind."""
+    return text.contains(":") | text.contains("=")
+
+
 def word_bits(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """docs (text), asked (word): (word, bits) of the asked words that occur LEAST times at least."""
     passes = bytearray(SIEVE)
@@ -289,7 +312,7 @@ def word_bits(docs: DataFrame, asked: DataFrame) -> DataFrame:
 def secret_values(docs: DataFrame) -> DataFrame:
     """docs (text): (of_text, digest), of each text (by its MD5) that has any, the secrets among its values (by theirs)."""
     text = F.col("text").cast("string")
-    sought = stash(docs.where(text.rlike(LOOSE)).select(F.md5(text.cast("binary")).alias("of_text"), text.alias("text")).mapInArrow(_seek, "of_text string, digest string, value string").dropDuplicates(["of_text", "digest"]))
+    sought = stash(docs.where(_may_hold(text)).select(F.md5(text.cast("binary")).alias("of_text"), text.alias("text")).mapInArrow(_seek, "of_text string, digest string, value string").dropDuplicates(["of_text", "digest"]))
     each = stash(sought.select("digest", "value").dropDuplicates(["digest"]).mapInArrow(_bound, "digest string, value string, secret boolean, words array<string>"))
     found, open_ = each.where("secret").select("digest"), each.where("secret is null")
     if not open_.isEmpty():
@@ -351,7 +374,7 @@ def secrets(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = stash(secret_values(given).groupBy("of_text").agg(F.collect_set("digest").alias("secrets")))
     # texts without a context match nothing: keys of their own keep them apart
-    key = F.when(F.col("text").rlike(LOOSE), F.md5(F.col("text").cast("binary"))).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id()))
+    key = F.when(_may_hold(F.col("text")), F.md5(F.col("text").cast("binary"))).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id()))
     # held is written out, so its size is known: while it is small, no text is shuffled
     joined = given.withColumn("key", key).join(held, F.col("key") == F.col("of_text"), "left").select("doc_id", "text", "secrets")
     kinds = f"doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_{ADDED} long"

@@ -268,6 +268,24 @@ def test_secrets(spark):
     assert guesses.secrets(spark.createDataFrame([], SECRETS)).collect() == []
 
 
+def test_values_stand_behind_keys():
+    cases = {
+        "PassWord = x1": ["x1"],
+        'the "db_token"  :  "a b': ["a"],
+        "auth := q,.": ["q"],
+        "Authorization: Basic  dXNlcg==;": ["dXNlcg=="],
+        "secret => `v`": ["v"],
+        "my pass" + " " * 500 + "= w": ["w"],
+        "ftp://u:p1@h/x https://h:80/y mailto:u@h": ["p1"],
+        "tokens = no, password and token, pass-word: no": [],
+        "password: pwd=inner": ["pwd=inner"],
+        "secret:": [],
+        "mot de passe : é#1!": ["é#1"],
+    }
+    for text, found in cases.items():
+        assert [text[a:b] for a, b in guesses.values(text)] == found, text
+
+
 def test_word_counts_decide_and_leave_values_out(spark):
     """A value of rare words is a secret, one of frequent words is none; repeating the value itself makes it no word."""
     texts = ["lorimantu feshgolda " * 6, *["login pass: zorbimexuvaht here"] * 9, "pass: lorimantufeshgolda"]
