@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
+
 
 def from_turns(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role): each with its ancestors (null for the first) and its child (null for the last)."""
@@ -40,3 +42,23 @@ def add_sibling(tree: DataFrame, of: Column, new_id: str, content: str) -> DataF
 def subtree(tree: DataFrame, root: str) -> DataFrame:
     """The messages below a root, with it."""
     return tree.where((F.col("id") == root) | F.array_contains("ancestors", root))
+
+
+def root_paths(nodes: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """nodes (keys, id, parent, label), trees that branch: (keys, id, depth, path), the labels from the root down to each node.
+
+    By pointer doubling: after r rounds a node knows its last 2 ** r labels and the ancestor above these, so the number of
+    rounds is the logarithm of the greatest depth, and a round is an equi-join on the keys and the ancestor. ids are unique
+    within the keys. A node whose parent is not there is a root; nodes of a circle have no root, and are left out.
+    """
+    known = nodes.select(*keys, F.col("id").alias("parent"), F.lit(True).alias("known"))
+    first = nodes.join(known, [*keys, "parent"], "left").select(*keys, "id", F.when(F.col("known"), F.col("parent")).alias("above"), F.lit(1).cast("long").alias("depth"), F.col(label).cast("string").alias("path"))
+    reached = settled(first)
+    n, rounds = reached.count(), 0
+    while reached.where("above IS NOT NULL").limit(1).count() and 2**rounds <= n:  # beyond n labels there are only circles
+        upper = reached.select(*keys, F.col("id").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"), F.col("path").alias("front"))
+        joined = reached.join(upper, [*keys, "above"], "left")
+        path = F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("front", F.lit("/"), "path"))
+        reached = settled(joined.select(*keys, "id", F.col("next").alias("above"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), path.alias("path")))
+        rounds += 1
+    return reached.where("above IS NULL").drop("above")

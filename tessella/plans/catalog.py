@@ -29,6 +29,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stream_path(self, name: str) -> str:
+        """A table's path for streams: as a pattern, which may name a folder or a single file."""
+        return f"{self.folder}/{name}.parque[t]"
+
     def _version(self, name: str) -> tuple:
         """The session and the files of a table: another version of the files is another key."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")

@@ -391,6 +391,18 @@ def subtree_path(t: Tables) -> DataFrame:
     return trees.paths(t.conversations.select("conv_id", "turn", "role"))
 
 
+#: Conversations as trees that branch: the first turn is the root, and each turn k has the turns 2k + 1 and 2k + 2 below it.
+_BRANCHES = "SELECT conv_id, turn AS id, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, turn || ':' || role AS label FROM conversations"
+
+
+@query(f"""WITH RECURSIVE n AS ({_BRANCHES}), p AS (SELECT conv_id, id, 1::BIGINT AS depth, label AS path FROM n WHERE parent IS NULL
+  UNION ALL SELECT n.conv_id, n.id, p.depth + 1, p.path || '/' || n.label FROM n JOIN p ON n.conv_id = p.conv_id AND n.parent = p.id) SELECT * FROM p""")
+def branch_paths(t: Tables) -> DataFrame:
+    turn = F.col("turn")
+    nodes = t.conversations.select("conv_id", turn.alias("id"), F.when(turn > 0, F.floor((turn - 1) / 2)).cast("long").alias("parent"), F.concat(turn.cast("string"), F.lit(":"), "role").alias("label"))
+    return trees.root_paths(nodes, ["conv_id"], "label")
+
+
 @query("SELECT conv_id, turn, role, list(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ancestors, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS child FROM conversations")
 def tree_convert(t: Tables) -> DataFrame:
     return trees.from_turns(t.conversations.select("conv_id", "turn", "role"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation_queries, pipelines, search_queries, source_queries, text_queries  # noqa: F401  they register themselves
+from . import evaluation_queries, pipelines, search_queries, source_queries, stream_queries, text_queries  # noqa: F401  they register themselves
 from .catalog import ORACLES, QUERIES
 
 

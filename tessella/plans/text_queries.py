@@ -27,7 +27,10 @@ def text_normalize_pass2(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(T.normalize(T.normalize(F.col("text"))).cast("binary")).alias("digest"))
 
 
-@query(rf"SELECT doc_id FROM documents WHERE length({T.strip_sql('text')}) >= 50 AND length({T.strip_sql(rf'''regexp_replace(text, '[^{W}\s]', '', 'g')''')}) >= 35")
+VALID = rf"length({T.strip_sql('text')}) >= 50 AND length({T.strip_sql(rf'''regexp_replace(text, '[^{W}\s]', '', 'g')''')}) >= 35"
+
+
+@query(f"SELECT doc_id FROM documents WHERE {VALID}")
 def text_valid_filter(t: Tables) -> DataFrame:
     return t.documents.where(T.is_valid(F.col("text"))).select("doc_id")
 

@@ -42,6 +42,9 @@ def ingest_stream(spark: SparkSession, folder: str, schema: StructType, store: s
     return files.writeStream.foreachBatch(lambda df, n: append_new(df, n, store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def usage_windows(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """events (ts, event_type, user_id), a stream or a table: counts and approximate users of each window and type."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users")).select(F.col("window.start").alias("start"), "event_type", "n", "users")
+def usage_windows(events: DataFrame, size: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """events (ts, event_type, user_id), a stream or a table: counts and approximate users of each window and type.
+
+    Windows follow each other, or begin every `slide` and overlap.
+    """
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size, slide), "event_type").agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users")).select(F.col("window.start").alias("start"), "event_type", "n", "users")
