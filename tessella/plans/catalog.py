@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,9 @@ from ..sources.scratch import working_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The tables that derived cases may name.
+NAMES = ("conversations", "documents", "events", "orders", "pages")
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -20,6 +24,17 @@ ORACLES: dict[str, str] = {}
 _indexes: dict[tuple, KeywordIndex | VectorIndex] = {}
 
 
+class Cases:
+    """Worked cases, and rows like them that a SELECT makes of the tables; it is written so that both engines read it."""
+
+    def __init__(self, values: str, columns: str, derived: str):
+        self.values, self.columns, self.derived = values, columns, derived
+
+    def __str__(self) -> str:
+        """What stands behind FROM."""
+        return f"(SELECT * FROM (VALUES {self.values}) v({self.columns}) UNION ALL {self.derived}) t({self.columns})"
+
+
 class Tables:
     """The tables of a folder by name, read with nothing but the columns that a plan uses."""
 
@@ -53,6 +68,11 @@ class Tables:
             _indexes[key] = VectorIndex.build(self.embeddings.select("vec_id", "embedding"), working_folder(self.spark), metric)
         return _indexes[key]
 
+    def cases(self, given: Cases) -> DataFrame:
+        names = {n: getattr(self, n) for n in given.derived.split() if n in NAMES}
+        made = re.sub(rf"\b({'|'.join(NAMES)})\b", r"{\1}", given.derived)
+        return self.rows(given.values, given.columns).union(self.spark.sql(f"SELECT * FROM ({made}) AS t({given.columns})", **names))
+
     def rows(self, values: str, columns: str) -> DataFrame:
         """A table written out as SQL values."""
         return self.spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import scores, trees
 from ..operators import search as S
 from ..operators.prepare import numbered
-from .catalog import Tables, query
+from .catalog import Cases, Tables, query
 from .search_queries import f1_sql
 
 # ---- retrieval metrics; items: documents, truth from labels, similarity derived from n_chars
@@ -267,15 +267,15 @@ def positional_zip(t: Tables) -> DataFrame:
     return a.join(numbered(t.customer.select("c_custkey", "c_name"), "c_custkey").select("i", "c_name"), "i")
 
 
-STATES = "(1, 'valid', 'valid', 'valid', 'valid'), (2, 'invalid', 'valid', 'valid', 'valid'), (3, 'valid', 'invalid', 'error', 'valid'), (4, 'invalid', 'invalid', 'valid', 'valid'), (5, 'partial', 'error', 'valid', 'invalid'), (6, 'valid', 'valid', 'invalid', 'invalid')"
-_ACTION = "SELECT id, CASE WHEN 'invalid' IN (q1, q2) AND 'invalid' IN (a1, a2) THEN 'refine_both' WHEN 'invalid' IN (q1, q2) THEN 'refine_question' WHEN 'invalid' IN (a1, a2) THEN 'refine_answer' ELSE 'none' END AS action FROM (VALUES " + STATES + ") t(id, q1, a1, q2, a2)"
+STATES = Cases("(1, 'valid', 'valid', 'valid', 'valid'), (2, 'invalid', 'valid', 'valid', 'valid'), (3, 'valid', 'invalid', 'error', 'valid'), (4, 'invalid', 'invalid', 'valid', 'valid'), (5, 'partial', 'error', 'valid', 'invalid'), (6, 'valid', 'valid', 'invalid', 'invalid')", "id, q1, a1, q2, a2", "SELECT 1000 + o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'invalid' ELSE 'valid' END, CASE o_orderkey % 7 WHEN 0 THEN 'invalid' WHEN 1 THEN 'error' ELSE 'valid' END, CASE WHEN o_orderkey % 11 = 0 THEN 'partial' ELSE 'valid' END, CASE WHEN o_orderkey % 3 = 0 THEN 'invalid' ELSE 'valid' END FROM orders")
+_ACTION = "SELECT id, CASE WHEN 'invalid' IN (q1, q2) AND 'invalid' IN (a1, a2) THEN 'refine_both' WHEN 'invalid' IN (q1, q2) THEN 'refine_question' WHEN 'invalid' IN (a1, a2) THEN 'refine_answer' ELSE 'none' END AS action FROM " + str(STATES)
 
 
 def _actions(t: Tables) -> DataFrame:
     """Only the literal invalid is bad: errors and partial verdicts pass."""
     q = (F.col("q1") == "invalid") | (F.col("q2") == "invalid")
     a = (F.col("a1") == "invalid") | (F.col("a2") == "invalid")
-    return t.rows(STATES, "id, q1, a1, q2, a2").select("id", F.when(q & a, "refine_both").when(q, "refine_question").when(a, "refine_answer").otherwise("none").alias("action"))
+    return t.cases(STATES).select("id", F.when(q & a, "refine_both").when(q, "refine_question").when(a, "refine_answer").otherwise("none").alias("action"))
 
 
 @query(_ACTION)
@@ -283,22 +283,24 @@ def refine_action(t: Tables) -> DataFrame:
     return _actions(t)
 
 
-@query(f"WITH a AS ({_ACTION}) SELECT action, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM a), 6)::DOUBLE AS percent, list(id ORDER BY id) AS ids FROM a GROUP BY action")
+@query(f"WITH a AS ({_ACTION}) SELECT action, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM a), 6)::DOUBLE AS percent, list(id ORDER BY id)[1:20] AS ids FROM a GROUP BY action")
 def refinement_report(t: Tables) -> DataFrame:
+    """The number and part of each action, and the first twenty items that it is asked for."""
     a = _actions(t)
     total = F.broadcast(a.agg(F.count("*").alias("total")))
-    return a.groupBy("action").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids")).crossJoin(total).select("action", "n", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("percent"), "ids")
+    first = a.withColumn("i", F.row_number().over(Window.partitionBy("action").orderBy("id"))).where(F.col("i") <= 20).groupBy("action").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return a.groupBy("action").agg(F.count("*").alias("n")).join(first, "action").crossJoin(total).select("action", "n", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("percent"), "ids")
 
 
-JUDGED = "(1, 'STATUS: Valid~REASONING: clear', 'a'), (2, 'text~STATUS: partially valid~REASONING: so so', 'b'), (3, 'STATUS: INVALID', 'c'), (4, 'nothing', 'd')"
-_STATUS = f"""SELECT id, CASE WHEN s LIKE '%partial%' THEN 'partial' WHEN s LIKE '%invalid%' THEN 'invalid' WHEN s LIKE '%valid%' THEN 'valid' ELSE 'error' END AS status, reason FROM (SELECT id, lower(trim(regexp_extract(replace(a, '~', chr(10)), '(?m)^STATUS:(.*)$', 1))) AS s, trim(regexp_extract(replace(a, '~', chr(10)), '(?m)^REASONING:(.*)$', 1)) AS reason FROM (VALUES {JUDGED}) t(id, a, o))"""
+JUDGED = Cases("(1, 'STATUS: Valid~REASONING: clear', 'a'), (2, 'text~STATUS: partially valid~REASONING: so so', 'b'), (3, 'STATUS: INVALID', 'c'), (4, 'nothing', 'd')", "id, a, o", "SELECT 1000 + conv_id * 1000 + turn, CASE turn % 4 WHEN 0 THEN 'STATUS: Valid' WHEN 1 THEN 'x~STATUS: partially valid' WHEN 2 THEN 'STATUS: INVALID ' ELSE role END || '~REASONING: ' || role || '~more', role FROM conversations")
+_STATUS = f"""SELECT id, CASE WHEN s LIKE '%partial%' THEN 'partial' WHEN s LIKE '%invalid%' THEN 'invalid' WHEN s LIKE '%valid%' THEN 'valid' ELSE 'error' END AS status, reason FROM (SELECT id, lower(trim(regexp_extract(replace(a, '~', chr(10)), '(?m)^STATUS:(.*)$', 1))) AS s, trim(regexp_extract(replace(a, '~', chr(10)), '(?m)^REASONING:(.*)$', 1)) AS reason FROM {JUDGED})"""
 
 
 def _statuses(t: Tables) -> DataFrame:
     a = F.translate("a", "~", "\n")
     s = F.lower(F.regexp_extract(a, "(?m)^STATUS:(.*)$", 1))
     status = F.when(s.contains("partial"), "partial").when(s.contains("invalid"), "invalid").when(s.contains("valid"), "valid").otherwise("error")
-    return t.rows(JUDGED, "id, a, o").select("id", status.alias("status"), F.trim(F.regexp_extract(a, "(?m)^REASONING:(.*)$", 1)).alias("reason"))
+    return t.cases(JUDGED).select("id", status.alias("status"), F.trim(F.regexp_extract(a, "(?m)^REASONING:(.*)$", 1)).alias("reason"))
 
 
 @query(_STATUS)
@@ -317,15 +319,15 @@ def snippet(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text")).alias("snippet"))
 
 
-BLOCKS = """(0, 'Here: {"question": "Q one", "ground_truth": "A one"} done'), (1, '{"question": "Q two"}'), (2, 'no json at all'), (3, '{broken')"""
+BLOCKS = Cases("""(0, 'Here: {"question": "Q one", "ground_truth": "A one"} done'), (1, '{"question": "Q two"}'), (2, 'no json at all'), (3, '{broken')""", "chunk, a", "SELECT 1000 + conv_id * 1000 + turn, 'Here: ' || chr(123) || '\"question\": \"' || role || '\"' || CASE WHEN turn % 3 = 0 THEN ', \"ground_truth\": \"' || CAST(conv_id AS STRING) || '\"' ELSE '' END || CASE WHEN turn % 5 = 4 THEN '' ELSE chr(125) END || ' done' FROM conversations")
 
 
-@query(rf"""WITH b AS (SELECT chunk, nullif(regexp_extract(a, '(?s)\{{.*\}}', 0), '') AS j FROM (VALUES {BLOCKS}) t(chunk, a)), v AS (SELECT chunk, CASE WHEN json_valid(j) THEN j END AS j FROM b)
+@query(rf"""WITH b AS (SELECT chunk, nullif(regexp_extract(a, '(?s)\{{.*\}}', 0), '') AS j FROM {BLOCKS}), v AS (SELECT chunk, CASE WHEN json_valid(j) THEN j END AS j FROM b)
   SELECT chunk, coalesce(j::JSON->>'question', '') AS question, coalesce(j::JSON->>'ground_truth', '') AS truth, CASE WHEN chunk % 2 = 0 THEN 'fil' ELSE 'en' END AS lang FROM v""")
 def json_block_parse(t: Tables) -> DataFrame:
     j = F.regexp_extract("a", r"(?s)\{.*\}", 0)
     field = lambda name: F.coalesce(F.get_json_object(j, f"$.{name}"), F.lit(""))
-    return t.rows(BLOCKS, "chunk, a").select("chunk", field("question").alias("question"), field("ground_truth").alias("truth"), F.when(F.col("chunk") % 2 == 0, "fil").otherwise("en").alias("lang"))
+    return t.cases(BLOCKS).select("chunk", field("question").alias("question"), field("ground_truth").alias("truth"), F.when(F.col("chunk") % 2 == 0, "fil").otherwise("en").alias("lang"))
 
 
 @query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (source)")
@@ -333,13 +335,13 @@ def batch_summary(t: Tables) -> DataFrame:
     return t.documents.rollup("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-REFINED = "(1, 'REFINED_ANSWER: better~more', 'orig'), (2, 'oops', 'orig'), (3, 'x~REFINED_QUESTION: why', 'orig')"
+REFINED = Cases("(1, 'REFINED_ANSWER: better~more', 'orig'), (2, 'oops', 'orig'), (3, 'x~REFINED_QUESTION: why', 'orig')", "id, a, o", "SELECT 1000 + conv_id * 1000 + turn, CASE turn % 3 WHEN 0 THEN 'REFINED_ANSWER: ' || role WHEN 1 THEN role ELSE 'y~REFINED_QUESTION: why ' || role || '~z' END, 'own ' || role FROM conversations")
 
 
-@query(f"SELECT id, coalesce(nullif(trim(regexp_extract(replace(a, '~', chr(10)), '(?m)^REFINED_[A-Z]+:(.*)$', 1)), ''), o) AS value, regexp_extract(replace(a, '~', chr(10)), '(?m)^REFINED_[A-Z]+:(.*)$', 1) <> '' AS changed FROM (VALUES {REFINED}) t(id, a, o)")
+@query(f"SELECT id, coalesce(nullif(trim(regexp_extract(replace(a, '~', chr(10)), '(?m)^REFINED_[A-Z]+:(.*)$', 1)), ''), o) AS value, regexp_extract(replace(a, '~', chr(10)), '(?m)^REFINED_[A-Z]+:(.*)$', 1) <> '' AS changed FROM {REFINED}")
 def refined_answer(t: Tables) -> DataFrame:
     found = F.regexp_extract(F.translate("a", "~", "\n"), "(?m)^REFINED_[A-Z]+:(.*)$", 1)
-    return t.rows(REFINED, "id, a, o").select("id", F.coalesce(F.nullif(F.trim(found), F.lit("")), "o").alias("value"), (found != "").alias("changed"))
+    return t.cases(REFINED).select("id", F.coalesce(F.nullif(F.trim(found), F.lit("")), "o").alias("value"), (found != "").alias("changed"))
 
 
 @query("WITH t AS (SELECT event_id, value AS search, value / 2 AS rerank, value / 4 AS generation FROM events) SELECT event_id, CASE WHEN search + rerank + generation > 0 THEN round(100 * search / (search + rerank + generation), 6) ELSE 0.0 END AS search_percent, CASE WHEN search + rerank + generation > 0 THEN round(100 * generation / (search + rerank + generation), 6) ELSE 0.0 END AS generation_percent FROM t")
@@ -358,23 +360,23 @@ def ingestion_stats(t: Tables) -> DataFrame:
     return f.select("source", "files", "done", (F.col("files") - F.col("done")).alias("failed"), F.round(100.0 * F.col("done") / F.col("files"), 6).alias("success_rate"), status.alias("status"))
 
 
-FORMATS = "('.pdf', 'documents'), ('.txt', 'text'), ('.md', 'text'), ('.json', 'data')"
+FORMATS = Cases("('.pdf', 'documents'), ('.txt', 'text'), ('.md', 'text'), ('.json', 'data')", "suffix, category", "SELECT DISTINCT '.' || lang, source FROM documents")
 
 
-@query(f"SELECT category, list(suffix ORDER BY suffix) AS suffixes FROM (VALUES {FORMATS}) t(suffix, category) GROUP BY category")
+@query(f"SELECT category, list(suffix ORDER BY suffix) AS suffixes FROM {FORMATS} GROUP BY category")
 def format_grouping(t: Tables) -> DataFrame:
-    return t.rows(FORMATS, "suffix, category").groupBy("category").agg(F.array_sort(F.collect_list("suffix")).alias("suffixes"))
+    return t.cases(FORMATS).groupBy("category").agg(F.array_sort(F.collect_list("suffix")).alias("suffixes"))
 
 
-ENTRIES = "(1, ' Q? ', ' A ', 'c1', NULL), (2, 'What', 'B', NULL, array('x', 'y')), (3, '  ', 'C', NULL, NULL)"
+ENTRIES = Cases("(1, ' Q? ', ' A ', 'c1', NULL), (2, 'What', 'B', NULL, array('x', 'y')), (3, '  ', 'C', NULL, NULL)", "id, q, a, c, cs", "SELECT 1000 + conv_id * 1000 + turn, CASE turn % 3 WHEN 0 THEN ' ' || split_part(text, '.', 1) || '? ' WHEN 1 THEN role ELSE '  ' END, ' ' || role || ' ', CASE WHEN turn % 2 = 0 THEN text END, CASE WHEN turn % 4 = 1 THEN split(text, ' ') END FROM conversations")
 
 
-@query("""SELECT id, trim(q) AS question, trim(a) AS ground_truth, coalesce(c, array_to_string(cs, chr(10)), '') AS context, CASE WHEN trim(q) = '' THEN NULL WHEN trim(q) LIKE '%?' THEN trim(q) ELSE trim(q) || '?' END AS asked
-  FROM (VALUES (1, ' Q? ', ' A ', 'c1', NULL), (2, 'What', 'B', NULL, ['x', 'y']), (3, '  ', 'C', NULL, NULL)) t(id, q, a, c, cs)""")
+@query(f"""SELECT id, trim(q) AS question, trim(a) AS ground_truth, coalesce(c, array_to_string(cs, chr(10)), '') AS context, CASE WHEN trim(q) = '' THEN NULL WHEN trim(q) LIKE '%?' THEN trim(q) ELSE trim(q) || '?' END AS asked
+  FROM {str(ENTRIES).replace("array('x', 'y')", "['x', 'y']")}""")
 def reshape_entries(t: Tables) -> DataFrame:
     q = F.trim("q")
     asked = F.when(q == "", None).when(q.endswith("?"), q).otherwise(F.concat(q, F.lit("?")))
-    return t.rows(ENTRIES, "id, q, a, c, cs").select("id", q.alias("question"), F.trim("a").alias("ground_truth"), F.coalesce("c", F.array_join("cs", "\n"), F.lit("")).alias("context"), asked.alias("asked"))
+    return t.cases(ENTRIES).select("id", q.alias("question"), F.trim("a").alias("ground_truth"), F.coalesce("c", F.array_join("cs", "\n"), F.lit("")).alias("context"), asked.alias("asked"))
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, list_filter(json_keys(props), lambda x: x <> 'k') AS other FROM events""")

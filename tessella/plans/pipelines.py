@@ -13,7 +13,7 @@ from ..functions.text import strip, terms
 from ..operators import prepare
 from ..operators import search as S
 from ..operators.keyword_index import KeywordIndex
-from .catalog import Tables, query
+from .catalog import Cases, Tables, query
 
 
 def variants_of(queries: DataFrame, embed: Embedder, translations: DataFrame | None = None, decompose: Callable[[Column], Column] | None = None, most: int = 500) -> DataFrame:
@@ -150,14 +150,18 @@ def retrieve_plain(t: Tables) -> DataFrame:
     return retrieve(t.documents.select("doc_id", "text"), t.embeddings.select("vec_id", "embedding"), q, diversity=None, index=t.keyword_index()).drop("content")
 
 
-FOUND_LISTS = "(0, 0, 'a', 0.9, 1, 1.0), (0, 0, 'b', 0.8, 2, 1.0), (0, 1, 'b', 0.7, 1, 0.8), (0, 1, 'c', 0.6, 2, 0.8), (1, 0, 'x', 0.5, 1, 1.0), (1, 0, 'y', 0.4, 2, 1.0)"
+FOUND_LISTS = Cases(
+    "(0, 0, 'a', 0.9, 1, 1.0), (0, 0, 'b', 0.8, 2, 1.0), (0, 1, 'b', 0.7, 1, 0.8), (0, 1, 'c', 0.6, 2, 0.8), (1, 0, 'x', 0.5, 1, 1.0), (1, 0, 'y', 0.4, 2, 1.0)",
+    "query_id, list_idx, doc_id, score, rank, weight",
+    "SELECT 100 + q, l, source, s, row_number() OVER (PARTITION BY q, l ORDER BY s DESC, source), 1.0 FROM (SELECT doc_id % 40 AS q, CASE WHEN doc_id % 40 < 9 THEN 0 ELSE n_chars % 2 END AS l, source, max(n_chars) / 16384.0 AS s FROM documents GROUP BY 1, 2, 3)",
+)
 
 
-@query(f"""WITH l AS (SELECT * FROM (VALUES {FOUND_LISTS}) t(query_id, list_idx, doc_id, score, rank, weight)), n AS (SELECT query_id, count(DISTINCT list_idx) AS lists FROM l GROUP BY query_id)
+@query(f"""WITH l AS (SELECT * FROM {FOUND_LISTS}), n AS (SELECT query_id, count(DISTINCT list_idx) AS lists FROM l GROUP BY query_id)
   SELECT query_id, doc_id, round(CASE WHEN max(lists) = 1 THEN max(score) ELSE sum(1.0 / (60 + rank)) END, 6)::DOUBLE AS score FROM l JOIN n USING (query_id) GROUP BY ALL""")
 def fusion_gate(t: Tables) -> DataFrame:
-    lists = t.rows(FOUND_LISTS, "query_id, list_idx, doc_id, score, rank, weight").withColumn("score", F.col("score").cast("double"))
-    return merged(lists, 10)
+    lists = t.cases(FOUND_LISTS).withColumns({c: F.col(c).cast("double") for c in ("score", "weight")})
+    return merged(lists, 10_000)
 
 
 @query()
@@ -182,21 +186,24 @@ def evaluation_items(t: Tables) -> DataFrame:
     return rows.join(t.labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", "question", F.coalesce("quality", F.lit(0)).alias("label"))
 
 
-INPUTS = "(1, 'q1', 'g1', 'a1', 'm1', 'gold'), (2, 'q2', 'g2', '', 'm2', ''), (3, '', 'g3', 'a3', '', 'gold'), (4, 'q4', NULL, 'a4', '', 'gold'), (5, 'q5', 'g5', NULL, 'm5', NULL)"
-INPUT_COLUMNS = "id, question, truth, answer, model_answer, gold"
+INPUTS = Cases(
+    "(1, 'q1', 'g1', 'a1', 'm1', 'gold'), (2, 'q2', 'g2', '', 'm2', ''), (3, '', 'g3', 'a3', '', 'gold'), (4, 'q4', NULL, 'a4', '', 'gold'), (5, 'q5', 'g5', NULL, 'm5', NULL)",
+    "id, question, truth, answer, model_answer, gold",
+    "SELECT 1000 + conv_id * 1000 + turn, CASE WHEN turn % 5 = 4 THEN '' ELSE split_part(text, '.', 1) END, CASE WHEN turn % 7 = 3 THEN NULL ELSE text END, CASE turn % 3 WHEN 0 THEN role WHEN 1 THEN '' END, CASE WHEN conv_id % 2 = 0 THEN 'model ' || role ELSE '' END, CASE WHEN turn % 2 = 0 THEN role WHEN turn % 3 = 0 THEN '' END FROM conversations",
+)
 
 
-@query(f"SELECT id, question, truth, coalesce(nullif(answer, ''), model_answer) AS answer FROM (VALUES {INPUTS}) t({INPUT_COLUMNS}) WHERE question <> '' AND truth <> '' AND coalesce(nullif(answer, ''), model_answer) <> ''")
+@query(f"SELECT id, question, truth, coalesce(nullif(answer, ''), model_answer) AS answer FROM {INPUTS} WHERE question <> '' AND truth <> '' AND coalesce(nullif(answer, ''), model_answer) <> ''")
 def answer_inputs(t: Tables) -> DataFrame:
     """An empty answer counts as missing; rows without a required field are skipped."""
     answered = F.coalesce(F.nullif("answer", F.lit("")), "model_answer")
-    return t.rows(INPUTS, INPUT_COLUMNS).select("id", "question", "truth", answered.alias("answer")).where("question <> '' and truth <> '' and answer <> ''")
+    return t.cases(INPUTS).select("id", "question", "truth", answered.alias("answer")).where("question <> '' and truth <> '' and answer <> ''")
 
 
-@query(f"SELECT id, question, gold FROM (VALUES {INPUTS}) t({INPUT_COLUMNS}) WHERE question <> '' AND gold <> ''")
+@query(f"SELECT id, question, gold FROM {INPUTS} WHERE question <> '' AND gold <> ''")
 def judge_inputs(t: Tables) -> DataFrame:
     """The gold answer is read from the metadata alone."""
-    return t.rows(INPUTS, INPUT_COLUMNS).where("question <> '' and gold <> ''").select("id", "question", "gold")
+    return t.cases(INPUTS).where("question <> '' and gold <> ''").select("id", "question", "gold")
 
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn, count(*) OVER (PARTITION BY source) AS turns FROM documents WHERE n_chars / 10000.0 >= 0.2")

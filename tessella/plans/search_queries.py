@@ -9,7 +9,7 @@ from ..functions import questions as Q
 from ..functions import text as T
 from ..operators import search as S
 from ..operators import vector_index as V
-from .catalog import Tables, query
+from .catalog import Cases, Tables, query
 from .text_queries import TERMS
 
 #: SQL of BM25 with queries as asked(query_id, query) over docs(doc_id, text); the k best of each query.
@@ -300,13 +300,17 @@ def should_decompose(t: Tables) -> DataFrame:
 
 
 ANSWERS = "(1, 'Sub-questions:~1. What is a jeepney made of?~2) How old is it?~- ok', 'orig one'), (2, 'Note: nothing~#', 'orig two'), (3, '* First long question here~~** Second long question~3. Third long question~4. Fourth long question', 'orig')"
+ANSWERS = Cases(ANSWERS, "id, a, o", "SELECT 1000 + conv_id * 1000 + turn, 'Sub-questions:~1. ' || replace(split_part(text, '.', 1), chr(10), ' ') || '~2) ' || replace(split_part(text, '.', 2), chr(10), ' ') || '~Note: x~- ' || role, role FROM conversations")
 
 
-@query(rf"""WITH l AS (SELECT id, o, list_filter(list_transform(string_split(a, '~'), lambda x: trim(x)), lambda x: x <> '' AND NOT (starts_with(lower(x), 'sub-question') OR starts_with(lower(x), 'question') OR starts_with(lower(x), 'note:') OR starts_with(lower(x), '#'))) AS lines FROM (VALUES {ANSWERS}) t(id, a, o)),
-  c AS (SELECT id, o, list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '^[0-9\-\*\.\)\]]+\s*', ''))), lambda x: length(x) > 10) AS ok FROM l)
+_UNMARKED = r"regexp_replace(x, '^[0-9\-\*\.\)\]]+\s*', '')"
+
+
+@query(rf"""WITH l AS (SELECT id, o, list_filter(list_transform(string_split(a, '~'), lambda x: {T.strip_sql('x')}), lambda x: x <> '' AND NOT (starts_with(lower(x), 'sub-question') OR starts_with(lower(x), 'question') OR starts_with(lower(x), 'note:') OR starts_with(lower(x), '#'))) AS lines FROM {ANSWERS}),
+  c AS (SELECT id, o, list_filter(list_transform(lines, lambda x: {T.strip_sql(_UNMARKED)}), lambda x: length(x) > 10) AS ok FROM l)
   SELECT id, CASE WHEN len(ok) = 0 THEN [o] ELSE ok[1:3] END AS parts, round(1.0 / (CASE WHEN len(ok) = 0 THEN 1 ELSE least(len(ok), 3) END), 6)::DOUBLE AS weight FROM c""")
 def parse_subqueries(t: Tables) -> DataFrame:
-    rows = t.rows(ANSWERS, "id, a, o").select("id", Q.sub_questions(F.translate("a", "~", "\n"), F.col("o")).alias("parts"))
+    rows = t.cases(ANSWERS).select("id", Q.sub_questions(F.translate("a", "~", "\n"), F.col("o")).alias("parts"))
     return rows.withColumn("weight", F.round(F.lit(1.0) / F.size("parts"), 6))
 
 
@@ -320,20 +324,28 @@ def translation_variants(t: Tables) -> DataFrame:
 
 # ---- contexts and prompts
 
-DATES = "('1704067200'), ('1704067200000'), ('2024-06-15'), ('2024-06-15T10:00:00Z'), ('not a date'), ('')"
+DATES = Cases("('1704067200'), ('1704067200000'), ('2024-06-15'), ('2024-06-15T10:00:00Z'), ('not a date'), ('')", "d", "SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) FROM orders UNION ALL SELECT CAST(900000000 + event_id * 86000 AS STRING) FROM events UNION ALL SELECT CAST(1700000000000 + event_id * 86000000 AS STRING) FROM events")
 
 
-@query(f"""SELECT d, strftime(CASE WHEN regexp_matches(d, '^[0-9]+$') THEN (CASE WHEN try_cast(d AS BIGINT) > 10000000000 THEN make_timestamp(try_cast(d AS BIGINT) * 1000) ELSE make_timestamp(try_cast(d AS BIGINT) * 1000000) END) ELSE try_cast(try_cast(d AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS TIMESTAMP) END, '%B %d, %Y') AS long_form FROM (VALUES {DATES.replace("('2024-06-15T", "('2024-06-15T")}) t(d)""")
+@query(f"""SELECT d, strftime(CASE WHEN regexp_matches(d, '^[0-9]+$') THEN (CASE WHEN try_cast(d AS BIGINT) > 10000000000 THEN make_timestamp(try_cast(d AS BIGINT) * 1000) ELSE make_timestamp(try_cast(d AS BIGINT) * 1000000) END) ELSE try_cast(try_cast(d AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS TIMESTAMP) END, '%B %d, %Y') AS long_form FROM {DATES}""")
 def format_date(t: Tables) -> DataFrame:
-    return t.rows(DATES, "d").select("d", T.long_date(F.col("d")).alias("long_form"))
+    return t.cases(DATES).select("d", T.long_date(F.col("d")).alias("long_form"))
 
 
-CITED = "(1, 'data/my-paper_x.pdf', '', 15, '', ''), (2, 'wikipedia/a.json', 'Manila', NULL, '1704067200', ''), (3, 'wikipedia/b.json', 'Cebu', NULL, '', ''), (4, 'news_sites/c.json', 'Flood', NULL, '2024-06-15', 'http://n/x'), (5, 'news_sites/d.json', 'Vote', NULL, '', ''), (6, 'books/e.json', 'Novel', 42, '', ''), (7, 'books/f.json', '', 42, '', ''), (8, 'other/g.json', 'T', NULL, '', '')"
+CITED = Cases(
+    "(1, 'data/my-paper_x.pdf', '', 15, '', ''), (2, 'wikipedia/a.json', 'Manila', NULL, '1704067200', ''), (3, 'wikipedia/b.json', 'Cebu', NULL, '', ''), (4, 'news_sites/c.json', 'Flood', NULL, '2024-06-15', 'http://n/x'), (5, 'news_sites/d.json', 'Vote', NULL, '', ''), (6, 'books/e.json', 'Novel', 42, '', ''), (7, 'books/f.json', '', 42, '', ''), (8, 'other/g.json', 'T', NULL, '', '')",
+    "id, source, title, page, date, url",
+    "SELECT 1000 + page_id, CASE page_id % 5 WHEN 0 THEN 'data/my-paper_x' || CAST(page_id AS STRING) || '.pdf' WHEN 1 THEN 'wikipedia/a.json' WHEN 2 THEN 'news_sites/c.json' WHEN 3 THEN 'books/e.json' ELSE 'other/g.json' END, CASE WHEN page_id % 7 = 0 THEN '' ELSE 'T' || CAST(page_id AS STRING) END, CASE WHEN page_id % 2 = 0 THEN page_id % 90 END, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN CAST(1600000000 + page_id * 86400 AS STRING) ELSE '2024-06-15' END, CASE WHEN page_id % 3 = 0 THEN '' ELSE url END FROM pages",
+)
+_DAY = "CASE WHEN regexp_matches(date, '^[0-9]+$') THEN strftime(make_timestamp(date::BIGINT * 1000000), '%B %d, %Y') ELSE strftime(try_cast(date AS DATE), '%B %d, %Y') END"
+_STEM = r"array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(regexp_extract(source, '([^/]*)$', 1), '\.pdf$', ''), '[-_]', ' ', 'g'), ' '), lambda x: x <> ''), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
 
 
-@query("""SELECT * FROM (VALUES (1, 'My Paper X, p. 15'), (2, 'Manila (Wikipedia, accessed January 01, 2024)'), (3, 'Cebu (Wikipedia)'), (4, '"Flood", June 15, 2024. Retrieved from http://n/x'), (5, '"Vote"'), (6, 'Novel, p. 42'), (7, NULL), (8, NULL)) t(id, citation)""")
+@query(f"""WITH c AS (SELECT id, source, nullif(title, '') AS title, CASE WHEN page IS NULL THEN '' ELSE ', p. ' || page END AS paged, {_DAY} AS day, nullif(url, '') AS url, {_STEM} AS stem FROM {CITED})
+  SELECT id, CASE WHEN source LIKE '%.pdf' THEN stem || paged WHEN source LIKE 'wikipedia%' THEN title || ' (Wikipedia' || coalesce(', accessed ' || day, '') || ')'
+    WHEN source LIKE 'news_site%' THEN nullif(concat_ws(', ', '"' || title || '"', day), '') || coalesce('. Retrieved from ' || url, '') WHEN source LIKE 'book%' THEN title || paged END AS citation FROM c""")
 def citations(t: Tables) -> DataFrame:
-    c = t.rows(CITED, "id, source, title, page, date, url")
+    c = t.cases(CITED)
     return c.select("id", T.citation(F.col("source"), F.col("title"), F.col("page"), F.col("date"), F.col("url")).alias("citation"))
 
 
@@ -353,21 +365,25 @@ def context_section(t: Tables) -> DataFrame:
 
 GUIDELINES = "('Factual', 'en', 'State the fact first.'), ('Factual', 'fil', 'Ibigay muna ang sagot.'), ('Analytical', 'en', 'Give causes and effects.'), ('Procedural', 'en', 'Number the steps.'), ('Comparative', 'en', 'Set the two side by side.'), ('Exploratory', 'en', 'Give an outline.')"
 EXEMPLARS = "(1, 'en', 'Factual', 'e1'), (2, 'en', 'Analytical', 'e2'), (3, 'fil', 'Factual', 'e3'), (4, 'en', 'Procedural', 'e4'), (5, 'fil', 'Comparative', 'e5'), (6, 'en', 'Factual', 'e6')"
-ASKS = "(1, 'Factual', 'en'), (2, 'Analytical', 'fil'), (3, 'Procedural', 'en'), (4, 'Other', 'xx')"
+ASKS = Cases(
+    "(1, 'Factual', 'en'), (2, 'Analytical', 'fil'), (3, 'Procedural', 'en'), (4, 'Other', 'xx')",
+    "id, kind, lang",
+    "SELECT 1000 + conv_id * 1000 + turn, CASE turn % 4 WHEN 0 THEN 'Factual' WHEN 1 THEN 'Analytical' WHEN 2 THEN 'Procedural' ELSE 'Comparative' END, CASE WHEN role = 'user' THEN 'fil' WHEN conv_id % 5 = 0 THEN 'xx' ELSE 'en' END FROM conversations",
+)
 
 
-@query(f"SELECT a.id, coalesce(g.line, d.line) AS line FROM (VALUES {ASKS}) a(id, kind, lang) LEFT JOIN (VALUES {GUIDELINES}) g(kind, lang, line) ON g.kind = a.kind AND g.lang = a.lang LEFT JOIN (VALUES {GUIDELINES}) d(kind, lang, line) ON d.kind = a.kind AND d.lang = 'en'")
+@query(f"SELECT a.id, coalesce(g.line, d.line) AS line FROM (SELECT * FROM {ASKS}) a LEFT JOIN (VALUES {GUIDELINES}) g(kind, lang, line) ON g.kind = a.kind AND g.lang = a.lang LEFT JOIN (VALUES {GUIDELINES}) d(kind, lang, line) ON d.kind = a.kind AND d.lang = 'en'")
 def guideline_lookup(t: Tables) -> DataFrame:
-    asks, lines = t.rows(ASKS, "id, kind, lang"), t.rows(GUIDELINES, "kind, lang, line")
+    asks, lines = t.cases(ASKS), t.rows(GUIDELINES, "kind, lang, line")
     english = lines.where("lang = 'en'").select("kind", F.col("line").alias("fallback"))
     return asks.join(F.broadcast(lines), ["kind", "lang"], "left").join(F.broadcast(english), "kind", "left").select("id", F.coalesce("line", "fallback").alias("line"))
 
 
-@query(f"""WITH m AS (SELECT a.id, e.n, e.txt, (e.lang = a.lang OR e.kind = a.kind) AS hit FROM (VALUES {ASKS}) a(id, kind, lang), (VALUES {EXEMPLARS}) e(n, lang, kind, txt)),
+@query(f"""WITH m AS (SELECT a.id, e.n, e.txt, (e.lang = a.lang OR e.kind = a.kind) AS hit FROM (SELECT * FROM {ASKS}) a, (VALUES {EXEMPLARS}) e(n, lang, kind, txt)),
   k AS (SELECT *, bool_or(hit) OVER (PARTITION BY id) AS any_hit FROM m), r AS (SELECT id, n, txt, row_number() OVER (PARTITION BY id ORDER BY n) AS i FROM k WHERE hit OR NOT any_hit) SELECT id, n, txt FROM r WHERE i <= 3""")
 def exemplar_pick(t: Tables) -> DataFrame:
     e = t.rows(EXEMPLARS, "n, e_lang, e_kind, txt")
-    m = t.rows(ASKS, "id, kind, lang").crossJoin(F.broadcast(e)).withColumn("hit", (F.col("e_lang") == F.col("lang")) | (F.col("e_kind") == F.col("kind")))
+    m = t.cases(ASKS).crossJoin(F.broadcast(e)).withColumn("hit", (F.col("e_lang") == F.col("lang")) | (F.col("e_kind") == F.col("kind")))
     kept = m.withColumn("some", F.max("hit").over(Window.partitionBy("id"))).where("hit or not some")
     return kept.withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("n"))).where("i <= 3").select("id", "n", "txt")
 
@@ -379,14 +395,18 @@ def prompt_render(t: Tables) -> DataFrame:
 
 
 RESPONSES = "(1, 'Prompt: x', 'Prompt: x and the answer '), (2, 'p', '   '), (3, 'p', ' fine '), (4, 'p', NULL)"
+RESPONSES = Cases(RESPONSES, "id, prompt, raw", "SELECT 1000 + conv_id * 1000 + turn, split_part(text, '.', 1), CASE turn % 4 WHEN 0 THEN text || ' ' WHEN 1 THEN '  ' WHEN 2 THEN role || text END FROM conversations")
+
+
+_ECHO = "coalesce(CASE WHEN starts_with(raw, prompt) THEN substr(raw, length(prompt) + 1) ELSE raw END, '')"
 
 
-@query(f"WITH c AS (SELECT id, trim(coalesce(CASE WHEN starts_with(raw, prompt) THEN substr(raw, length(prompt) + 1) ELSE raw END, '')) AS a FROM (VALUES {RESPONSES}) t(id, prompt, raw)) SELECT id, CASE WHEN a = '' THEN '[Warning: Empty response generated]' ELSE a END AS answer FROM c")
+@query(f"WITH c AS (SELECT id, {T.strip_sql(_ECHO)} AS a FROM {RESPONSES}) SELECT id, CASE WHEN a = '' THEN '[Warning: Empty response generated]' ELSE a END AS answer FROM c")
 def response_validate(t: Tables) -> DataFrame:
     raw, prompt = F.col("raw"), F.col("prompt")
     echo = F.when(raw.startswith(prompt), F.substr(raw, F.length(prompt) + 1)).otherwise(raw)
     clean = T.strip(F.coalesce(echo, F.lit("")))
-    return t.rows(RESPONSES, "id, prompt, raw").select("id", F.when(clean == "", "[Warning: Empty response generated]").otherwise(clean).alias("answer"))
+    return t.cases(RESPONSES).select("id", F.when(clean == "", "[Warning: Empty response generated]").otherwise(clean).alias("answer"))
 
 
 @query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN doc_id / 7.0 END, n_chars / 9.0)::DOUBLE AS score FROM documents")
