@@ -179,10 +179,18 @@ def evaluate_default_threshold(t: Tables) -> DataFrame:
     return evaluate(_found(t), _batch(t).select("query_id", "truth"))
 
 
-@query("SELECT doc_id, text AS question, coalesce(l.quality, 0) AS label FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY doc_id LIMIT 50")
+def items_of(rows: DataFrame, order: str, limit: int | None = None, seed: int | None = None) -> DataFrame:
+    """A dataset's rows, or the first of them: in the order of a column, or shuffled by a seed, which gives the same rows each time."""
+    if limit is None:
+        return rows
+    places = [F.xxhash64(F.lit(seed), order), order] if seed is not None else [order]
+    return rows.orderBy(*places).limit(limit)
+
+
+@query("SELECT doc_id, text AS question, coalesce(l.quality, 0) AS label FROM documents d LEFT JOIN labels l USING (doc_id)")
 def evaluation_items(t: Tables) -> DataFrame:
-    """The first items of a dataset; the limit is the reader's own parameter."""
-    rows = t.documents.select("doc_id", F.col("text").alias("question")).orderBy("doc_id").limit(50)
+    """The whole dataset."""
+    rows = items_of(t.documents.select("doc_id", F.col("text").alias("question")), "doc_id")
     return rows.join(t.labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", "question", F.coalesce("quality", F.lit(0)).alias("label"))
 
 

@@ -24,13 +24,13 @@ BM25 = f"""held AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unn
 ASKED = "asked AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS query FROM benchmark WHERE item_id % 20 = 0)"
 
 
-def _asked(t: Tables) -> DataFrame:
+def questions_asked(t: Tables) -> DataFrame:
     return t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 5).alias("query"))
 
 
 @query(f"WITH {ASKED}, docs AS (SELECT doc_id, text FROM documents), {BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 5")
 def bm25_topk(t: Tables) -> DataFrame:
-    return t.keyword_index().search(_asked(t)).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return t.keyword_index().search(questions_asked(t)).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _vectors(t: Tables) -> DataFrame:
@@ -109,9 +109,9 @@ BM25_WITHIN = f"""held AS (SELECT query_id, doc_id, term, count(*) AS tf FROM (S
 def bm25_candidates(t: Tables) -> DataFrame:
     """Each query over the twenty documents that the semantic search finds for it."""
     docs = _semantic(t, 20).select("query_id", "doc_id").join(t.documents.select("doc_id", "text"), "doc_id")
-    asked = _asked(t)
-    docs = docs.join(asked.select("query_id"), "query_id", "left_semi")
-    return S.bm25(docs, asked, within=True).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    queries = questions_asked(t)
+    docs = docs.join(queries.select("query_id"), "query_id", "left_semi")
+    return S.bm25(docs, queries, within=True).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {SEMANTIC}, ten AS (SELECT * FROM sem WHERE rank <= 10) SELECT query_id, doc_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS score FROM ten WINDOW w AS (PARTITION BY query_id)")
@@ -125,7 +125,7 @@ def minmax_scores(t: Tables) -> DataFrame:
   f AS (SELECT query_id, doc_id, round(0.7 * coalesce(s, 0) + 0.3 * coalesce(k, 0), 6) AS score, sr, kr FROM a FULL JOIN b USING (query_id, doc_id)),
   r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sr NULLS LAST, kr NULLS LAST, doc_id) AS rank FROM f) SELECT * FROM r WHERE rank <= 5""")
 def hybrid_fusion(t: Tables) -> DataFrame:
-    keyword = t.keyword_index().search(_asked(t), 10)
+    keyword = t.keyword_index().search(questions_asked(t), 10)
     return S.hybrid(_semantic(t, 10), keyword).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 

@@ -12,7 +12,7 @@ from ..operators import search as S
 from ..sources import readers as R
 from ..sources.scratch import working_folder
 from .catalog import Tables, query
-from .search_queries import EMBED, f1_sql
+from .search_queries import ASKED, BM25, EMBED, f1_sql, questions_asked
 from .text_queries import TERMS
 
 
@@ -217,25 +217,26 @@ def refine_apply(t: Tables) -> DataFrame:
 _METRICS_SQL = {m: f1_sql(TERMS.replace("text", a), TERMS.replace("text", b)) for m, (a, b) in {"faithfulness": ("answer", "context"), "answer_correctness": ("answer", "truth"), "context_recall": ("truth", "context"), "context_precision": ("context", "truth"), "answer_relevancy": ("answer", "question"), "answer_similarity": ("truth", "answer")}.items()}
 
 
-@query(f"""WITH i AS (SELECT b.item_id, split_part(b.text, '.', 1) AS question, CASE WHEN b.item_id % 5 = 0 THEN NULL ELSE substr(d.text, 1, 500) END AS context, b.text AS truth, substr(b.text, 20) AS answer FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+@query(f"""WITH i AS (SELECT b.item_id, split_part(b.text, '.', 1) AS question, CASE WHEN b.item_id % 5 = 0 THEN NULL ELSE d.text END AS context, b.text AS truth, substr(b.text, 20) AS answer FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
   s AS (SELECT item_id, {', '.join(f'CASE WHEN context IS NULL AND {int("context" in m or m == "faithfulness")} = 1 THEN NULL ELSE round({e}, 6) END::DOUBLE AS {m}' for m, e in _METRICS_SQL.items())} FROM i)
   SELECT *, round(list_avg(list_filter([{', '.join(_METRICS_SQL)}], lambda x: x IS NOT NULL)), 6) AS overall FROM s""")
 def answer_metrics(t: Tables) -> DataFrame:
     """The six metrics with scorers plugged in (term-set F1 here), and their mean over those that are there."""
-    docs = t.documents.select("doc_id", F.substring("text", 1, 500).alias("context"))
+    docs = t.documents.select("doc_id", F.col("text").alias("context"))
     items = t.benchmark.join(docs, F.col("item_id") == F.col("doc_id"))
     items = items.select("item_id", F.split_part("text", F.lit("."), F.lit(1)).alias("question"), F.when(F.col("item_id") % 5 != 0, F.col("context")).alias("context"), F.col("text").alias("truth"), F.expr("substr(text, 20)").alias("answer"))
     return scores.metrics(items, scores.LEXICAL)
 
 
-@query(f"""WITH c AS (SELECT item_id, text, CASE WHEN item_id % 2 = 0 THEN 'Factual' ELSE 'Analytical' END AS kind FROM benchmark),
-  x AS (SELECT b.item_id, string_agg('[' || i || '] ' || d.text, chr(10) || chr(10) ORDER BY i) AS section FROM benchmark b, (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE doc_id < 3) d GROUP BY b.item_id)
+@query(f"""WITH {ASKED}, docs AS (SELECT doc_id, text FROM documents), {BM25}, c AS (SELECT item_id, text, CASE WHEN item_id % 40 = 0 THEN 'Factual' ELSE 'Analytical' END AS kind FROM benchmark WHERE item_id % 20 = 0),
+  x AS (SELECT query_id AS item_id, string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS section FROM bm JOIN docs USING (doc_id) WHERE rank <= 5 GROUP BY query_id)
   SELECT item_id, concat_ws(chr(10) || repeat('-', 80) || chr(10), 'Answer from the contexts.', 'CONTEXT:' || chr(10) || section, CASE kind WHEN 'Factual' THEN 'State the fact first.' END, 'EXAMPLE:' || chr(10) || kind, 'QUESTION: ' || split_part(text, '.', 1) || '?') AS prompt FROM c JOIN x USING (item_id)""")
 def prompt_build(t: Tables) -> DataFrame:
-    """A prompt from what the other steps found: contexts, the guideline if there is one, exemplars and the question."""
-    kind = F.when(F.col("item_id") % 2 == 0, "Factual").otherwise("Analytical")
-    contexts = t.documents.where("doc_id < 3").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]).alias("contexts"))
-    rows = t.benchmark.crossJoin(F.broadcast(contexts))
+    """A prompt from what the other steps found: each question's search results, the guideline if there is one, exemplars, the question."""
+    kind = F.when(F.col("item_id") % 40 == 0, "Factual").otherwise("Analytical")
+    found = t.keyword_index().search(questions_asked(t)).join(t.documents.select("doc_id", "text"), "doc_id")
+    contexts = found.groupBy(F.col("query_id").alias("item_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("contexts"))  # k a question
+    rows = t.benchmark.where("item_id % 20 = 0").join(contexts, "item_id")
     return rows.select("item_id", scores.prompt("Answer from the contexts.", F.col("contexts"), F.when(kind == "Factual", "State the fact first."), F.array(kind), F.concat(F.split_part("text", F.lit("."), F.lit(1)), F.lit("?"))).alias("prompt"))
 
 

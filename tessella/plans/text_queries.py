@@ -113,7 +113,7 @@ def tokenize(t: Tables) -> DataFrame:
 _PLAIN = rf"regexp_replace(strip_accents(lower(text)), '[^{W}\s]', '', 'g')"
 
 
-@query(rf"SELECT item_id, list_sort(list_distinct(list_filter(regexp_split_to_array({_PLAIN}, '\s+'), lambda x: x <> ''))) AS tokens FROM benchmark")
+@query(rf"SELECT item_id, list_sort(list_distinct(list_filter(list_append(regexp_split_to_array({_PLAIN}, '\s+'), regexp_replace({_PLAIN}, '\s+', '', 'g')), lambda x: x <> ''))) AS tokens FROM benchmark")
 def search_tokens(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", readers.search_tokens(F.col("text")).alias("tokens"))
 

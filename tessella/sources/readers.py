@@ -69,8 +69,10 @@ def delimited_questions(df: DataFrame, column: str, delimiter: str = "?") -> Dat
 
 
 def search_tokens(c: Column) -> Column:
-    """Sorted distinct words without accents and punctuation, lower-cased."""
-    return F.array_sort(F.array_distinct(words_of(F.regexp_replace(strip_accents(F.lower(c)), f"[^{WORD}\\s]", ""))))
+    """Sorted distinct words without accents and punctuation, lower-cased, and the whole text as one word."""
+    plain = F.regexp_replace(strip_accents(F.lower(c)), f"[^{WORD}\\s]", "")
+    whole = F.regexp_replace(plain, r"\s+", "")
+    return F.array_sort(F.array_distinct(F.concat(words_of(plain), F.when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>")))))
 
 
 # Latin letters with accents and the letters they are found under.
