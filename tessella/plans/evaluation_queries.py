@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import scores, trees
 from ..operators import search as S
 from ..operators.prepare import numbered
+from ..sources import readers
 from .catalog import Cases, Tables, query
 from .search_queries import f1_sql
 
@@ -138,13 +139,16 @@ def answer_tiers(t: Tables) -> DataFrame:
 _LEVELS = {"excellent": "semantic > 0.93", "good": "semantic > 0.90 AND semantic <= 0.93", "acceptable": "semantic > 0.70 AND semantic <= 0.90", "poor": "semantic <= 0.70"}
 
 
-@query(f"""WITH {_WITH_CONTEXTS}, {_ALIGNED.replace('p AS (' + _TRUTH + '), ', '', 1)},
+_SYSTEM = f"""WITH {_WITH_CONTEXTS}, {_ALIGNED.replace('p AS (' + _TRUTH + '), ', '', 1)},
   i AS (SELECT f.f1 AS semantic, {f1_sql(_tokens_sql('c.answer'), _tokens_sql('c.truth'))} AS lexical, {_grounded_sql(0.5).replace('answer', 'c.answer')} AS grounded, len(coalesce(contexts, [])) > 0 AS has_context,
     CASE WHEN c.turn % 3 = 0 THEN (length(c.truth) % 11) / 10.0 END AS relevance FROM c JOIN f USING (conv_id, turn))
   SELECT count(*) AS total_questions, {', '.join(f'count(*) FILTER ({c}) AS {k}_answers' for k, c in _LEVELS.items())}, {', '.join(f'round(count(*) FILTER ({c}) / count(*), 6) AS {k}_rate' for k, c in _LEVELS.items() if k != 'poor')},
     round(count(*) FILTER (semantic > 0.70) / count(*), 6) AS overall_quality_rate, count(*) FILTER (grounded) AS grounded_answers, count(*) FILTER (has_context) AS questions_with_context,
     round(count(*) FILTER (grounded) / count(*), 6) AS grounding_rate, round(count(*) FILTER (has_context) / count(*), 6) AS context_availability_rate, round(avg(semantic), 6) AS avg_semantic_score, round(avg(lexical), 6)::DOUBLE AS avg_f1_score,
-    count(relevance) AS relevance_scores, round(avg(relevance), 6)::DOUBLE AS avg_relevance, min(relevance)::DOUBLE AS min_relevance, max(relevance)::DOUBLE AS max_relevance FROM i""")
+    count(relevance) AS relevance_scores, round(avg(relevance), 6)::DOUBLE AS avg_relevance, min(relevance)::DOUBLE AS min_relevance, max(relevance)::DOUBLE AS max_relevance FROM i"""
+
+
+@query(_SYSTEM)
 def system_metrics(t: Tables) -> DataFrame:
     """Tiers by aligned tokens, lexical F1, grounding in the turns before; a relevance that every third turn has."""
     turns = _with_contexts(t)
@@ -155,6 +159,14 @@ def system_metrics(t: Tables) -> DataFrame:
     return scores.system_metrics(items)
 
 
+@query(f"""WITH m AS ({_SYSTEM}) SELECT repeat('=', 70) || chr(10) || 'Q&A SYSTEM EDUCATIONAL SUITABILITY (SEMANTIC EVALUATION)' || chr(10) || repeat('=', 70) || chr(10) || 'Total Questions Evaluated: ' || total_questions || chr(10) || chr(10)
+  || repeat('-', 70) || chr(10) || 'SEMANTIC ACCURACY (BERTScore)' || chr(10) || repeat('-', 70) || chr(10) || printf('Average BERTScore:       %.4f' || chr(10) || '(Legacy Lexical F1):     %.4f' || chr(10) || chr(10), avg_semantic_score, avg_f1_score) || 'Semantic Quality Distribution:' || chr(10)
+  || printf('  Excellent (>0.93):     %.2f%% (%d)' || chr(10) || '  Good (>0.90):          %.2f%% (%d)' || chr(10) || '  Acceptable (>0.70):    %.2f%% (%d)' || chr(10) || '  Poor (<=0.70):         %.2f%% (%d)' || chr(10) || chr(10), 100 * excellent_rate, excellent_answers, 100 * good_rate, good_answers, 100 * acceptable_rate, acceptable_answers, 100.0 * poor_answers / total_questions, poor_answers)
+  || printf('Overall Semantic Pass Rate: %.2f%%' || chr(10) || chr(10), 100 * overall_quality_rate) || repeat('-', 70) || chr(10) || 'RELIABILITY (Grounding)' || chr(10) || repeat('-', 70) || chr(10) || printf('Grounding Rate:          %.2f%%' || chr(10) || 'Context Availability:    %.2f%%', 100 * grounding_rate, 100 * context_availability_rate) AS report FROM m""")
+def system_report(t: Tables) -> DataFrame:
+    return readers.quality_report(system_metrics(t))
+
+
 @query("SELECT CASE WHEN s > 0.93 THEN 'excellent' WHEN s > 0.90 THEN 'good' WHEN s > 0.70 THEN 'fair' ELSE 'poor' END AS tier, count(*) AS n FROM (SELECT (n_chars % 1000) / 1000.0 AS s FROM documents) GROUP BY 1")
 def tiering(t: Tables) -> DataFrame:
     s = (F.col("n_chars") % 1000) / 1000.0

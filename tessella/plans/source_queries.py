@@ -129,7 +129,7 @@ def csv_sink(t: Tables) -> DataFrame:
 
 def _judged(t: Tables) -> DataFrame:
     """Three judges' scores of each benchmark row, from the lengths of its texts."""
-    judges = F.array(*(F.struct(F.lit(f"judge {k}").alias("judge"), score(k, 0).alias("overall"), score(k, 1).alias("accuracy"), score(k, 2).alias("sensitivity"), score(k, 3).alias("completeness"), F.concat(F.lit("first\n"), "text").alias("reasoning"), (score(k, 0) < 0.5).alias("outlier")) for k in (1, 2, 3)))
+    judges = F.array(*(F.struct(F.lit(f"judge {k}").alias("judge"), overall_score(k).alias("overall"), score(k, 1).alias("accuracy"), score(k, 2).alias("sensitivity"), score(k, 3).alias("completeness"), F.concat(F.lit("first\n"), "text").alias("reasoning"), (overall_score(k) < 1.0).alias("outlier")) for k in (1, 2, 3)))
     rows = t.benchmark.select((F.col("item_id") + 1).alias("number"), "text", judges.alias("judges"))
     overall = F.transform("judges", lambda j: j["overall"])
     mean = F.aggregate(overall, F.lit(0.0), lambda a, x: a + x) / 3
@@ -142,6 +142,15 @@ def score(judge: int, part: int) -> Column:
     return ((F.length("text") * judge + part) % 11) / 2.0
 
 
+def overall_score(judge: int) -> Column:
+    """The mean of a judge's three scores."""
+    return (score(judge, 1) + score(judge, 2) + score(judge, 3)) / 3
+
+
+def _overall_sql(judge: int) -> str:
+    return f"(({' + '.join(_score_sql(judge, part) for part in (1, 2, 3))}) / 3)"
+
+
 def _score_sql(judge: int, part: int) -> str:
     return f"((length(text) * {judge} + {part}) % 11) / 2.0"
 
@@ -149,13 +158,13 @@ def _score_sql(judge: int, part: int) -> str:
 _NL = "chr(10)"
 _BAR, _RULE = "repeat('=', 80)", "repeat('─', 80)"
 _JUDGE_SQL = " || ".join(
-    f"'Judge: judge {k}' || CASE WHEN {_score_sql(k, 0)} < 0.5 THEN ' [OUTLIER]' ELSE '' END || printf(chr(10) || '  Overall Score:           %.2f/5' || chr(10) || '  - Factual Accuracy:      %.2f/5' || chr(10) || '  - Cultural Sensitivity:  %.2f/5' || chr(10) || '  - Completeness:          %.2f/5' || chr(10), {_score_sql(k, 0)}, {_score_sql(k, 1)}, {_score_sql(k, 2)}, {_score_sql(k, 3)}) || '  ' || chr(10) || '  Reasoning:' || chr(10) || '  first' || chr(10) || '  ' || replace(text, chr(10), chr(10) || '  ') || chr(10) || chr(10)"
+    f"'Judge: judge {k}' || CASE WHEN {_overall_sql(k)} < 1.0 THEN ' [OUTLIER]' ELSE '' END || printf(chr(10) || '  Overall Score:           %.2f/5' || chr(10) || '  - Factual Accuracy:      %.2f/5' || chr(10) || '  - Cultural Sensitivity:  %.2f/5' || chr(10) || '  - Completeness:          %.2f/5' || chr(10), {_overall_sql(k)}, {_score_sql(k, 1)}, {_score_sql(k, 2)}, {_score_sql(k, 3)}) || '  ' || chr(10) || '  Reasoning:' || chr(10) || '  first' || chr(10) || '  ' || replace(text, chr(10), chr(10) || '  ') || chr(10) || chr(10)"
     for k in (1, 2, 3)
 )
 
 
-@query(f"""WITH s AS (SELECT item_id + 1 AS number, text, {', '.join(f'{_score_sql(k, 0)} AS s{k}' for k in (1, 2, 3))} FROM benchmark),
-  m AS (SELECT *, (s1 + s2 + s3) / 3 AS mean, list_sort([s1, s2, s3])[2] AS median, list_filter(['judge 1', 'judge 2', 'judge 3'], lambda j: ([s1, s2, s3])[substr(j, 7)::INT] < 0.5) AS gone FROM s),
+@query(f"""WITH s AS (SELECT item_id + 1 AS number, text, {', '.join(f'{_overall_sql(k)} AS s{k}' for k in (1, 2, 3))} FROM benchmark),
+  m AS (SELECT *, (s1 + s2 + s3) / 3 AS mean, list_sort([s1, s2, s3])[2] AS median, list_filter(['judge 1', 'judge 2', 'judge 3'], lambda j: ([s1, s2, s3])[substr(j, 7)::INT] < 1.0) AS gone FROM s),
   d AS (SELECT *, sqrt(((s1 - mean) * (s1 - mean) + (s2 - mean) * (s2 - mean) + (s3 - mean) * (s3 - mean)) / 2) AS deviation FROM m)
   SELECT number, CASE WHEN number = 1 THEN {_BAR} || {_NL} || 'DETAILED EVALUATION REPORT' || {_NL} || {_BAR} || {_NL} || {_NL} ELSE '' END || {_NL} || {_BAR} || {_NL} || 'EVALUATION ' || number || '/100' || {_NL} || {_BAR} || {_NL} || {_NL}
   || 'QUESTION:' || {_NL} || 'Question ' || number || {_NL} || {_NL} || 'GOLDEN ANSWER:' || {_NL} || 'gold' || {_NL} || {_NL} || 'MODEL ANSWER:' || {_NL} || 'said' || {_NL} || {_NL} || {_RULE} || {_NL} || 'JUDGE EVALUATIONS:' || {_NL} || {_RULE} || {_NL} || {_NL} || {_JUDGE_SQL}
@@ -165,13 +174,18 @@ def judge_reports(t: Tables) -> DataFrame:
     return R.judge_report(_judged(t), "DETAILED EVALUATION REPORT")
 
 
-@query("""SELECT repeat('=', 80) || chr(10) || 'STATISTICAL SUMMARY' || chr(10) || repeat('=', 80) || chr(10) || chr(10) || 'Total Evaluations: ' || count(*) || chr(10) || chr(10) || 'SCORE STATISTICS' || chr(10) || repeat('-', 80) || chr(10)
-  || printf('Mean Final Score:   %.2f/5' || chr(10) || 'Median Final Score: %.2f/5' || chr(10) || 'Std Deviation:      %.2f' || chr(10) || 'Min Score:          %.2f/5' || chr(10) || 'Max Score:          %.2f/5' || chr(10), avg(x), median(x), stddev_samp(x), min(x), max(x))
-  || chr(10) || 'JUDGE AGREEMENT RATE' || chr(10) || repeat('-', 80) || chr(10) || printf('Judges agree (within 1 point): %.1f%%' || chr(10), 100.0 * count(*) FILTER (x >= 2) / count(*)) AS report FROM (SELECT (length(text) % 11) / 2.0 AS x FROM benchmark)""")
+_RANGES = {"0-3 (Poor)": "f < 3", "3-5 (Fair)": "f >= 3 AND f < 5", "5-7 (Good)": "f >= 5 AND f < 7", "7-9 (Very Good)": "f >= 7 AND f < 9", "9-10 (Excellent)": "f >= 9 AND f <= 10"}
+
+
+@query(f"""WITH s AS (SELECT {', '.join(f'{_overall_sql(k)} AS s{k}' for k in (1, 2, 3))} FROM benchmark), f AS (SELECT *, list_sort([s1, s2, s3])[2] AS f, greatest(s1, s2, s3) - least(s1, s2, s3) <= 1.0 AS agree FROM s),
+  o AS (SELECT 'judge ' || k AS judge, count(*) AS n FROM (SELECT unnest([1, 2, 3]) AS k, unnest([s1, s2, s3]) AS x FROM s) WHERE x < 1.0 GROUP BY k)
+  SELECT {_BAR} || {_NL} || 'STATISTICAL SUMMARY' || {_NL} || {_BAR} || {_NL} || {_NL} || 'Total Evaluations: ' || count(*) || {_NL} || {_NL} || 'SCORE STATISTICS' || {_NL} || repeat('-', 80) || {_NL}
+  || printf('Mean Final Score:   %.2f/5' || chr(10) || 'Median Final Score: %.2f/5' || chr(10) || 'Std Deviation:      %.2f' || chr(10) || 'Min Score:          %.2f/5' || chr(10) || 'Max Score:          %.2f/5' || chr(10) || chr(10), avg(f), median(f), stddev_pop(f), min(f), max(f))
+  || 'SCORE DISTRIBUTION' || {_NL} || repeat('-', 80) || {_NL} || {' || '.join(f"printf('%-20s %3d (%5.1f%%)' || chr(10), '{k}', count(*) FILTER ({c}), 100.0 * count(*) FILTER ({c}) / count(*))" for k, c in _RANGES.items())}
+  || {_NL} || 'OUTLIER STATISTICS' || {_NL} || repeat('-', 80) || {_NL} || coalesce((SELECT string_agg(printf('%-20s %3d outliers (%5.1f%%)' || chr(10), judge, n, 100.0 * n / (SELECT count(*) FROM s)), '' ORDER BY judge) FROM o), 'No outliers detected' || {_NL})
+  || {_NL} || 'JUDGE AGREEMENT RATE' || {_NL} || repeat('-', 80) || {_NL} || printf('Judges agree (within 1 point): %.1f%%' || chr(10), 100.0 * count(*) FILTER (agree) / count(*)) AS report FROM f""")
 def judge_summary(t: Tables) -> DataFrame:
-    x = t.benchmark.select(score(1, 0).alias("x"))
-    summary = x.agg(F.count("*").alias("total"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.stddev_samp("x").alias("deviation"), F.min("x").alias("least"), F.max("x").alias("most"), F.avg((F.col("x") >= 2).cast("double")).alias("agreement"))
-    return R.summary_report(summary, "STATISTICAL SUMMARY")
+    return R.summary_report(R.summary_of(_judged(t)), "STATISTICAL SUMMARY")
 
 
 @query(f"""WITH s AS ({EMBED.replace('% 16', '% 64')}), v AS (SELECT item_id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS value FROM s), g AS (SELECT item_id, unnest(range(64)) AS slot FROM benchmark)

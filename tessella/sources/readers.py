@@ -223,7 +223,17 @@ OUTLIER = " [OUTLIER]"
 STATISTICS = "{rule}\nSTATISTICAL SUMMARY:\n{rule}\nMean Score (all judges):     %.2f/5\nMedian Score:                %.2f/5\nStandard Deviation:          %.2f\n"
 WITH_OUTLIERS = "Outliers Detected:           %s\nFinal Score (outliers removed): %.2f/5\n\n"
 WITHOUT_OUTLIERS = "Outliers Detected:           None\nFinal Score:                 %.2f/5\n\n"
-SUMMARY = "Total Evaluations: %d\n\nSCORE STATISTICS\n{dashes}\nMean Final Score:   %.2f/5\nMedian Final Score: %.2f/5\nStd Deviation:      %.2f\nMin Score:          %.2f/5\nMax Score:          %.2f/5\n\nJUDGE AGREEMENT RATE\n{dashes}\nJudges agree (within 1 point): %.1f%%\n"
+SUMMARY = "Total Evaluations: %d\n\nSCORE STATISTICS\n{dashes}\nMean Final Score:   %.2f/5\nMedian Final Score: %.2f/5\nStd Deviation:      %.2f\nMin Score:          %.2f/5\nMax Score:          %.2f/5\n\n"
+DISTRIBUTION, SCORES_IN = "SCORE DISTRIBUTION\n{dashes}\n", "%-20s %3d (%5.1f%%)\n"
+OUTLIERS, OUTLIERS_OF, NO_OUTLIERS = "\nOUTLIER STATISTICS\n{dashes}\n", "%-20s %3d outliers (%5.1f%%)\n", "No outliers detected\n"
+AGREEMENT = "\nJUDGE AGREEMENT RATE\n{dashes}\nJudges agree (within 1 point): %.1f%%\n"
+#: Ranges of final scores: their names and upper ends.
+SCORE_RANGES = (("0-3 (Poor)", 3), ("3-5 (Fair)", 5), ("5-7 (Good)", 7), ("7-9 (Very Good)", 9), ("9-10 (Excellent)", None))
+QUALITY = (
+    "{bar}\nQ&A SYSTEM EDUCATIONAL SUITABILITY (SEMANTIC EVALUATION)\n{bar}\nTotal Questions Evaluated: %d\n\n{rule}\nSEMANTIC ACCURACY (BERTScore)\n{rule}\nAverage BERTScore:       %.4f\n(Legacy Lexical F1):     %.4f\n\n"
+    "Semantic Quality Distribution:\n  Excellent (>0.93):     %.2f%% (%d)\n  Good (>0.90):          %.2f%% (%d)\n  Acceptable (>0.70):    %.2f%% (%d)\n  Poor (<=0.70):         %.2f%% (%d)\n\nOverall Semantic Pass Rate: %.2f%%\n\n"
+    "{rule}\nRELIABILITY (Grounding)\n{rule}\nGrounding Rate:          %.2f%%\nContext Availability:    %.2f%%"
+)
 
 
 def _filled(layout: str, *values) -> Column:
@@ -250,7 +260,33 @@ def judge_report(results: DataFrame, title: str) -> DataFrame:
     return results.select("number", F.concat(F.when(F.col("number") == 1, _headed(title)).otherwise(""), report).alias("report"))
 
 
+def summary_of(results: DataFrame) -> DataFrame:
+    """results as judge_report() takes them: one row of what summary_report() tells; the judges are few, the results many."""
+    final = F.col("final")
+    lowest = [F.lit(True), *(final >= end for _, end in SCORE_RANGES[:-1])]
+    in_range = [F.sum((low & (final < end if end else final <= 10)).cast("long")) for low, (_, end) in zip(lowest, SCORE_RANGES)]
+    overall = F.transform("judges", lambda j: j["overall"])
+    several = F.size("judges") >= 2
+    agree = F.coalesce(F.avg(F.when(several, (F.array_max(overall) - F.array_min(overall) <= 1.0).cast("double"))), F.lit(0.0))
+    distribution = F.array(*(F.struct(F.lit(name).alias("name"), n.alias("n")) for (name, _), n in zip(SCORE_RANGES, in_range)))
+    total = results.agg(F.count("*").alias("total"), F.avg(final).alias("mean"), F.median(final).alias("median"), F.stddev_pop(final).alias("deviation"), F.min(final).alias("least"), F.max(final).alias("most"), agree.alias("agreement"), distribution.alias("distribution"))
+    of_judge = results.select(F.explode(F.filter("judges", lambda j: j["outlier"])).alias("j")).groupBy(F.col("j.judge").alias("name")).agg(F.count("*").alias("n"))
+    return total.crossJoin(of_judge.agg(F.array_sort(F.collect_list(F.struct("name", "n"))).alias("outliers")))
+
+
 def summary_report(summary: DataFrame, title: str) -> DataFrame:
-    """summary (total, mean, median, deviation, least, most, agreement): (report), over all evaluations."""
-    body = _filled(SUMMARY, "total", "mean", "median", "deviation", "least", "most", F.col("agreement") * 100)
-    return summary.select(F.concat(F.lit(_headed(title)), body).alias("report"))
+    """summary_of()'s row: (report), over all evaluations."""
+    lines = lambda layout, column: F.array_join(F.transform(column, lambda x: _filled(layout, x["name"], x["n"], x["n"] * 100 / F.col("total"))), "")
+    body = _filled(SUMMARY, "total", "mean", "median", "deviation", "least", "most")
+    blocks = (F.lit(DISTRIBUTION.format(dashes=DASHES)), lines(SCORES_IN, "distribution"), F.lit(OUTLIERS.format(dashes=DASHES)), F.when(F.size("outliers") > 0, lines(OUTLIERS_OF, "outliers")).otherwise(NO_OUTLIERS))
+    return summary.select(F.concat(F.lit(_headed(title)), body, *blocks, _filled(AGREEMENT, F.col("agreement") * 100)).alias("report"))
+
+
+def quality_report(metrics: DataFrame) -> DataFrame:
+    """The row of scores.system_metrics(): (report). Means of nothing count as 0."""
+    percent = lambda c: F.col(c) * 100
+    levels = [x for level in ("excellent", "good", "acceptable") for x in (percent(f"{level}_rate"), F.col(f"{level}_answers"))]
+    poor = F.when(F.col("total_questions") > 0, F.col("poor_answers") * 100 / F.col("total_questions")).otherwise(0.0)
+    means = [F.coalesce(c, F.lit(0.0)) for c in ("avg_semantic_score", "avg_f1_score")]
+    layout = QUALITY.format(bar="=" * 70, rule="-" * 70)
+    return metrics.select(F.format_string(layout, "total_questions", *means, *levels, poor, "poor_answers", percent("overall_quality_rate"), percent("grounding_rate"), percent("context_availability_rate")).alias("report"))
