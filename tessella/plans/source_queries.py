@@ -11,6 +11,7 @@ from ..operators import prepare, scores, trees
 from ..operators import search as S
 from ..sources import readers as R
 from ..sources.scratch import working_folder
+from ..sources.vector_store import EmbeddingCache, VectorStore
 from .catalog import Tables, query
 from .search_queries import ASKED, BM25, EMBED, f1_sql, questions_asked
 from .text_queries import TERMS
@@ -188,14 +189,39 @@ def judge_summary(t: Tables) -> DataFrame:
     return R.summary_report(R.summary_of(_judged(t)), "STATISTICAL SUMMARY")
 
 
-@query(f"""WITH s AS ({EMBED.replace('% 16', '% 64')}), v AS (SELECT item_id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS value FROM s), g AS (SELECT item_id, unnest(range(64)) AS slot FROM benchmark)
-  SELECT g.item_id, list(round(coalesce(v.value, 0.0), 6) ORDER BY g.slot) AS vector FROM g LEFT JOIN v ON v.item_id = g.item_id AND v.slot = g.slot GROUP BY g.item_id UNION ALL SELECT -1, []""")
+_VECTORS = f"""WITH s AS ({EMBED.replace('% 16', '% 64')}), v AS (SELECT item_id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS value FROM s), g AS (SELECT item_id, unnest(range(64)) AS slot FROM benchmark)
+  SELECT g.item_id, list(round(coalesce(v.value, 0.0), 6) ORDER BY g.slot) AS vector FROM g LEFT JOIN v ON v.item_id = g.item_id AND v.slot = g.slot GROUP BY g.item_id"""
+
+
+@query(f"{_VECTORS} UNION ALL SELECT -1, []")
 def embed_batch(t: Tables) -> DataFrame:
     """The embedder over a column; a blank text has an empty vector."""
     texts = t.benchmark.select("item_id", "text").unionByName(t.spark.sql("SELECT -1L AS item_id, '  ' AS text"))
     return texts.select("item_id", F.transform(hash_embedder()("text"), lambda x: F.round(x, 6)).alias("vector"))
 
 
+@query(f"SELECT v.*, 0::BIGINT AS embedded_again FROM ({_VECTORS}) v")
+def cached_vectors(t: Tables) -> DataFrame:
+    """The vectors of a second run, which embeds nothing: the first one has kept them all."""
+    folder = working_folder(t.spark)
+    for _ in range(2):
+        cache = EmbeddingCache(t.spark, folder, "terms-64", hash_embedder())
+        out = cache.vectors(t.benchmark.select("item_id", "text"))
+    return out.select("item_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"), F.lit(cache.embedded).cast("long").alias("embedded_again"))
+
+
+@query(f"""WITH v AS ({_VECTORS}) SELECT v.item_id AS id, CASE WHEN v.item_id % 4 = 1 THEN 'changed' ELSE b.text END AS text, v.vector FROM v JOIN benchmark b USING (item_id) WHERE v.item_id % 5 <> 0""")
+def store_with_vectors(t: Tables) -> DataFrame:
+    """Rows added with their vectors, some changed, some deleted; the store as it is read again."""
+    folder = working_folder(t.spark)
+    cache, store = EmbeddingCache(t.spark, f"{folder}/cache", "terms-64", hash_embedder()), VectorStore(t.spark, f"{folder}/store")
+    rows = cache.vectors(t.benchmark.select(F.col("item_id").alias("id"), "text"))
+    store.upsert(rows)
+    store.upsert(rows.where("id % 4 = 1").withColumn("text", F.lit("changed")))
+    store.delete(rows.where("id % 5 = 0").select("id"))
+    return store.rows().select("id", "text", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
 @query("""WITH n AS (SELECT 'r' || r_regionkey AS id, []::VARCHAR[] AS ancestors, r_name AS content FROM region UNION ALL SELECT 'n' || n_nationkey, ['r' || n_regionkey], n_name FROM nation)
   SELECT * FROM n UNION ALL SELECT 'new', ['r' || n_regionkey, 'n5'], 'child' FROM nation WHERE n_nationkey = 5 UNION ALL SELECT 'beside', ['r' || n_regionkey], 'sibling' FROM nation WHERE n_nationkey = 7""")
 def tree_append(t: Tables) -> DataFrame:
