@@ -58,8 +58,8 @@ def _planes(column: np.ndarray) -> np.ndarray:
 
 
 def _pack(e: np.ndarray) -> bytes:
-    """Entries in order of rows: the hashes as they are, the rest compressed."""
-    e = e[np.lexsort((e["at"], e["salt"], e["doc"]))]
+    """Entries in order of documents: the hashes as they are, the rest compressed."""
+    e = e[np.lexsort((e["at"], e["doc"]))]
     skip = int(e.dtype == ANCHOR_ENTRY)
     hashes = [_planes(e[f])[skip:] for f in e.dtype.names if f in "hg"]
     rest = [_planes(e[f]) for f in e.dtype.names if f not in "hg"]
@@ -203,7 +203,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close(settled: list) -> Iterator[pa.RecordBatch]:
         e = np.concatenate([_unpack(x, PLACE) for x in settled]) if settled else np.empty(0, PLACE)
-        e = e[np.lexsort((e["at"], e["salt"], e["doc"]))]
+        e = e[np.lexsort((e["at"], e["doc"]))]
+        if ((e["doc"][1:] == e["doc"][:-1]) & (e["salt"][1:] != e["salt"][:-1])).any():  # rows that share a doc_id
+            e = e[np.lexsort((e["at"], e["salt"], e["doc"]))]
         at, starts = np.ascontiguousarray(e["at"]), [*_runs(e["doc"], e["salt"]), len(e)]
         rows = [(int(e["doc"][i]), int(e["salt"][i]), at[i:j].tobytes()) for i, j in zip(starts, starts[1:])]
         for i in range(0, len(rows), 2000):
