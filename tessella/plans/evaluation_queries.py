@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import scores, trees
+from ..operators import rollups, scores, trees
 from ..operators import search as S
 from ..operators.prepare import numbered
 from ..sources import readers
+from ..sources.scratch import working_folder
 from .catalog import Cases, Tables, query
 from .search_queries import f1_sql
 
@@ -437,3 +438,15 @@ def last_words(t: Tables) -> DataFrame:
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
 def usage_rollup(t: Tables) -> DataFrame:
     return t.events.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query("SELECT date_trunc('month', ts) AS month, count(*) AS n, round(sum(value), 4) AS total, TRUE AS users_near, TRUE AS median_near FROM events GROUP BY 1")
+def usage_months(t: Tables) -> DataFrame:
+    """Months from the days' stored sketches; beside them, whether users and medians are within the sketches' error of exact ones."""
+    folder = working_folder(t.spark)
+    rollups.daily(t.events).write.parquet(folder)
+    months = rollups.told(rollups.merged(t.spark.read.parquet(folder), "month"), 0.5)
+    exact = t.events.groupBy(F.date_trunc("month", F.col("ts").cast("timestamp")).alias("day")).agg(F.countDistinct("user_id").alias("all_users"), F.percentile("value", F.array(F.lit(0.45), F.lit(0.55))).alias("around"))
+    near = (F.abs(F.col("users") - F.col("all_users")) <= 0.08 * F.col("all_users") + 1).alias("users_near")
+    middle = F.col("q50").between(F.col("around")[0], F.col("around")[1]).alias("median_near")
+    return months.join(exact, "day").select(F.col("day").alias("month"), "n", F.round("total", 4).alias("total"), near, middle)
