@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import prepare
 from ..operators import search as S
-from ..sources import readers
+from ..sources import readers, table_functions
 from .catalog import Tables, query
 
 W = T.WORD
@@ -251,6 +251,20 @@ def recursive_chunks(t: Tables) -> DataFrame:
     return prepare.chunks(t.documents.select("doc_id", "text"))
 
 
+@query()
+def sql_chunks(t: Tables) -> DataFrame:
+    """The same from SQL, by a table function."""
+    table_functions.register(t.spark)
+    return t.spark.sql("SELECT d.doc_id, c.chunk_index, c.chunk_total, c.chunk FROM {documents} AS d, LATERAL chunk_text(d.text) AS c", documents=t.documents.select("doc_id", "text"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS page, unnest(l) AS text FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(12)), chr(12)) AS l FROM documents)) SELECT doc_id, page::INT AS page, text FROM p WHERE length(""" + T.strip_sql("text") + """) >= 50""")
+def sql_pages(t: Tables) -> DataFrame:
+    """Pages from SQL; here a text's lines are its pages."""
+    table_functions.register(t.spark)
+    return t.spark.sql("SELECT d.doc_id, p.page, p.text FROM {documents} AS d, LATERAL pages_of(replace(d.text, chr(10), chr(12)), 50) AS p", documents=t.documents.select("doc_id", "text"))
+
+
 @query()
 def question_chunks(t: Tables) -> DataFrame:
     return prepare.chunks(t.documents.select("doc_id", "text"), 1500, 300, 0, ("\n\n", "\n", ". ", " ", ""))
