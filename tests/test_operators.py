@@ -301,3 +301,37 @@ def test_stores_chunk_strategies_and_fields(spark, tmp_path):
     lists = spark.sql("SELECT array(named_struct('a', 1, 'b', 2)) AS s, 1 AS c")
     assert scores.without_field(lists, "s", "b").first()["s"][0].asDict() == {"a": 1}
     assert scores.without_field(lists, "s", "x").schema == lists.schema
+
+
+def test_diversity_is_the_greedy_walk(spark):
+    """mmr() against a walk in plain Python: queries with ties, copies, missing and zero vectors."""
+    import math
+
+    r = random.Random(12)
+    vector = lambda: [float(r.randrange(-3, 4)) for _ in range(4)]
+    rows = []
+    for q in range(30):
+        asked = vector() if q % 7 else None
+        pool = [vector() for _ in range(5)] + [None, [0.0] * 4]
+        rows += [(q, k, 100 * q + k, r.choice(pool), asked) for k in range(r.randrange(1, 15))]
+    table = spark.createDataFrame(rows, "query_id long, seq long, doc_id long, embedding array<double>, query_vector array<double>")
+
+    def cos(a, b):
+        if a is None or b is None:
+            return 0.0
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    for bias, threshold in ((0.5, 0.1), (0.8, -1.0), (0.0, 0.3)):
+        want = set()
+        for q in range(30):
+            mine = [x for x in rows if x[0] == q]
+            if mine[0][4] is None:
+                want |= {(q, x[2], k + 1) for k, x in enumerate(mine[:5])}
+                continue
+            left, chosen = [x for x in mine if cos(x[3], x[4]) >= threshold - 1e-12], []
+            while left and len(chosen) < 5:
+                gain = [round(cos(x[3], x[4]) if not chosen else bias * cos(x[3], x[4]) - (1 - bias) * max(cos(x[3], y[3]) for y in chosen), 9) for x in left]
+                chosen.append(left.pop(gain.index(max(gain))))
+            want |= {(q, x[2], k + 1) for k, x in enumerate(chosen)}
+        assert {(x["query_id"], x["doc_id"], x["rank"]) for x in search.mmr(table, 5, bias, threshold).collect()} == want
