@@ -203,3 +203,18 @@ def system_metrics(items: DataFrame) -> DataFrame:
     context = {"grounded_answers": of(F.col("grounded")), "questions_with_context": of(F.col("has_context")), "grounding_rate": rate(F.col("grounded")), "context_availability_rate": rate(F.col("has_context"))}
     means = {"avg_semantic_score": mean("semantic"), "avg_f1_score": mean("lexical"), "relevance_scores": F.count("relevance"), "avg_relevance": mean("relevance"), "min_relevance": F.min("relevance"), "max_relevance": F.max("relevance")}
     return items.agg(n.alias("total_questions"), *(c.alias(k) for k, c in (named | rates | context | means).items()))
+
+
+# What stands in the place of contexts or sources that are not there.
+NO_CONTEXTS, UNKNOWN_SOURCE = "No relevant documents found.", "Unknown"
+
+
+def context_section(contexts: Column, detailed: bool = True) -> Column:
+    """contexts (array of text, citation, source) as numbered lines, each with its citation, else its source; one sentence if there are none."""
+
+    def line(c: Column, i: Column) -> Column:
+        text = F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(c["text"], F.lit("")))
+        named = F.coalesce(F.nullif(c["citation"], F.lit("")), F.nullif(c["source"], F.lit("")), F.lit(UNKNOWN_SOURCE))
+        return F.concat(text, F.lit(" [Source: "), named, F.lit("]")) if detailed else text
+
+    return F.when(F.coalesce(F.size(contexts), F.lit(0)) < 1, NO_CONTEXTS).otherwise(F.array_join(F.transform(contexts, line), "\n\n"))

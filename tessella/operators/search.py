@@ -206,6 +206,11 @@ def reciprocal_rank(lists: DataFrame, constant: int = 60, weighted: bool = False
     return fused.withColumn("rank", F.row_number().over(order)).select("query_id", "doc_id", "score", "appearances", "rank")
 
 
+def fusion_key(content: Column, metadata: Column) -> Column:
+    """What tells the documents of fused lists apart: their content, of blank ones the metadata."""
+    return F.coalesce(F.nullif(content, F.lit("")), metadata)
+
+
 def weighted_fusion(lists: DataFrame, weights: DataFrame, missing: float = 0.5) -> DataFrame:
     """lists (query_id, list_idx, doc_id, score), weights (list_idx, weight): (query_id, doc_id, score).
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import questions as Q
 from ..functions import text as T
+from ..operators import scores
 from ..operators import search as S
 from ..operators import vector_index as V
 from .catalog import Cases, Tables, query
@@ -149,6 +150,21 @@ def rrf_fusion(t: Tables) -> DataFrame:
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("""WITH k AS (SELECT conv_id, CASE WHEN turn % 4 = 3 THEN conv_id || '/' || turn ELSE role || ' ' || substr(text, 1, 1) END AS key, turn, length(text) AS n FROM conversations),
+  l AS (SELECT conv_id, key, 0 AS list_idx, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS rank FROM k UNION ALL SELECT conv_id, key, 1, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, turn) - 1 FROM k),
+  f AS (SELECT conv_id, key, round(sum(1.0 / (60 + rank + 1)), 6) AS score, count(*) AS appearances, min((list_idx, rank)) AS seen FROM l GROUP BY ALL)
+  SELECT conv_id AS query_id, key AS doc_id, score, appearances, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, appearances DESC, seen) AS rank FROM f""")
+def rrf_by_content(t: Tables) -> DataFrame:
+    """Two orders of each conversation's turns, told apart by their content, every fourth by its metadata."""
+    content = F.when(F.col("turn") % 4 == 3, "").otherwise(F.concat("role", F.lit(" "), F.substring("text", 1, 1)))
+    key = S.fusion_key(content, F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")))
+    turns = t.conversations.select(F.col("conv_id").alias("query_id"), key.alias("doc_id"), "turn", F.length("text").alias("n"))
+    w = Window.partitionBy("query_id")
+    orders = ((0, [F.desc("turn")]), (1, [F.desc("n"), F.col("turn")]))
+    lists = [turns.select("query_id", "doc_id", F.lit(i).alias("list_idx"), (F.row_number().over(w.orderBy(*by)) - 1).alias("rank")) for i, by in orders]
+    return S.reciprocal_rank(lists[0].unionByName(lists[1])).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"""WITH l AS (SELECT * FROM {_LISTS}), w(list_idx, w) AS (VALUES (0, 0.5), (1, 0.25), (2, 0.25)), ids AS (SELECT DISTINCT query_id, doc_id FROM l)
   SELECT i.query_id, i.doc_id, round(sum(w.w * coalesce(l.score, 0.5)), 6)::DOUBLE AS score FROM ids i CROSS JOIN w LEFT JOIN l ON l.query_id = i.query_id AND l.doc_id = i.doc_id AND l.list_idx = w.list_idx GROUP BY ALL""")
 def weighted_fusion(t: Tables) -> DataFrame:
@@ -354,13 +370,19 @@ def context_whitespace(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.regexp_replace(T.strip(F.regexp_replace("text", r"\s+", " ")), r"\s+([.,:;!?])", "$1").alias("text"))
 
 
-@query("""WITH r AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS i FROM documents)
-  SELECT source, string_agg('[' || i || '] ' || text, chr(10) || chr(10) ORDER BY i) AS section FROM r WHERE i <= 5 GROUP BY source""")
+@query(f"""WITH r AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS i FROM documents WHERE n_chars >= 3000 AND lang <> 'en'),
+  c AS (SELECT source, string_agg('[' || i || '] ' || text || ' [Source: ' || CASE WHEN doc_id % 3 = 0 THEN 'Book ' || source || ', p. ' || doc_id % 90 WHEN doc_id % 3 = 1 THEN 'other/' || source ELSE 'Unknown' END || ']', chr(10) || chr(10) ORDER BY i) AS section FROM r WHERE i <= 5 GROUP BY source)
+  SELECT s.source, coalesce(section, 'No relevant documents found.') AS section FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN c ON c.source = s.source""")
 def context_section(t: Tables) -> DataFrame:
+    """Each source's longest documents that are not English, with citations; the texts are fetched once the documents are chosen."""
     order = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    top = t.documents.select("source", "doc_id", "n_chars", "text").withColumn("i", F.row_number().over(order)).where("i <= 5")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda r: F.concat(F.lit("["), r["i"].cast("string"), F.lit("] "), r["text"]))
-    return top.groupBy("source").agg(F.array_join(lines, "\n\n").alias("section"))
+    chosen = t.documents.where("n_chars >= 3000 AND lang <> 'en'").select("source", "doc_id", "n_chars").withColumn("i", F.row_number().over(order)).where("i <= 5")
+    third = F.col("doc_id") % 3
+    cited = F.when(third == 0, T.citation(F.concat(F.lit("books/"), "source"), F.concat(F.lit("Book "), "source"), F.col("doc_id") % 90, F.lit(None).cast("string"), F.lit(None).cast("string")))
+    one = F.struct("i", "text", cited.alias("citation"), F.when(third == 1, F.concat(F.lit("other/"), "source")).alias("source"))
+    lines = chosen.drop("n_chars").join(t.documents.select("doc_id", "text"), "doc_id").groupBy("source").agg(F.array_sort(F.collect_list(one)).alias("contexts"))
+    every = t.documents.select("source").distinct().join(lines, "source", "left")
+    return every.select("source", scores.context_section(F.col("contexts")).alias("section"))
 
 
 GUIDELINES = "('Factual', 'en', 'State the fact first.'), ('Factual', 'fil', 'Ibigay muna ang sagot.'), ('Analytical', 'en', 'Give causes and effects.'), ('Procedural', 'en', 'Number the steps.'), ('Comparative', 'en', 'Set the two side by side.'), ('Exploratory', 'en', 'Give an outline.')"
