@@ -32,7 +32,7 @@ PERIOD = 7
 COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 #: Entries a task holds before it groups and sends them.
-FLUSH = 1_000_000
+FLUSH = 400_000
 #: Bytes of entries a bucket should have at most.
 BUCKET_BYTES = 96 << 20
 
@@ -136,7 +136,9 @@ def later_windows(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchor_round(buckets: int):
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
-        e, again = repeated_anchors(np.concatenate(parts))
+        e = np.concatenate(parts)
+        parts.clear()
+        e, again = repeated_anchors(e)
         known = e[again][_runs(e["h"][again])].copy() if again.any() else e[:0].copy()
         known["at"] = KNOWN
         yield from _send(np.concatenate([e[~again], known]), _place(e[again]), buckets)
@@ -172,7 +174,9 @@ def _settle(kind: np.dtype, rule, buckets: int):
         def close(entries: list) -> list[tuple[int, bytes]]:
             if not entries:
                 return []
-            e, marked = rule(np.concatenate(entries))
+            e = np.concatenate(entries)
+            entries.clear()
+            e, marked = rule(e)
             if kind is ANCHOR_ENTRY:
                 marked &= e["at"] != KNOWN
             found = _place(e[marked])
@@ -223,7 +227,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _window_round(buckets: int):
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
-        e, later = later_windows(np.concatenate(parts))
+        e = np.concatenate(parts)
+        parts.clear()
+        e, later = later_windows(e)
         yield from _send(e[~later], _place(e[later]), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
