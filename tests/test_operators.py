@@ -335,3 +335,8 @@ def test_diversity_is_the_greedy_walk(spark):
                 chosen.append(left.pop(gain.index(max(gain))))
             want |= {(q, x[2], k + 1) for k, x in enumerate(chosen)}
         assert {(x["query_id"], x["doc_id"], x["rank"]) for x in search.mmr(table, 5, bias, threshold).collect()} == want
+
+
+def test_dates_of_years_above_9999_have_no_sign(spark):
+    given = spark.createDataFrame([("253402736000000",), ("1704067200",), ("2024-06-15",)], "d string")
+    assert [r[0] for r in given.select(text.long_date(given.d)).collect()] == ["January 06, 10000", "January 01, 2024", "June 15, 2024"]
