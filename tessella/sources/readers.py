@@ -6,12 +6,13 @@ passes in, with a fallback that needs nothing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD, strip, words_of
+from ..functions.text import WORD, decimals, strip, words_of
 
 # What a path says about its source, in order, and the formats that loaders and checks know.
 SOURCE_KINDS = ("100year", "bible", "google_books", "gutenberg", "news_sites", "wikipedia")
@@ -237,7 +238,10 @@ QUALITY = (
 
 
 def _filled(layout: str, *values) -> Column:
-    return F.format_string(layout.format(bar=BAR, rule=RULE, dashes=DASHES), *values)
+    """The layout with its values; numbers with decimals are rounded as printf does."""
+    kinds = [(int(places or 0), kind) for places, kind in re.findall(r"%-?[0-9]*(?:\.([0-9]))?([dsf])", layout.replace("%%", ""))]
+    shown = [decimals(F.col(v) if isinstance(v, str) else v, places) if kind == "f" else v for v, (places, kind) in zip(values, kinds, strict=True)]
+    return F.format_string(re.sub(r"(%-?[0-9]*)\.[0-9]f", r"\1s", layout).format(bar=BAR, rule=RULE, dashes=DASHES), *shown)
 
 
 def _headed(title: str) -> str:
@@ -289,4 +293,4 @@ def quality_report(metrics: DataFrame) -> DataFrame:
     poor = F.when(F.col("total_questions") > 0, F.col("poor_answers") * 100 / F.col("total_questions")).otherwise(0.0)
     means = [F.coalesce(c, F.lit(0.0)) for c in ("avg_semantic_score", "avg_f1_score")]
     layout = QUALITY.format(bar="=" * 70, rule="-" * 70)
-    return metrics.select(F.format_string(layout, "total_questions", *means, *levels, poor, "poor_answers", percent("overall_quality_rate"), percent("grounding_rate"), percent("context_availability_rate")).alias("report"))
+    return metrics.select(_filled(layout, "total_questions", *means, *levels, poor, "poor_answers", percent("overall_quality_rate"), percent("grounding_rate"), percent("context_availability_rate")).alias("report"))

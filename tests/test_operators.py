@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql.functions import lit
 
 from tessella.functions import questions, text
 from tessella.operators import prepare, search, trees
@@ -345,5 +346,15 @@ def test_dates_of_years_above_9999_have_no_sign(spark):
 def test_dates_that_are_known_to_be_seconds(spark):
     given = spark.sql("SELECT 'wikipedia/a.json' AS source, 'T' AS title, CAST(NULL AS INT) AS page, '10086249600' AS date, '' AS url")
     cited = lambda **how: given.select(text.citation(given.source, given.title, given.page, given.date, given.url, **how)).first()[0]
-    assert cited(milliseconds=False) == "T (Wikipedia, accessed August 17, 2289)"
+    assert cited(milliseconds=False) == "T (Wikipedia, accessed August 15, 2289)"
     assert cited() == "T (Wikipedia, accessed April 27, 1970)"
+
+
+def test_numbers_are_rounded_as_printf_does(spark):
+    given = spark.createDataFrame([(50,), (150,), (3000,)], "n long")
+    assert [r[0] for r in given.select(text.processing_time(given.n, lit(253.0))).collect()] == ["12.7 seconds", "38.0 seconds", "12.7 minutes"]
+    values = [6.25, 0.125, 2.675, 12.65, 1234567.0, -0.75]
+    given = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (1, 2):
+        assert [r[0] for r in given.select(text.decimals(given.v, places)).collect()] == [f"{v:.{places}f}" for v in values]
+    assert given.select(readers._filled("%5.1f%% %d", given.v, lit(3))).first()[0] == "  6.2% 3"
