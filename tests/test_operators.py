@@ -358,3 +358,22 @@ def test_numbers_are_rounded_as_printf_does(spark):
     for places in (1, 2):
         assert [r[0] for r in given.select(text.decimals(given.v, places)).collect()] == [f"{v:.{places}f}" for v in values]
     assert given.select(readers._filled("%5.1f%% %d", given.v, lit(3))).first()[0] == "  6.2% 3"
+
+
+def test_alignment_holds_one_row_of_a_batch_as_python_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessella.operators import scores
+
+    kind = pa.list_(pa.struct([("side", pa.int32()), ("token", pa.string()), ("n", pa.int64()), ("idf", pa.float64())]))
+    row = [{"side": i % 2, "token": f"w{i}", "n": 1, "idf": 1.0} for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array([row, None, []] + [row] * 3997, kind)], names=["k", "sides"])
+    del row
+    tracemalloc.start()
+    (out,) = scores._aligned(scores.spelling_embedder, 1)(iter([batch.slice(1)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 3999 and out.column("f1").to_pylist()[:2] == [1.0, 1.0] and out.column("k").to_pylist()[0] == 1
+    assert peak < 16 << 20  # 91 MB where a batch became dictionaries
