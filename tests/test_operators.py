@@ -377,3 +377,14 @@ def test_alignment_holds_one_row_of_a_batch_as_python_objects():
     tracemalloc.stop()
     assert out.num_rows == 3999 and out.column("f1").to_pylist()[:2] == [1.0, 1.0] and out.column("k").to_pylist()[0] == 1
     assert peak < 16 << 20  # 91 MB where a batch became dictionaries
+
+
+def test_normalize_takes_white_space_as_the_sql_does(spark):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    odd = ["a\x0bb", "\x0b word\x0b\x0b ", " a \t\n b", "\r", None, "intowner information", "x" * 3 + " y"] * 60
+    got = spark.createDataFrame(list(enumerate(odd)), "i int, text string").select("i", text.normalize(F.col("text")).alias("n")).orderBy("i").collect()
+    con = duckdb.connect()
+    want = [con.execute(f"SELECT {text.normalize_sql('text')} FROM (SELECT ?::VARCHAR AS text)", [t]).fetchone()[0] for t in odd[:7]]
+    assert [r["n"] for r in got] == want * 60
