@@ -388,3 +388,16 @@ def test_normalize_takes_white_space_as_the_sql_does(spark):
     con = duckdb.connect()
     want = [con.execute(f"SELECT {text.normalize_sql('text')} FROM (SELECT ?::VARCHAR AS text)", [t]).fetchone()[0] for t in odd[:7]]
     assert [r["n"] for r in got] == want * 60
+
+
+def test_blocks_of_vectors_of_different_widths_are_refused():
+    import pyarrow as pa
+
+    vectors = pa.list_(pa.list_(pa.float64()))
+    of = lambda ids, rows: (pa.array([ids]), pa.array([rows], vectors))
+    run = search._best_of_blocks("ip", 1, [pa.int64(), pa.int64(), pa.float64()])
+    names = ["ids", "vectors", "asked", "query_vectors"]
+    (out,) = run(iter([pa.RecordBatch.from_arrays([*of([7, 3], [[1.0, 2.0], [1.0, 2.0]]), *of([1], [[1.0, 1.0]])], names=names)]))
+    assert out.to_pylist() == [{"query_id": 1, "vec_id": 3, "score": 3.0}]
+    with pytest.raises(ValueError, match="widths"):
+        list(run(iter([pa.RecordBatch.from_arrays([*of([7, 3], [[1.0, 2.0, 3.0], [1.0]]), *of([1], [[1.0, 1.0]])], names=names)])))
