@@ -13,6 +13,7 @@ from ..functions.text import strip, terms
 from ..operators import prepare
 from ..operators import search as S
 from ..operators.keyword_index import KeywordIndex
+from ..sources.scratch import dealt, settled
 from .catalog import Cases, Tables, query
 
 
@@ -70,12 +71,13 @@ def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5
         found = _fused(docs, vectors, queries, 2 * k, index).drop("rank")
     else:
         named = variants.withColumn("variant", F.concat_ws(":", F.col("query_id").cast("string"), F.col("list_idx").cast("string")))
-        lists = _fused(docs, vectors, named.select(F.col("variant").alias("query_id"), "query", "query_vector"), 2 * k, index).withColumnRenamed("query_id", "variant")
+        lists = settled(_fused(docs, vectors, named.select(F.col("variant").alias("query_id"), "query", "query_vector"), 2 * k, index).withColumnRenamed("query_id", "variant"))
         found = merged(lists.join(named.select("variant", "query_id", "list_idx", "weight"), "variant"), 2 * k, gate)
-    rows = found.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").join(queries.select("query_id", "query"), "query_id")
-    ranked = S.rerank(rows, scorer, k, threshold).select("query_id", "doc_id", "content", "original_score", "score", "rank")
+    rows = S.with_rows(found, docs.select("doc_id", F.col("text").alias("content"))).join(queries.select("query_id", "query"), "query_id")
+    ranked = S.rerank(dealt(rows, "query_id", "doc_id"), scorer, k, threshold).select("query_id", "doc_id", "content", "original_score", "score", "rank")
     if diversity is None:
         return ranked
+    ranked = settled(ranked)
     candidates = ranked.select("query_id", F.col("rank").alias("seq"), "doc_id").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").join(queries.select("query_id", "query_vector"), "query_id")
     chosen = S.mmr(candidates, k, diversity, relevance, leave_single=True).select("query_id", "doc_id", F.col("rank").alias("place"))
     return ranked.join(chosen, ["query_id", "doc_id"]).select("query_id", "doc_id", "content", "original_score", "score", F.col("place").alias("rank"))
@@ -140,7 +142,8 @@ def retrieve_variants(t: Tables) -> DataFrame:
     queries = t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 8).alias("query"))
     memo = queries.select("query", F.upper("query").alias("translated"))
     variants = variants_of(queries, embed, memo, lambda q: F.array_join(F.transform(F.split(q, " "), lambda w: F.concat(F.lit("What is "), w, F.lit(" there?"))), "\n"))
-    return retrieve(docs, docs.select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding")), queries.withColumn("query_vector", embed(F.col("query"))), variants=variants, relevance=0.1, index=t.keyword_index()).drop("content")
+    vectors = settled(dealt(docs, "doc_id").select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding")))
+    return retrieve(docs, vectors, queries.withColumn("query_vector", embed(F.col("query"))), variants=variants, relevance=0.1, index=t.keyword_index()).drop("content")
 
 
 @query()

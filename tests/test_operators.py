@@ -401,3 +401,16 @@ def test_blocks_of_vectors_of_different_widths_are_refused():
     assert out.to_pylist() == [{"query_id": 1, "vec_id": 3, "score": 3.0}]
     with pytest.raises(ValueError, match="widths"):
         list(run(iter([pa.RecordBatch.from_arrays([*of([7, 3], [[1.0, 2.0, 3.0], [1.0]]), *of([1], [[1.0, 1.0]])], names=names)])))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_a_batch_searches_once_for_all_that_is_made_of_its_results(spark):
+    for name in ("retrieve_batch", "retrieve_variants"):
+        plan = plan_of(registry.queries()[name](spark, SMALL))
+        assert not re.search("MapInArrow|FlatMapCoGroups|documents.parquet", plan), name  # neither search nor texts: its results are kept
