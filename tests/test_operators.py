@@ -414,3 +414,22 @@ def test_a_batch_searches_once_for_all_that_is_made_of_its_results(spark):
     for name in ("retrieve_batch", "retrieve_variants"):
         plan = plan_of(registry.queries()[name](spark, SMALL))
         assert not re.search("MapInArrow|FlatMapCoGroups|documents.parquet", plan), name  # neither search nor texts: its results are kept
+
+
+def test_near_texts_as_the_whole_ratio_says(monkeypatch):
+    r = random.Random(23)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzÄß", k=r.randint(1, 9))) for _ in range(60)]
+    texts = ["", "A", "a"]
+    for size in (3, 12, 40, 120):  # below and above the 200 characters from which SequenceMatcher passes over common ones
+        for _ in range(4):
+            t = r.choices(words, k=size)
+            texts += [" ".join(t), " ".join(w for w in t if r.random() > 0.1), " ".join(t[size // 3 :] + t[: size // 3]), " ".join(t).upper()]
+    for threshold in (0.0, 0.5, 0.7, 0.85, 1.0):
+        said = [(prepare.near(prepare.Compared(a), prepare.Compared(b), threshold), prepare.ratio(a, b) >= threshold) for a in texts[:40] for b in texts[:40]]
+        assert all(x == y for x, y in said) and len({x for x, _ in said}) == (1 if threshold == 0 else 2)
+    made = []
+    monkeypatch.setattr(prepare, "SequenceMatcher", lambda *a: made.append(a) or difflib.SequenceMatcher(*a))
+    one, others = prepare.Compared("abc " * 50), [prepare.Compared("abd " * 50), prepare.Compared("cba " * 50)]
+    for other in others:
+        prepare.near(other, one, 0.5)
+    assert len(made) == 1  # a text's places are sought once, however many it is compared with
