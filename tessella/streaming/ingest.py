@@ -13,26 +13,28 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.text import is_valid, normalize
-from ..sources.scratch import settled
+from ..sources.scratch import dealt, settled
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with the stored text and its hash; invalid texts go."""
-    ready = docs.withColumn("text", normalize(normalize(F.col("text"))))
-    return ready.where(is_valid(F.col("text"))).withColumn("content_hash", F.md5(F.col("text").cast("binary")))
+    """docs (doc_id, text, ...) with the stored text and its hash; invalid texts go. Written before it is filtered: a filter on
+    the normalised text would have it normalised once more."""
+    ready = dealt(docs, "doc_id").withColumn("text", normalize(normalize(F.col("text"))))
+    ready = settled(ready.withColumns({"content_hash": F.md5(F.col("text").cast("binary")), "__valid": is_valid(F.col("text"))}))
+    return ready.where("__valid").drop("__valid")
 
 
 def append_new(batch: DataFrame, number: int, store: str) -> None:
     """One micro-batch into the store."""
     spark = batch.sparkSession
-    ready = settled(prepared(batch))
-    first = ready.groupBy("content_hash").agg(F.min("doc_id").alias("first"))
-    new = settled(ready.join(first, "content_hash").where(F.col("doc_id") == F.col("first")).drop("first"))
+    ready = prepared(batch)
+    first = settled(ready.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id")))
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         stored = spark.read.parquet(store).where(F.col("batch") != number).select("content_hash")
-        known = stored.join(new.select("content_hash"), "content_hash", "left_semi").distinct()  # a small batch's hashes go to the store's, not these to it
-        new = new.join(known, "content_hash", "left_anti")
+        known = stored.join(first.select("content_hash"), "content_hash", "left_semi").distinct()  # a small batch's hashes go to the store's, not these to it
+        first = settled(first.join(known, "content_hash", "left_anti"))
+    new = ready.join(first.hint("shuffle_hash"), ["content_hash", "doc_id"], "left_semi")  # texts pass by, they are not sorted
     new.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(store)
 
 

@@ -433,3 +433,9 @@ def test_near_texts_as_the_whole_ratio_says(monkeypatch):
     for other in others:
         prepare.near(other, one, 0.5)
     assert len(made) == 1  # a text's places are sought once, however many it is compared with
+
+
+def test_ingestion_normalises_once(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    ready = ingest.prepared(docs)
+    assert "ArrowEvalPython" not in plan_of(ready) and set(ready.columns) == {*docs.columns, "content_hash"}
