@@ -114,16 +114,17 @@ def choose_pages(files: DataFrame, primary: DataFrame, fallback: DataFrame | Non
     """files (path), two readers' pages (path, page, text[, blocks]): (path, page, text, status).
 
     The first reader's pages count where one of them has more than `least` characters, else the second one's; a file that
-    neither can read has one row with status error.
+    neither can read has one row with status error. Tasks keep the paths they ask for, pages pass by: they are not sorted.
     """
     good = lambda pages: pages.groupBy("path").agg(F.max(F.length(strip("text"))).alias("most")).where(F.col("most") > least).select("path")
     first = page_texts(primary, least)
-    taken = first.join(good(first), "path", "left_semi")
+    readable = good(first).hint("shuffle_hash")
+    taken = first.join(readable, "path", "left_semi")
     if fallback is not None:
         other = fallback.select("path", "page", "text").where(strip(F.coalesce("text", F.lit(""))) != "")
-        taken = taken.unionByName(other.join(good(first), "path", "left_anti"))
+        taken = taken.unionByName(other.join(readable, "path", "left_anti"))
     taken = taken.withColumn("status", F.lit("ok"))
-    failed = files.select("path").join(taken.select("path"), "path", "left_anti").select("path", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text"), F.lit("error").alias("status"))
+    failed = files.select("path").join(taken.select("path").distinct().hint("shuffle_hash"), "path", "left_anti").select("path", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text"), F.lit("error").alias("status"))
     return taken.withColumn("page", F.col("page").cast("int")).unionByName(failed)
 
 

@@ -439,3 +439,8 @@ def test_ingestion_normalises_once(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     ready = ingest.prepared(docs)
     assert "ArrowEvalPython" not in plan_of(ready) and set(ready.columns) == {*docs.columns, "content_hash"}
+
+
+def test_pages_are_chosen_without_sorting_them(spark):
+    plan = plan_of(registry.queries()["pdf_page_choice"](spark, SMALL))
+    assert "Sort" not in plan and plan.count("ShuffledHashJoin") >= 3
