@@ -274,7 +274,7 @@ def answer_metrics(t: Tables) -> DataFrame:
 def prompt_build(t: Tables) -> DataFrame:
     """A prompt from what the other steps found: each question's search results, the guideline if there is one, exemplars, the question."""
     kind = F.when(F.col("item_id") % 40 == 0, "Factual").otherwise("Analytical")
-    found = t.keyword_index().search(questions_asked(t)).join(t.documents.select("doc_id", "text"), "doc_id")
+    found = S.with_rows(t.keyword_index().search(questions_asked(t)), t.documents.select("doc_id", "text"))
     contexts = found.groupBy(F.col("query_id").alias("item_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("contexts"))  # k a question
     rows = t.benchmark.where("item_id % 20 = 0").join(contexts, "item_id")
     return rows.select("item_id", scores.prompt("Answer from the contexts.", F.col("contexts"), F.when(kind == "Factual", "State the fact first."), F.array(kind), F.concat(F.split_part("text", F.lit("."), F.lit(1)), F.lit("?"))).alias("prompt"))

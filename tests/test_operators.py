@@ -453,3 +453,9 @@ def test_candidates_are_sought_for_the_questions_only(spark, monkeypatch):
     questions = {r[0] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").where("item_id % 20 = 0").select("item_id").collect()}
     every = {r[0] for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()}
     assert found == questions & every and asked == [questions & every]
+
+
+def test_what_was_found_goes_to_the_texts(spark):
+    for name in ("prompt_build", "rerank_fallback", "context_prepare"):
+        plan = plan_of(registry.queries()[name](spark, SMALL))
+        assert plan.count("BroadcastHashJoin") and "SortMergeJoin" not in plan and "FlatMapCoGroups" not in plan, name
