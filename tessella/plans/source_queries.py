@@ -283,6 +283,5 @@ def prompt_build(t: Tables) -> DataFrame:
 @query()
 def chunk_strategies(t: Tables) -> DataFrame:
     """Strategies that need a model fall back to the recursive one."""
-    docs = t.documents.select("doc_id", "text")
-    every = [prepare.chunked(docs, s).withColumn("strategy", F.lit(s)) for s in ("recursive", "semantic")]
-    return every[0].unionByName(every[1]).groupBy("strategy", "doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
+    sums = lambda chunks: chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
+    return prepare.chunked_by_each(t.documents.select("doc_id", "text"), ["recursive", "semantic"], sums)

@@ -459,3 +459,15 @@ def test_what_was_found_goes_to_the_texts(spark):
     for name in ("prompt_build", "rerank_fallback", "context_prepare"):
         plan = plan_of(registry.queries()[name](spark, SMALL))
         assert plan.count("BroadcastHashJoin") and "SortMergeJoin" not in plan and "FlatMapCoGroups" not in plan, name
+
+
+def test_strategies_that_fall_back_to_one_are_cut_once(spark):
+    docs = spark.createDataFrame([(1, "One sentence here. " * 60), (2, "")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="semantic"):
+        out = prepare.chunked_by_each(docs, ["recursive", "semantic"])
+    assert plan_of(out).count("MapInArrow") == 1
+    want = sorted(tuple(x) for x in prepare.chunks(docs).collect())
+    for strategy in ("recursive", "semantic"):
+        assert sorted(tuple(x) for x in out.where(f"strategy = '{strategy}'").drop("strategy").collect()) == want
+    with pytest.raises(ValueError):
+        prepare.chunked_by_each(docs, ["none such"])
