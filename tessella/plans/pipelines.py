@@ -38,7 +38,8 @@ def variants_of(queries: DataFrame, embed: Embedder, translations: DataFrame | N
 
 
 def _fused(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, index: KeywordIndex | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank): semantic and keyword search, fused by weights. Without an index the texts are searched."""
+    """(query_id, doc_id, score, rank): semantic and keyword search, fused by weights. Without an index the texts are searched. Blank queries find nothing."""
+    queries = queries.where(strip(F.col("query")) != "")
     semantic = S.nearest(vectors, queries.select("query_id", "query_vector"), k, threshold=0.2).withColumnRenamed("vec_id", "doc_id")
     asked = queries.select("query_id", "query")
     return S.hybrid(semantic, index.search(asked, k) if index else S.bm25(docs, asked, k), k)
@@ -138,7 +139,7 @@ def retrieve_batch(t: Tables) -> DataFrame:
 def retrieve_variants(t: Tables) -> DataFrame:
     """Retrieval with a translation and the parts of each long question; texts and questions have one embedder."""
     embed = hash_embedder()
-    docs = t.documents.select("doc_id", "text")
+    docs = t.documents.where("doc_id is not null").select("doc_id", "text")
     queries = t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 8).alias("query"))
     memo = queries.select("query", F.upper("query").alias("translated"))
     variants = variants_of(queries, embed, memo, lambda q: F.array_join(F.transform(F.split(q, " "), lambda w: F.concat(F.lit("What is "), w, F.lit(" there?"))), "\n"))

@@ -131,6 +131,26 @@ def test_blocks_of_queries_give_the_same(spark, monkeypatch):
         assert sorted(map(tuple, search.nearest(v, q).collect())) == whole
 
 
+def test_vectors_of_blank_texts_are_left_out(spark):
+    some = [(i, [float(i), 1.0]) for i in range(6)]
+    v, q = (spark.createDataFrame(some, f"{names} array<double>") for names in ("vec_id long, embedding", "query_id long, query_vector"))
+    want = sorted(map(tuple, search.nearest(v, q, threshold=None).collect()))
+    v, q = (x.union(spark.createDataFrame([(7, []), (8, None)], x.schema)).coalesce(1) for x in (v, q))
+    assert sorted(map(tuple, search.nearest(v, q, threshold=None).collect())) == want
+
+
+def test_retrieval_with_blank_and_missing_rows(spark, tmp_path):
+    for table, key in (("documents", "doc_id"), ("benchmark", "item_id")):
+        df = spark.read.parquet(f"{SMALL}/{table}.parquet")
+        odd = [df.limit(1).withColumns({key: lit(i).cast("long"), "text": lit(x).cast("string")}) for i, x in ((100_000, ""), (200_000, " "), (300_000, None))]
+        for x in [*odd, df.limit(1).withColumn(key, lit(None).cast("long"))]:
+            df = df.unionByName(x)
+        df.coalesce(1).write.parquet(f"file://{tmp_path}/{table}.parquet")
+    found = registry.queries()["retrieve_variants"](spark, f"file://{tmp_path}").collect()
+    assert {0, 20} <= {r["query_id"] for r in found} and not {r["query_id"] for r in found} & {100_000, 200_000, 300_000}
+    assert all(r["doc_id"] < 100_000 for r in found)
+
+
 def test_fusion_does_not_depend_on_the_lists_order(spark):
     lists = [(0, l, k, d) for l, ds in enumerate(["ABC", "BDA"]) for k, d in enumerate(ds)]
     swapped = [(0, 1 - l, k, d) for _, l, k, d in lists]
