@@ -137,12 +137,12 @@ def retrieve_batch(t: Tables) -> DataFrame:
 
 @query()
 def retrieve_variants(t: Tables) -> DataFrame:
-    """Retrieval with a translation and the parts of each long question; texts and questions have one embedder."""
+    """Retrieval for all benchmark rows with a translation and the parts of each long question; texts and questions have one embedder."""
     embed = hash_embedder()
     docs = t.documents.where("doc_id is not null").select("doc_id", "text")
-    queries = t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 8).alias("query"))
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     memo = queries.select("query", F.upper("query").alias("translated"))
-    variants = variants_of(queries, embed, memo, lambda q: F.array_join(F.transform(F.split(q, " "), lambda w: F.concat(F.lit("What is "), w, F.lit(" there?"))), "\n"))
+    variants = variants_of(queries, embed, memo, lambda q: F.array_join(F.transform(F.split(q, " "), lambda w: F.concat(F.lit("What is "), w, F.lit(" there?"))), "\n"), most=2**31 - 1)
     vectors = settled(dealt(docs, "doc_id").select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding")))
     return retrieve(docs, vectors, queries.withColumn("query_vector", embed(F.col("query"))), variants=variants, relevance=0.1, index=t.keyword_index()).drop("content")
 

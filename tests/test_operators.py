@@ -436,6 +436,18 @@ def test_a_batch_searches_once_for_all_that_is_made_of_its_results(spark):
         assert not re.search("MapInArrow|FlatMapCoGroups|documents.parquet", plan), name  # neither search nor texts: its results are kept
 
 
+def test_variants_are_sought_for_all_benchmark_rows_and_whole_texts(spark, monkeypatch):
+    given = {}
+    monkeypatch.setattr(pipelines, "retrieve", lambda docs, vectors, queries, variants, **_: given.update(queries=queries, variants=variants) or docs.withColumn("content", docs["text"]))
+    registry.queries()["retrieve_variants"](spark, SMALL)
+    texts = dict(map(tuple, spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()))
+    assert dict(map(tuple, given["queries"].select("query_id", "query").collect())) == texts
+    variants = {(r["query_id"], r["list_idx"]): r["query"] for r in given["variants"].select("query_id", "list_idx", "query").collect()}
+    assert all(variants[i, 0] == x and variants[i, 1] == x.upper() for i, x in texts.items())
+    long = {i for i, x in texts.items() if len(x.split()) > 20}  # a question's whole length tells whether it has parts
+    assert long and long <= {i for i, at in variants if at >= 2}
+
+
 def test_near_texts_as_the_whole_ratio_says(monkeypatch):
     r = random.Random(23)
     words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzÄß", k=r.randint(1, 9))) for _ in range(60)]
